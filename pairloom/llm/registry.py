@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, near_dedup, secret_scan, url_filter
+from . import exact_dedup, near_dedup, secret_scan, substring_dedup, url_filter
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_secret_scan": secret_scan.op2_secret_scan,
     "op8_url_filter": url_filter.op8_url_filter,
+    "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_near_dedup": near_dedup.op10_near_dedup,
 }
 
 ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
+    "op9_substring_dedup": substring_dedup.OP9_SQL,
     "op10_near_dedup": near_dedup.OP10_SQL,
 }
