@@ -19,20 +19,31 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_lower, documents
+from .common import Scratch, ascii_lower, documents, split_count
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 @contextmanager
-def _rocksdb(spark: SparkSession) -> Iterator[None]:
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, PROVIDER)
+def _session(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before) if before else spark.conf.unset(key)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
+
+
+def state_settings(spark: SparkSession, partitions: int | None = None) -> dict[str, str]:
+    """RocksDB stores, fewer than shuffle partitions: each reserves 4 MB of disk however
+    little it holds, and a digest's entry is a hundredth of its document."""
+    n = partitions or max(8, -(-split_count(spark) // 8))
+    return {
+        "spark.sql.streaming.stateStore.providerClass": PROVIDER,
+        "spark.sql.streaming.internal.stateStore.partitions": str(n),
+    }
 
 
 def keyed_state(feed: DataFrame) -> DataFrame:
@@ -44,10 +55,12 @@ def keyed_state(feed: DataFrame) -> DataFrame:
     return feed.groupBy("digest").agg(F.max(F.struct("id", "locator")).alias("keeper"), F.count(F.lit(1)).alias("group_size"))
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 16 << 30, digest: Column | None = None) -> DataFrame:
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 16 << 30, digest: Column | None = None, state_partitions: int | None = None) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256, row_no.
 
-    ``batch_bytes`` bounds a micro-batch of the feed (about 60 bytes a document).
+    ``batch_bytes`` bounds a micro-batch of the feed (about 60 bytes a document);
+    ``state_partitions`` is the number of state stores (an eighth of the shuffle
+    partitions, 8 at least, if not given).
     ``digest`` replaces SHA-256 of column ``norm`` (tests use a short one to force hits
     with different bytes). Such rows leave the group and form groups by their own text.
     """
@@ -63,7 +76,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
     feed = tmp.save(feed, "feed")
 
-    with _rocksdb(spark):
+    with _session(spark, state_settings(spark, state_partitions)):
         stream = spark.readStream.schema(feed.schema).option("maxBytesPerTrigger", str(batch_bytes)).parquet(tmp.path("feed"))
         query = (
             keyed_state(stream).writeStream.outputMode("update").format("noop").trigger(availableNow=True)
