@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, near_dedup, packing, secret_scan, substring_dedup, token_files, url_filter
+from . import decontaminate, exact_dedup, language_id, near_dedup, packing, secret_scan, substring_dedup, token_files, url_filter
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_secret_scan": secret_scan.op2_secret_scan,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
     "op5_packing": packing.op5_packing,
+    "op6_language_id": language_id.op6_language_id,
     "op7_token_files": token_files.op7_token_files,
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
