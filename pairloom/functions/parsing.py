@@ -6,6 +6,7 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -255,64 +256,60 @@ def simhash(text: str | None, width: int = 4) -> int | None:
         return None
     content = "".join(_CONTENT.findall(text.lower()))
     grams = Counter(content[i : i + width] for i in range(max(len(content) - width + 1, 1)))
-    weights = [0] * 64
-    for gram, n in grams.items():
-        h = int.from_bytes(hashlib.md5(gram.encode()).digest()[-8:], "big")
-        for bit in range(64):
-            weights[bit] += n if h >> bit & 1 else -n
-    return sum(1 << bit for bit in range(64) if weights[bit] > 0)
+    digests = np.frombuffer(b"".join(hashlib.md5(g.encode()).digest()[-8:] for g in grams), np.uint8).reshape(-1, 8)
+    counts = np.fromiter(grams.values(), np.int64, len(grams))
+    ones = counts @ np.unpackbits(digests, axis=1)
+    return int.from_bytes(np.packbits(2 * ones > counts.sum()).tobytes(), "big")
 
 
 def _signed(h: int | None) -> int | None:
     return None if h is None else h - (1 << 64) if h >> 63 else h
 
 
-@F.pandas_udf("string")
+# Series functions; the UDFs are made where a session is at hand, as workers import this module too
+
+
 def _demangle(s: pd.Series) -> pd.Series:
     return s.map(demangle, na_action="ignore")
 
 
-@F.pandas_udf("string")
 def _plain_name(s: pd.Series) -> pd.Series:
     return s.map(plain_name, na_action="ignore")
 
 
-@F.pandas_udf(PARSED_FUNCTION)
 def _listing(s: pd.Series) -> pd.Series:
     return s.map(parse_listing)
 
 
-@F.pandas_udf(PARSED_FUNCTION)
 def _source(s: pd.Series) -> pd.Series:
     return s.map(scan_functions)
 
 
-@F.pandas_udf("long")
 def _simhash(s: pd.Series) -> pd.Series:
-    return pd.Series([_signed(simhash(x)) for x in s], dtype="Int64")
+    return s.map(lambda x: _signed(simhash(x)), na_action="ignore").astype("Int64")
 
 
 def demangled(name: Column) -> Column:
-    return _demangle(name)
+    return F.pandas_udf(_demangle, "string")(name)
 
 
 def function_name(name: Column) -> Column:
-    return _plain_name(name)
+    return F.pandas_udf(_plain_name, "string")(name)
 
 
 def readable_name(name: Column) -> Column:
     """Only mangled names are rewritten."""
-    return F.when(name.rlike(r"^(_Z|__Z|\?)"), _plain_name(_demangle(name))).otherwise(name)
+    return F.when(name.rlike(r"^(_Z|__Z|\?)"), function_name(demangled(name))).otherwise(name)
 
 
 def listing_functions(text: Column) -> Column:
-    return _listing(text)
+    return F.pandas_udf(_listing, PARSED_FUNCTION)(text)
 
 
 def source_functions(text: Column) -> Column:
-    return _source(text)
+    return F.pandas_udf(_source, PARSED_FUNCTION)(text)
 
 
 def simhash64(text: Column) -> Column:
     """The signed bit pattern; functions.text.unsigned shows the number."""
-    return _simhash(text)
+    return F.pandas_udf(_simhash, "long")(text)

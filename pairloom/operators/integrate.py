@@ -62,10 +62,10 @@ def ordered_splits(df: DataFrame, *order: str, train: float = 0.7, eval_: float
 def group_splits(df: DataFrame, group: str, test: float = 0.2, eval_: float = 0.125, seed: int = 42) -> DataFrame:
     """Adds split by whole groups: ceil(test * G) groups, then ceil(eval * rest), in seeded order."""
     keys = df.where(F.col(group).isNotNull()).select(group).distinct().withColumn("__h", seeded(seed, group))
-    placed = with_ordinal(keys, "__h", group, name="__at")
+    placed = with_ordinal(keys, "__h", group, name="__nth")
     g = keys.agg(F.count(F.lit(1)).alias("__g")).select(F.ceil(F.col("__g") * F.lit(test)).alias("__t"), "__g")
     g = g.select("__t", F.ceil((F.col("__g") - F.col("__t")) * F.lit(eval_)).alias("__e"))
-    split = F.when(F.col("__at") < F.col("__t"), "test").when(F.col("__at") < F.col("__t") + F.col("__e"), "eval").otherwise("train")
+    split = F.when(F.col("__nth") < F.col("__t"), "test").when(F.col("__nth") < F.col("__t") + F.col("__e"), "eval").otherwise("train")
     return df.join(placed.join(F.broadcast(g)).select(group, split.alias("split")), group)  # one row
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
+
 _LOW = (1 << 33) - 1
 
 
@@ -13,9 +15,12 @@ def with_ordinal(df: DataFrame, *order: str | Column, name: str = "ordinal") ->
 
     Rows are range-partitioned and sorted within partitions; a position is the row's index
     in its partition plus the sizes of the partitions before it, a table of one row each.
+    Range bounds come from a sample that differs from run to run, so the placed rows are
+    written once and both sides read that table.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    placed = Scratch(df.sparkSession, "ordinal").save(placed, "placed")
     part = F.shiftright("__at", 33)
     sizes = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__size"))
     before = F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))

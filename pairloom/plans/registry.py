@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_queries
+from . import corpus_queries, embedding_queries
 
-QUERIES = embedding_queries.QUERIES
-ORACLE_SQL = embedding_queries.ORACLE_SQL
+QUERIES = embedding_queries.QUERIES | corpus_queries.QUERIES
+ORACLE_SQL = embedding_queries.ORACLE_SQL | corpus_queries.ORACLE_SQL
