@@ -8,7 +8,8 @@ hold a hit are compared in full (64-bit hash of all their words), which joins up
 the maximal exact repeats of each document.
 
 Entries travel in columns packed by target partition (6 bytes a probe, the lowest bit of
-the hash tells blocks from other windows) rather than as rows. Within a task's batch
+the hash tells blocks from other windows) rather than as rows, and so do the answers,
+packed by group of documents. Within a task's batch
 equal hashes of several documents are merged before the shuffle: the documents are hits
 already, and one of them speaks for all, so a passage that a third of all documents hold
 costs one entry a batch. Texts are dealt out by document once, compressed; the three
@@ -37,14 +38,14 @@ from .common import documents, split_count
 
 LAST = np.iinfo(np.int64).max
 #: words handled at once within a task
-BATCH_WORDS = 1_000_000
+BATCH_WORDS = 500_000
 U = np.uint64
 
 
 class Words:
     """64-bit word hashes, remembered for at most ``keep`` words of this task."""
 
-    def __init__(self, keep: int = 400_000):
+    def __init__(self, keep: int = 250_000):
         self.seen: dict[bytes, int] = {}
         self.keep = keep
 
@@ -74,7 +75,7 @@ def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     z = zstandard.ZstdCompressor(level=1)
     for b in batches:
         packed = [z.compress((t.as_py() or "").encode()) for t in b.column("text")]
-        yield pa.RecordBatch.from_arrays([b.column("key"), b.column("id"), pa.array(packed, pa.binary())], names=["key", "id", "packed"])
+        yield pa.RecordBatch.from_arrays([b.column("kb"), b.column("key"), b.column("id"), pa.array(packed, pa.binary())], names=["kb", "key", "id", "packed"])
 
 
 class Batch:
@@ -101,15 +102,17 @@ class Batch:
         return doc, pos, rolling(np.concatenate(self.words), width)[starts[doc] + pos]
 
 
-def _filled(batches: Iterator[pa.RecordBatch], least: int, extra: str | None = None) -> Iterator[Batch]:
+def _filled(batches: Iterator[pa.RecordBatch], least: int, hits: dict[int, np.ndarray] | None = None) -> Iterator[Batch]:
+    """Documents of at least ``least`` words (that have hits, if these are given)."""
     z, hasher, held = zstandard.ZstdDecompressor(), Words(), Batch()
     for b in batches:
-        more = b.column(extra) if extra else None
-        for i, (key, id_, packed) in enumerate(zip(b.column("key"), b.column("id"), b.column("packed"), strict=True)):
+        for key, id_, packed in zip(b.column("key").to_pylist(), b.column("id").to_pylist(), b.column("packed"), strict=True):
+            if hits is not None and key not in hits:
+                continue
             words = z.decompress(packed.as_py()).split()
             if len(words) < least:
                 continue
-            held.add(key.as_py(), id_.as_py(), hasher(words), None if more is None else np.unique(np.frombuffer(b"".join(more[i].as_py()), np.uint64)))
+            held.add(key, id_, hasher(words), None if hits is None else hits[key])
             if held.n >= BATCH_WORDS:
                 yield held
                 held = Batch()
@@ -122,28 +125,44 @@ def _firsts(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
 
 
-def _by_key(keys: np.ndarray, hashes: np.ndarray, size: int = 500_000) -> Iterator[tuple[list, list]]:
-    """Rows (key, hashes as bytes)."""
-    order = np.argsort(keys, kind="stable")
-    keys, hashes = keys[order], hashes[order]
-    at = np.append(_firsts(keys), len(keys))
-    for i in range(0, len(at) - 1, size):
-        part = range(i, min(i + size, len(at) - 1))
-        yield [int(keys[at[j]]) for j in part], [hashes[at[j] : at[j + 1]].tobytes() for j in part]
-
-
-MESSAGE = pa.schema([("part", pa.int32()), ("key", pa.int64()), ("blob", pa.binary())])
-MESSAGE_DDL = "part int, key long, blob binary"
+MESSAGE = pa.schema([("part", pa.int32()), ("kb", pa.int32()), ("blob", pa.binary())])
+MESSAGE_DDL = "part int, kb int, blob binary"
 
 
-def _messages(part: list, key: list, blob: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(key, pa.int64()), pa.array(blob, pa.binary())], schema=MESSAGE)
+def _messages(part: list, kb: list, blob: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(kb, pa.int32()), pa.array(blob, pa.binary())], schema=MESSAGE)
 
 
-def _settled(keys: np.ndarray, hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Hits known within a batch need no partition: part is -1."""
-    for k, v in _by_key(keys, hashes):
-        yield _messages([-1] * len(k), k, v)
+def _settled(keys: np.ndarray, hashes: np.ndarray, groups: int) -> Iterator[pa.RecordBatch]:
+    """Answers (key, hash), one blob for each group of documents: n, keys, counts, hashes. Part is -1: no more to decide."""
+    group = keys % groups
+    order = np.lexsort((keys, group))
+    keys, hashes, group = keys[order], hashes[order], group[order]
+    at = np.append(_firsts(group), len(group))
+    out_group, out_blob = [], []
+    for a, z in zip(at[:-1], at[1:], strict=True):
+        k = _firsts(keys[a:z])
+        counts = np.diff(np.append(k, z - a)).astype(np.uint32)
+        out_group.append(int(group[a]))
+        out_blob.append(b"".join([np.uint32(len(k)).tobytes(), keys[a:z][k].tobytes(), counts.tobytes(), hashes[a:z].tobytes()]))
+    if out_group:
+        yield _messages([-1] * len(out_group), out_group, out_blob)
+
+
+def _answers_of(blobs: pa.ChunkedArray) -> dict[int, np.ndarray]:
+    """Key to its sorted distinct hashes."""
+    keys, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for blob in blobs:
+        raw = blob.as_py()
+        n = int(np.frombuffer(raw, np.uint32, 1)[0])
+        counts = np.frombuffer(raw, np.uint32, n, 4 + 8 * n)
+        keys.append(np.repeat(np.frombuffer(raw, np.int64, n, 4), counts))
+        hashes.append(np.frombuffer(raw, np.uint64, int(counts.sum()), 4 + 12 * n))
+    keys, hashes = np.concatenate(keys), np.concatenate(hashes)
+    order = np.lexsort((hashes, keys))
+    keys, hashes = keys[order], hashes[order]
+    at = np.append(_firsts(keys), len(keys))
+    return {int(keys[a]): np.unique(hashes[a:z]) for a, z in zip(at[:-1], at[1:], strict=True)}
 
 
 def _dealt(hashes: np.ndarray, keys: np.ndarray, ids: np.ndarray, parts: int, wide: bool) -> Iterator[pa.RecordBatch]:
@@ -181,7 +200,7 @@ def _read_blob(blob: bytes, wide: bool) -> tuple[np.ndarray, np.ndarray, np.ndar
     return h, np.repeat(keys, counts), np.repeat(ids, counts)
 
 
-def probe(batches: Iterator[pa.RecordBatch], block: int, window: int, parts: int) -> Iterator[pa.RecordBatch]:
+def probe(batches: Iterator[pa.RecordBatch], block: int, window: int, parts: int, groups: int) -> Iterator[pa.RecordBatch]:
     """Index blocks and probes of each document, dealt by hash."""
     for batch in _filled(batches, window):
         keys, ids = np.array(batch.keys), np.array(batch.ids)
@@ -195,23 +214,22 @@ def probe(batches: Iterator[pa.RecordBatch], block: int, window: int, parts: int
         at = _firsts(h >> U(1))
         size = np.diff(np.append(at, len(h)))
         several = np.repeat(size > 1, size)
-        yield from _settled(keys[doc[several]], h[several] >> U(1))
+        yield from _settled(keys[doc[several]], h[several] >> U(1), groups)
         is_block = np.maximum.reduceat(h & U(1), at)
         d = doc[at]
         yield from _dealt((h[at] & ~U(1)) | is_block, keys[d], ids[d], parts, wide=False)
 
 
-def matched_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def matched_blocks(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBatch]:
     """Entries of hashes that several documents hold, one of them as a block: (key, hits)."""
     h, keys = [], []
     for b in batches:
-        for part, key, blob in zip(b.column("part"), b.column("key"), b.column("blob"), strict=True):
-            if part.as_py() < 0:
-                yield _messages([-1], [key.as_py()], [blob.as_py()])
-            else:
-                x = _read_blob(blob.as_py(), False)
-                h.append(x[0])
-                keys.append(x[1])
+        done = np.array(b.column("part")) < 0
+        yield b.filter(pa.array(done))
+        for blob in b.column("blob").filter(pa.array(~done)):
+            x = _read_blob(blob.as_py(), False)
+            h.append(x[0])
+            keys.append(x[1])
     if not h:
         return
     h, keys = np.concatenate(h), np.concatenate(keys)
@@ -220,13 +238,17 @@ def matched_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     at = _firsts(h >> U(1))
     size = np.diff(np.append(at, len(h)))
     hit = np.repeat((size > 1) & (np.maximum.reduceat(h & U(1), at) > 0), size)
-    yield from _settled(keys[hit], h[hit] >> U(1))
+    yield from _settled(keys[hit], h[hit] >> U(1), groups)
+
+
+def extend(docs: pa.Table, answers: pa.Table, block: int, window: int, parts: int, groups: int) -> pa.Table:
+    """Full hashes of the windows that hold a hit, dealt by hash; one group of documents."""
+    return pa.Table.from_batches(_extend(docs, answers, block, window, parts, groups), schema=MESSAGE)
 
 
-def extend(batches: Iterator[pa.RecordBatch], block: int, window: int, parts: int) -> Iterator[pa.RecordBatch]:
-    """Full hashes of the windows that hold a hit, dealt by hash."""
+def _extend(docs: pa.Table, answers: pa.Table, block: int, window: int, parts: int, groups: int) -> Iterator[pa.RecordBatch]:
     reach = window - block + 1
-    for batch in _filled(batches, window, "hits"):
+    for batch in _filled(docs.to_batches(), window, _answers_of(answers.column("blob"))):
         keys, ids = np.array(batch.keys), np.array(batch.ids)
         doc, _, h = batch.runs(block)
         h = (h & U((1 << 48) - 1)) >> U(1)
@@ -242,22 +264,21 @@ def extend(batches: Iterator[pa.RecordBatch], block: int, window: int, parts: in
         at = _firsts(full)
         size = np.diff(np.append(at, len(full)))
         later = ids[d] > np.repeat(ids[d[at]], size)
-        yield from _settled(keys[d[later]], full[later])
+        yield from _settled(keys[d[later]], full[later], groups)
         # equal smallest ids (repeated rows) each need their own answer
         least = ~later & np.append(True, (full[1:] != full[:-1]) | (d[1:] != d[:-1]))[: len(d)]
         yield from _dealt(full[least], keys[d[least]], ids[d[least]], parts, wide=True)
 
 
-def repeated_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def repeated_windows(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBatch]:
     """Entries whose window also stands in a document with a smaller id: (key, hashes)."""
     h, keys, ids = [], [], []
     for b in batches:
-        for part, key, blob in zip(b.column("part"), b.column("key"), b.column("blob"), strict=True):
-            if part.as_py() < 0:
-                yield _messages([-1], [key.as_py()], [blob.as_py()])
-            else:
-                for held, x in zip((h, keys, ids), _read_blob(blob.as_py(), True), strict=True):
-                    held.append(x)
+        done = np.array(b.column("part")) < 0
+        yield b.filter(pa.array(done))
+        for blob in b.column("blob").filter(pa.array(~done)):
+            for held, x in zip((h, keys, ids), _read_blob(blob.as_py(), True), strict=True):
+                held.append(x)
     if not h:
         return
     h, keys, ids = np.concatenate(h), np.concatenate(keys), np.concatenate(ids)
@@ -265,32 +286,31 @@ def repeated_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     h, keys, ids = h[order], keys[order], ids[order]
     at = _firsts(h)
     later = ids > np.repeat(ids[at], np.diff(np.append(at, len(h))))
-    yield from _settled(keys[later], h[later])
+    yield from _settled(keys[later], h[later], groups)
 
 
-def cut_out(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Each document's kept words: (key, id, n_words, n_removed, kept)."""
-    z, hasher = zstandard.ZstdDecompressor(), Words()
-    for b in batches:
-        n_words, n_removed, kept = [], [], []
-        for packed, gone in zip(b.column("packed"), b.column("gone"), strict=True):
-            words = z.decompress(packed.as_py()).split()
-            n_words.append(len(words))
-            if gone.as_py():
-                starts = np.flatnonzero(np.isin(rolling(hasher(words), window), np.frombuffer(b"".join(gone.as_py()), np.uint64)))
-                edge = np.zeros(len(words) + 1, np.int64)
-                np.add.at(edge, starts, 1)
-                np.add.at(edge, starts + window, -1)
-                covered = np.cumsum(edge[:-1]) > 0
-                n_removed.append(int(covered.sum()))
-                words = [w for w, c in zip(words, covered, strict=True) if not c]
-            else:
-                n_removed.append(0)
-            kept.append(b" ".join(words))
-        yield pa.RecordBatch.from_arrays(
-            [b.column("key"), b.column("id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
-            names=["key", "id", "n_words", "n_removed", "kept"],
-        )
+RESULT = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
+
+
+def cut_out(docs: pa.Table, answers: pa.Table, window: int) -> pa.Table:
+    """Each document's kept words: (key, id, n_words, n_removed, kept); one group of documents."""
+    z, hasher, gone = zstandard.ZstdDecompressor(), Words(), _answers_of(answers.column("blob"))
+    n_words, n_removed, kept = [], [], []
+    for key, packed in zip(docs.column("key").to_pylist(), docs.column("packed"), strict=True):
+        words = z.decompress(packed.as_py()).split()
+        n_words.append(len(words))
+        n_removed.append(0)
+        if key in gone:
+            starts = np.flatnonzero(np.isin(rolling(hasher(words), window), gone[key]))
+            edge = np.zeros(len(words) + 1, np.int64)
+            np.add.at(edge, starts, 1)
+            np.add.at(edge, starts + window, -1)
+            covered = np.cumsum(edge[:-1]) > 0
+            n_removed[-1] = int(covered.sum())
+            words = [w for w, c in zip(words, covered.tolist(), strict=True) if not c]
+        kept.append(b" ".join(words).decode())
+    columns = [docs.column("key").combine_chunks(), docs.column("id").combine_chunks(), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())]
+    return pa.Table.from_arrays(columns, schema=RESULT)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13) -> DataFrame:
@@ -298,22 +318,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if window % 2 == 0:
         raise ValueError("window is 2 * block - 1, an odd number")
     block, parts = (window + 1) // 2, split_count(docs.sparkSession)
+    # documents meet their answers in groups, several to a task, so that a group is small
+    groups = 4 * parts
     source = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    dealt = source.mapInArrow(_compress, "key long NOT NULL, id long, packed binary").repartition(parts, "key")
+    source = source.select(F.pmod("key", F.lit(groups)).cast("int").alias("kb"), "key", "id", "text")
+    dealt = source.mapInArrow(_compress, "kb int NOT NULL, key long NOT NULL, id long, packed binary").repartition(parts, "kb")
 
-    probes = dealt.mapInArrow(lambda it: probe(it, block, window, parts), MESSAGE_DDL)
-    hits = _answers(probes, matched_blocks, parts, "hits")
-    windows = dealt.join(hits, "key").mapInArrow(lambda it: extend(it, block, window, parts), MESSAGE_DDL)
-    gone = _answers(windows, repeated_windows, parts, "gone")
-    return dealt.join(gone, "key", "left").mapInArrow(lambda it: cut_out(it, window), "key long, id long, n_words long, n_removed long, kept string")
+    def reduced(messages: DataFrame, step) -> DataFrame:
+        target = F.when(F.col("part") < 0, F.col("kb")).otherwise(F.col("part"))
+        return messages.repartition(parts, target).mapInArrow(lambda it: step(it, groups), MESSAGE_DDL)
 
+    def met(answers: DataFrame, step, schema: str) -> DataFrame:
+        return dealt.groupBy("kb").cogroup(answers.groupBy("kb")).applyInArrow(step, schema)
 
-def _answers(messages: DataFrame, reduce_, parts: int, name: str) -> DataFrame:
-    """Messages brought together by part, reduced, and gathered by document."""
-    # settled messages have no part of their own and are spread by key
-    target = F.when(F.col("part") < 0, F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")).otherwise(F.col("part"))
-    found = messages.repartition(parts, target).mapInArrow(reduce_, "part int, key long NOT NULL, blob binary")
-    return found.groupBy("key").agg(F.collect_list("blob").alias(name))
+    hits = reduced(dealt.mapInArrow(lambda it: probe(it, block, window, parts, groups), MESSAGE_DDL), matched_blocks)
+    windows = met(hits, lambda d, a: extend(d, a, block, window, parts, groups), MESSAGE_DDL)
+    gone = reduced(windows, repeated_windows)
+    return met(gone, lambda d, a: cut_out(d, a, window), "key long, id long, n_words long, n_removed long, kept string")
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
