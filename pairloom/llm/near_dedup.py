@@ -7,12 +7,19 @@ collection and half key j of the second, so 2 * m * rows minhashes serve m * m t
 for. Only half keys that two documents share can form a shared pair key; the others are
 dropped before keys are paired.
 
-A bucket is never expanded into pairs. First each member is verified against the
-bucket's smallest member (full sets, exact), and the links give components. Then buckets
-that still hold several components compare the members outside the largest one with
-members of other components, narrowed by exact bounds: set sizes, and the triangle
-inequality of the Jaccard distance through the bucket's representative. So a bucket of
-any size is done in full without a cap.
+A bucket is never expanded into pairs. In each of a few rounds every bucket that holds
+several components has a head (the first row, then by hash), against which its members
+of other components are verified (full sets, exact); what links is merged. A link that
+is then still missing joins two members x, y of one bucket of which x, say, is in another
+component than the bucket's smallest set b, so J(x, b) < t. As b is no larger than x and
+y, |x & y| >= t / (1 + t) * (|x| + |y|) > |x & b|: x and y share a shingle that b has
+not. So members of buckets that still hold several components are compared where they
+share such an added shingle, by prefix filtering: of x's added shingles, rarest first,
+all but as many as x needs to share, less one, are looked up. This is done in tiles: a
+head's members are cut into slices of about ``TILE`` shingles, and a task gets two slices
+at a time, as what they add to the head's set and miss of it, which is enough to count
+what two members share. Only links leave a tile. That finds every missing link, in a
+group of any size, without a cap; the rounds only make the last step small.
 
 Documents with equal sets are merged into a class before all this and expanded at the end.
 
@@ -31,12 +38,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, documents
 
 MASK = (1 << 64) - 1
+#: rounds of verification against a head per bucket before the exact last step
+ROUNDS = 2
+#: shingles of a slice of a head's members
+TILE = 200_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -119,11 +130,16 @@ def signatures(batches: Iterator[pa.RecordBatch], k: int, m: int, rows: int, see
         )
 
 
-def _verify(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
-    """Exact sizes of intersection and union for rows (a, b, text_a, text_b); rows sorted by b keep its set."""
+def _hashes(shingles: set) -> list[int]:
+    return [xxhash.xxh64_intdigest(b" ".join(g)) - (1 << 63) for g in shingles]
+
+
+def _verify(batches: Iterator[pd.DataFrame], k: int, with_sets: bool) -> Iterator[pd.DataFrame]:
+    """Exact sizes of intersection and union for rows (a, b, text_a, text_b), and hashes of
+    the shingles that only a or only b has; rows sorted by b keep its set."""
     last, kept = None, set()
     for pdf in batches:
-        inter, union = [], []
+        inter, union, added, missing = [], [], [], []
         for b, ta, tb in zip(pdf["b"], pdf["text_a"], pdf["text_b"], strict=True):
             if b != last:
                 last, kept = b, shingle_set(tb, k)
@@ -131,15 +147,17 @@ def _verify(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
             n = len(s & kept)
             inter.append(n)
             union.append(len(s) + len(kept) - n)
-        yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "inter": inter, "uni": union})
+            added.append(_hashes(s - kept) if with_sets else [])
+            missing.append(_hashes(kept - s) if with_sets else [])
+        yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "inter": inter, "uni": union, "added": added, "missing": missing})
 
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, k: int, with_sets: bool = False) -> DataFrame:
     """pairs (a, b) with exact inter and uni; texts: (row, text) of all rows named in pairs."""
     a = texts.select(F.col("row").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("row").alias("b"), F.col("text").alias("text_b"))
     both = pairs.select("a", "b").join(a, "a").join(b, "b").sortWithinPartitions("b")
-    return both.mapInPandas(lambda it: _verify(it, k), "a long, b long, inter long, uni long")
+    return both.mapInPandas(lambda it: _verify(it, k, with_sets), "a long, b long, inter long, uni long, added array<long>, missing array<long>")
 
 
 def components(links: DataFrame, tmp: Scratch, name: str) -> DataFrame:
@@ -149,13 +167,14 @@ def components(links: DataFrame, tmp: Scratch, name: str) -> DataFrame:
     the label's own label. Labels only fall, so it ends when no label changes. Each round
     is a written table; nothing is collected but the number of changes.
     """
-    edges = tmp.save(links.select("a", "b").union(links.select("b", "a")).distinct(), f"{name}-edges")
-    labels = tmp.save(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("row"), F.least("a", "m").alias("label")), f"{name}-0")
+    edges = links.select(F.col("a").alias("node"), F.col("b").alias("near"))
+    edges = tmp.save(edges.union(edges.select(F.col("near").alias("node"), F.col("node").alias("near"))).distinct(), f"{name}-edges")
+    labels = tmp.save(edges.groupBy("node").agg(F.min("near").alias("m")).select(F.col("node").alias("row"), F.least("node", "m").alias("label")), f"{name}-0")
     step = 0
     while True:
         step += 1
-        near = edges.join(labels.select(F.col("row").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("m"))
-        low = labels.join(near.withColumnRenamed("a", "row"), "row").select("row", F.col("label").alias("old"), F.least("label", "m").alias("label"))
+        near = edges.join(labels.select(F.col("row").alias("near"), "label"), "near").groupBy("node").agg(F.min("label").alias("m"))
+        low = labels.join(near.withColumnRenamed("node", "row"), "row").select("row", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         up = labels.select(F.col("row").alias("label"), F.col("label").alias("top"))
         new = low.join(up, "label", "left").select("row", "old", F.coalesce(F.least("label", "top"), "label").alias("label"))
         new = tmp.save(new, f"{name}-{step}")
@@ -166,6 +185,24 @@ def components(links: DataFrame, tmp: Scratch, name: str) -> DataFrame:
             return labels.withColumnRenamed("label", "component")
 
 
+def _against_heads(members: DataFrame, comp: DataFrame, head: Column) -> DataFrame:
+    """(a, b, comp, head_comp): members a of buckets of several components, with the bucket's head b."""
+    labels = comp.withColumnRenamed("row", "rep")
+    of = members.join(labels, "rep")
+    per = of.groupBy("key").agg(head.alias("h"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    heads = per.select("key", F.col("h.rep").alias("b")).join(labels.select(F.col("rep").alias("b"), F.col("component").alias("head_comp")), "b")
+    return of.join(heads, "key").where("rep <> b").select(F.col("rep").alias("a"), "b", F.col("component").alias("comp"), "head_comp")
+
+
+def _merged(comp: DataFrame, links: DataFrame, tmp: Scratch, name: str) -> DataFrame:
+    """Components after further links (a, b): found over the components as nodes."""
+    of = lambda side: comp.select(F.col("row").alias(side), F.col("component").alias(f"c{side}"))
+    edges = links.join(of("a"), "a").join(of("b"), "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    top = components(edges, tmp, f"merge-{name}").select(F.col("row").alias("component"), F.col("component").alias("top"))
+    out = comp.join(top, "component", "left").select("row", F.coalesce("top", "component").alias("component"))
+    return tmp.save(out, f"comp-{name}")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, rows: int = 3, miss: float = 1e-4, seed: int = 1) -> DataFrame:
     """One row per input row: id, n_shingles, component_id, kept, row, group_row.
 
@@ -186,38 +223,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         signed.where("set_key is not null").groupBy("set_key").agg(F.min("row").alias("rep"), F.min("id").alias("min_id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")),
         "classes",
     )
-    halves = classes.select("rep", F.posexplode("keys").alias("i", "key"))
+    halves = classes.select("rep", "n", F.posexplode("keys").alias("i", "key"))
     shared = halves.groupBy("i", "key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("i", "key")
     # a collection's half keys that nobody shares cannot be part of a shared pair key
-    halves = halves.join(shared, ["i", "key"], "left_semi").groupBy("rep").agg(
+    halves = halves.join(shared, ["i", "key"], "left_semi").groupBy("rep", "n").agg(
         F.collect_list(F.when(F.col("i") < m, F.struct("i", "key"))).alias("first"), F.collect_list(F.when(F.col("i") >= m, F.struct("i", "key"))).alias("second")
     )
-    tables = halves.select("rep", F.explode("first").alias("x"), "second").select("rep", "x", F.explode("second").alias("y"))
-    keyed = tmp.save(tables.select("rep", F.xxhash64("x.i", "x.key", "y.i", "y.key").alias("key")), "keyed")
-    heads = keyed.groupBy("key").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "head")
-    # a bucket's members all share its head, so buckets with one head are told apart only by who is in them
-    members = tmp.save(keyed.join(heads, "key").select("key", "rep", "head"), "members")
+    tables = halves.select("rep", "n", F.explode("first").alias("x"), "second").select("rep", "n", "x", F.explode("second").alias("y"))
+    keyed = tmp.save(tables.select("rep", "n", F.xxhash64("x.i", "x.key", "y.i", "y.key").alias("key")), "keyed")
+    several = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+    members = tmp.save(keyed.join(several, "key", "left_semi"), "members")
     tmp.drop("keyed")
 
     # texts of the classes that share a bucket; the others stay where they are
-    needed = members.select(F.col("rep").alias("row")).distinct()
-    texts = tmp.save(source.select("row", "text").join(needed, "row", "left_semi"), "texts")
-    sizes = classes.select("rep", "n")
+    texts = tmp.save(source.select("row", "text").join(members.select(F.col("rep").alias("row")).distinct(), "row", "left_semi"), "texts")
 
     def close(pairs: DataFrame) -> DataFrame:
-        return pairs.where(F.col("inter") * 10_000 >= F.col("uni") * percent)
-
-    stars = members.where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
-    stars = tmp.save(verified(stars, texts, shingle), "stars")
-    first = components(close(stars), tmp, "first")
-
-    more = _residual(members, stars, first, sizes, percent, tmp)
-    if more is None:
-        found = first
-    else:
-        rest = tmp.save(verified(more, texts, shingle), "rest")
-        extra = close(rest)
-        found = first if extra.isEmpty() else components(close(stars).select("a", "b").union(extra.select("a", "b")), tmp, "second")
+        return pairs.where(F.col("inter") * 10_000 >= F.col("uni") * percent).select("a", "b")
+
+    found = members.select(F.col("rep").alias("row"), F.col("rep").alias("component")).distinct()
+    for step in range(ROUNDS):
+        head = F.min(F.struct(F.lit(0) if not step else F.xxhash64("rep", F.lit(step)), "rep"))
+        pairs = tmp.save(_against_heads(members, found, head).where("comp <> head_comp").select("a", "b").distinct(), f"round-{step}")
+        links = close(verified(pairs, texts, shingle))
+        found = _merged(found, links, tmp, str(step))
+    groups = _against_heads(members, found, F.min(F.struct("n", "rep"))).select("a", "b").distinct()
+    stars = tmp.save(verified(tmp.save(groups, "open"), texts, shingle, True), "stars")
+    more = tmp.save(close(stars).union(close(verified(_missing(stars, found, percent / 10_000, tmp), texts, shingle))), "rest")
+    found = _merged(found, more, tmp, "last")
 
     labelled = classes.select("set_key", "rep", "min_id").join(found.withColumnRenamed("row", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     lowest = labelled.groupBy("component").agg(F.min("min_id").alias("component_id"))
@@ -227,29 +260,62 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"), "row", F.coalesce("component", "row").alias("group_row"))
 
 
-def _residual(members: DataFrame, stars: DataFrame, comp: DataFrame, sizes: DataFrame, percent: int, tmp: Scratch) -> DataFrame | None:
-    """Pairs (a, b) within a bucket and across components that exact bounds leave open."""
-    labels = comp.withColumnRenamed("row", "rep")
-    of = members.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    per = of.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
-    mixed = per.groupBy("key").agg(F.count(F.lit(1)).alias("n_comp"), F.max(F.struct("c", "component")).alias("big"), F.sum("c").alias("size")).where("n_comp > 1 and size > 2")
-    mixed = mixed.select("key", F.col("big.component").alias("big"))
-    # Jaccard distance to the head, known from the first round (0 for the head itself)
-    dist = stars.select(F.col("a").alias("rep"), F.col("b").alias("head"), (1 - F.col("inter") / F.col("uni")).alias("d"))
-    open_ = of.join(mixed, "key").join(dist, ["rep", "head"], "left").join(sizes, "rep")
-    open_ = tmp.save(open_.select("key", "rep", "head", "component", "big", F.coalesce("d", F.lit(0.0)).alias("d"), "n"), "open")
-    if open_.isEmpty():
-        return None
-    t = percent / 10_000
-    x = open_.where("component <> big and rep <> head").select("key", F.col("rep").alias("x"), F.col("component").alias("cx"), F.col("d").alias("dx"), F.col("n").alias("nx"))
-    y = open_.where("rep <> head").select("key", F.col("rep").alias("y"), F.col("component").alias("cy"), F.col("big").alias("cbig"), F.col("d").alias("dy"), F.col("n").alias("ny"))
-    fits = (
-        (F.col("cx") != F.col("cy")) & (F.least("nx", "ny") >= t * F.greatest("nx", "ny") - 1e-9) & (F.abs(F.col("dx") - F.col("dy")) <= 1 - t + 1e-9)
-        # a pair outside the largest component comes from both sides; take it once
-        & ((F.col("cy") == F.col("cbig")) | (F.col("x") < F.col("y")))
-    )
-    pairs = x.join(y, "key").where(fits)
-    return tmp.save(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
+def _missing(stars: DataFrame, comp: DataFrame, t: float, tmp: Scratch) -> DataFrame:
+    """Links (a, b) across components among the members of a head, by 64-bit hashes of shingles."""
+    label = lambda side: comp.select(F.col("row").alias(side), F.col("component").alias(f"c{side}"))
+    of = stars.join(label("a"), "a").join(label("b"), "b").withColumn("weight", F.size("added") + F.size("missing"))
+    slices = of.groupBy("b").agg(F.ceil(F.sum("weight") / TILE).cast("int").alias("slices"), F.max((F.col("ca") != F.col("cb"))).alias("mixed")).where("mixed")
+    of = of.join(slices.select("b", "slices"), "b").withColumn("own", F.pmod(F.xxhash64("a"), F.greatest("slices", F.lit(1))).cast("int"))
+    of = of.withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest("slices", F.lit(1)) - 1)))
+    tiles = of.select("b", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "a", "inter", "uni", "added", "missing", "ca", (F.col("ca") != F.col("cb")).alias("outside"))
+    links = tiles.groupBy("b", "lo", "hi").applyInPandas(lambda pdf: _tile(pdf, t), "a long, b long")
+    return tmp.save(links.distinct(), "links")
+
+
+def _tile(pdf: pd.DataFrame, t: float) -> pd.DataFrame:
+    """Links between the two slices of a tile (or within its one slice)."""
+    cross = pdf["lo"].iat[0] != pdf["hi"].iat[0]
+    rows, comp, own, outside = (pdf[c].to_numpy() for c in ("a", "ca", "own", "outside"))
+    inter, uni = pdf["inter"].to_numpy(), pdf["uni"].to_numpy()
+    added = [np.asarray(x, np.int64) for x in pdf["added"]]
+    size = inter + np.array([len(x) for x in added])
+    head = int(uni[0] - len(added[0]))
+    values, where, counts = np.unique(np.concatenate(added), return_inverse=True, return_counts=True)
+    # rarest first, the same order for all members of the tile
+    place = np.empty(len(values), np.int64)
+    place[np.argsort(counts, kind="stable")] = np.arange(len(values))
+    cuts = np.cumsum([0, *map(len, added)])
+    need = np.maximum(1, np.ceil(t / (1 + t) * (size + head) - 1e-9).astype(np.int64) - inter)
+    posting: dict[int, list[int]] = {}
+    prefixes = []
+    for i in range(len(rows)):
+        g = where[cuts[i] : cuts[i + 1]]
+        if outside[i]:
+            g = g[np.argsort(place[g])][: max(0, len(g) - need[i] + 1)]
+        prefixes.append(g[counts[g] > 1].tolist())
+        for x in prefixes[-1]:
+            posting.setdefault(x, []).append(i)
+    sets: dict[int, tuple[frozenset, frozenset]] = {}
+    missing = pdf["missing"].to_numpy()
+
+    def parts(i: int) -> tuple[frozenset, frozenset]:
+        if i not in sets:
+            sets[i] = frozenset(where[cuts[i] : cuts[i + 1]].tolist()), frozenset(missing[i].tolist())
+        return sets[i]
+
+    out = []
+    for i in np.flatnonzero(outside).tolist():
+        for j in set().union(*(posting[x] for x in prefixes[i])):
+            if comp[i] == comp[j] or (cross and own[i] == own[j]) or (outside[j] and j < i):
+                continue
+            small, large = sorted((int(size[i]), int(size[j])))
+            if small < t * large - 1e-9:
+                continue
+            (ai, mi), (aj, mj) = parts(i), parts(j)
+            both = head - len(mi | mj) + len(ai & aj)
+            if both >= t * (small + large - both) - 1e-9:
+                out.append((int(rows[i]), int(rows[j])))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
