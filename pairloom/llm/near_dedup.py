@@ -113,7 +113,7 @@ def signatures(batches: Iterator[pa.RecordBatch], k: int, m: int, rows: int, see
             sizes.append(len(s))
             if not len(s):
                 set_keys.append(None)
-                keys.append([])
+                keys.append(np.zeros(0, np.int64))
                 continue
             set_keys.append(xxhash.xxh128_digest(s.tobytes()))
             low = np.array([_mix(s ^ salt).min() for salt in salts]) if len(s) > 4096 else _mix(s[None, :] ^ salts[:, None]).min(1)
@@ -122,7 +122,7 @@ def signatures(batches: Iterator[pa.RecordBatch], k: int, m: int, rows: int, see
             for r in range(rows):
                 key = _mix(key * np.uint64(5) + half[:, r])
             keys.append(key.view(np.int64))
-        flat = np.concatenate(keys).astype(np.int64) if keys else np.zeros(0, np.int64)
+        flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
             [batch.column("id"), batch.column("row"), pa.array(sizes, pa.int64()), pa.array(set_keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))],
