@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_id, near_dedup, packing, secret_scan, substring_dedup, token_files, url_filter
+from . import decontaminate, exact_dedup, language_id, near_dedup, packing, secret_scan, substring_dedup, token_files, url_filter, warc_fixity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_secret_scan": secret_scan.op2_secret_scan,
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op4_warc_fixity": warc_fixity.op4_warc_fixity,
     "op5_packing": packing.op5_packing,
     "op6_language_id": language_id.op6_language_id,
     "op7_token_files": token_files.op7_token_files,
