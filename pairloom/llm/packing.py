@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
-from .tokens import Encoder
+from .tokens import encoder
 
 LOOK = 8
 SCHEMA = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -74,7 +74,7 @@ def pack_cell(lengths: list[int], capacity: int, linear: float = 1.0, quadratic:
 
 
 def _cells(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: int, cell_tokens: int, linear: float, quadratic: float) -> Iterator[pa.RecordBatch]:
-    encoder = Encoder(path, spaces=False)
+    encode = encoder(path, spaces=False)
     context = TaskContext.get()
     sequence = (context.partitionId() if context else 0) << 33
     end = np.array([end_id], "<u4").tobytes()
@@ -91,9 +91,9 @@ def _cells(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity:
 
     for b in batches:
         texts = b.column("text")
-        for at in range(0, len(b), 256):
-            group = [t or "" for t in texts[at : at + 256].to_pylist()]
-            for id_, t in zip(b.column("id")[at : at + 256].to_pylist(), encoder(group), strict=True):
+        for at in range(0, len(b), 4096):
+            group = [t or "" for t in texts[at : at + 4096].to_pylist()]
+            for id_, t in zip(b.column("id")[at : at + 4096].to_pylist(), encode(group), strict=True):
                 ids.append(id_)
                 tokens.append(t + end)
                 held += len(tokens[-1]) // 4

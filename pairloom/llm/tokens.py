@@ -3,65 +3,177 @@
 A text is cut where the tokenizer's own splitting always cuts, so that each piece can be
 encoded alone and remembered: for byte-level vocabularies before a single space that
 stands between two characters that are not white space (the space belongs to the piece
-that follows), for vocabularies that drop white space at each space. Whole texts get
-the ids that the library gives them in one call.
+that follows), for vocabularies that drop white space and case at each space. Words of plain
+letters, apart from the stops and line ends that may follow, go to the library's model
+many at once without its costly normalizing and splitting, which leave them as they are;
+other pieces go through the whole pipeline. Whole texts get the ids that
+the library gives them in one call.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from functools import lru_cache
+from itertools import chain, compress, filterfalse
 
 import numpy as np
 
 CUT = re.compile(r"(?<=\S) (?=\S)")
-#: characters one of which, alone between spaces, is a single id in a vocabulary
-MARKS = "\u00a7\u00a9\u2022\u20ac\u00b0|#"
+#: marks that end a word and form one part of their own with both vocabularies
+STOPS = ".,;:!?"
+#: stands for a line end between two characters that are not white space: a cut before and after
+LINE = "\0"
+#: how byte-level vocabularies write a space
+SPACE = "\u0120"
+SAMPLE = "Ab cd, ef.\nGh aéüñ XyZ: qu? Thathe!\nof theß. Éa ü, antandi"
+
+
+def byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write bytes with: printable ones stand for
+    themselves, the others follow from 256 in order."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = (b for b in range(256) if b not in printable)
+    return {b: chr(b) for b in printable} | {b: chr(256 + n) for n, b in enumerate(others)}
+
+
+class Memory:
+    """A dict ``now`` of about ``keep`` entries and the ones that came before it; ``recall``
+    brings entries still in use over, so that only unused ones are forgotten."""
+
+    def __init__(self, keep: int):
+        self.keep, self.now, self.before = keep, {}, {}
+
+    def rotate(self) -> None:
+        if len(self.now) > self.keep:
+            self.now, self.before = {}, self.now
+
+    def recall(self, keys: set) -> list:
+        """Makes known keys present; the others are returned."""
+        # a plain dict, as set.difference is fast for that type alone
+        new = keys.difference(self.now)
+        if not self.before:
+            return list(new)
+        before = self.before
+        known = [k for k in new if k in before]
+        self.now.update(zip(known, map(before.__getitem__, known), strict=True))
+        return list(new.difference(known))
 
 
 class Encoder:
-    """Ids as little-endian unsigned 32-bit bytes. ``keep`` bounds the remembered pieces."""
+    """Ids as little-endian unsigned 32-bit bytes. ``keep`` bounds the remembered pieces and words (twice that at most)."""
 
-    def __init__(self, path: str, spaces: bool, keep: int = 500_000, group_chars: int = 2_000_000):
+    def __init__(self, path: str, spaces: bool, keep: int = 300_000, group_chars: int = 12_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model_only = Tokenizer(self.tokenizer.model)
+        self.model_only.pre_tokenizer = CharDelimiterSplit(" ")
+        vocabulary = self.tokenizer.get_vocab()
+        #: ids that begin (byte-level) or end a word
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.edge[[i for token, i in vocabulary.items() if (token.startswith(SPACE) if spaces else token.endswith("</w>"))]] = True
         self.spaces, self.keep, self.group_chars = spaces, keep, group_chars
         #: piece with its leading space (if ``spaces``) to ids; None: the piece can't stand alone
-        self.inner: dict[str, bytes | None] = {}
+        self.inner: Memory = Memory(keep)
         self.first: dict[str, bytes] = {}
-
-        self.mark, self.mark_id = next(((c, ids[0]) for c in MARKS if len(ids := self.tokenizer.encode(" " + c, add_special_tokens=False).ids) == 1), ("", 0))
+        self.words = Memory(keep)
+        self.tails: dict[str, bytes] = {"": b""}
+        #: words that no space precedes
+        self.bare: dict[str, bytes] = {}
+        self.letters = byte_letters()
+        self.simple = True
+        self.simple = self([SAMPLE]) == self._encode([SAMPLE])
+        self.inner = Memory(keep)
+        self.first.clear()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_pieces(self, pieces: list[str], run: int = 200) -> list[bytes]:
-        """Ids of pieces that follow a space each: many to a call, with a marked piece between two."""
-        out: dict[str, bytes] = {}
-        plain = [p for p in pieces if self.mark not in p] if self.mark else []
-        runs = [plain[i : i + run] for i in range(0, len(plain), run)]
-        between = f" {self.mark} "
-        for group, e in zip(runs, self.tokenizer.encode_batch_fast([" " + between.join(g) for g in runs], add_special_tokens=False), strict=True):
+    def _learn_words(self, words: set[str], run: int = 1000) -> None:
+        """Ids of words of letters (that follow a space each), many to a call."""
+        new = self.words.recall(words)
+        lead, letters = SPACE if self.spaces else "", self.letters
+        written = [lead + (w if w.isascii() else w.encode().decode("latin-1").translate(letters)) for w in new]
+        runs = [" ".join(written[i : i + run]) for i in range(0, len(new), run)]
+        for k, e in enumerate(self.model_only.encode_batch_fast(runs, add_special_tokens=False)):
+            group = new[k * run : (k + 1) * run]
             ids = np.array(e.ids, "<u4")
-            ends = np.flatnonzero(ids == self.mark_id) * 4
-            if len(ends) == len(group) - 1:
-                raw = ids.tobytes()
-                out.update(zip(group, (raw[a:z] for a, z in zip([0, *(ends + 4).tolist()], [*ends.tolist(), len(raw)], strict=True)), strict=True))
-        rest = [p for p in pieces if p not in out]
-        out.update(zip(rest, self._encode([" " + p for p in rest]), strict=True))
-        return [out[p] for p in pieces]
-
-    def _learn(self, pieces: set[str]) -> None:
-        new = list(pieces.difference(self.inner))
+            at = np.flatnonzero(self.edge[ids])
+            ends = ([*at[1:].tolist(), len(ids)] if self.spaces else (at + 1).tolist())
+            raw = ids.tobytes()
+            self.words.now.update(zip(group, [raw[4 * a : 4 * z] for a, z in zip([0, *ends], ends, strict=False)], strict=True))
+
+    def _tail(self, tail: str) -> bytes:
+        """Ids of what follows a word without a space: stops, or a line end and a word."""
+        if tail not in self.tails:
+            if len(self.tails) > self.keep:
+                self.tails = {"": b""}
+            self.tails[tail] = self._encode([tail])[0]
+        return self.tails[tail]
+
+    def _plain(self, pieces: list[str]) -> list[str]:
+        """Learns the pieces of one word and stops; the others are returned."""
+        if not self.simple:
+            return pieces
+        cores = [p.rstrip(STOPS) for p in pieces]
+        try:
+            "".join(cores).encode("latin-1")
+            fits = [c.isalpha() for c in cores]
+        except UnicodeEncodeError:
+            fits = [c.isalpha() and (c.isascii() or max(c) < "\u0100") for c in cores]
+        rest = [p for p, f in zip(pieces, fits, strict=True) if not f]
+        plain, cores = list(compress(pieces, fits)), list(compress(cores, fits))
+        roots = cores if self.spaces else [c.lower() for c in cores]
+        self._learn_words(set(roots))
+        words, tail = self.words.now, self._tail
+        self.inner.now.update({p: words[r] if len(p) == len(c) else words[r] + tail(p[len(c) :]) for p, c, r in zip(plain, cores, roots, strict=True)})
+        return rest
+
+    def _after_lines(self, pieces: list[str]) -> list[str]:
+        """Learns the pieces LINE + word + stops; the others are returned."""
+        if not self.simple:
+            return pieces
+        fits = [p[0] == LINE and p[1:].rstrip(STOPS).isalpha() and (p.isascii() or max(p) < "\u0100") for p in pieces]
+        model, letters, end = self.tokenizer.model, self.letters, self._tail("\n")
+        for p in compress(pieces, fits):
+            core = p[1:].rstrip(STOPS)
+            if core not in self.bare:
+                got = model.tokenize(core if core.isascii() else core.encode().decode("latin-1").translate(letters))
+                self.bare[core] = np.array([t.id for t in got], "<u4").tobytes()
+            self.inner.now[p] = end + self.bare[core] + self._tail(p[1 + len(core) :])
+        return [p for p, f in zip(pieces, fits, strict=True) if not f]
+
+    @staticmethod
+    def _plainer(text: str) -> str:
+        """Fewer different pieces, same ids, for a vocabulary that drops white space and case.
+
+        Only texts without combining marks (here: Latin-1) may be lower-cased beforehand.
+        """
+        try:
+            text = text.encode("latin-1").lower().decode("latin-1")
+        except UnicodeEncodeError:
+            pass
+        return text.replace("\n", " ").replace("\t", " ")
+
+    def _learn(self, split: list[list[str]]) -> None:
+        """Makes all pieces present; the few that are not are sought without a set of all."""
+        missing = set(filterfalse(self.inner.now.__contains__, chain.from_iterable(split)))
+        rest = self._plain(self.inner.recall(missing))
+        lead = ""
         if self.spaces:
-            alone = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
-            self.inner.update(dict.fromkeys(new))
-            self.inner.update(zip(alone, self._encode_pieces(alone), strict=True))
-        else:
-            self.inner.update(zip(new, self._encode_pieces(new), strict=True))
+            lead = " "
+            alone = [p for p in rest if p and p != LINE and not p[0].isspace() and not p[-1].isspace()]
+            self.inner.now.update(dict.fromkeys(rest))
+            rest = self._after_lines(alone)
+            after = [p for p in rest if p[0] == LINE]
+            if after:
+                rest = [p for p in rest if p[0] != LINE]
+                self.inner.now.update(zip(after, self._encode(["\n" + p[1:] for p in after]), strict=True))
+        self.inner.now.update(zip(rest, self._encode([lead + p for p in rest]), strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out, group, size = [], [], 0
@@ -74,31 +186,50 @@ class Encoder:
         return out + self._group(group)
 
     def _group(self, texts: list[str]) -> list[bytes]:
-        if len(self.inner) > self.keep:
-            self.inner.clear()
-            self.first.clear()
-        split = [t.split(" ") for t in texts]
+        for held in (self.first, self.bare):
+            if len(held) > self.keep:
+                held.clear()
+        self.inner.rotate()
+        self.words.rotate()
+        split = [t.replace("\n", " " + LINE).split(" ") for t in texts] if self.spaces else [self._plainer(t).split(" ") for t in texts]
         if not self.spaces:
-            self._learn(set().union(*split))
-            return [b"".join(map(self.inner.__getitem__, p)) for p in split]
-        pieces = set().union(*(p[1:] for p in split))
-        self._learn(pieces)
-        bad = {p for p in pieces if self.inner[p] is None}
-        again = []
-        for i, p in enumerate(split):
-            # white space at a cut: cut only where both neighbours are no white space
-            if not p[0] or p[0][-1].isspace() or bad and not bad.isdisjoint(p[1:]):
-                split[i] = CUT.split(texts[i])
+            self._learn(split)
+            return [b"".join(map(self.inner.now.__getitem__, p)) for p in split]
+        heads = [p.pop(0) for p in split]
+        self._learn(split)
+        self._learn_heads(heads)
+        out, again = [], []
+        for i, (head, p) in enumerate(zip(heads, split, strict=True)):
+            try:
+                # a null piece, or a head that ends in white space, is no place to cut
+                if p and not head[-1:].strip() or LINE in texts[i]:
+                    raise TypeError
+                out.append(self.first[head] + b"".join(map(self.inner.now.__getitem__, p)))
+            except TypeError:
+                out.append(b"")
                 again.append(i)
-        ends: list[tuple[int, str]] = []
-        for i in again:
-            tail = split[i][1:]
-            if tail and tail[-1][-1].isspace():
-                ends.append((i, " " + split[i].pop()))
-        self._learn(set().union(*(split[i][1:] for i in again)))
-        heads = list({p[0] for p in split}.difference(self.first))
-        self.first.update(zip(heads, self._encode(heads), strict=True))
-        out = [self.first[p[0]] + b"".join(map(self.inner.__getitem__, p[1:])) for p in split]
-        for (i, _), ids in zip(ends, self._encode([e for _, e in ends]), strict=True):
-            out[i] += ids
+        whole = [i for i in again if LINE in texts[i]]
+        rest = [i for i in again if LINE not in texts[i]]
+        for some, encode in ((whole, self._encode), (rest, self._carefully)):
+            for i, ids in zip(some, encode([texts[i] for i in some]), strict=True):
+                out[i] = ids
         return out
+
+    def _learn_heads(self, heads: list[str]) -> None:
+        new = list(set(heads).difference(self.first))
+        self.first.update(zip(new, self._encode(new), strict=True))
+
+    def _carefully(self, texts: list[str]) -> list[bytes]:
+        """Cuts only at single spaces with no white space on either side; a last piece may end in some."""
+        split = [CUT.split(t) for t in texts]
+        heads = [p.pop(0) for p in split]
+        ends = [" " + p.pop() if p and p[-1][-1].isspace() else "" for p in split]
+        self._learn(split)
+        self._learn_heads(heads)
+        return [self.first[h] + b"".join(map(self.inner.now.__getitem__, p)) + e for h, p, e in zip(heads, split, self._encode(ends), strict=True)]
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, spaces: bool) -> Encoder:
+    """The encoder of this worker process, kept from task to task."""
+    return Encoder(path, spaces)
