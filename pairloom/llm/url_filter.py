@@ -3,7 +3,8 @@
 Features are SQL expressions over the url alone (lengths, depth, digit ratio, entropy,
 parameter count, dashes, host labels, suffix statistics). Trees are fitted on labelled
 urls: their features, cut into quantile bins, go to the driver for at most
-``sample_rows`` rows (a documented bound; rows are taken by hash), suffix statistics are
+about ``sample_rows`` rows (a documented bound, twice that at most; rows are taken by hash
+of their position), suffix statistics are
 counted over all labelled rows in ``SUFFIX_BUCKETS`` buckets. The model comes back as one
 CASE expression per tree, so scoring is a projection inside whole-stage codegen.
 
@@ -72,13 +73,13 @@ def bucket(host: Column, labels: int) -> Column:
     return F.pmod(F.xxhash64(F.substring_index(host, ".", -labels)), F.lit(SUFFIX_BUCKETS)).cast("int")
 
 
-def rates(labelled: DataFrame, labels: int) -> list[float]:
-    """Smoothed share of blocked urls by suffix bucket: SUFFIX_BUCKETS numbers."""
+def rates(labelled: DataFrame, labels: int) -> tuple[list[float], int]:
+    """Smoothed share of blocked urls by suffix bucket (SUFFIX_BUCKETS numbers), and the number of urls."""
     got = labelled.groupBy(bucket(F.col("__host"), labels).alias("b")).agg(F.sum("y").alias("s"), F.count(F.lit(1)).alias("n")).collect()
     out = [0.5] * SUFFIX_BUCKETS
     for b, s, n in got:
         out[b] = (s + 1.0) / (n + 2.0)
-    return out
+    return out, sum(n for _, _, n in got)
 
 
 def features(url: Column, host: Column, path: Column, suffix: list[float], domain: list[float]) -> list[Column]:
@@ -155,10 +156,11 @@ def classify(pages: DataFrame, labelled: DataFrame, id_col: str = "page_id", url
         return df.withColumns({"__host": host, "__path": path})
 
     known = prepared(labelled.select(F.col("url").alias("__u"), F.col("y").cast("double").alias("y")).where("y is not null"))
-    suffix, domain = rates(known, 1), rates(known, 2)
+    (suffix, total), (domain, _) = rates(known, 1), rates(known, 2)
     columns = features(F.col("__u"), F.col("__host"), F.col("__path"), suffix, domain)
-    sample = known.orderBy(F.xxhash64("__u"), "__u", "y").limit(sample_rows).select("y", *columns).collect()
-    table = np.array([tuple(r) for r in sample], dtype=float).reshape(len(sample), len(FEATURES) + 1)
+    draw = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit("url sample")), F.lit(1 << 30)).cast("double") / (1 << 30)
+    sample = known.where(draw < sample_rows / max(1, total)).limit(2 * sample_rows).select("y", *columns).collect()
+    table = np.array(sorted(tuple(r) for r in sample), dtype=float).reshape(len(sample), len(FEATURES) + 1)
     y = table[:, 0]
     rows = prepared(pages.select(F.col(id_col).alias("__id"), F.col(url_col).alias("__u"))).select("__id", "__host", "__path", *columns)
     if len(y) and 0 < y.mean() < 1:
