@@ -24,7 +24,6 @@ than id and text are neither read nor returned. ``docs`` is read once, so any pl
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
