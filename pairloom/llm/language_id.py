@@ -90,7 +90,7 @@ class Model:
         return p / p.sum(1, keepdims=True), (two[:, 1] - two[:, 0]) if loss.shape[1] > 1 else np.full(len(x), np.inf)
 
 
-def fit(x: np.ndarray, y: np.ndarray, langs: list[str], steps: int = 250, ridge: float = 1e-4) -> Model:
+def fit(x: np.ndarray, y: np.ndarray, langs: list[str], steps: int = 100, ridge: float = 1e-4) -> Model:
     """Logistic regressions for all bits at once, by accelerated gradient descent; languages weigh alike."""
     code = codewords(len(langs))
     target = code[y].astype(np.float32)
