@@ -38,7 +38,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, documents
@@ -76,7 +76,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Hasher:
     """64-bit hashes of words, remembered for the words of this task (at most ``keep``)."""
 
-    def __init__(self, keep: int = 400_000):
+    def __init__(self, keep: int = 200_000):
         self.seen: dict[bytes, int] = {}
         self.keep = keep
 
@@ -130,15 +130,15 @@ def signatures(batches: Iterator[pa.RecordBatch], k: int, m: int, rows: int, see
         )
 
 
-def _hashes(shingles: set) -> list[int]:
-    return [xxhash.xxh64_intdigest(b" ".join(g)) - (1 << 63) for g in shingles]
+def _hashes(shingles: set) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(b" ".join(g)) - (1 << 63) for g in shingles), np.int64, len(shingles))
 
 
 def _verify(batches: Iterator[pd.DataFrame], k: int, with_sets: bool) -> Iterator[pd.DataFrame]:
     """Exact sizes of intersection and union for rows (a, b, text_a, text_b), and hashes of
     the shingles that only a or only b has; rows sorted by b keep its set."""
-    last, kept = None, set()
-    for pdf in batches:
+    last, kept, none = None, set(), np.zeros(0, np.int64)
+    for pdf in (batch.iloc[at : at + 500] for batch in batches for at in range(0, len(batch), 500)):
         inter, union, added, missing = [], [], [], []
         for b, ta, tb in zip(pdf["b"], pdf["text_a"], pdf["text_b"], strict=True):
             if b != last:
@@ -147,8 +147,8 @@ def _verify(batches: Iterator[pd.DataFrame], k: int, with_sets: bool) -> Iterato
             n = len(s & kept)
             inter.append(n)
             union.append(len(s) + len(kept) - n)
-            added.append(_hashes(s - kept) if with_sets else [])
-            missing.append(_hashes(kept - s) if with_sets else [])
+            added.append(_hashes(s - kept) if with_sets else none)
+            missing.append(_hashes(kept - s) if with_sets else none)
         yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "inter": inter, "uni": union, "added": added, "missing": missing})
 
 
