@@ -183,7 +183,7 @@ def run_hash(words: np.ndarray, q: int) -> np.ndarray:
 
 
 class Matcher:
-    def __init__(self, block: Block, keep: int = 400_000):
+    def __init__(self, block: Block, keep: int = 200_000):
         self.block, self.keep = block, keep
         self.numbers: dict[str, int] = {}
         self.sorted = {q: np.array(sorted(v), np.uint64) for q, v in block.seeds.items()}

@@ -13,29 +13,14 @@ columns other than id and text are neither read nor returned.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_lower, documents, split_count
+from .common import Scratch, ascii_lower, documents, settings, split_count
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-@contextmanager
-def _session(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
-    before = {k: spark.conf.get(k, None) for k in settings}
-    for k, v in settings.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v) if v else spark.conf.unset(k)
-
-
 def state_settings(spark: SparkSession, partitions: int | None = None) -> dict[str, str]:
     """RocksDB stores, fewer than shuffle partitions: each reserves 4 MB of disk however
     little it holds, and a digest's entry is a hundredth of its document."""
@@ -76,7 +61,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
     feed = tmp.save(feed, "feed")
 
-    with _session(spark, state_settings(spark, state_partitions)):
+    with settings(spark, state_settings(spark, state_partitions)):
         stream = spark.readStream.schema(feed.schema).option("maxBytesPerTrigger", str(batch_bytes)).parquet(tmp.path("feed"))
         query = (
             keyed_state(stream).writeStream.outputMode("update").format("noop").trigger(availableNow=True)

@@ -37,14 +37,14 @@ from .common import documents, split_count
 
 LAST = np.iinfo(np.int64).max
 #: words handled at once within a task
-BATCH_WORDS = 500_000
+BATCH_WORDS = 300_000
 U = np.uint64
 
 
 class Words:
     """64-bit word hashes, remembered for at most ``keep`` words of this task."""
 
-    def __init__(self, keep: int = 250_000):
+    def __init__(self, keep: int = 150_000):
         self.seen: dict[bytes, int] = {}
         self.keep = keep
 
