@@ -292,7 +292,7 @@ def pooling(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("embedding", i * 8 + 1, 8))
     mask = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: (i <= 3 + F.col("label") % 5).cast("int"))
     e = table(spark, sf_dir, "embeddings").select("vec_id", v.alias("h"), mask.alias("m"))
-    return e.select("vec_id", *[F.round(F.element_at(pool(F.col("h"), F.col("m"), s), 1), 6).alias(s) for s in ("last", "end", "mean", "weighted")])
+    return e.select("vec_id", *[F.round(F.element_at(pool(F.col("h"), F.col("m"), s), 1).cast("double"), 6).alias(s) for s in ("last", "end", "mean", "weighted")])
 
 
 def hashed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -369,16 +369,16 @@ ORACLE_SQL = {
     "merge_first_match_many": """SELECT p_partkey AS key, p_name, ord, l_suppkey FROM part JOIN (SELECT l_partkey, l_orderkey * 8 + l_linenumber AS ord, l_suppkey FROM lineitem
  QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey * 8 + l_linenumber) = 1) ON l_partkey = p_partkey""",
     "common_keys": "SELECT p_partkey AS key FROM part INTERSECT SELECT l_partkey FROM lineitem",
-    "interleave_groups": """SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS new_group_id, dense_rank() OVER (ORDER BY source) - 1 AS original_group_rank,
+    "interleave_groups": """SELECT doc_id, source, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1)::INT AS new_group_id, dense_rank() OVER (ORDER BY source) - 1 AS original_group_rank,
  md5('42|' || doc_id) AS shuffle_key FROM documents WHERE source IS NOT NULL""",
-    "interleaved_order": """WITH g AS (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS new_group_id FROM orders WHERE o_custkey IS NOT NULL)
+    "interleaved_order": """WITH g AS (SELECT o_orderkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INT AS new_group_id FROM orders WHERE o_custkey IS NOT NULL)
 SELECT o_orderkey, new_group_id, row_number() OVER (ORDER BY new_group_id, md5('42|' || o_orderkey), o_orderkey) - 1 AS position FROM g""",
     "largest_group": "SELECT max(c) AS max_group_size, count(*) AS n_groups FROM (SELECT count(*) AS c FROM orders WHERE o_custkey IS NOT NULL GROUP BY o_custkey)",
     "split_preserve_order": """WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS ordinal, count(*) OVER () AS n FROM documents)
 SELECT doc_id, ordinal, CASE WHEN ordinal < floor(n * 0.7::DOUBLE) THEN 'train' WHEN ordinal < floor(n * 0.7::DOUBLE) + floor(n * 0.2::DOUBLE) THEN 'eval' ELSE 'test' END AS split FROM o""",
     "split_by_group": _GROUPS + "SELECT o_orderkey, split FROM orders JOIN s ON g = o_custkey",
     "split_stats": _GROUPS + "SELECT split, count(*) AS n_rows, count(DISTINCT o_custkey) AS n_groups FROM orders JOIN s ON g = o_custkey GROUP BY split",
-    "verify_split": "SELECT count(*) AS n_before, count(*) AS n_after, true AS contiguous, 0 AS n_lost, 0 AS n_made FROM documents",
+    "verify_split": "SELECT count(*) AS n_before, count(*) AS n_after, true AS contiguous, 0::BIGINT AS n_lost, 0::BIGINT AS n_made FROM documents",
     "negative_pairs": _NEGATIVES + "SELECT id, partner, attempt::INT AS attempt FROM neg",
     "labelled_pairs": _NEGATIVES + """, p AS (SELECT doc_id AS id, 1 AS label, 0 AS way, doc_id::VARCHAR AS src FROM documents
  UNION ALL SELECT id, 0, 1, partner::VARCHAR FROM neg UNION ALL SELECT id, 0, 2, id::VARCHAR FROM neg)
@@ -421,8 +421,8 @@ SELECT page_id, CASE WHEN d = 'src' THEN 'O0' ELSE substr(d, 2) END AS level, 'O
     "prompt_format": """WITH t AS (SELECT *, 'Analyze the following ' AS a, ' code and understand its semantic meaning:' || chr(10) || '```' AS b, chr(10) || '```' || chr(10) || 'Semantic representation:' AS z FROM benchmark)
 SELECT item_id, md5(a || 'assembly' || b || 'asm' || chr(10) || text || z) AS asm_md5, md5(a || 'source' || b || 'c' || chr(10) || text || z) AS c_md5, replace(substr(text, 1, 50), chr(10), ' ') AS preview,
  md5(item_id || chr(10) || text) AS named_md5 FROM t""",
-    "rag_context": """SELECT conv_id, md5(string_agg('[SOURCE:' || CASE WHEN turn % 2 = 0 THEN conv_id || '-' || turn ELSE 'doc_' || at END || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY turn)) AS context_md5, count(*)::INT AS n_docs
-FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS at FROM conversations WHERE turn < 5) GROUP BY conv_id""",
+    "rag_context": """SELECT conv_id, md5(string_agg('[SOURCE:' || CASE WHEN turn % 2 = 0 THEN conv_id || '-' || turn ELSE 'doc_' || nth END || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY turn)) AS context_md5, count(*)::INT AS n_docs
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS nth FROM conversations WHERE turn < 5) GROUP BY conv_id""",
     "rag_answers": "SELECT item_id AS question_id, 'f' AS function_code, 'e' AS explanation, 4 AS judge_score, '' AS judge_reason, true AS judge_is_grounded FROM benchmark WHERE item_id % 4 = 0",
     "json_field_flatten": "SELECT event_id, (props->>'$.k')::INT AS k FROM events",
     "function_numbers": "SELECT item_id, i::INT AS function_id, length(parts[i])::INT AS n_chars FROM (SELECT item_id, string_split(text, '. ') AS parts FROM benchmark), unnest(range(1, len(parts) + 1)) AS t(i)",
@@ -433,7 +433,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS at
     "sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, count(*) AS n_events FROM s GROUP BY user_id, s""",
-    "schedules": """SELECT e AS epoch, round((e + 1) / 20.0::DOUBLE, 6) AS linear, round(sqrt((e + 1) / 20.0::DOUBLE), 6) AS sqrt, least(1.0, (e // 3 + 1) * 0.25) AS step, 1.0 AS "all",
+    "schedules": """SELECT e AS epoch, round((e + 1) / 20.0::DOUBLE, 6) AS linear, round(sqrt((e + 1) / 20.0::DOUBLE), 6) AS sqrt, least(1.0, (e // 3 + 1) * 0.25)::DOUBLE AS step, 1.0::DOUBLE AS "all",
  round(greatest(0.02, 0.05 * (1 - e / 20.0::DOUBLE)), 6) AS temperature FROM (SELECT unnest(range(20)) AS e)""",
     "learning_rates": """SELECT s AS step, round(CASE WHEN s < 20 THEN 20.0::DOUBLE * s / 20 ELSE greatest(0, 10.0::DOUBLE * (1 + cos(pi() * (s - 20) / 180))) END, 6) AS lr_millionths FROM (SELECT unnest(range(200)) AS s)""",
     "adapter_targets": """SELECT layer, module, 'model.layers.' || layer || '.' || CASE WHEN module IN ('gate_proj', 'up_proj', 'down_proj') THEN 'mlp' ELSE 'self_attn' END || '.' || module AS name
