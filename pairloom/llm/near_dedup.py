@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents
+from .common import Scratch, documents, settings
 
 MASK = (1 << 64) - 1
 #: rounds of verification against a head per bucket before the exact last step
@@ -210,8 +210,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     position in the input, which is read twice and so must be a scan or a written table;
     ``group_row`` is the same for all rows of a component and never null.
     """
-    spark = docs.sparkSession
-    tmp = Scratch(spark, "near-dedup")
+    # whole texts travel in pairs: a batch holds few of them
+    with settings(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}):
+        return _classed(docs, id_col, text_col, shingle, threshold, rows, miss, seed)
+
+
+def _classed(docs: DataFrame, id_col: str, text_col: str, shingle: int, threshold: float, rows: int, miss: float, seed: int) -> DataFrame:
+    tmp = Scratch(docs.sparkSession, "near-dedup")
     m = tables_for(threshold, rows, miss)
     percent = round(threshold * 10_000)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
@@ -248,7 +253,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = close(verified(pairs, texts, shingle))
         found = _merged(found, links, tmp, str(step))
     groups = _against_heads(members, found, F.min(F.struct("n", "rep"))).select("a", "b").distinct()
-    stars = tmp.save(verified(tmp.save(groups, "open"), texts, shingle, True), "stars")
+    stars = verified(tmp.save(groups, "open"), texts, shingle, True).withColumn("weight", F.size("added") + F.size("missing"))
+    stars = tmp.save(stars, "stars")
     more = tmp.save(close(stars).union(close(verified(_missing(stars, found, percent / 10_000, tmp), texts, shingle))), "rest")
     found = _merged(found, more, tmp, "last")
 
@@ -263,11 +269,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _missing(stars: DataFrame, comp: DataFrame, t: float, tmp: Scratch) -> DataFrame:
     """Links (a, b) across components among the members of a head, by 64-bit hashes of shingles."""
     label = lambda side: comp.select(F.col("row").alias(side), F.col("component").alias(f"c{side}"))
-    of = stars.join(label("a"), "a").join(label("b"), "b").withColumn("weight", F.size("added") + F.size("missing"))
-    slices = of.groupBy("b").agg(F.ceil(F.sum("weight") / TILE).cast("int").alias("slices"), F.max((F.col("ca") != F.col("cb"))).alias("mixed")).where("mixed")
-    of = of.join(slices.select("b", "slices"), "b").withColumn("own", F.pmod(F.xxhash64("a"), F.greatest("slices", F.lit(1))).cast("int"))
-    of = of.withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest("slices", F.lit(1)) - 1)))
-    tiles = of.select("b", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "a", "inter", "uni", "added", "missing", "ca", (F.col("ca") != F.col("cb")).alias("outside"))
+    # who goes to which tile is settled on narrow rows; the sets then move once to meet it and once to their tiles
+    of = stars.select("a", "b", "weight").join(label("a"), "a").join(label("b"), "b").withColumn("outside", F.col("ca") != F.col("cb"))
+    slices = of.groupBy("b").agg(F.greatest(F.ceil(F.sum("weight") / TILE), F.lit(1)).cast("int").alias("slices"), F.max("outside").alias("mixed")).where("mixed")
+    of = of.join(slices.select("b", "slices"), "b").withColumn("own", F.pmod(F.xxhash64("a"), "slices").cast("int"))
+    dealt = tmp.save(of.select("a", "b", "ca", "outside", "own", "slices"), "dealt")
+    tiles = stars.join(dealt, ["a", "b"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    tiles = tiles.select("b", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "a", "inter", "uni", "added", "missing", "ca", "outside")
     links = tiles.groupBy("b", "lo", "hi").applyInPandas(lambda pdf: _tile(pdf, t), "a long, b long")
     return tmp.save(links.distinct(), "links")
 
