@@ -86,9 +86,11 @@ def _unequal(source: DataFrame, rows: DataFrame, tmp: Scratch) -> DataFrame:
     # an id may stand on rows with other texts; the digest tells them apart
     members = members.where(F.sha2("norm", 256) == F.col("text_sha256")).select("digest", "norm", "locator", "keep_at")
     members = tmp.save(members, "members")
-    keepers = members.where("locator = keep_at").groupBy("digest").agg(F.first("norm").alias("kept_norm"))
+    # keepers and the join's result are written apart: a join that stands alone can split the hits of a hot digest
+    keepers = tmp.save(members.where("locator = keep_at").groupBy("digest").agg(F.first("norm").alias("kept_norm")), "keepers")
     hits = members.where("locator <> keep_at").select("digest", "norm")
-    return tmp.save(hits.join(keepers, "digest").where("norm <> kept_norm").select("digest").distinct(), "unequal")
+    unequal = tmp.save(hits.join(keepers, "digest").where("norm <> kept_norm").select("digest"), "unequal")
+    return unequal.distinct()
 
 
 def _regrouped(rows: DataFrame, odd: DataFrame) -> DataFrame:
