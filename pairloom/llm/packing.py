@@ -91,9 +91,9 @@ def _cells(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity:
 
     for b in batches:
         texts = b.column("text")
-        for at in range(0, len(b), 4096):
-            group = [t or "" for t in texts[at : at + 4096].to_pylist()]
-            for id_, t in zip(b.column("id")[at : at + 4096].to_pylist(), encode(group), strict=True):
+        for at in range(0, len(b), 1024):
+            group = [t or "" for t in texts[at : at + 1024].to_pylist()]
+            for id_, t in zip(b.column("id")[at : at + 1024].to_pylist(), encode(group), strict=True):
                 ids.append(id_)
                 tokens.append(t + end)
                 held += len(tokens[-1]) // 4

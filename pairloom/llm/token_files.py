@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, documents, split_count
-from .tokens import Encoder
+from .tokens import encoder
 
 SEEK_FRAME, INDEX_FRAME, SEEK_MAGIC = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
 
@@ -36,7 +36,7 @@ SEEK_FRAME, INDEX_FRAME, SEEK_MAGIC = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
 class Writer:
     """Writes one file to an open binary stream."""
 
-    def __init__(self, sink, width: int, level: int = 3):
+    def __init__(self, sink, width: int, level: int = 1):
         self.sink, self.width = sink, width
         self.compressor = zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True)
         self.table: list[tuple[int, int, int]] = []
@@ -113,20 +113,20 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_i
     """One file for this task, under its final name only once it is whole."""
     context = TaskContext.get()
     part, attempt = context.partitionId(), context.taskAttemptId()
-    encoder = Encoder(tokenizer, spaces=True)
-    width = 2 if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+    encode = encoder(tokenizer, spaces=True)
+    width = 2 if max(encode.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
     fs, root = _open(folder)
     name, temp = f"{root}/tokens-{part:06d}.zst", f"{root}/.tokens-{part:06d}-{attempt}.tmp"
     n, tokens, end = 0, 0, np.array([end_id], "<u4")
     sink = writer = None
     for b in batches:
-        for at in range(0, len(b), 256):
+        for at in range(0, len(b), 1024):
             if writer is None:
                 fs.create_dir(root, recursive=True)
                 sink = fs.open_output_stream(temp)
                 writer = Writer(sink, width)
-            texts = [t or "" for t in b.column("text")[at : at + 256].to_pylist()]
-            for id_, raw in zip(b.column("id")[at : at + 256].to_pylist(), encoder(texts), strict=True):
+            texts = [t or "" for t in b.column("text")[at : at + 1024].to_pylist()]
+            for id_, raw in zip(b.column("id")[at : at + 1024].to_pylist(), encode(texts), strict=True):
                 ids = np.concatenate([np.frombuffer(raw, "<u4"), end])
                 writer.add(id_, ids)
                 n, tokens = n + 1, tokens + len(ids)
@@ -141,7 +141,7 @@ def write_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     """Writes the files to ``folder`` (a URI that all executors reach); lazily returns the manifest: file_no, name, n_docs, n_tokens."""
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ordered = source.repartitionByRange(files or split_count(docs.sparkSession), F.col("id").asc_nulls_first(), F.col("text")).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    ordered = source.repartitionByRange(files or split_count(docs.sparkSession), F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
     return ordered.mapInArrow(lambda it: _write(it, folder, path, end_id), "file_no int, name string, n_docs long, n_tokens long")
 
 

@@ -15,7 +15,8 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
-from itertools import chain, compress, filterfalse
+from itertools import accumulate, chain, compress, repeat
+from operator import is_
 
 import numpy as np
 
@@ -63,7 +64,7 @@ class Memory:
 class Encoder:
     """Ids as little-endian unsigned 32-bit bytes. ``keep`` bounds the remembered pieces and words (twice that at most)."""
 
-    def __init__(self, path: str, spaces: bool, keep: int = 300_000, group_chars: int = 12_000_000):
+    def __init__(self, path: str, spaces: bool, keep: int = 200_000, group_chars: int = 4_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import CharDelimiterSplit
@@ -80,7 +81,7 @@ class Encoder:
         #: piece with its leading space (if ``spaces``) to ids; None: the piece can't stand alone
         self.inner: Memory = Memory(keep)
         self.first: dict[str, bytes] = {}
-        self.words = Memory(keep)
+        self.words = Memory(keep // 2)
         self.tails: dict[str, bytes] = {"": b""}
         #: words that no space precedes
         self.bare: dict[str, bytes] = {}
@@ -159,9 +160,20 @@ class Encoder:
             pass
         return text.replace("\n", " ").replace("\t", " ")
 
-    def _learn(self, split: list[list[str]]) -> None:
-        """Makes all pieces present; the few that are not are sought without a set of all."""
-        missing = set(filterfalse(self.inner.now.__contains__, chain.from_iterable(split)))
+    def _ids(self, split: list[list[str]]) -> list[list[bytes | None]]:
+        """Ids of all pieces, each looked up once; the missing ones are learned together."""
+        flat = list(chain.from_iterable(split))
+        found = list(map(self.inner.now.get, flat, repeat(0)))
+        gaps = list(compress(range(len(flat)), map(is_, found, repeat(0))))
+        if gaps:
+            missing = [flat[i] for i in gaps]
+            self._learn(set(missing))
+            for i, ids in zip(gaps, map(self.inner.now.__getitem__, missing), strict=True):
+                found[i] = ids
+        ends = list(accumulate(map(len, split)))
+        return [found[a:z] for a, z in zip([0, *ends], ends, strict=False)]
+
+    def _learn(self, missing: set[str]) -> None:
         rest = self._plain(self.inner.recall(missing))
         lead = ""
         if self.spaces:
@@ -193,10 +205,9 @@ class Encoder:
         self.words.rotate()
         split = [t.replace("\n", " " + LINE).split(" ") for t in texts] if self.spaces else [self._plainer(t).split(" ") for t in texts]
         if not self.spaces:
-            self._learn(split)
-            return [b"".join(map(self.inner.now.__getitem__, p)) for p in split]
+            return [b"".join(p) for p in self._ids(split)]
         heads = [p.pop(0) for p in split]
-        self._learn(split)
+        split = self._ids(split)
         self._learn_heads(heads)
         out, again = [], []
         for i, (head, p) in enumerate(zip(heads, split, strict=True)):
@@ -204,7 +215,7 @@ class Encoder:
                 # a null piece, or a head that ends in white space, is no place to cut
                 if p and not head[-1:].strip() or LINE in texts[i]:
                     raise TypeError
-                out.append(self.first[head] + b"".join(map(self.inner.now.__getitem__, p)))
+                out.append(self.first[head] + b"".join(p))
             except TypeError:
                 out.append(b"")
                 again.append(i)
@@ -224,9 +235,9 @@ class Encoder:
         split = [CUT.split(t) for t in texts]
         heads = [p.pop(0) for p in split]
         ends = [" " + p.pop() if p and p[-1][-1].isspace() else "" for p in split]
-        self._learn(split)
+        split = self._ids(split)
         self._learn_heads(heads)
-        return [self.first[h] + b"".join(map(self.inner.now.__getitem__, p)) + e for h, p, e in zip(heads, split, self._encode(ends), strict=True)]
+        return [self.first[h] + b"".join(p) + e for h, p, e in zip(heads, split, self._encode(ends), strict=True)]
 
 
 @lru_cache(maxsize=2)
