@@ -73,8 +73,8 @@ def pack_cell(lengths: list[int], capacity: int, linear: float = 1.0, quadratic:
     return out
 
 
-def _cells(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: int, cell_tokens: int, linear: float, quadratic: float) -> Iterator[pa.RecordBatch]:
-    encode = encoder(path, spaces=False)
+def _cells(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: int, cell_tokens: int, linear: float, quadratic: float, keep: int) -> Iterator[pa.RecordBatch]:
+    encode = encoder(path, spaces=False, keep=keep)
     context = TaskContext.get()
     sequence = (context.partitionId() if context else 0) << 33
     end = np.array([end_id], "<u4").tobytes()
@@ -91,9 +91,9 @@ def _cells(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity:
 
     for b in batches:
         texts = b.column("text")
-        for at in range(0, len(b), 1024):
-            group = [t or "" for t in texts[at : at + 1024].to_pylist()]
-            for id_, t in zip(b.column("id")[at : at + 1024].to_pylist(), encode(group), strict=True):
+        for at in range(0, len(b), 2048):
+            group = [t or "" for t in texts[at : at + 2048].to_pylist()]
+            for id_, t in zip(b.column("id")[at : at + 2048].to_pylist(), encode(group), strict=True):
                 ids.append(id_)
                 tokens.append(t + end)
                 held += len(tokens[-1]) // 4
@@ -103,11 +103,14 @@ def _cells(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity:
         yield flush()
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 1, capacity: int = 2048, cell_tokens: int = 4_000_000, linear: float = 1.0, quadratic: float = 1e-3) -> DataFrame:
-    """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 1, capacity: int = 2048, cell_tokens: int = 4_000_000, linear: float = 1.0, quadratic: float = 1e-3, keep: int = 600_000) -> DataFrame:
+    """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    ``keep`` bounds the tokenizer's remembered pieces in a worker process; it does not change the result.
+    """
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     source = docs.selectExpr(f"cast(`{id_col}` as long) as id", f"`{text_col}` as text")
-    packed = source.mapInArrow(lambda it: _cells(it, path, end_id, capacity, cell_tokens, linear, quadratic), SCHEMA)
+    packed = source.mapInArrow(lambda it: _cells(it, path, end_id, capacity, cell_tokens, linear, quadratic, keep), SCHEMA)
     return packed.withColumnRenamed("id", id_col)
 
 

@@ -120,13 +120,13 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_i
     n, tokens, end = 0, 0, np.array([end_id], "<u4")
     sink = writer = None
     for b in batches:
-        for at in range(0, len(b), 1024):
+        for at in range(0, len(b), 2048):
             if writer is None:
                 fs.create_dir(root, recursive=True)
                 sink = fs.open_output_stream(temp)
                 writer = Writer(sink, width)
-            texts = [t or "" for t in b.column("text")[at : at + 1024].to_pylist()]
-            for id_, raw in zip(b.column("id")[at : at + 1024].to_pylist(), encode(texts), strict=True):
+            texts = [t or "" for t in b.column("text")[at : at + 2048].to_pylist()]
+            for id_, raw in zip(b.column("id")[at : at + 2048].to_pylist(), encode(texts), strict=True):
                 ids = np.concatenate([np.frombuffer(raw, "<u4"), end])
                 writer.add(id_, ids)
                 n, tokens = n + 1, tokens + len(ids)

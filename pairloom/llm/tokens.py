@@ -64,7 +64,7 @@ class Memory:
 class Encoder:
     """Ids as little-endian unsigned 32-bit bytes. ``keep`` bounds the remembered pieces and words (twice that at most)."""
 
-    def __init__(self, path: str, spaces: bool, keep: int = 200_000, group_chars: int = 4_000_000):
+    def __init__(self, path: str, spaces: bool, keep: int = 600_000, group_chars: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import CharDelimiterSplit
@@ -77,7 +77,7 @@ class Encoder:
         #: ids that begin (byte-level) or end a word
         self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
         self.edge[[i for token, i in vocabulary.items() if (token.startswith(SPACE) if spaces else token.endswith("</w>"))]] = True
-        self.spaces, self.keep, self.group_chars = spaces, keep, group_chars
+        self.spaces, self.keep, self.group_chars = spaces, keep, group_chars or min(6_000_000, 20 * keep)
         #: piece with its leading space (if ``spaces``) to ids; None: the piece can't stand alone
         self.inner: Memory = Memory(keep)
         self.first: dict[str, bytes] = {}
@@ -241,6 +241,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, spaces: bool) -> Encoder:
-    """The encoder of this worker process, kept from task to task."""
-    return Encoder(path, spaces)
+def encoder(path: str, spaces: bool, keep: int = 600_000) -> Encoder:
+    """The encoder of this worker process, kept from task to task with up to 2 * keep pieces and keep words."""
+    return Encoder(path, spaces, keep)
