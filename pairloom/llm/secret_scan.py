@@ -1,8 +1,9 @@
 """Secret scans with a randomness test battery, in DataFrame functions only.
 
 Fixed patterns give the base spans. The method adds every token that passes for random:
-maximal runs of token characters get an inferred encoding (hex, base32, base64,
-base64url), and three tests of randomness over its alphabet: chi-squared uniformity,
+maximal runs of token characters, with ``=`` only as padding at the end of a run (so the
+value of KEY=VALUE is a token of its own), get an inferred encoding (hex, base32, base64,
+base64url; digits alone count as hex, letters alone as what they fit), and three tests of randomness over its alphabet: chi-squared uniformity,
 runs about the middle symbol, and lag-1 serial correlation. The smallest of the three
 p-values, times three, is a token's p-value. Benjamini-Hochberg at level ``q`` within
 each band of encoding and length (powers of two) then tells structured tokens from
@@ -34,7 +35,7 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 # stand in the pattern; the look-behind keeps the search from retrying inside a run.
 ACCESS = r"AKIA[A-Z0-9]{12,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?:=++(?![A-Za-z0-9+/_-]))?"
 KINDS = ("assign", "access", "hex", "random")
 BINS = 400
 BINS_PER_DECADE = 20
@@ -102,8 +103,7 @@ def battery(tokens: Column) -> Column:
         alphabet = F.lit(None).cast("string")
         for pattern, letters in reversed(ENCODINGS):
             alphabet = F.when(bare.rlike(pattern), F.lit(letters)).otherwise(alphabet)
-        mixed = bare.rlike("[0-9]") & bare.rlike("[A-Za-z]") & (F.length(bare) >= 20)
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), bare.alias("bare"), F.when(mixed, alphabet).alias("abc"))
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), bare.alias("bare"), alphabet.alias("abc"))
 
     def symbols(s: Column) -> Column:
         x = F.transform(F.sequence(F.lit(1), F.length(s["bare"])), lambda i: F.position(F.substr(s["bare"], i, F.lit(1)), s["abc"]).cast("double") - 1)

@@ -54,6 +54,26 @@ def test_random_tokens_are_found_and_words_left_alone(spark):
     assert not spans or (spans[0].start, spans[0].end) == (4, 44)
 
 
+def test_equals_sign_is_padding_only(spark):
+    rng = random.Random(7)
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    frames = [("secret_key={}", ""), ("AWS_SECRET_ACCESS_KEY={}", ""), ("https://a.example/x?sig={}&x=1", ""), ("AccountKey={}", "=="), ("key: {}", ""), ("a={}", "=")]
+    data = [(frame, "".join(rng.choice(b64) for _ in range(n)) + pad) for frame, pad in frames for n in (32, 40) for _ in range(10)]
+    df = spark.createDataFrame([(i, frame.format(v)) for i, (frame, v) in enumerate(data)], "doc_id long, text string")
+    tokens = {r.doc_id: {(t.start, t.end) for t in r.t} for r in df.select("doc_id", secret_scan.tested(F.col("text")).alias("t")).collect()}
+    random_ = {r.doc_id: {(s.start, s.end) for s in r.random} for r in secret_scan.scan(df).collect()}
+    spans = {i: (frame.index("{"), frame.index("{") + len(v)) for i, (frame, v) in enumerate(data)}
+    assert all(spans[i] in tokens[i] for i in spans)
+    assert sum(spans[i] in random_[i] for i in spans) >= 0.9 * len(spans)
+
+
+def test_tokens_without_digit_or_letter_are_tested(spark):
+    texts_ = ["QWERTYUIOPASDFGHJKLZXCVB", "31415926535897932384626433", "-" * 30]
+    df = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+    got = {r.doc_id: [(t.start, t.end) for t in r.t] for r in df.select("doc_id", secret_scan.tested(F.col("text")).alias("t")).collect()}
+    assert got == {i: [(0, len(t))] for i, t in enumerate(texts_)}
+
+
 def test_statistics_against_python(spark):
     z = [-3.0, -1.0, 0.0, 0.5, 2.0, 5.0]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in z], "z double").select(secret_scan.normal_tail(F.col("z"))).collect()]
