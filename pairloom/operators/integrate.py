@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
 from .ordinal import seeded, seeded_int, with_ordinal
 
 
@@ -87,8 +88,11 @@ def negative_pairs(df: DataFrame, id_col: str, key: str, attempts: int = 3, seed
     """For each row a partner of another key: id, partner, attempt.
 
     Partner ordinals are (i + hashed offset in 1..n-1) mod n, so never i; of the attempts
-    the first with another key counts, and a row without one gets no partner. All joins
-    are on the ordinal.
+    the first with another key counts. A row left over gets its partner as attempt number
+    ``attempts`` without a miss: in key order, the row at (place in own key + hash) mod the
+    number of rows of other keys, own rows left out. So only a table of one key has rows
+    without a partner. Row joins are on the ordinal; bounds of keys join on the key, those
+    of 1/1000 of the rows or more as a broadcast.
     """
     placed = with_ordinal(df.select(F.col(id_col).alias("id"), F.col(key).alias("k")), "id")
     n = df.agg(F.count(F.lit(1)).alias("n"))
@@ -97,7 +101,20 @@ def negative_pairs(df: DataFrame, id_col: str, key: str, attempts: int = 3, seed
     tries = tries.select("id", "k", "attempt", ((F.col("ordinal") + offset) % F.col("n")).alias("j"))
     other = placed.select(F.col("ordinal").alias("j"), F.col("id").alias("partner"), F.col("k").alias("kj"))
     found = tries.join(other, "j").where(~F.col("k").eqNullSafe(F.col("kj")))
-    return found.groupBy("id").agg(F.min(F.struct("attempt", "partner")).alias("m")).select("id", "m.partner", "m.attempt")
+    found = found.groupBy("id").agg(F.min(F.struct("attempt", "partner")).alias("m")).select("id", "m.partner", "m.attempt")
+    found = Scratch(df.sparkSession, "negatives").save(found, "found")
+
+    keyed = with_ordinal(placed.select("id", "k"), "k", "id", name="at")
+    bounds = keyed.groupBy(F.col("k").alias("kb")).agg(F.min("at").alias("lo"), F.count(F.lit(1)).alias("own")).join(F.broadcast(n))  # one row
+    left = keyed.join(found.select("id"), "id", "left_anti")
+    own = F.col("k").eqNullSafe(F.col("kb"))
+    left = left.join(F.broadcast(bounds.where("own * 1000 >= n")), own, "left")  # 1000 rows at most
+    rare = left.where("lo is null").select("id", "k", "at").join(bounds.where("own * 1000 < n"), own)
+    left = left.where("lo is not null").unionByName(rare).where("own < n")
+    place = (F.col("at") - F.col("lo") + seeded_int(seed, F.col("id").cast("string"), F.lit(str(attempts)))) % (F.col("n") - F.col("own"))
+    left = left.select("id", (place + F.when(place >= F.col("lo"), F.col("own")).otherwise(0)).alias("j"))
+    last = left.join(keyed.select(F.col("at").alias("j"), F.col("id").alias("partner")), "j")
+    return found.unionByName(last.select("id", "partner", F.lit(attempts).alias("attempt")))
 
 
 def labelled_pairs(df: DataFrame, id_col: str, key: str, left: str, right: str, seed: int = 42) -> DataFrame:

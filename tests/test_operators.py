@@ -45,6 +45,16 @@ def test_negatives_never_share_a_key(spark):
     assert integrate.negative_pairs(df.where("k = 'k0'"), "id", "k").count() == 0
 
 
+@pytest.mark.parametrize(("n", "hot"), [(600, 480), (600, 599), (40, 20)])
+def test_every_row_with_a_candidate_gets_a_negative(spark, n, hot):
+    df = spark.createDataFrame([(i, "hot" if i < hot else None if i % 2 else f"k{i % 7}") for i in range(n)], "id long, k string")
+    keys = {r.id: r.k for r in df.collect()}
+    got = integrate.negative_pairs(df, "id", "k").collect()
+    assert sorted(r.id for r in got) == list(range(n))
+    assert all(keys[r.id] != keys[r.partner] for r in got)
+    assert integrate.labelled_pairs(df.withColumns({"l": F.col("k"), "r": F.col("k")}), "id", "k", "l", "r").where("label = 0").count() == 2 * n
+
+
 def test_interleave_drops_null_groups(spark):
     df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (4, "b"), (5, "b"), (6, "c"), (7, None)], "id long, g string")
     got = {r.id: (r.new_group_id, r.original_group_rank) for r in integrate.interleave(df, "g", "id").collect()}
