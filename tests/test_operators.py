@@ -154,6 +154,13 @@ def test_best_epoch_and_curriculum(spark):
     assert mining.stage_table(spark).count() == 3
 
 
+def test_rag_answers_asks_every_item(spark, sf_dir):
+    from pairloom.plans import corpus_queries
+
+    items = [r.item_id for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id").collect()]
+    assert sorted(r.question_id for r in corpus_queries.rag_answers(spark, sf_dir).collect()) == sorted(items)
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "id long, k string, score double")
     assert with_ordinal(empty, "id").count() == 0
