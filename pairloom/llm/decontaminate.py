@@ -8,8 +8,9 @@ Windows of the item's size are mapped by CGK random walks, which turn edit dista
 Hamming distance, to strings of 3 m symbols; tables of sampled coordinates (bit-sampling
 LSH), repeated with fresh walks, find the windows that share a table's key with the item.
 The number of walks is fitted per item length so that simulated passages at the largest
-distance are found with probability ``recall`` at least. What is found is verified with
-the exact edit distance between the item and the best passage around the window.
+distance are found with probability ``recall`` at least; for long items that ``MAX_WALKS``
+walks do not bring to it, all placed windows go on. What is found is verified with the
+exact edit distance between the item and the best passage around the window.
 
 Which windows are embedded is decided without loss first: of k + 1 disjoint runs of an
 item's words, k edits leave one intact, so only windows placed by an intact run can be
@@ -87,8 +88,8 @@ def collides(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).all(3).any(2)
 
 
-def fitted_walks(m: int, k: int, recall: float, seed: int, trials: int = 200) -> int:
-    """Walks after which ``recall`` of simulated passages with k edits have collided."""
+def fitted_walks(m: int, k: int, recall: float, seed: int, trials: int = 200) -> int | None:
+    """Walks after which ``recall`` of simulated passages with k edits have collided; None if MAX_WALKS are too few."""
     rng = np.random.default_rng([seed, m, k])
     items = rng.integers(1, 1 << 30, (trials, m))
     edited = np.zeros((trials, m), np.int64)
@@ -108,7 +109,7 @@ def fitted_walks(m: int, k: int, recall: float, seed: int, trials: int = 200) ->
     hit = collides(walks(items, m, 0, MAX_WALKS, coords), walks(edited, m, 0, MAX_WALKS, coords))
     found = np.maximum.accumulate(hit, 1).mean(0)
     enough = np.flatnonzero(found >= recall)
-    return int(enough[0]) + 1 if len(enough) else MAX_WALKS
+    return int(enough[0]) + 1 if len(enough) else None
 
 
 def edit_rows(item: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -161,10 +162,10 @@ class Block:
         self.walks = [lengths[-(-len(w) // 10) * 10] for w in self.words]
 
     @cached_property
-    def item_keys(self) -> list[np.ndarray]:
+    def item_keys(self) -> list[np.ndarray | None]:
         out = []
         for w, count in zip(self.words, self.walks, strict=True):
-            out.append(walks(w[None], len(w), 0, count, coordinates(len(w), self.seed)[:count]))
+            out.append(None if count is None else walks(w[None], len(w), 0, count, coordinates(len(w), self.seed)[:count]))
         return out
 
 
@@ -219,10 +220,12 @@ class Matcher:
         return out
 
     def _embedded(self, words: np.ndarray, item: int, placed: set[int]) -> list[int]:
-        """Starts of windows that share a table's key with the item."""
+        """Starts of windows that share a table's key with the item; all, if its walks miss the recall."""
         b = self.block
         m, k = len(b.words[item]), b.edits[item]
         starts = np.array(sorted({s + d for s in placed for d in range(-k, k + 1) if -k <= s + d < len(words)}), np.int64)
+        if b.walks[item] is None:
+            return starts.tolist()
         found: list[int] = []
         coords = coordinates(m, b.seed)[: b.walks[item]]
         for at in range(0, len(starts), 2048):

@@ -107,3 +107,18 @@ def test_query(spark):
     items = spark.read.parquet(f"{sf}/benchmark.parquet").collect()
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
     assert {(d.doc_id, i.item_id) for d in docs for i in items if i.text in d.text} <= got
+
+
+def test_near_copies_of_a_long_item_are_found():
+    rng = random.Random(11)
+    item = [f"w{i}" for i in range(800)]
+    m = decontaminate.Matcher(decontaminate.Block([(0, " ".join(item))], 0.2, 0.99, 7))
+    found = 0
+    for n in range(12):
+        copy = list(item)
+        for _ in range(160):
+            p, kind = rng.randrange(len(copy)), rng.randrange(3)
+            copy[p : p + (kind > 0)] = [] if kind == 2 else [f"x{rng.random()}"]
+        text = [f"y{i}" for i in range(50)] + copy + [f"z{i}" for i in range(50)]
+        found += any(d <= 160 for _, d, _, _ in m.matches(m.numbered(" ".join(text))))
+    assert found == 12, found
