@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import cache
+from typing import TypeVar
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
 
-__all__ = ["Scratch", "ascii_lower", "documents", "settings", "split_count"]
+__all__ = ["Scratch", "ascii_lower", "documents", "pick_rows", "row_key", "settings", "split_count", "trimmed"]
+
+T = TypeVar("T")
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -41,3 +49,36 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
     finally:
         for k, v in before.items():
             spark.conf.set(k, v) if v else spark.conf.unset(k)
+
+
+@cache
+def _libc() -> ctypes.CDLL | None:
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        return libc if hasattr(libc, "malloc_trim") else None
+    except OSError:
+        return None
+
+
+def trimmed(results: Iterator[T]) -> Iterator[T]:
+    """The results of a task; after the last one, free memory goes back to the system, as the worker process lives on."""
+    yield from results
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _libc():
+        _libc().malloc_trim(0)
+
+
+def row_key(id_: Column, text_hash: Column) -> Column:
+    """A key of 128 bits for rows of the same id (or null) and text."""
+    return F.md5(F.concat_ws(":", F.coalesce(id_.cast("string"), F.lit("")), text_hash))
+
+
+def pick_rows(docs: DataFrame, key: Column, wanted: DataFrame) -> DataFrame:
+    """One row of ``docs``, with all its columns, for each of the wanted keys (column ``key``).
+
+    Rows of one key are merged before the shuffle, so a row repeated any number of times
+    costs one row a task. The columns travel in a struct: their names clash with nothing.
+    """
+    whole = docs.select(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    return whole.groupBy("key").agg(F.first("doc").alias("doc")).join(wanted, "key", "left_semi").select("doc.*")

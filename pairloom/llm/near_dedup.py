@@ -15,13 +15,18 @@ component than the bucket's smallest set b, so J(x, b) < t. As b is no larger th
 y, |x & y| >= t / (1 + t) * (|x| + |y|) > |x & b|: x and y share a shingle that b has
 not. So members of buckets that still hold several components are compared where they
 share such an added shingle, by prefix filtering: of x's added shingles, rarest first,
-all but as many as x needs to share, less one, are looked up. This is done in tiles: a
-head's members are cut into slices of about ``TILE`` shingles, and a task gets two slices
-at a time, as what they add to the head's set and miss of it, which is enough to count
-what two members share. Only links leave a tile. That finds every missing link, in a
-group of any size, without a cap; the rounds only make the last step small.
-
-Documents with equal sets are merged into a class before all this and expanded at the end.
+all but as many as x needs to share, less one, are looked up. This is done in tiles: the
+members outside the head's component, and apart from them the others, are cut into slices
+of about ``TILE`` shingles, and a task gets two slices at a time, one of them outside, as
+what they add to the head's set and miss of it, which is enough to count what two members
+share. Links that connect leave a tile, at most one fewer than it has components. That
+finds every missing connection, in a group of any size, without a cap; the rounds only
+make the last step small.
+
+Documents with equal sets are merged into a class before all this and expanded at the
+end. A class gets its number once, in a written table, and is tied to rows by a hash of
+the set and to its text by a hash of the text, so passes over the input need not see the
+same splits.
 
 Defined results: a null text counts as empty; a text without words has no shingles and
 links to nothing; null ids are classed under a null component unless their class has
@@ -41,13 +46,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, settings
+from .common import Scratch, documents, pick_rows, row_key, settings, trimmed
 
 MASK = (1 << 64) - 1
 #: rounds of verification against a head per bucket before the exact last step
 ROUNDS = 2
 #: shingles of a slice of a head's members
-TILE = 200_000
+TILE = 100_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -102,7 +107,7 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
 
 
 def signatures(batches: Iterator[pa.RecordBatch], k: int, m: int, rows: int, seed: int) -> Iterator[pa.RecordBatch]:
-    """(id, row, text) to (id, row, n_shingles, set_key, keys: 2 * m half keys)."""
+    """(id, text_key, text) to (id, text_key, n_shingles, set_key, keys: 2 * m half keys)."""
     rng = np.random.default_rng(seed)
     salts = rng.integers(0, MASK, 2 * m * rows, dtype=np.uint64, endpoint=True)
     hasher = Hasher()
@@ -125,8 +130,8 @@ def signatures(batches: Iterator[pa.RecordBatch], k: int, m: int, rows: int, see
         flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), batch.column("row"), pa.array(sizes, pa.int64()), pa.array(set_keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))],
-            names=["id", "row", "n_shingles", "set_key", "keys"],
+            [batch.column("id"), batch.column("text_key"), pa.array(sizes, pa.int64()), pa.array(set_keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))],
+            names=["id", "text_key", "n_shingles", "set_key", "keys"],
         )
 
 
@@ -203,12 +208,16 @@ def _merged(comp: DataFrame, links: DataFrame, tmp: Scratch, name: str) -> DataF
     return tmp.save(out, f"comp-{name}")
 
 
+def text_key(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, rows: int = 3, miss: float = 1e-4, seed: int = 1) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id, kept, row, group_row.
+    """One row per input row: id, n_shingles, component_id, kept, text_key, group.
 
-    ``kept`` is true for the rows whose id is the component's smallest. ``row`` is the
-    position in the input, which is read twice and so must be a scan or a written table;
-    ``group_row`` is the same for all rows of a component and never null.
+    ``kept`` is true for the rows whose id is the component's smallest. ``group`` is the
+    same number for all rows of a component, null for rows without words; ``text_key`` is
+    the MD5 of the text.
     """
     # whole texts travel in pairs: a batch holds few of them
     with settings(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}):
@@ -219,15 +228,16 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, shingle: int, threshol
     tmp = Scratch(docs.sparkSession, "near-dedup")
     m = tables_for(threshold, rows, miss)
     percent = round(threshold * 10_000)
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
-    schema = "id long, row long, n_shingles long, set_key binary, keys array<long>"
-    signed = tmp.save(source.mapInArrow(lambda it: signatures(it, shingle, m, rows, seed), schema), "signed")
-
-    # equal sets: one representative row each; it also carries the smallest id
-    classes = tmp.save(
-        signed.where("set_key is not null").groupBy("set_key").agg(F.min("row").alias("rep"), F.min("id").alias("min_id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")),
-        "classes",
+    text = F.col(text_col)
+    source = docs.select(F.col(id_col).cast("long").alias("id"), text_key(text).alias("text_key"), text.alias("text"))
+    schema = "id long, text_key binary, n_shingles long, set_key binary, keys array<long>"
+    signed = tmp.save(source.mapInArrow(lambda it: trimmed(signatures(it, shingle, m, rows, seed)), schema), "signed")
+
+    # equal sets are one class: a number, which is written and never computed again, the key of one text, the smallest id
+    classes = signed.where("set_key is not null").groupBy("set_key").agg(
+        F.min("text_key").alias("text_key"), F.min("id").alias("min_id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")
     )
+    classes = tmp.save(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     halves = classes.select("rep", "n", F.posexplode("keys").alias("i", "key"))
     shared = halves.groupBy("i", "key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("i", "key")
     # a collection's half keys that nobody shares cannot be part of a shared pair key
@@ -240,8 +250,10 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, shingle: int, threshol
     members = tmp.save(keyed.join(several, "key", "left_semi"), "members")
     tmp.drop("keyed")
 
-    # texts of the classes that share a bucket; the others stay where they are
-    texts = tmp.save(source.select("row", "text").join(members.select(F.col("rep").alias("row")).distinct(), "row", "left_semi"), "texts")
+    # a text of each class that shares a bucket, found by its key; copies are merged before they move
+    wanted = classes.select("rep", "text_key").join(members.select("rep").distinct(), "rep", "left_semi")
+    single = source.groupBy("text_key").agg(F.first("text").alias("text"))
+    texts = tmp.save(single.join(wanted, "text_key").select(F.col("rep").alias("row"), "text"), "texts")
 
     def close(pairs: DataFrame) -> DataFrame:
         return pairs.where(F.col("inter") * 10_000 >= F.col("uni") * percent).select("a", "b")
@@ -260,29 +272,43 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, shingle: int, threshol
 
     labelled = classes.select("set_key", "rep", "min_id").join(found.withColumnRenamed("row", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     lowest = labelled.groupBy("component").agg(F.min("min_id").alias("component_id"))
-    by_class = labelled.join(lowest, "component").select(F.col("set_key").alias("__set"), "component_id", "component")
-    out = signed.select("id", "row", "n_shingles", "set_key").join(by_class, F.col("set_key") == F.col("__set"), "left")
+    by_class = labelled.join(lowest, "component").select("set_key", "component_id", "component")
+    out = signed.select("id", "text_key", "n_shingles", "set_key").join(by_class, "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"), "row", F.coalesce("component", "row").alias("group_row"))
+    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"), "text_key", F.col("component").alias("group"))
 
 
 def _missing(stars: DataFrame, comp: DataFrame, t: float, tmp: Scratch) -> DataFrame:
-    """Links (a, b) across components among the members of a head, by 64-bit hashes of shingles."""
+    """Links (a, b) across components among the members of a head, by 64-bit hashes of shingles.
+
+    A link joins a member outside the head's component to any other member. So outside
+    members are cut into slices, and so are the others; a tile is two outside slices or an
+    outside slice and another one. The many copies around a head move once for each slice
+    of the few outside.
+    """
     label = lambda side: comp.select(F.col("row").alias(side), F.col("component").alias(f"c{side}"))
     # who goes to which tile is settled on narrow rows; the sets then move once to meet it and once to their tiles
     of = stars.select("a", "b", "weight").join(label("a"), "a").join(label("b"), "b").withColumn("outside", F.col("ca") != F.col("cb"))
-    slices = of.groupBy("b").agg(F.greatest(F.ceil(F.sum("weight") / TILE), F.lit(1)).cast("int").alias("slices"), F.max("outside").alias("mixed")).where("mixed")
-    of = of.join(slices.select("b", "slices"), "b").withColumn("own", F.pmod(F.xxhash64("a"), "slices").cast("int"))
-    dealt = tmp.save(of.select("a", "b", "ca", "outside", "own", "slices"), "dealt")
-    tiles = stars.join(dealt, ["a", "b"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    tiles = tiles.select("b", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "a", "inter", "uni", "added", "missing", "ca", "outside")
-    links = tiles.groupBy("b", "lo", "hi").applyInPandas(lambda pdf: _tile(pdf, t), "a long, b long")
+    count = lambda which: F.ceil(F.sum(F.when(F.col("outside") == which, F.col("weight"))) / TILE)
+    slices = of.groupBy("b").agg(F.max("outside").alias("mixed"), F.greatest(count(True), F.lit(1)).cast("int").alias("out"), F.greatest(count(False), F.lit(1)).cast("int").alias("ins"))
+    of = of.join(slices.where("mixed"), "b").withColumn("own", F.pmod(F.xxhash64("a"), F.when(F.col("outside"), F.col("out")).otherwise(F.col("ins"))).cast("int"))
+    dealt = tmp.save(of.select("a", "b", "ca", "outside", "own", "out", "ins"), "dealt")
+    numbers = lambda n: F.sequence(F.lit(0), n - 1)
+    place = lambda inner, lo, hi: F.struct(F.lit(inner).alias("inner"), lo.alias("lo"), hi.alias("hi"))
+    own = F.col("own")
+    tiles = F.when(
+        F.col("outside"),
+        F.concat(F.transform(numbers(F.col("out")), lambda q: place(False, F.least(own, q), F.greatest(own, q))), F.transform(numbers(F.col("ins")), lambda q: place(True, own, q))),
+    ).otherwise(F.transform(numbers(F.col("out")), lambda p: place(True, p, own)))
+    sent = stars.join(dealt, ["a", "b"]).withColumn("tile", F.explode(tiles))
+    sent = sent.select("b", "tile.*", "own", "a", "inter", "uni", "added", "missing", "ca", "outside")
+    links = sent.groupBy("b", "inner", "lo", "hi").applyInPandas(lambda pdf: _tile(pdf, t), "a long, b long")
     return tmp.save(links.distinct(), "links")
 
 
 def _tile(pdf: pd.DataFrame, t: float) -> pd.DataFrame:
-    """Links between the two slices of a tile (or within its one slice)."""
-    cross = pdf["lo"].iat[0] != pdf["hi"].iat[0]
+    """Links between the two slices of a tile (or within its one slice): enough to connect all that link."""
+    inner, cross = pdf["inner"].iat[0], pdf["lo"].iat[0] != pdf["hi"].iat[0]
     rows, comp, own, outside = (pdf[c].to_numpy() for c in ("a", "ca", "own", "outside"))
     inter, uni = pdf["inter"].to_numpy(), pdf["uni"].to_numpy()
     added = [np.asarray(x, np.int64) for x in pdf["added"]]
@@ -311,10 +337,21 @@ def _tile(pdf: pd.DataFrame, t: float) -> pd.DataFrame:
             sets[i] = frozenset(where[cuts[i] : cuts[i + 1]].tolist()), frozenset(missing[i].tolist())
         return sets[i]
 
+    #: components already joined in this tile need no second link
+    top: dict[int, int] = {c: c for c in comp.tolist()}
+
+    def root(c: int) -> int:
+        while top[c] != c:
+            top[c] = c = top[top[c]]
+        return c
+
     out = []
     for i in np.flatnonzero(outside).tolist():
         for j in set().union(*(posting[x] for x in prefixes[i])):
-            if comp[i] == comp[j] or (cross and own[i] == own[j]) or (outside[j] and j < i):
+            if (inner and outside[j]) or (not inner and ((cross and own[i] == own[j]) or (outside[j] and j < i))):
+                continue
+            ci, cj = root(comp[i]), root(comp[j])
+            if ci == cj:
                 continue
             small, large = sorted((int(size[i]), int(size[j])))
             if small < t * large - 1e-9:
@@ -323,19 +360,26 @@ def _tile(pdf: pd.DataFrame, t: float) -> pd.DataFrame:
             both = head - len(mi | mj) + len(ai & aj)
             if both >= t * (small + large - both) - 1e-9:
                 out.append((int(rows[i]), int(rows[j])))
+                top[ci] = cj
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: one row of each component."""
-    found = near_duplicates(docs, id_col, text_col, **options)
-    stays = found.groupBy("group_row").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "row")).alias("s")).select(F.col("s.row").alias("__stays"))
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    return numbered.join(stays, F.col("__row") == F.col("__stays"), "left_semi").select(docs.columns)
+    """The rows of ``docs`` that stay, with all their columns: one row of each component, all without words.
+
+    Rows are named by id and text, never by position.
+    """
+    found = near_duplicates(docs, id_col, text_col, **options).where("group is not null")
+    best = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "text_key"))
+    stays = found.groupBy("group").agg(best.alias("s")).select(row_key(F.col("s.id"), F.hex("s.text_key")).alias("key"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    worded = text.rlike(r"[^\x20\x09-\x0D]")
+    own = row_key(F.col(id_col).cast("long"), F.hex(text_key(text)))
+    return pick_rows(docs.where(worded), own, stays).unionByName(docs.where(~worded))
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir, "doc_id", "text"), shingle=3, threshold=0.85).drop("row", "group_row")
+    return near_duplicates(documents(spark, sf_dir, "doc_id", "text"), shingle=3, threshold=0.85).drop("text_key", "group")
 
 
 OP10_SQL = r"""

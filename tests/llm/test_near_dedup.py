@@ -107,3 +107,48 @@ def test_hashes_follow_the_sets():
 
 def test_query(spark, sf_dir):
     assert_same(spark, sf_dir, near_dedup.op10_near_dedup, near_dedup.OP10_SQL)
+
+
+def test_passes_may_see_other_splits(spark, sf_dir, tmp_path, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(12)
+    docs.write.parquet(path := str(tmp_path / "docs"))
+    before = spark.conf.get("spark.sql.leafNodeDefaultParallelism", None)
+    save, calls = near_dedup.Scratch.save, []
+
+    def changing(self, df, name):
+        calls.append(name)
+        out = save(self, df, name)
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", "9")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        return out
+
+    try:
+        expected = result(near_dedup.near_duplicates(spark.read.parquet(path)))
+        kept = {r.doc_id for r in near_dedup.keep_one_each(spark.read.parquet(path)).collect()}
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", "2")
+        monkeypatch.setattr(near_dedup.Scratch, "save", changing)
+        assert result(near_dedup.near_duplicates(spark.read.parquet(path))) == expected and calls
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", "2")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert {r.doc_id for r in near_dedup.keep_one_each(spark.read.parquet(path)).collect()} == kept == {i for i, _, c in expected if i == c}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", before) if before else spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+
+
+def test_clashing_columns_and_repeated_rows_keep_their_values(spark):
+    rows = [(5, "a b c d", "x", 1), (5, "a b c d", "x", 1), (6, "a b c d", "y", 2), (7, "q", "z", 3), (8, "", "e", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __row string, key int")
+    got = near_dedup.keep_one_each(df, shingle=3)
+    assert sorted(map(tuple, got.collect())) == [rows[0], rows[3], rows[4]] and got.columns == df.columns
+
+
+def test_few_outside_a_large_group(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "ROUNDS", 0)
+    monkeypatch.setattr(near_dedup, "TILE", 300)
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(500)}" for _ in range(60)]
+    rows = [(i, " ".join(base[:50] + [f"x{i}"] + base[50:])) for i in range(60)]
+    rows += [(100 + i, " ".join(base[:52] + [f"y{j}" for j in range(4)] + [f"z{i}"])) for i in range(4)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=3, threshold=0.8)
+    assert result(got) == brute(rows, 3, 80, 100)
