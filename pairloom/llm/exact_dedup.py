@@ -1,10 +1,17 @@
 """Exact dedup: stateful streaming deduplication.
 
-The rows are reduced to a feed of (digest, identifier, locator); a stream consumes the
-feed in micro-batches into keyed state that lives on disk (RocksDB) and never expires:
-for each digest the stable identifier of the row that stays, the locator of its content
-and the number of rows seen. Rows that hit an entry are then compared with the entry's
-content byte for byte, found through the locator; the feed itself never carries texts.
+Rows are first put into a content store, which gives each a locator (batch, position) and
+holds its digest and normalised text. A stream reads the store's narrow columns in
+micro-batches into keyed state that lives on disk (RocksDB) and never expires: for each
+digest the stable identifier of the row that stays, the locator of its content and the
+number of rows seen. Rows that hit an entry are then fetched from the store by their
+locators, as is the entry's content, and compared byte for byte; the rows of a digest are
+dealt to as many pieces as their number asks for, each with a copy of the entry's content.
+
+Given a folder of its own, the store outlives the call: a second call over further rows
+continues the state, and its rows are judged against all rows so far. Where calls bring
+rows with a larger id, the verdict on earlier rows changes; a result tells what stays of
+its own rows at its time.
 
 Defined results: a null text counts as empty; a null id ranks below every other id;
 of rows that share id and text exactly one stays; an empty table gives an empty result;
@@ -13,12 +20,16 @@ columns other than id and text are neither read nor returned.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_lower, documents, settings, split_count
+from .common import Scratch, ascii_lower, documents, pick_rows, row_key, settings, split_count
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: rows of a group that are compared with one copy of the kept row
+PIECE = 2_000
 
 
 def state_settings(spark: SparkSession, partitions: int | None = None) -> dict[str, str]:
@@ -32,92 +43,93 @@ def state_settings(spark: SparkSession, partitions: int | None = None) -> dict[s
 
 
 def keyed_state(feed: DataFrame) -> DataFrame:
-    """The stateful operator; ``feed`` (streaming or not) has digest, id, locator.
+    """The stateful operator; ``feed`` (streaming or not) has digest, id, batch, at.
 
     Sums are built before the shuffle, so a digest that a third of all rows share costs
     one row from each task. Without a watermark the state has no expiry.
     """
-    return feed.groupBy("digest").agg(F.max(F.struct("id", "locator")).alias("keeper"), F.count(F.lit(1)).alias("group_size"))
+    return feed.groupBy("digest").agg(F.max(F.struct("id", "batch", "at")).alias("keeper"), F.count(F.lit(1)).alias("group_size"))
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 16 << 30, digest: Column | None = None, state_partitions: int | None = None) -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, text_sha256, row_no.
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 256 << 30, digest: Column | None = None, state_partitions: int | None = None, store: str | None = None) -> DataFrame:
+    """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
-    ``batch_bytes`` bounds a micro-batch of the feed (about 60 bytes a document);
-    ``state_partitions`` is the number of state stores (an eighth of the shuffle
-    partitions, 8 at least, if not given).
+    ``store`` is a folder that all executors reach, for the content and the state of
+    several calls (a scratch folder if not given; calls of one store follow one another).
+    ``batch_bytes`` bounds a micro-batch (bytes of content files); ``state_partitions`` is
+    the number of state stores (an eighth of the shuffle partitions, 8 at least, if not
+    given; a store keeps its first number).
     ``digest`` replaces SHA-256 of column ``norm`` (tests use a short one to force hits
     with different bytes). Such rows leave the group and form groups by their own text.
     """
     spark = docs.sparkSession
     tmp = Scratch(spark, "exact-dedup")
-    source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    norm = source.withColumn("norm", ascii_lower(F.col("text")))
-    feed = norm.select(
-        "id",
-        F.sha2("norm", 256).alias("text_sha256"),
-        (F.sha2("norm", 256) if digest is None else digest).alias("digest"),
-        F.monotonically_increasing_id().alias("locator"),
+    root = (store or tmp.path("store")).rstrip("/")
+    batch = uuid.uuid4().int >> 65
+    norm = docs.select(F.col(id_col).alias("id"), ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("norm"))
+    rows = norm.select(
+        "id", F.lit(batch).alias("batch"), F.monotonically_increasing_id().alias("at"), F.sha2("norm", 256).alias("text_sha256"),
+        (F.unhex(F.sha2("norm", 256)) if digest is None else digest).alias("digest"), "norm",
     )
-    feed = tmp.save(feed, "feed")
+    rows.write.mode("append").parquet(f"{root}/content")
+    content = spark.read.schema(rows.schema).parquet(f"{root}/content")
+    narrow = content.drop("norm")
 
     with settings(spark, state_settings(spark, state_partitions)):
-        stream = spark.readStream.schema(feed.schema).option("maxBytesPerTrigger", str(batch_bytes)).parquet(tmp.path("feed"))
+        feed = narrow.select("id", "batch", "at", "digest")
+        stream = spark.readStream.schema(feed.schema).option("maxBytesPerTrigger", str(batch_bytes)).parquet(f"{root}/content")
         query = (
             keyed_state(stream).writeStream.outputMode("update").format("noop").trigger(availableNow=True)
-            .option("checkpointLocation", tmp.path("state")).start()
+            .option("checkpointLocation", f"{root}/state").start()
         )
         query.awaitTermination()
         fields = keyed_state(feed).schema
-        state = spark.read.format("statestore").load(tmp.path("state")).select("key.*", "value.*").toDF(*fields.names)
-        state = tmp.save(state.select("digest", F.col("keeper.id").alias("keep_id"), F.col("keeper.locator").alias("keep_at"), "group_size"), "kept")
+        state = spark.read.format("statestore").load(f"{root}/state").select("key.*", "value.*").toDF(*fields.names)
+        if store:
+            state = state.join(narrow.where(F.col("batch") == batch).select("digest").distinct(), "digest", "left_semi")
+        state = tmp.save(state.select("digest", F.col("keeper.id").alias("keep_id"), F.struct("keeper.batch", "keeper.at").alias("keep_at"), "group_size"), "kept")
 
-    rows = tmp.save(feed.join(state, "digest"), "rows")
-    odd = _unequal(source, rows, tmp)
-    return _regrouped(rows, odd).select(
-        F.col("id").alias(id_col), "keep_id", "group_size", (F.col("locator") == F.col("keep_at")).alias("kept"), "text_sha256", F.col("locator").alias("row_no")
-    )
+    judged = tmp.save(narrow.join(state, "digest"), "judged")
+    judged = _regrouped(judged, _unequal(content, judged, tmp))
+    kept = (F.col("batch") == F.col("keep_at.batch")) & (F.col("at") == F.col("keep_at.at"))
+    return judged.where(F.col("batch") == batch).select(F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
-def _unequal(source: DataFrame, rows: DataFrame, tmp: Scratch) -> DataFrame:
-    """Digests of which some hit differs from the kept row in bytes: digest."""
-    grouped = rows.where("group_size > 1").select(F.col("id").alias("hit_id"), "digest", "text_sha256", "keep_at", "locator")
-    members = source.join(grouped, F.col("id").eqNullSafe(F.col("hit_id"))).withColumn("norm", ascii_lower(F.col("text")))
-    # an id may stand on rows with other texts; the digest tells them apart
-    members = members.where(F.sha2("norm", 256) == F.col("text_sha256")).select("digest", "norm", "locator", "keep_at")
-    members = tmp.save(members, "members")
-    # keepers and the join's result are written apart: a join that stands alone can split the hits of a hot digest
-    keepers = tmp.save(members.where("locator = keep_at").groupBy("digest").agg(F.first("norm").alias("kept_norm")), "keepers")
-    hits = members.where("locator <> keep_at").select("digest", "norm")
-    unequal = tmp.save(hits.join(keepers, "digest").where("norm <> kept_norm").select("digest"), "unequal")
-    return unequal.distinct()
+def _unequal(content: DataFrame, judged: DataFrame, tmp: Scratch) -> DataFrame:
+    """Digests of which some hit differs from the kept row in bytes: digest.
 
+    Every row of a group is fetched once by its locator; a piece of a group has at most
+    about ``PIECE`` rows, and each piece a copy of the kept row.
+    """
+    keeper = (F.col("batch") == F.col("keep_at.batch")) & (F.col("at") == F.col("keep_at.at"))
+    pieces = F.ceil(F.col("group_size") / PIECE).cast("int")
+    asked = judged.where("group_size > 1").select("batch", "at", "digest", keeper.alias("keeper"), pieces.alias("pieces"), F.pmod(F.xxhash64("batch", "at"), pieces).alias("piece"))
+    fetched = tmp.save(content.select("batch", "at", "norm").join(asked, ["batch", "at"]), "fetched")
+    keepers = fetched.where("keeper").select("digest", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.col("norm").alias("kept_norm"))
+    hits = fetched.where("not keeper").select("digest", F.col("piece").cast("int").alias("piece"), "norm")
+    return tmp.save(hits.join(keepers, ["digest", "piece"]).where("norm <> kept_norm").select("digest"), "unequal").distinct()
 
-def _regrouped(rows: DataFrame, odd: DataFrame) -> DataFrame:
+
+def _regrouped(judged: DataFrame, odd: DataFrame) -> DataFrame:
     """Rows of digests with unequal bytes are grouped by whole-text SHA-256 instead."""
     if odd.isEmpty():
-        return rows
-    own = rows.join(odd, "digest", "left_semi")
-    by_text = own.groupBy("digest", "text_sha256").agg(F.max(F.struct("id", "locator")).alias("k"), F.count(F.lit(1)).alias("n"))
+        return judged
+    own = judged.join(odd, "digest", "left_semi")
+    by_text = own.groupBy("digest", "text_sha256").agg(F.max(F.struct("id", "batch", "at")).alias("k"), F.count(F.lit(1)).alias("group_size"))
+    by_text = by_text.select("digest", "text_sha256", F.col("k.id").alias("keep_id"), F.struct("k.batch", "k.at").alias("keep_at"), "group_size")
     own = own.drop("keep_id", "keep_at", "group_size").join(by_text, ["digest", "text_sha256"])
-    own = own.select("digest", "id", "text_sha256", "locator", F.col("k.id").alias("keep_id"), F.col("k.locator").alias("keep_at"), F.col("n").alias("group_size"))
-    return rows.join(odd, "digest", "left_anti").select(own.columns).unionByName(own)
+    return judged.join(odd, "digest", "left_anti").unionByName(own)
 
 
 def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(row_key(F.col(id_col), F.col("text_sha256")).alias("key"))
     sha = F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256)
-    once = Window.partitionBy("__own", "__hash").orderBy("__own")
-    return (
-        docs.withColumns({"__own": F.col(id_col), "__hash": sha})
-        .join(kept, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__sha")), "left_semi")
-        .withColumn("__n", F.row_number().over(once)).where("__n = 1").select(docs.columns)
-    )
+    return pick_rows(docs, row_key(F.col(id_col), sha), kept)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_duplicates(documents(spark, sf_dir, "doc_id", "text")).drop("row_no")
+    return exact_duplicates(documents(spark, sf_dir, "doc_id", "text"))
 
 
 OP1_SQL = """

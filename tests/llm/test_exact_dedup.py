@@ -61,3 +61,49 @@ def test_keep_distinct_keeps_columns(spark):
 
 def test_query(spark, sf_dir):
     assert_same(spark, sf_dir, exact_dedup.op1_exact_dedup, exact_dedup.OP1_SQL)
+
+
+def test_a_second_call_continues_the_state(spark, tmp_path):
+    store = f"file://{tmp_path}/store"
+    schema = "doc_id long, text string"
+    first, second = [(1, "a"), (2, "A"), (3, "b")], [(9, "a"), (0, "b"), (5, "c")]
+    one = result(exact_dedup.exact_duplicates(spark.createDataFrame(first, schema), store=store, state_partitions=2))
+    assert one == brute(first)
+    two = exact_dedup.exact_duplicates(spark.createDataFrame(second, schema), store=store, state_partitions=2)
+    assert result(two) == [r for r in brute(first + second) if r[0] in (9, 0, 5)]
+    assert {r.doc_id for r in two.where("kept").collect()} == {9, 5}
+
+
+def test_bytes_are_checked_against_earlier_calls(spark, tmp_path):
+    store = f"file://{tmp_path}/store"
+    schema = "doc_id long, text string"
+    short = F.substring(F.md5("norm"), 1, 1)
+    rows = [[(10 * c + i, f"text {(3 * c + i) // 2}") for i in range(10)] for c in range(2)]
+    for c in range(2):
+        got = exact_dedup.exact_duplicates(spark.createDataFrame(rows[c], schema), digest=short, store=store, state_partitions=2)
+        known = {r[0] for r in rows[c]}
+        assert result(got) == [r for r in brute([x for part in rows[: c + 1] for x in part]) if r[0] in known]
+
+
+def test_repeated_rows_stay_linear(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "PIECE", 500)
+    sizes = []
+    save = exact_dedup.Scratch.save
+
+    def counting(self, df, name):
+        out = save(self, df, name)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(exact_dedup.Scratch, "save", counting)
+    df = spark.range(100_000).selectExpr("7L as doc_id", "'same text' as text")
+    got = exact_dedup.exact_duplicates(df)
+    assert got.where("group_size = 100000 and keep_id = 7").count() == 100_000 and got.where("kept").count() == 1
+    assert max(sizes) <= 100_000
+    assert exact_dedup.keep_distinct(df).count() == 1
+
+
+def test_clashing_columns_keep_their_values(spark):
+    rows = [(1, "x", "own", "hash", 5, "d"), (2, "X", "mine", "h", 6, "e"), (3, "y", "own", "hash", 7, "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __own string, __hash string, __n int, key string")
+    assert sorted(map(tuple, exact_dedup.keep_distinct(df).collect())) == rows[1:]
