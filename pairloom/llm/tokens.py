@@ -5,13 +5,14 @@ encoded alone and remembered: for byte-level vocabularies before a single space
 stands between two characters that are not white space (the space belongs to the piece
 that follows), for vocabularies that drop white space and case at each space. Words of plain
 letters, apart from the stops and line ends that may follow, go to the library's model
-many at once without its costly normalizing and splitting, which leave them as they are;
-other pieces go through the whole pipeline. Whole texts get the ids that
+without its costly normalizing and splitting, which leave them as they are; other pieces
+go through the whole pipeline. Whole texts get the ids that
 the library gives them in one call.
 """
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from functools import lru_cache
@@ -38,9 +39,14 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + n) for n, b in enumerate(others)}
 
 
+#: characters of the longest piece that is remembered beyond a group of texts
+LONG = 64
+
+
 class Memory:
     """A dict ``now`` of about ``keep`` entries and the ones that came before it; ``recall``
-    brings entries still in use over, so that only unused ones are forgotten."""
+    brings entries still in use over, so that only unused ones are forgotten. Keys of more
+    than LONG characters are dropped by the encoder after each group."""
 
     def __init__(self, keep: int):
         self.keep, self.now, self.before = keep, {}, {}
@@ -62,30 +68,27 @@ class Memory:
 
 
 class Encoder:
-    """Ids as little-endian unsigned 32-bit bytes. ``keep`` bounds the remembered pieces and words (twice that at most)."""
+    """Ids as little-endian unsigned 32-bit bytes.
+
+    ``keep`` bounds the remembered pieces (twice that at most). They are of LONG characters
+    at most, so an entry takes a few hundred bytes and all of them keep kB or less.
+    """
 
     def __init__(self, path: str, spaces: bool, keep: int = 600_000, group_chars: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.model_only = Tokenizer(self.tokenizer.model)
-        self.model_only.pre_tokenizer = CharDelimiterSplit(" ")
-        vocabulary = self.tokenizer.get_vocab()
-        #: ids that begin (byte-level) or end a word
-        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.edge[[i for token, i in vocabulary.items() if (token.startswith(SPACE) if spaces else token.endswith("</w>"))]] = True
         self.spaces, self.keep, self.group_chars = spaces, keep, group_chars or min(6_000_000, 20 * keep)
         #: piece with its leading space (if ``spaces``) to ids; None: the piece can't stand alone
         self.inner: Memory = Memory(keep)
         self.first: dict[str, bytes] = {}
-        self.words = Memory(keep // 2)
-        self.tails: dict[str, bytes] = {"": b""}
+        self.tails: dict[str, bytes] = {}
         #: words that no space precedes
         self.bare: dict[str, bytes] = {}
         self.letters = byte_letters()
+        self.long = False
         self.simple = True
         self.simple = self([SAMPLE]) == self._encode([SAMPLE])
         self.inner = Memory(keep)
@@ -94,25 +97,21 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_words(self, words: set[str], run: int = 1000) -> None:
-        """Ids of words of letters (that follow a space each), many to a call."""
-        new = self.words.recall(words)
-        lead, letters = SPACE if self.spaces else "", self.letters
-        written = [lead + (w if w.isascii() else w.encode().decode("latin-1").translate(letters)) for w in new]
-        runs = [" ".join(written[i : i + run]) for i in range(0, len(new), run)]
-        for k, e in enumerate(self.model_only.encode_batch_fast(runs, add_special_tokens=False)):
-            group = new[k * run : (k + 1) * run]
-            ids = np.array(e.ids, "<u4")
-            at = np.flatnonzero(self.edge[ids])
-            ends = ([*at[1:].tolist(), len(ids)] if self.spaces else (at + 1).tolist())
-            raw = ids.tobytes()
-            self.words.now.update(zip(group, [raw[4 * a : 4 * z] for a, z in zip([0, *ends], ends, strict=False)], strict=True))
+    def _learn_words(self, words: list[str]) -> None:
+        """Ids of words of letters (that follow a space each), by the model alone."""
+        letters, lead = self.letters, SPACE if self.spaces else ""
+        written = words
+        if not "".join(words).isascii():
+            written = [w if w.isascii() else w.encode().decode("latin-1").translate(letters) for w in words]
+        tokenize = self.tokenizer.model.tokenize
+        ids = [[t.id for t in tokenize(lead + w)] for w in written]
+        ends = list(accumulate(map(len, ids), initial=0))
+        raw = np.fromiter(chain.from_iterable(ids), "<u4", ends[-1]).tobytes()
+        self.inner.now.update(zip(words, [raw[4 * a : 4 * z] for a, z in zip(ends, ends[1:], strict=False)], strict=True))
 
     def _tail(self, tail: str) -> bytes:
         """Ids of what follows a word without a space: stops, or a line end and a word."""
         if tail not in self.tails:
-            if len(self.tails) > self.keep:
-                self.tails = {"": b""}
             self.tails[tail] = self._encode([tail])[0]
         return self.tails[tail]
 
@@ -120,18 +119,31 @@ class Encoder:
         """Learns the pieces of one word and stops; the others are returned."""
         if not self.simple:
             return pieces
-        cores = [p.rstrip(STOPS) for p in pieces]
+        words = [p for p in pieces if p.isalpha()]
+        others = [p for p in pieces if not p.isalpha()]
+        cores = [p.rstrip(STOPS) for p in others]
+        fits = [c.isalpha() for c in cores]
+        rest = [p for p, f in zip(others, fits, strict=True) if not f]
+        stopped, cores = list(compress(others, fits)), list(compress(cores, fits))
         try:
+            "".join(words).encode("latin-1")
             "".join(cores).encode("latin-1")
-            fits = [c.isalpha() for c in cores]
         except UnicodeEncodeError:
-            fits = [c.isalpha() and (c.isascii() or max(c) < "\u0100") for c in cores]
-        rest = [p for p, f in zip(pieces, fits, strict=True) if not f]
-        plain, cores = list(compress(pieces, fits)), list(compress(cores, fits))
+            wide = {w for w in (*words, *cores) if not w.isascii() and max(w) > "\u00ff"}
+            rest += [w for w in words if w in wide] + [p for p, c in zip(stopped, cores, strict=True) if c in wide]
+            words = [w for w in words if w not in wide]
+            stopped, cores = [p for p, c in zip(stopped, cores, strict=True) if c not in wide], [c for c in cores if c not in wide]
         roots = cores if self.spaces else [c.lower() for c in cores]
-        self._learn_words(set(roots))
-        words, tail = self.words.now, self._tail
-        self.inner.now.update({p: words[r] if len(p) == len(c) else words[r] + tail(p[len(c) :]) for p, c, r in zip(plain, cores, roots, strict=True)})
+        if not self.spaces:
+            # only texts that could not be lower-cased as a whole still hold capitals
+            capital = [w for w in words if w != w.lower()]
+            if capital:
+                words = [w for w in words if w == w.lower()]
+                stopped, roots, cores = stopped + capital, roots + [w.lower() for w in capital], cores + capital
+        self._learn_words(list({*words, *self.inner.recall(set(roots))}))
+        known, tail = self.inner.now, self._tail
+        ends = {t: tail(t) for t in {p[len(c) :] for p, c in zip(stopped, cores, strict=True)}}
+        known.update([(p, known[r] + ends[p[len(c) :]]) for p, c, r in zip(stopped, cores, roots, strict=True)])
         return rest
 
     def _after_lines(self, pieces: list[str]) -> list[str]:
@@ -174,6 +186,7 @@ class Encoder:
         return [found[a:z] for a, z in zip([0, *ends], ends, strict=False)]
 
     def _learn(self, missing: set[str]) -> None:
+        self.long = self.long or max(map(len, missing)) > LONG
         rest = self._plain(self.inner.recall(missing))
         lead = ""
         if self.spaces:
@@ -189,20 +202,36 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out, group, size = [], [], 0
-        for t in texts:
-            group.append(t)
-            size += len(t)
-            if size > self.group_chars:
-                out += self._group(group)
-                group, size = [], 0
-        return out + self._group(group)
+        # nothing here forms cycles, and the collector would walk millions of entries
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            for t in texts:
+                group.append(t)
+                size += len(t)
+                if size > self.group_chars:
+                    out += self._group(group)
+                    group, size = [], 0
+            return out + self._group(group)
+        finally:
+            if collects:
+                gc.enable()
+
+    def forget(self) -> None:
+        """Drops all that is remembered."""
+        self.inner = Memory(self.keep)
+        self.first, self.tails, self.bare = {}, {}, {}
 
     def _group(self, texts: list[str]) -> list[bytes]:
-        for held in (self.first, self.bare):
+        for held in (self.first, self.bare, self.tails):
             if len(held) > self.keep:
                 held.clear()
+        if self.long:
+            for held in (self.inner.now, self.first, self.bare, self.tails):
+                for k in [k for k in held if len(k) > LONG]:
+                    del held[k]
+            self.long = False
         self.inner.rotate()
-        self.words.rotate()
         split = [t.replace("\n", " " + LINE).split(" ") for t in texts] if self.spaces else [self._plainer(t).split(" ") for t in texts]
         if not self.spaces:
             return [b"".join(p) for p in self._ids(split)]
@@ -228,6 +257,7 @@ class Encoder:
 
     def _learn_heads(self, heads: list[str]) -> None:
         new = list(set(heads).difference(self.first))
+        self.long = self.long or max(map(len, new), default=0) > LONG
         self.first.update(zip(new, self._encode(new), strict=True))
 
     def _carefully(self, texts: list[str]) -> list[bytes]:
@@ -242,5 +272,5 @@ class Encoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str, spaces: bool, keep: int = 600_000) -> Encoder:
-    """The encoder of this worker process, kept from task to task with up to 2 * keep pieces and keep words."""
+    """The encoder of this worker process, kept from task to task with up to 2 * keep pieces."""
     return Encoder(path, spaces, keep)

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from pairloom.llm.tokens import Encoder, Memory
+from pairloom.llm.tokens import LONG, Encoder, Memory
 
 ALPHABET = ["a", "B", "the", "é", "ß", "Σ", "1", "'s", "'", ".", ",", "!?", "-", "_", " ", "  ", "\n", "\n\n", "\t", "\x1c", "\0", "\x85", "\u00a0", "\u0301", "\u3000", "语", "<|endoftext|>", "§", "Ġ", "</w>"]
 KINDS = (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False))
@@ -44,7 +44,7 @@ def test_memory_stays_bounded_and_right():
     e = Encoder(public_tokenizers.path("byte_bpe_50k.json"), True, keep=20, group_chars=50)
     texts = [f"w{i} alpha beta{chr(97 + i % 26)} gamma. delta\nepsilon{chr(97 + i % 7)}" for i in range(200)]
     assert e(texts) == whole(e, texts)
-    assert len(e.inner.now) < 200 and len(e.words.now) < 200
+    assert len(e.inner.now) < 200 and len(e.inner.before) < 200
 
 
 def test_memory_recalls_what_is_used():
@@ -52,3 +52,17 @@ def test_memory_recalls_what_is_used():
     m.now.update({"a": 1, "b": 2, "c": 3})
     m.rotate()
     assert m.recall({"a", "z"}) == ["z"] and m.now == {"a": 1}
+
+
+@pytest.mark.parametrize(("name", "spaces"), KINDS)
+def test_long_pieces_are_not_remembered(name, spaces):
+    e = Encoder(public_tokenizers.path(name), spaces, group_chars=10)
+    texts = [f"{'ab' * 60_000}{i} x {'Q9' * 50_000}{i} y.\n{'z' * 100_000}{i}" for i in range(3)] + ["end of it"]
+    assert e(texts) == whole(e, texts)
+    assert max(len(k) for held in (e.inner.now, e.inner.before, e.first, e.bare, e.tails) for k in held) <= LONG
+
+
+def test_capitals_in_texts_of_several_scripts():
+    e = Encoder(public_tokenizers.path("word_bpe_49k.json"), False)
+    texts = ["Word WORD, Жук Word. ЖУК!", "WORD only word; Zed"]
+    assert e(texts) == whole(e, texts)
