@@ -3,9 +3,9 @@
 A piece of n tokens costs ``linear`` * n + ``quadratic`` * n * n (attention within a
 document). Documents longer than a sequence are first cut into full sequences and a
 rest. Rests and short documents, by descending cost, then go to the cheapest sequence
-with room for them; when none of the ``LOOK`` cheapest has room, the piece is cut at the
-room of the cheapest and its tail goes on. There are as many sequences as the tokens
-need, so all but the last of a cell end up full.
+with room for them; when no sequence has room, the piece is cut at the room of the
+cheapest that is not full, and its tail takes its place in the descending order. There
+are as many sequences as the tokens need, so all but the last of a cell end up full.
 
 A cell is what one task has read up to ``cell_tokens`` tokens: packing needs no shuffle,
 its memory is bounded, and a cell wastes less than one sequence.
@@ -27,10 +27,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents
+from .common import documents, trimmed
 from .tokens import encoder
 
-LOOK = 8
 SCHEMA = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -45,31 +44,46 @@ def pack_cell(lengths: list[int], capacity: int, linear: float = 1.0, quadratic:
             full += 1
         if n - whole * capacity:
             rest.append((n - whole * capacity, d, whole * capacity))
-    rest.sort(key=lambda r: (-r[0], r[1]))
-    count = -(-sum(r[0] for r in rest) // capacity)
-    #: (cost so far, sequence, tokens used)
-    heap = [(0.0, full + i, 0) for i in range(count)]
-
-    def put(entry: tuple[float, int, int], d: int, start: int, n: int) -> None:
-        cost, s, used = entry
-        out.append((d, start, n, s, used))
-        if used + n < capacity:
-            heapq.heappush(heap, (cost + linear * n + quadratic * n * n, s, used + n))
-
-    for n, d, start in rest:
-        while n:
-            tried = []
-            while heap and len(tried) < LOOK:
-                tried.append(heapq.heappop(heap))
-                if capacity - tried[-1][2] >= n:
-                    break
-            fits = capacity - tried[-1][2] >= n
-            chosen = tried.pop() if fits else tried.pop(0)
-            for entry in tried:
-                heapq.heappush(heap, entry)
-            part = min(n, capacity - chosen[2])
-            put(chosen, d, start, part)
-            n, start = n - part, start + part
+    rest = [(-n, d, start) for n, d, start in rest]
+    heapq.heapify(rest)
+    count = -(-sum(-r[0] for r in rest) // capacity)
+    room, cost = [capacity] * count, [0.0] * count
+    #: sequences with room for the piece in hand, cheapest first; pieces descend, so they stay here until used
+    ready = [(0.0, s) for s in range(count)]
+    #: the others by room, and cheapest first; entries that no longer hold are passed over
+    narrow: list[list[int]] = [[] for _ in range(capacity + 1)]
+    cheap: list[tuple[float, int]] = []
+    waits = [False] * count
+    least = capacity
+    while rest:
+        n, d, start = heapq.heappop(rest)
+        n = -n
+        for r in range(n, least):
+            for s in narrow[r]:
+                if waits[s] and room[s] == r:
+                    waits[s] = False
+                    heapq.heappush(ready, (cost[s], s))
+            narrow[r] = []
+        least = n
+        if ready:
+            s = heapq.heappop(ready)[1]
+        else:
+            c, s = heapq.heappop(cheap)
+            while not waits[s] or cost[s] != c:
+                c, s = heapq.heappop(cheap)
+            waits[s] = False
+        part = min(n, room[s])
+        out.append((d, start, part, full + s, capacity - room[s]))
+        room[s] -= part
+        cost[s] += linear * part + quadratic * part * part
+        if room[s] >= n:
+            heapq.heappush(ready, (cost[s], s))
+        elif room[s]:
+            waits[s] = True
+            narrow[room[s]].append(s)
+            heapq.heappush(cheap, (cost[s], s))
+        if part < n:
+            heapq.heappush(rest, (part - n, d, start + part))
     return out
 
 
@@ -110,7 +124,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     """
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     source = docs.selectExpr(f"cast(`{id_col}` as long) as id", f"`{text_col}` as text")
-    packed = source.mapInArrow(lambda it: _cells(it, path, end_id, capacity, cell_tokens, linear, quadratic, keep), SCHEMA)
+    packed = source.mapInArrow(lambda it: trimmed(_cells(it, path, end_id, capacity, cell_tokens, linear, quadratic, keep)), SCHEMA)
     return packed.withColumnRenamed("id", id_col)
 
 
