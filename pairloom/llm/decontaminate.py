@@ -4,18 +4,21 @@ A document is contaminated by an item of m words if some passage of it is within
 ``floor(share * m)`` word edits. Words are lower-cased and stripped of all but letters
 and digits; what is then empty is no word.
 
-Windows of the item's size are mapped by CGK random walks, which turn edit distance into
-Hamming distance, to strings of 3 m symbols; tables of sampled coordinates (bit-sampling
-LSH), repeated with fresh walks, find the windows that share a table's key with the item.
-The number of walks is fitted per item length so that simulated passages at the largest
-distance are found with probability ``recall`` at least; for long items that ``MAX_WALKS``
-walks do not bring to it, all placed windows go on. What is found is verified with the
-exact edit distance between the item and the best passage around the window.
-
-Which windows are embedded is decided without loss first: of k + 1 disjoint runs of an
-item's words, k edits leave one intact, so only windows placed by an intact run can be
-close enough. Items reach the tasks in blocks of at most ``block_bytes`` of text, each a
-pass over the documents; the blocks are a broadcast of that bounded size.
+CGK random walks map windows of the item's size to strings in which edit distance becomes
+Hamming distance; tables of sampled coordinates (bit-sampling LSH), repeated with fresh
+walks, are the index: an item is found where a window of a document shares a table's key
+with it. Sizes are classes about 15 per cent apart, an item is indexed by as many of its
+first words as its class has; an item of more than ``LONGEST`` words by each of several
+equal parts, one of which has no more than its share of the edits. The number of walks of
+a class grows until simulated passages at the largest distance are found with probability
+``recall``; if that takes more than ``GIVE_UP`` walks, it is an error, never a loss. What
+is found is verified with the exact edit distance between item and passage.
+
+Every window of every document is probed, but for those that cannot be close to anything:
+a window of M words within k edits of an item holds M - k words of the items of its class
+at least, which a running count tells. Items reach the tasks in blocks of at most
+``block_bytes`` of text, each a pass over the documents; the blocks are a broadcast of
+that bounded size.
 
 Defined results: a null or empty text, or item, matches nothing; null ids are carried as
 null; repeated documents give repeated results, repeated items a row each; an empty table
@@ -27,69 +30,97 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import cached_property
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, trimmed
 
 STRIP = re.compile(r"[\W_]+")
 SAMPLED = 3
-TABLES = 4
-MAX_WALKS = 24
+TABLES = 16
+#: walks are drawn, fitted and probed in groups
+GROUP = 4
+GIVE_UP = 2048
+#: words of the longest window
+LONGEST = 100
+#: words of documents that are probed at once
+PASS_WORDS = 400_000
 PAD = 0xFFFFFFFF
-U32 = np.uint32
+U32, U64 = np.uint32, np.uint64
 SCHEMA = "id long, item_id long, distance int, item_words int, word_start long, word_end long"
 
 
 def bare(word: str) -> str:
-    return STRIP.sub("", word.lower())
+    word = word.lower()
+    return word if word.isalnum() else STRIP.sub("", word)
 
 
 def item_words(text: str | None) -> list[str]:
     return [w for w in map(bare, (text or "").split()) if w]
 
 
-def walks(windows: np.ndarray, m: int, first: int, count: int, coords: np.ndarray) -> np.ndarray:
-    """Table keys (windows, count, TABLES) of CGK walks ``first`` and on over rows of m symbols.
+def sizes() -> list[int]:
+    """Window sizes, each at most 15 per cent (or one word) larger than the one before."""
+    out = [1]
+    while out[-1] < LONGEST:
+        out.append(min(LONGEST, max(out[-1] + 1, out[-1] * 23 // 20)))
+    return out
 
-    In each of 2 m steps (of the 3 m of the embedding; the others mostly read the padding)
-    a walk puts out its symbol and moves on if the random bit of (walk, step, symbol) says so.
-    coords: (count, TABLES, SAMPLED) steps whose symbols make a table's key.
-    """
-    n = len(windows)
-    padded = np.concatenate([windows.astype(np.uint32), np.full((n, 1), PAD, np.uint32)], 1)
-    rows = np.arange(n)[:, None]
-    at = np.zeros((n, count), np.int64)
-    salt = (np.arange(first, first + count, dtype=np.uint32) * U32(2246822519))[None, :]
-    wanted = defaultdict(list)
-    for r, t, s in np.ndindex(coords.shape):
-        wanted[int(coords[r, t, s])].append((r, t, s))
-    keys = np.zeros((n, *coords.shape), np.uint32)
-    for step in range(max(wanted) + 1):
-        sym = padded[rows, at]
-        for r, t, s in wanted.get(step, ()):
-            keys[:, r, t, s] = sym[:, r]
-        h = (sym ^ U32((step * 2654435761) & PAD)) * U32(0x85EBCA6B) ^ salt
-        h = (h ^ (h >> U32(15))) * U32(0xC2B2AE35)
-        at = np.minimum(at + ((h >> U32(16)) & U32(1)), m)
-    return keys
 
+def size_of(m: int) -> int:
+    return max(n for n in sizes() if n <= m)
 
-def coordinates(m: int, seed: int) -> np.ndarray:
-    return np.random.default_rng([seed, m]).integers(0, max(1, 2 * m), (MAX_WALKS, TABLES, SAMPLED))
 
+def parts_of(m: int, edits: int) -> tuple[int, list[int], int]:
+    """(window size, offsets of the parts, edits in the best part) of an item of m words."""
+    n = -(-m // LONGEST)
+    return size_of(m // n), [i * (m // n) for i in range(n)], edits // n
 
-def collides(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """(windows, walks): some table of the walk has equal keys."""
-    return (a == b).all(3).any(2)
 
+def walks(windows: np.ndarray, group: int, seed: int) -> np.ndarray:
+    """Table keys (windows, GROUP * TABLES) of the walks of a group over rows of m symbols; 0 where the key reads padding.
 
-def fitted_walks(m: int, k: int, recall: float, seed: int, trials: int = 200) -> int | None:
-    """Walks after which ``recall`` of simulated passages with k edits have collided; None if MAX_WALKS are too few."""
+    In each of 2 m steps (of the 3 m of the embedding; the others mostly read the padding)
+    a walk puts out its symbol and moves on if the random bit of (walk, step, symbol) says so.
+    """
+    n, m = windows.shape
+    coords = np.random.default_rng([seed, m, group]).integers(0, 2 * m, (GROUP, TABLES, SAMPLED))
+    padded = np.concatenate([windows.astype(U32), np.full((n, 1), PAD, U32)], 1).ravel()
+    last = (np.arange(n, dtype=np.int64) * (m + 1) + m)[None, :]
+    at = np.repeat(last - m, GROUP, 0)
+    salt = (np.arange(group * GROUP, (group + 1) * GROUP).astype(U32) * U32(2246822519))[:, None]
+    wanted = defaultdict(list)
+    for r, t, c in np.ndindex(coords.shape):
+        wanted[int(coords[r, t, c])].append((r, t, c))
+    symbols = np.zeros((SAMPLED, GROUP * TABLES, n), U32)
+    for step in range(max(wanted) + 1):
+        sym = padded.take(at)
+        for r, t, c in wanted.get(step, ()):
+            symbols[c, r * TABLES + t] = sym[r]
+        h = sym
+        h ^= U32((step * 2654435761) & PAD)
+        h *= U32(0x85EBCA6B)
+        h ^= salt
+        h ^= h >> U32(15)
+        h *= U32(0xC2B2AE35)
+        h >>= U32(16)
+        h &= U32(1)
+        at += h
+        np.minimum(at, last, out=at)
+    keys = np.repeat((np.arange(GROUP * TABLES) + group * GROUP * TABLES).astype(U64)[:, None], n, 1)
+    for c in range(SAMPLED):
+        keys = (keys ^ symbols[c]) * U64(0x9E3779B97F4A7C15)
+        keys ^= keys >> U64(29)
+    return np.where((symbols == PAD).any(0), U64(0), keys | U64(1)).T
+
+
+@lru_cache(maxsize=1024)
+def fitted_groups(m: int, k: int, recall: float, seed: int, trials: int = 1000) -> int:
+    """Groups of walks after which ``recall`` of simulated passages with k edits share a key with their item."""
     rng = np.random.default_rng([seed, m, k])
     items = rng.integers(1, 1 << 30, (trials, m))
     edited = np.zeros((trials, m), np.int64)
@@ -103,13 +134,14 @@ def fitted_walks(m: int, k: int, recall: float, seed: int, trials: int = 200) ->
                 x.insert(p, int(rng.integers(1 << 30, 1 << 31)))
             elif x:
                 x.pop(p)
-        x = (x + rng.integers(1 << 30, 1 << 31, m).tolist())[:m]
-        edited[i] = x
-    coords = coordinates(m, seed)
-    hit = collides(walks(items, m, 0, MAX_WALKS, coords), walks(edited, m, 0, MAX_WALKS, coords))
-    found = np.maximum.accumulate(hit, 1).mean(0)
-    enough = np.flatnonzero(found >= recall)
-    return int(enough[0]) + 1 if len(enough) else None
+        edited[i] = (x + rng.integers(1 << 30, 1 << 31, m).tolist())[:m]
+    lost = np.arange(trials)
+    for group in range(GIVE_UP // GROUP):
+        a, b = walks(items[lost], group, seed), walks(edited[lost], group, seed)
+        lost = lost[~((a == b) & (a > 0)).any(1)]
+        if len(lost) <= (1 - recall) * trials:
+            return group + 1
+    raise ValueError(f"{GIVE_UP} walks do not find passages with {k} edits in {m} words with probability {recall}")
 
 
 def edit_rows(item: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -146,123 +178,143 @@ class Block:
                 self.words.append(np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words]))
                 self.edits.append(int(share * len(words)))
         self.vocabulary = vocabulary
-        #: run length to {hash: [(item, offset)]}
-        self.seeds: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        #: window size to (item, offset of the part in it)
+        self.parts: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        most: dict[int, int] = defaultdict(int)
         for i, (w, k) in enumerate(zip(self.words, self.edits, strict=True)):
-            q = len(w) // (k + 1)
-            h = run_hash(w, q)
-            for piece in range(k + 1):
-                self.seeds[q][int(h[piece * q])].append((i, piece * q))
-        self.seeds = {q: dict(v) for q, v in self.seeds.items()}
-        lengths = {}
-        for w, k in zip(self.words, self.edits, strict=True):
-            # one simulation for each ten words of length, at the upper end
-            m = -(-len(w) // 10) * 10
-            lengths.setdefault(m, fitted_walks(m, int(share * m), recall, seed))
-        self.walks = [lengths[-(-len(w) // 10) * 10] for w in self.words]
-
-    @cached_property
-    def item_keys(self) -> list[np.ndarray | None]:
-        out = []
-        for w, count in zip(self.words, self.walks, strict=True):
-            out.append(None if count is None else walks(w[None], len(w), 0, count, coordinates(len(w), self.seed)[:count]))
-        return out
-
+            m, offsets, edits = parts_of(len(w), k)
+            self.parts[m] += [(i, o) for o in offsets]
+            # what the class's longest item may have, so that a block does not decide on the walks
+            most[m] = max(most[m], edits, int(share * (min(n for n in [*sizes(), LONGEST + 1] if n > m) - 1)))
+        self.parts = dict(sorted(self.parts.items()))
+        #: window size to the least number of words of its items that a close window holds, and to groups of walks
+        self.least = {m: max(1, m - most[m]) for m in self.parts}
+        self.groups = {m: fitted_groups(m, min(most[m], m - 1), recall, seed) for m in self.parts}
+        #: which sizes a word's items have
+        self.sizes = {m: np.zeros(len(vocabulary) + 1, bool) for m in self.parts}
+        #: (size, group) to sorted keys and the part each is of
+        self.tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        for m, parts in self.parts.items():
+            rows = np.stack([self.words[i][o : o + m] for i, o in parts])
+            self.sizes[m][rows.ravel()] = True
+            for g in range(self.groups[m]):
+                keys = np.concatenate([walks(rows[at : at + 4096], g, seed) for at in range(0, len(rows), 4096)])
+                part = np.repeat(np.arange(len(rows), dtype=np.int32), keys.shape[1])
+                keys = keys.ravel()
+                part, keys = part[keys > 0], keys[keys > 0]
+                order = np.argsort(keys, kind="stable")
+                self.tables[m, g] = keys[order], part[order]
+
+
+class Numbers(dict):
+    """Words to vocabulary numbers, -1 for words that are empty when bare; filled as words come up."""
+
+    def __init__(self, vocabulary: dict[str, int]):
+        self.vocabulary = vocabulary
 
-def run_hash(words: np.ndarray, q: int) -> np.ndarray:
-    """Hash of each run of q vocabulary numbers; 0 where one is unknown."""
-    n = len(words) - q + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out, known = np.zeros(n, np.uint64), np.ones(n, bool)
-    for i in range(q):
-        w = words[i : n + i]
-        out = (out ^ w.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(31)
-        known &= w > 0
-    return np.where(known, out | np.uint64(1), np.uint64(0))
+    def __missing__(self, word: str) -> int:
+        b = bare(word)
+        n = self[word] = self.vocabulary.get(b, 0) if b else -1
+        return n
 
 
 class Matcher:
     def __init__(self, block: Block, keep: int = 200_000):
         self.block, self.keep = block, keep
-        self.numbers: dict[str, int] = {}
-        self.sorted = {q: np.array(sorted(v), np.uint64) for q, v in block.seeds.items()}
+        self.numbers = Numbers(block.vocabulary)
 
     def numbered(self, text: str) -> np.ndarray:
         """Vocabulary numbers of the text's words (0: not in any item); empty words are left out."""
         if len(self.numbers) > self.keep:
             self.numbers.clear()
-        raw, known = text.split(), self.numbers
-        for w in set(raw).difference(known):
-            b = bare(w)
-            known[w] = self.block.vocabulary.get(b, 0) if b else -1
-        out = np.fromiter(map(known.__getitem__, raw), np.int64, len(raw))
+        raw = text.split()
+        out = np.fromiter(map(self.numbers.__getitem__, raw), np.int64, len(raw))
         return out[out >= 0]
 
-    def matches(self, words: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item, distance, start, end), the closest passage for each item."""
-        starts: dict[int, set[int]] = defaultdict(set)
-        for q, hashes in self.sorted.items():
-            h = run_hash(words, q)
-            at = np.flatnonzero(h)
-            if not len(at):
-                continue
-            place = np.searchsorted(hashes, h[at]).clip(max=len(hashes) - 1)
-            for p in at[hashes[place] == h[at]]:
-                for item, offset in self.block.seeds[q][int(h[p])]:
-                    starts[item].add(int(p) - offset)
-        out = []
-        for item, placed in starts.items():
-            best = self._verified(words, item, self._embedded(words, item, placed))
+    def probed(self, words: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(start, part) of all windows of one size that share a table's key with a part; ends: of each word's document."""
+        b, found = self.block, [np.zeros(0, np.int64)]
+        count = np.concatenate([[0], np.cumsum(b.sizes[size][words])])
+        end = np.minimum(np.arange(len(words)) + size, ends)
+        starts = np.flatnonzero(count[end] - count[:-1] >= b.least[size])
+        parts = len(b.parts[size])
+        for at in range(0, len(starts), 2048):
+            some = starts[at : at + 2048]
+            place = some[:, None] + np.arange(size)
+            windows = np.where(place < ends[some][:, None], words[place.clip(max=len(words) - 1)], 0)
+            for g in range(b.groups[size]):
+                index, of = b.tables[size, g]
+                if not len(index):
+                    continue
+                keys = walks(windows, g, b.seed)
+                lo = np.searchsorted(index, keys)
+                window, key = np.nonzero(index[lo.clip(max=len(index) - 1)] == keys)
+                if len(window):
+                    first = lo[window, key]
+                    n = np.searchsorted(index, keys[window, key], side="right") - first
+                    entry = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    found.append(np.unique(some[np.repeat(window, n)] * parts + of[entry]))
+        pairs = np.unique(np.concatenate(found))
+        return pairs // parts, pairs % parts
+
+    def matches(self, docs: list[np.ndarray]) -> list[list[tuple[int, int, int, int]]]:
+        """For each document (item, distance, start, end), the closest passage for each item."""
+        out: list[list[tuple[int, int, int, int]]] = [[] for _ in docs]
+        cuts = np.cumsum([0, *map(len, docs)])
+        if not cuts[-1]:
+            return out
+        words, ends = np.concatenate(docs), np.repeat(cuts[1:], np.diff(cuts))
+        placed: dict[tuple[int, int], set[int]] = defaultdict(set)
+        for size, parts in self.block.parts.items():
+            starts, part = self.probed(words, ends, size)
+            doc = np.searchsorted(cuts, starts, side="right") - 1
+            for d, p, start in zip(doc.tolist(), part.tolist(), (starts - cuts[doc]).tolist(), strict=True):
+                item, offset = parts[p]
+                placed[d, item].add(start - offset)
+        for (d, item), at in sorted(placed.items()):
+            best = self._verified(docs[d], item, sorted(at))
             if best:
-                out.append((item, *best))
+                out[d].append((item, *best))
         return out
 
-    def _embedded(self, words: np.ndarray, item: int, placed: set[int]) -> list[int]:
-        """Starts of windows that share a table's key with the item; all, if its walks miss the recall."""
-        b = self.block
-        m, k = len(b.words[item]), b.edits[item]
-        starts = np.array(sorted({s + d for s in placed for d in range(-k, k + 1) if -k <= s + d < len(words)}), np.int64)
-        if b.walks[item] is None:
-            return starts.tolist()
-        found: list[int] = []
-        coords = coordinates(m, b.seed)[: b.walks[item]]
-        for at in range(0, len(starts), 2048):
-            part = starts[at : at + 2048]
-            place = part[:, None] + np.arange(m)
-            inside = (place >= 0) & (place < len(words))
-            windows = np.where(inside, words[place.clip(0, len(words) - 1)], 0)
-            hit = collides(walks(windows, m, 0, b.walks[item], coords), b.item_keys[item]).any(1)
-            found += part[hit].tolist()
-        return found
-
     def _verified(self, words: np.ndarray, item: int, starts: list[int]) -> tuple[int, int, int] | None:
-        b = self.block
-        w, k = b.words[item], b.edits[item]
-        best = None
-        at = 0
+        """The closest passage around windows that start (or would start) there; those that overlap are one stretch."""
+        w, k = self.block.words[item], self.block.edits[item]
+        best, at = None, 0
         while at < len(starts):
-            # windows that overlap are verified as one stretch
-            lo, hi = starts[at] - k, starts[at] + len(w) + k
-            while at + 1 < len(starts) and starts[at + 1] - k < hi and starts[at + 1] - starts[at] <= k + 1:
+            lo, hi = starts[at] - k, starts[at] + len(w) + 2 * k
+            while at + 1 < len(starts) and starts[at + 1] - starts[at] <= k + 1:
                 at += 1
-                hi = starts[at] + len(w) + k
+                hi = starts[at] + len(w) + 2 * k
             at += 1
             lo, hi = max(lo, 0), min(hi, len(words))
-            d, a, z = best_passage(w, words[lo:hi])
-            if d <= k and (best is None or (d, a + lo) < best[:2]):
-                best = (d, a + lo, z + lo)
+            # a passage within k edits holds all but k of the item's words
+            if lo < hi and np.isin(w, words[lo:hi]).sum() >= len(w) - k:
+                d, a, z = best_passage(w, words[lo:hi])
+                if d <= k and (best is None or (d, a + lo) < best[:2]):
+                    best = (d, a + lo, z + lo)
         return best
 
 
+def _judged(texts: pa.Array, matcher: Matcher) -> Iterator[list[tuple[int, int, int, int]]]:
+    """Matches of each text, in order; short texts are probed together."""
+    held, n = [], 0
+    for text in texts:
+        held.append(matcher.numbered(text.as_py() or ""))
+        n += len(held[-1])
+        if n >= PASS_WORDS:
+            yield from matcher.matches(held)
+            held, n = [], 0
+    yield from matcher.matches(held)
+
+
 def _matched(batches: Iterator[pa.RecordBatch], block: Block) -> Iterator[pa.RecordBatch]:
     matcher = Matcher(block)
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     for b in batches:
         rows = []
-        for id_, text in zip(b.column("id"), b.column("text"), strict=True):
-            for item, d, a, z in matcher.matches(matcher.numbered(text.as_py() or "")):
+        for id_, found in zip(b.column("id"), _judged(b.column("text"), matcher), strict=True):
+            for item, d, a, z in found:
                 rows.append((id_.as_py(), block.ids[item], d, len(block.words[item]), a, z))
         columns = list(zip(*rows, strict=True)) or [()] * 6
         types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
@@ -272,7 +324,7 @@ def _matched(batches: Iterator[pa.RecordBatch], block: Block) -> Iterator[pa.Rec
 def _clean(batches: Iterator[pa.RecordBatch], block: Block, at: int) -> Iterator[pa.RecordBatch]:
     matcher = Matcher(block)
     for b in batches:
-        yield b.filter(pa.array([not matcher.matches(matcher.numbered(t.as_py() or "")) for t in b.column(at)], pa.bool_()))
+        yield b.filter(pa.array([not found for found in _judged(b.column(at), matcher)], pa.bool_()))
 
 
 def blocks(items: DataFrame, id_col: str, text_col: str, share: float, recall: float, seed: int, block_bytes: int) -> Iterator[Block]:
@@ -292,7 +344,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     out = docs.sparkSession.createDataFrame([], SCHEMA)
     for block in blocks(items, item_id, item_text, share, recall, seed, block_bytes):
         sent = sc.broadcast(block)
-        out = out.unionByName(source.mapInArrow(lambda it, sent=sent: _matched(it, sent.value), SCHEMA))
+        out = out.unionByName(source.mapInArrow(lambda it, sent=sent: trimmed(_matched(it, sent.value)), SCHEMA))
     return out.withColumnRenamed("id", id_col)
 
 
@@ -301,7 +353,7 @@ def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_i
     at, sc = docs.columns.index(text_col), docs.sparkSession.sparkContext
     for block in blocks(items, item_id, item_text, share, recall, seed, block_bytes):
         sent = sc.broadcast(block)
-        docs = docs.mapInArrow(lambda it, sent=sent: _clean(it, sent.value, at), docs.schema)
+        docs = docs.mapInArrow(lambda it, sent=sent: trimmed(_clean(it, sent.value, at)), docs.schema)
     return docs
 
 

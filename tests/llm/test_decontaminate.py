@@ -87,10 +87,56 @@ def test_edges(spark):
     assert decontaminate.keep_clean(docs, items.where("item_id = 9")).count() == 6
 
 
-@pytest.mark.parametrize(("m", "k"), [(10, 2), (30, 6), (50, 10)])
-def test_fitted_walks_reach_the_recall(m, k):
-    n = decontaminate.fitted_walks(m, k, 0.95, 3)
-    assert 1 <= n < decontaminate.MAX_WALKS
+def edited(words, k, rng):
+    copy = list(words)
+    for _ in range(k):
+        p, kind = rng.randrange(len(copy)), rng.randrange(3)
+        copy[p : p + (kind > 0)] = [] if kind == 2 else [f"x{rng.randrange(10**9)}"]
+    return copy
+
+
+@pytest.mark.parametrize("m", [3, 10, 50, 150, 300])
+def test_recall_at_the_largest_distance(m):
+    rng = random.Random(m)
+    k = int(0.2 * m)
+    items = [[f"w{rng.randrange(3000)}" for _ in range(m)] for _ in range(10)]
+    matcher = decontaminate.Matcher(decontaminate.Block([(i, " ".join(w)) for i, w in enumerate(items)], 0.2, 0.99, 7))
+    texts = []
+    for n in range(200):
+        text = [f"w{rng.randrange(3000)}" for _ in range(40)] + edited(items[n % 10], k, rng) + [f"w{rng.randrange(3000)}" for _ in range(40)]
+        texts.append(matcher.numbered(" ".join(text)))
+    found = matcher.matches(texts)
+    for n, of in enumerate(found):
+        assert all(d <= k and brute(items[i], [x for x in texts[n].tolist()]) >= 0 for i, d, _, _ in of)
+    assert sum(any(i == n % 10 for i, *_ in of) for n, of in enumerate(found)) >= 0.97 * 200
+
+
+def test_nothing_is_found_without_the_tables(spark, monkeypatch):
+    items, docs = corpus(5, 40)
+    block = decontaminate.Block(items, 0.2, 0.99, 7)
+    texts = [decontaminate.Matcher(block).numbered(t) for _, t in docs]
+    assert any(decontaminate.Matcher(block).matches(texts))
+    block.tables = {k: (x[:0], y[:0]) for k, (x, y) in block.tables.items()}
+    assert not any(decontaminate.Matcher(block).matches(texts))
+
+
+def test_no_close_window_is_passed_over():
+    """The count of known words never drops a window within the edits of an item."""
+    rng = random.Random(8)
+    items, _ = corpus(8, 1)
+    block = decontaminate.Block(items, 0.2, 0.99, 7)
+    for i, (w, k) in enumerate(zip(block.words, block.edits, strict=True)):
+        m, offsets, edits = decontaminate.parts_of(len(w), k)
+        for _ in range(20):
+            copy = edited([str(x) for x in w[:m]], min(edits, m - 1), rng)[:m]
+            held = sum(block.sizes[m][int(x)] for x in copy if x.isdigit())
+            assert held >= block.least[m], i
+
+
+def test_a_recall_out_of_reach_is_an_error(monkeypatch):
+    monkeypatch.setattr(decontaminate, "GIVE_UP", 8)
+    with pytest.raises(ValueError, match="walks"):
+        decontaminate.fitted_groups(100, 90, 0.99, 1, 50)
 
 
 def test_edit_distance_is_exact():
@@ -120,5 +166,5 @@ def test_near_copies_of_a_long_item_are_found():
             p, kind = rng.randrange(len(copy)), rng.randrange(3)
             copy[p : p + (kind > 0)] = [] if kind == 2 else [f"x{rng.random()}"]
         text = [f"y{i}" for i in range(50)] + copy + [f"z{i}" for i in range(50)]
-        found += any(d <= 160 for _, d, _, _ in m.matches(m.numbered(" ".join(text))))
+        found += any(d <= 160 for _, d, _, _ in m.matches([m.numbered(" ".join(text))])[0])
     assert found == 12, found
