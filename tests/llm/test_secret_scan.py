@@ -93,3 +93,91 @@ def test_query(spark, sf_dir):
         spans = base(r.text)
         assert got[r.doc_id].base_sha256 == hashlib.sha256(spell(spans).encode()).hexdigest()
         assert [got[r.doc_id][c] for c in ("n_assign", "n_access", "n_hex")] == [sum(k == i for _, k, _ in spans) for i in range(3)]
+
+
+def python_battery(token):
+    """(band, bin) by the textbook formulas, one token at a time."""
+    bare = token.rstrip("=")
+    abc = next((abc for pattern, abc in secret_scan.ENCODINGS if re.match(pattern, bare)), None)
+    if abc is None:
+        return None
+    x, n, k = [abc.index(c) for c in bare], len(bare), len(abc)
+    tail = lambda z: math.erfc(abs(z) / 2**0.5)
+    chi = sum((x.count(s) - n / k) ** 2 / (n / k) for s in range(k))
+    v = 2 / (9 * (k - 1))
+    p_chi = tail(((chi / (k - 1)) ** (1 / 3) - (1 - v)) / v**0.5)
+    high = [s >= k / 2 for s in x]
+    mu = 2 * sum(high) * (n - sum(high)) / n + 1
+    var = (mu - 1) * (mu - 2) / (n - 1)
+    runs = 1 + sum(a != b for a, b in zip(high, high[1:]))
+    p_runs = tail((runs - mu) / var**0.5) if var > 1e-9 else (0.0 if var <= 0 else tail((runs - mu) / 1e-9**0.5))
+    m = sum(x) / n
+    spread = sum((s - m) ** 2 for s in x)
+    r = sum((a - m) * (b - m) for a, b in zip(x, x[1:])) / spread if spread else 1.0
+    p = min(1.0, 3 * min(p_chi, p_runs, tail((r + 1 / n) * n**0.5)))
+    return f"{k}:{int(math.log2(n))}", min(secret_scan.BINS, math.floor(-math.log10(max(p, 1e-30)) * secret_scan.BINS_PER_DECADE))
+
+
+def token_mix(seed, n=40):
+    rng = random.Random(seed)
+    words = ["river", "table", "quick", "morning", "letter", "window", "garden", "silver", "the", "and", "of", "house"]
+    out = []
+    for length in (20, 28, 40, 64, 100):
+        for _ in range(n):
+            for abc in ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"):
+                out.append((True, length, "".join(rng.choice(abc) for _ in range(length))))
+            s = ""
+            while len(s) < length:
+                w = rng.choice(words)
+                s += rng.choice([w, w.title(), w + "_", w + "-", w + str(rng.randrange(100))])
+            out.append((False, length, s[:length]))
+    return out
+
+
+def test_battery_and_cuts_against_python(spark):
+    tokens = [t for _, _, t in token_mix(2, 15)] + ["0" * 40, "ab" * 30, "31415926535897932384626433", "Z" * 25 + "=="]
+    df = spark.createDataFrame(list(enumerate(tokens)), "doc_id long, text string")
+    got = {r.doc_id: r.t for r in df.select("doc_id", secret_scan.tested(F.col("text")).alias("t")).collect()}
+    bands = {}
+    for i, t in enumerate(tokens):
+        expected = python_battery(t)
+        if expected is None:
+            assert not got[i]
+            continue
+        assert got[i][0].band == expected[0] and abs(got[i][0].bin - expected[1]) <= 1, t
+        bands.setdefault(expected[0], []).append(got[i][0].bin)
+    cuts = secret_scan.rejection_cuts(df)
+    for band, bins in bands.items():
+        # Benjamini-Hochberg, p-values rounded up to their bin's edge
+        p = sorted(10 ** (-b / secret_scan.BINS_PER_DECADE) for b in bins)
+        rejected = max((i for i, x in enumerate(p, 1) if x <= 0.05 * i / len(p)), default=0)
+        assert sum(b >= cuts[band] for b in bins) == rejected
+
+
+def test_share_of_false_reports(spark):
+    mix = token_mix(6)
+    df = spark.createDataFrame([(i, f"see {t} here") for i, (_, _, t) in enumerate(mix)], "doc_id long, text string")
+    hit = {r.doc_id for r in secret_scan.scan(df).where("size(random) > 0").collect()}
+    share = {}
+    for least, most in ((20, 31), (32, 63), (64, 127)):
+        band = [i for i, (_, n, _) in enumerate(mix) if least <= n <= most]
+        reported = [i for i in band if i in hit]
+        missed = [i for i in band if mix[i][0] and i not in hit]
+        share[least] = sum(not mix[i][0] for i in reported) / len(reported)
+        assert len(missed) <= 0.1 * sum(mix[i][0] for i in band)
+    print(share)
+    assert share[32] <= 0.1 and share[64] <= 0.02, share
+
+
+def test_a_very_long_token_and_many_matches(spark):
+    import time
+
+    rng = random.Random(9)
+    token = "".join(rng.choice("ABCDEFGHabcdefgh01234567+/") for _ in range(1_000_000))
+    many = " ".join("token=abcdefgh%d" % i for i in range(20_000))
+    df = spark.createDataFrame([(1, f"data:{token}"), (2, many)], "doc_id long, text string").repartition(2)
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in secret_scan.scan(df).collect()}
+    assert time.perf_counter() - began < 90
+    assert [(s.start, s.kind, s.end) for s in got[2].base] == base(many)
+    assert len(got[1].base) == len(base(f"data:{token}"))
