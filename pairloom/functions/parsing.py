@@ -26,12 +26,24 @@ BUILTINS = {
 ABBREVIATIONS = {"St": "std", "Sa": "std::allocator", "Sb": "std::basic_string", "Ss": "std::string", "Si": "std::istream", "So": "std::ostream", "Sd": "std::iostream"}
 
 
+#: Operator codes of the same ABI
+OPERATORS = {
+    "nw": "new", "na": "new[]", "dl": "delete", "da": "delete[]", "ng": "-", "ad": "&", "de": "*", "co": "~", "pl": "+", "mi": "-", "ml": "*", "dv": "/", "rm": "%",
+    "an": "&", "or": "|", "eo": "^", "aS": "=", "pL": "+=", "mI": "-=", "mL": "*=", "dV": "/=", "rM": "%=", "aN": "&=", "oR": "|=", "eO": "^=", "ls": "<<", "rs": ">>",
+    "lS": "<<=", "rS": ">>=", "eq": "==", "ne": "!=", "lt": "<", "gt": ">", "le": "<=", "ge": ">=", "ss": "<=>", "nt": "!", "aa": "&&", "oo": "||", "pp": "++", "mm": "--",
+    "cm": ",", "pm": "->*", "pt": "->", "cl": "()", "ix": "[]",
+}
+
+
 class _Cursor:
-    """Recursive descent over a mangled name: nested names, ctors and dtors, pointers,
-    references, qualifiers, substitutions. Anything else raises ValueError."""
+    """Recursive descent over a mangled name: nested names, ctors and dtors, operators,
+    templates, pointers, references, arrays, functions, qualifiers, substitutions.
+    Anything else raises ValueError."""
 
     def __init__(self, text: str):
         self.text, self.at, self.subs = text, 0, []
+        self.arguments: list[str] = []
+        self.templated, self.qualifier = False, ""
 
     def peek(self, n: int = 1) -> str:
         return self.text[self.at : self.at + n]
@@ -81,8 +93,10 @@ class _Cursor:
                 own = parts[-1].rsplit("::", 1)[-1]
                 parts.append(own if self.peek() == "C" else "~" + own)
                 self.at += 2
+            elif self.peek() == "I" and parts:
+                parts[-1] += self.template()
             else:
-                parts.append(self.source_name())
+                parts.append(self.unqualified())
             if self.peek() != "E":
                 self.subs.append("::".join(parts))
         if not parts:
@@ -94,17 +108,101 @@ class _Cursor:
         self.qualifier = ""
         if self.take("N"):
             return self.nested()
-        if self.take("St"):
-            return "std::" + self.source_name()
-        self.take("L")
-        return self.source_name()
+        if self.peek() == "S" and self.peek(2) != "St":
+            out = self.substitution()
+        elif self.take("St"):
+            out = "std::" + self.unqualified()
+        else:
+            self.take("L")
+            out = self.unqualified()
+        if self.peek() == "I":
+            self.subs.append(out)
+            out += self.template()
+        return out
+
+    def unqualified(self) -> str:
+        """A source name or an operator's name."""
+        if self.peek().isdigit():
+            return self.source_name()
+        code = self.peek(2)
+        if code == "cv":
+            self.at += 2
+            return f"operator {self.type()}"
+        if code in OPERATORS:
+            self.at += 2
+            sign = OPERATORS[code]
+            return f"operator {sign}" if sign[0].isalpha() else f"operator{sign}"
+        raise ValueError("name expected")
+
+    def template(self) -> str:
+        """I, arguments, E. The result type of a template function is left out by ``demangle``."""
+        self.at += 1
+        args = []
+        while not self.take("E"):
+            if self.take("J"):
+                while not self.take("E"):
+                    args.append(self.argument())
+            else:
+                args.append(self.argument())
+        self.arguments = args
+        self.templated = True
+        return f"<{', '.join(args)}>" if not args or args[-1][-1:] != ">" else f"<{', '.join(args)} >"
+
+    def argument(self) -> str:
+        if not self.take("L"):
+            return self.type()
+        kind = self.type()
+        m = re.compile(r"n?\d+").match(self.text, self.at)
+        if not m or not self.text.startswith("E", m.end()):
+            raise ValueError("literal expected")
+        self.at = m.end() + 1
+        value = m[0].replace("n", "-")
+        suffixes = {"int": "", "unsigned int": "u", "long": "l", "unsigned long": "ul"}
+        if kind == "bool":
+            return "true" if value == "1" else "false"
+        return value + suffixes[kind] if kind in suffixes else f"({kind}){value}"
+
+    def parameter(self) -> str:
+        """T_, T0_, ...: an argument of the last template."""
+        m = re.compile(r"T([0-9A-Z]*)_").match(self.text, self.at)
+        i = (int(m[1], 36) + 1 if m and m[1] else 0) if m else -1
+        if not 0 <= i < len(self.arguments):
+            raise ValueError("unknown template parameter")
+        self.at = m.end()
+        return self.arguments[i]
+
+    def function(self) -> tuple[str, str]:
+        """F, result, parameters, E as (result, parameters)."""
+        self.at += 1
+        result, args = self.type(), []
+        while not self.take("E"):
+            args.append(self.type())
+        return result, "" if args == ["void"] else ", ".join(args)
 
     def type(self) -> str:
         for code, mark in (("P", "*"), ("R", "&"), ("O", "&&")):
             if self.take(code):
-                out = self.type() + mark
+                if self.peek() == "F":
+                    result, args = self.function()
+                    self.subs.append(f"{result} ({args})")
+                    out = f"{result} ({mark})({args})"
+                elif self.peek() == "A":
+                    size, item = self.array()
+                    self.subs.append(f"{item} [{size}]")
+                    out = f"{item} ({mark}) [{size}]"
+                else:
+                    out = self.type() + mark
                 self.subs.append(out)
                 return out
+        if self.peek() == "T":
+            out = self.parameter()
+            self.subs.append(out)
+            return out
+        if self.peek() == "A":
+            size, item = self.array()
+            out = f"{item} [{size}]"
+            self.subs.append(out)
+            return out
         if self.take("K"):
             out = self.type() + " const"
             self.subs.append(out)
@@ -113,11 +211,22 @@ class _Cursor:
             self.at += 1
             return BUILTINS[self.text[self.at - 1]]
         if self.peek() == "S" and self.peek(2) != "St":
-            return self.substitution()
-        out = self.name()
+            out = self.substitution()
+            if self.peek() != "I":
+                return out
+            out += self.template()
+        else:
+            out = self.name()
         self.subs.append(out)
         return out
 
+    def array(self) -> tuple[str, str]:
+        m = re.compile(r"A(\d+)_").match(self.text, self.at)
+        if not m:
+            raise ValueError("array size expected")
+        self.at = m.end()
+        return m[1], self.type()
+
 
 def demangle(name: str | None) -> str | None:
     """The readable form of an Itanium-mangled name of the subset above, else the name itself."""
@@ -126,48 +235,27 @@ def demangle(name: str | None) -> str | None:
     c = _Cursor(name[name.index("Z") + 1 :])
     try:
         out = c.name()
-        qualifier = c.qualifier
-        args = []
+        qualifier, args = c.qualifier, []
+        result = ""
+        own = out.rsplit("::", 1)[-1]
+        if out.endswith(">") and c.at < len(c.text) and not own.startswith(("~", "operator ")):
+            # template functions carry their result type, except constructors and the like
+            result = c.type() + " "
         while c.at < len(c.text):
             args.append(c.type())
     except (ValueError, IndexError):
         return name
     if not args:
         return out
-    return f"{out}({'' if args == ['void'] else ', '.join(args)}){qualifier}"
-
-
-_TYPED = re.compile(r"[a-zA-Z_][a-zA-Z0-9_:]+\s+([a-zA-Z_][a-zA-Z0-9_]+)")
-_BARE = re.compile(r"[a-zA-Z_][a-zA-Z0-9_]+")
-
-
-def without_arguments(name: str) -> str:
-    """Text before the first outermost pair of parentheses, if the name ends with one."""
-    if not name.endswith(")") or "(" not in name:
-        return name
-    depth, opened = 0, 0
-    for i, c in enumerate(name):
-        if c == "(":
-            opened = i if depth == 0 else opened
-            depth += 1
-        elif c == ")" and depth:
-            depth -= 1
-            if depth == 0:
-                return name[:opened].strip()
-    return name.split("(")[0].strip()
+    return f"{result}{out}({'' if args == ['void'] else ', '.join(args)}){qualifier}"
 
 
 def plain_name(name: str | None) -> str | None:
-    """The function's own name in a demangled signature."""
+    """The last word of a demangled signature, parameters (from the first parenthesis to a closing one at the end) left out."""
     if name is None:
         return None
-    base = without_arguments(name).strip()
-    if m := _TYPED.fullmatch(base):
-        return m[1]
-    if _BARE.fullmatch(base):
-        return base
-    words = base.split()
-    return words[-1] if words else base
+    signature = name.partition("(")[0] if name.endswith(")") else name
+    return next(reversed(signature.split()), signature.strip())
 
 
 # --- listings and sources ----------------------------------------------------------
@@ -262,10 +350,6 @@ def simhash(text: str | None, width: int = 4) -> int | None:
     return int.from_bytes(np.packbits(2 * ones > counts.sum()).tobytes(), "big")
 
 
-def _signed(h: int | None) -> int | None:
-    return None if h is None else h - (1 << 64) if h >> 63 else h
-
-
 # Series functions; the UDFs are made where a session is at hand, as workers import this module too
 
 
@@ -286,7 +370,23 @@ def _source(s: pd.Series) -> pd.Series:
 
 
 def _simhash(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: _signed(simhash(x)), na_action="ignore").astype("Int64")
+    """As ``simhash``, text by text, but each distinct shingle of a group of texts is hashed once."""
+    out: list[int | None] = []
+    for at in range(0, len(s), 256):
+        known: dict[str, int] = {}
+        coded = []
+        for t in s.iloc[at : at + 256]:
+            if t is None or t is pd.NA or t != t:
+                coded.append(None)
+                continue
+            content = "".join(_CONTENT.findall(t.lower()))
+            grams = Counter(content[i : i + 4] for i in range(max(len(content) - 3, 1)))
+            coded.append((np.fromiter((known.setdefault(g, len(known)) for g in grams), np.int64, len(grams)), np.fromiter(grams.values(), np.int64, len(grams))))
+        digests = np.frombuffer(b"".join(hashlib.md5(g.encode()).digest()[-8:] for g in known), np.uint8).reshape(-1, 8)
+        bits = np.unpackbits(digests, axis=1)
+        for c in coded:
+            out.append(None if c is None else int(np.packbits(2 * (c[1] @ bits[c[0]]) > c[1].sum()).view(">i8")[0]))
+    return pd.Series(out, index=s.index, dtype="Int64")
 
 
 def demangled(name: Column) -> Column:

@@ -32,18 +32,22 @@ def extension(path: Column) -> Column:
     return F.regexp_extract(last_part(path), r"^.+(\.[^.]*)$", 1)
 
 
+#: optimization levels of the common C compilers
+LEVEL = "O(?:fast|[0-3sgz])"
+
+
 def opt_level(path: Column, whole_path: bool = False) -> Column:
     """O0 to Ofast from a directory such as /-O2/; O0 if there is none.
 
     ``whole_path`` takes the first ``-O…`` anywhere in the path.
     """
-    pattern = r"-(O[\dsfastgz]+)" if whole_path else r"/-(O[\dsfastgz]+)/"
+    pattern = f"-({LEVEL})" if whole_path else f"/-({LEVEL})/"
     return F.coalesce(F.nullif(F.regexp_extract(path, pattern, 1), F.lit("")), F.lit("O0"))
 
 
 def project(path: Column) -> Column:
     """The directory above the optimization level's, or the file's own directory."""
-    return F.when(path.rlike(r"-(O[\dsfastgz]+)"), last_part(path, 3)).otherwise(last_part(path, 2))
+    return F.when(path.rlike(f"-{LEVEL}"), last_part(path, 3)).otherwise(last_part(path, 2))
 
 
 def compose_key(project_: Column, file: Column, function: Column) -> Column:
@@ -124,13 +128,30 @@ def address(n: Column, padded: bool = False) -> Column:
     return F.format_string("%08X", n) if padded else F.concat(F.lit("0x"), F.lower(F.hex(n)))
 
 
-def prompt(code: Column, kind: str) -> Column:
-    """Wraps code for an encoder; kind is asm or c."""
+def prompt(code: Column, kind: str, template: str | None = None) -> Column:
+    """Wraps code for an encoder; kind is asm or c. A ``template`` of one's own holds {code} once."""
     templates = {"asm": ASM_PROMPT, "c": SOURCE_PROMPT}
-    if kind not in templates:
+    if template is None and kind not in templates:
         raise ValueError(f"unknown kind {kind!r}")
-    before, after = templates[kind].split("{code}")
-    return F.concat(F.lit(before), code, F.lit(after))
+    parts = (templates[kind] if template is None else template).split("{code}")
+    if len(parts) != 2:
+        raise ValueError("a template holds {code} exactly once")
+    return F.concat(F.lit(parts[0]), code, F.lit(parts[1]))
+
+
+def token_ids(text: Column, max_length: int, vocabulary: int = 50_000, pad: int = 0) -> Column:
+    """struct<input_ids, attention_mask, n_tokens>: stand-in for an encoder's tokenizer.
+
+    Words between white space become ids by hash, cut at ``max_length`` and padded to it;
+    n_tokens counts all. A null text has no words.
+    """
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
+    ids = F.transform(F.slice(words, 1, max_length), lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % vocabulary + 1).cast("int"))
+    blank = lambda x, n: F.array_repeat(F.lit(x), n)
+    short = F.lit(max_length) - F.size(ids)
+    return F.struct(
+        F.concat(ids, blank(pad, short)).alias("input_ids"), F.concat(blank(1, F.size(ids)), blank(0, short)).alias("attention_mask"), F.size(words).alias("n_tokens")
+    )
 
 
 def name_and_code(name: Column, code: Column) -> Column:

@@ -11,9 +11,10 @@ from .ordinal import seeded, seeded_int, with_ordinal
 
 def keep_first(df: DataFrame, key: str, order: str) -> DataFrame:
     """The first row of each key in ``order``; null keys are one key, as in a data frame's duplicates."""
-    least = df.groupBy(key).agg(F.min(order).alias("__first"))
-    same = df[key].eqNullSafe(least[key]) & (df[order] == least["__first"])
-    return df.join(least, same, "left_semi")
+    # keys may be whole texts: what is grouped is their hash of 128 bits
+    hashed = F.coalesce(F.md5(F.col(key).cast("string")), F.lit("null"))
+    least = df.groupBy(hashed.alias("__key")).agg(F.min(order).alias("__first"))
+    return df.join(least, (hashed == F.col("__key")) & (df[order] == F.col("__first")), "left_semi")
 
 
 def distinct_stats(df: DataFrame, column: str) -> DataFrame:
@@ -42,12 +43,14 @@ def common_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 def interleave(df: DataFrame, group: str, order: str, seed: int = 42) -> DataFrame:
     """One row of each group per round: new_group_id (round), original_group_rank, position key.
 
-    Rounds come in order, rows within a round in seeded order; null groups are dropped.
+    Rounds come in order, rows within a round in seeded order; null groups are dropped. A
+    row's round is its position in the order (group, order) less that of its group's first
+    row, so a hot group is spread over tasks like any other rows.
     """
-    rows = df.where(F.col(group).isNotNull())
-    ranks = with_ordinal(rows.select(group).distinct(), group, name="original_group_rank")
-    at = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
-    return rows.withColumn("new_group_id", at).join(ranks, group).withColumn("shuffle_key", seeded(seed, order))
+    placed = with_ordinal(df.where(F.col(group).isNotNull()), group, order, name="__pos")
+    firsts = with_ordinal(placed.groupBy(group).agg(F.min("__pos").alias("__first_pos")), group, name="original_group_rank")
+    out = placed.join(firsts, group).withColumn("new_group_id", (F.col("__pos") - F.col("__first_pos")).cast("int"))
+    return out.drop("__pos", "__first_pos").withColumn("shuffle_key", seeded(seed, order))
 
 
 def ordered_splits(df: DataFrame, *order: str, train: float = 0.7, eval_: float = 0.2) -> DataFrame:

@@ -123,9 +123,22 @@ def simple_contrastive(pairs: DataFrame, margin: float = 0.3, tau: float = 0.05,
     return _rounded(each.join(ce, "batch").join(rank, "batch", "left"), loss=weights[0] * (zero("p") + zero("n")) + weights[1] * zero("ce") + weights[2] * zero("r"))
 
 
-def multiple_negatives(pairs: DataFrame, scale: float = 20.0) -> DataFrame:
-    terms = _row_terms(batch_sims(unit(pairs)), scale)
-    return _rounded(terms.groupBy("batch").agg(F.avg("ce").alias("l")), loss=F.col("l"))
+def _explicit(u: DataFrame, negatives: DataFrame) -> DataFrame:
+    """batch, i, sim of each row's anchor with its explicit negatives (batch, i, n); u: unit vectors."""
+    rows = negatives.select("batch", "i", normalize(F.col("n")).alias("n"))
+    return u.select("batch", "i", "a").join(rows, ["batch", "i"]).select("batch", "i", dot(F.col("a"), F.col("n")).alias("sim"))
+
+
+def multiple_negatives(pairs: DataFrame, scale: float = 20.0, negatives: DataFrame | None = None) -> DataFrame:
+    """Row cross entropy; explicit negatives (batch, i, n) are further logits of their row."""
+    u = unit(pairs)
+    sims = batch_sims(u)
+    logits = sims.select("batch", "i", (F.col("sim") * scale).alias("x"))
+    if negatives is not None:
+        logits = logits.unionByName(_explicit(u, negatives).select("batch", "i", (F.col("sim") * scale).alias("x")))
+    own = sims.where("i = j").select("batch", "i", (F.col("sim") * scale).alias("own"))
+    terms = own.join(log_sum_exp(logits, ["batch", "i"]), ["batch", "i"])
+    return _rounded(terms.groupBy("batch").agg(F.avg(F.col("lse") - F.col("own")).alias("l")), loss=F.col("l"))
 
 
 def _with_negative(pairs: DataFrame, seed: int, negatives_only: bool) -> DataFrame:
@@ -165,8 +178,12 @@ def triplet(pairs: DataFrame, margin: float = 0.5, distance: str = "cosine", see
     return _rounded(t.groupBy("batch").agg(F.avg(term).alias("l")), loss=F.col("l"))
 
 
-def gist(pairs: DataFrame, tau: float = 0.05, contrast_anchors: bool = True, contrast_positives: bool = True) -> DataFrame:
-    """Row cross entropy over anchor-positive, anchor-anchor and positive-positive logits, own ones left out."""
+def gist(pairs: DataFrame, tau: float = 0.05, contrast_anchors: bool = True, contrast_positives: bool = True, negatives: DataFrame | None = None) -> DataFrame:
+    """Row cross entropy over anchor-positive, anchor-anchor and positive-positive logits, own ones left out.
+
+    Explicit negatives (batch, i, n) count unless they are closer to the anchor than its
+    own positive, which marks a false negative.
+    """
     u = unit(pairs)
     ap = batch_sims(u)
     parts = [ap]
@@ -177,24 +194,33 @@ def gist(pairs: DataFrame, tau: float = 0.05, contrast_anchors: bool = True, con
     x = parts[0]
     for p in parts[1:]:
         x = x.unionByName(p)
+    x = x.select("batch", "i", "sim")
+    if negatives is not None:
+        positive = ap.where("i = j").select("batch", "i", F.col("sim").alias("positive"))
+        x = x.unionByName(_explicit(u, negatives).join(positive, ["batch", "i"]).where("sim <= positive").select("batch", "i", "sim"))
     lse = log_sum_exp(x.withColumn("x", F.col("sim") / tau), ["batch", "i"])
     own = ap.where("i = j").select("batch", "i", (F.col("sim") / tau).alias("own"))
     return _rounded(own.join(lse, ["batch", "i"]).groupBy("batch").agg(F.avg(F.col("lse") - F.col("own")).alias("l")), loss=F.col("l"))
 
 
-def momentum(pairs: DataFrame, batch_size: int, tau: float = 0.07, queue: int = 128) -> DataFrame:
-    """Cross entropy against queues of the last ``queue`` rows before the batch, both ways.
-
-    Row numbers i are consecutive from 0. A row is dealt to the later batches whose queue
-    holds it, which turns the range condition into an equi-join.
-    """
+def _queued(pairs: DataFrame, batch_size: int, tau: float, queue: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with their own logit, and with them each row of their batch's queue (j, qa, qs)."""
     u = unit(pairs)
     own = u.select("batch", "i", "a", "s", (dot(F.col("a"), F.col("s")) / tau).alias("own"))
     last = F.floor((F.col("i") + queue) / batch_size)
     held = u.select("i", "batch", "a", "s", last.alias("last")).where(F.col("last") > F.col("batch"))
     held = held.select(F.explode(F.sequence(F.col("batch") + 1, F.col("last"))).alias("batch"), F.col("i").alias("j"), F.col("a").alias("qa"), F.col("s").alias("qs"))
     held = held.where(F.col("j") >= F.col("batch") * batch_size - queue)
-    both = own.join(held, "batch")
+    return own, own.join(held, "batch")
+
+
+def momentum(pairs: DataFrame, batch_size: int, tau: float = 0.07, queue: int = 65_536) -> DataFrame:
+    """Cross entropy against queues of the last ``queue`` rows before the batch, both ways.
+
+    Row numbers i are consecutive from 0. A row is dealt to the later batches whose queue
+    holds it, which turns the range condition into an equi-join.
+    """
+    own, both = _queued(pairs, batch_size, tau, queue)
     out = own.select("batch", "i", "own")
     for name, x, y in (("a2s", "a", "qs"), ("s2a", "s", "qa")):
         logits = both.select("batch", "i", (dot(F.col(x), F.col(y)) / tau).alias("x")).unionByName(own.select("batch", "i", F.col("own").alias("x")))
@@ -203,6 +229,15 @@ def momentum(pairs: DataFrame, batch_size: int, tau: float = 0.07, queue: int =
     return _rounded(per, loss=(F.col("x") + F.col("y")) / 2, loss_a2s=F.col("x"), loss_s2a=F.col("y"))
 
 
+def momentum_accuracy(pairs: DataFrame, batch_size: int, tau: float = 0.07, queue: int = 65_536) -> DataFrame:
+    """Share of a batch's rows whose own logit is above all logits of the queue, both ways; an empty queue is beaten."""
+    own, both = _queued(pairs, batch_size, tau, queue)
+    best = both.groupBy("batch", "i").agg(F.max(dot(F.col("a"), F.col("qs")) / tau).alias("f"), F.max(dot(F.col("s"), F.col("qa")) / tau).alias("g"))
+    rows = own.select("batch", "i", "own").join(best, ["batch", "i"], "left")
+    share = lambda c: F.avg(F.when(F.col(c).isNull() | (F.col("own") >= F.col(c)), 1.0).otherwise(0.0))
+    return _rounded(rows.groupBy("batch").agg(share("f").alias("x"), share("g").alias("y")), acc_a2s=F.col("x"), acc_s2a=F.col("y"))
+
+
 LOSSES = {
     "infonce": infonce, "hard_infonce": hard_infonce, "labeled_infonce": labeled_infonce, "weighted_infonce": weighted_infonce,
     "cosine_embedding": cosine_embedding, "labeled_contrastive": labeled_contrastive, "simple_contrastive": simple_contrastive,

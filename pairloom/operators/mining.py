@@ -49,9 +49,10 @@ def curriculum_prefix(scored: DataFrame, ratio: float, id_col: str, score: str,
 
 def ring_buffer(df: DataFrame, order: str, capacity: int) -> DataFrame:
     """The last ``capacity`` rows by order, with the slot each one takes in a ring filled in that order."""
-    slots = with_ordinal(df, order, name="position")
     n = df.agg(F.count(F.lit(1)).alias("__n"))
-    kept = slots.join(F.broadcast(n)).where(F.col("position") >= F.col("__n") - capacity).drop("__n")  # one row
+    # at most ``capacity`` rows reach the window
+    last = df.orderBy(F.desc(order)).limit(capacity).withColumn("__back", F.row_number().over(Window.orderBy(F.desc(order))))
+    kept = last.join(F.broadcast(n)).withColumn("position", F.col("__n") - F.col("__back")).drop("__n", "__back")  # one row
     return kept.withColumn("slot", F.col("position") % capacity)
 
 

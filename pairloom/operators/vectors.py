@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: rows of a block; a block of 64-d vectors is 1 MB
@@ -50,11 +51,17 @@ def pool(hidden: Column, mask: Column, strategy: str) -> Column:
     return F.transform(summed, lambda x: x / F.greatest(total, F.lit(1e-9)))
 
 
+def gelu(x: np.ndarray) -> np.ndarray:
+    """x times the normal distribution function, by a rational approximation of erfc with a relative error under 2e-7."""
+    z = np.abs(x) / 2**0.5
+    t = 1 / (1 + 0.5 * z)
+    poly = np.polyval([0.17087277, -0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223], t)
+    half = 0.5 * t * np.exp(-z * z + poly)
+    return x * np.where(x >= 0, 1 - half, half)
+
+
 def project(weights: dict[str, np.ndarray], column: str = "embedding") -> Callable[[DataFrame], DataFrame]:
     """Projection head in evaluation mode: linear, GELU, linear, layer norm (w1, b1, w2, b2, gamma, beta)."""
-    from math import erf
-
-    gelu = np.vectorize(lambda x: 0.5 * x * (1 + erf(x / 2**0.5)))
 
     def apply(df: DataFrame) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -98,13 +105,17 @@ def to_blocks(df: DataFrame, id_col: str, vector: str, size: int = BLOCK) -> Dat
 def block_pairs(queries: DataFrame, keys: DataFrame) -> DataFrame:
     """Each query block with each key block.
 
-    Query blocks are copied to ``lanes`` lanes and a key block goes to one lane, so the
-    equi-join on the lane spreads the work over tasks; only blocks are paired, not rows.
+    Query blocks are dealt to the rows of a square grid and key blocks to its columns; a
+    block is copied along its row or column. The equi-join on the cell spreads the work
+    over as many cells as there are shuffle partitions, with the square root of that many
+    copies of a block; only blocks are paired, not rows.
     """
-    lanes = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    q = queries.select(F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), F.col("ids").alias("q_ids"), F.col("m").alias("q_m"), "dim")
-    k = keys.select(F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("int").alias("lane"), F.col("ids").alias("k_ids"), F.col("m").alias("k_m"))
-    return q.join(k, "lane")
+    side = math.isqrt(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1) + 1
+    own = F.pmod(F.xxhash64("ids"), F.lit(side)).cast("int")
+    along = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
+    q = queries.select(own.alias("row"), along.alias("column"), F.col("ids").alias("q_ids"), F.col("m").alias("q_m"), "dim")
+    k = keys.select(own.alias("column"), along.alias("row"), F.col("ids").alias("k_ids"), F.col("m").alias("k_m"))
+    return q.join(k, ["row", "column"])
 
 
 def _matrices(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -119,6 +130,11 @@ def top_k(queries: DataFrame, keys: DataFrame, k: int, q_id: str, k_id: str, vec
 
     A pair of blocks yields k candidates a query; the final window sees k rows a block.
     """
+    return _ranked(block_pairs(to_blocks(queries, q_id, vector), to_blocks(keys, k_id, vector)), k, exclude_self)
+
+
+def _ranked(paired: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    """The best k keys of each query over pairs of blocks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -131,13 +147,104 @@ def top_k(queries: DataFrame, keys: DataFrame, k: int, q_id: str, k_id: str, vec
                 out = pd.DataFrame({"q": np.repeat(qi, n), "k": ki[best].ravel(), "sim": np.take_along_axis(sim, best, 1).ravel()})
                 yield out[np.isfinite(out["sim"])]
 
-    from pyspark.sql import Window
-
-    found = block_pairs(to_blocks(queries, q_id, vector), to_blocks(keys, k_id, vector)).mapInPandas(run, "q long, k long, sim double")
+    found = paired.mapInPandas(run, "q long, k long, sim double")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "k"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias("q_id"), F.col("k").alias("k_id"), "sim", "rank")
 
 
+def unit_sample(keys: DataFrame, vector: str, sample_rows: int = 20_000, seed: int = 42) -> np.ndarray:
+    """About ``sample_rows`` unit vectors (a documented bound, twice that at most), drawn by hash, on the driver."""
+    rows = keys.where(F.col(vector).isNotNull()).select(F.col(vector).alias("v"))
+    share = sample_rows / max(1, rows.count())
+    drawn = rows.where(F.pmod(F.xxhash64("v", F.lit(seed)), F.lit(1 << 30)) < share * (1 << 30)).limit(2 * sample_rows).collect()
+    if not drawn:
+        return np.zeros((0, 0))
+    x = np.array(sorted(list(r.v) for r in drawn), float)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def fit_centroids(x: np.ndarray, lists: int, steps: int = 10, seed: int = 42) -> np.ndarray:
+    """Unit centroids of at most ``lists`` inverted lists, by spherical k-means."""
+    centres = x[np.random.default_rng(seed).permutation(len(x))[:lists]]
+    for _ in range(steps if len(x) else 0):
+        best = (x @ centres.T).argmax(1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, best, x)
+        used = np.linalg.norm(sums, axis=1) > 1e-12
+        centres[used] = sums[used] / np.linalg.norm(sums[used], axis=1, keepdims=True)
+    return centres
+
+
+def fit_probes(x: np.ndarray, centres: np.ndarray, k: int, recall: float, asked: int = 500) -> int:
+    """Lists to look into so that ``recall`` of the k nearest of some vectors of the sample are found.
+
+    Neighbours in a sample are farther away than among all keys, so this is rather too many.
+    """
+    q = np.arange(0, len(x), max(1, len(x) // asked))
+    sim = x[q] @ x.T
+    sim[np.arange(len(q)), q] = -np.inf
+    near = np.argsort(-sim, axis=1)[:, : min(k, len(x) - 1)]
+    home = (x @ centres.T).argmax(1)
+    place = np.argsort(np.argsort(-(x[q] @ centres.T), axis=1), axis=1)
+    needed = np.sort(np.take_along_axis(place, home[near], 1).ravel())
+    return int(needed[int(np.ceil(recall * len(needed))) - 1]) + 1 if len(needed) else len(centres)
+
+
+def _listed(df: DataFrame, id_col: str, vector: str, centres: np.ndarray, probes: int, size: int = BLOCK) -> DataFrame:
+    """Blocks (list, ids, m, dim) of the rows in each row's ``probes`` nearest lists."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            m, ids = np.stack(pdf["v"].to_numpy()).astype(float), pdf["id"].to_numpy().astype("<i8")
+            m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+            near = np.argsort(-np.round(m @ centres.T, 9), axis=1, kind="stable")[:, :probes]
+            row, listed = np.repeat(np.arange(len(m)), near.shape[1]), near.ravel()
+            order = np.argsort(listed, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(listed[order])) + 1):
+                for at in range(0, len(part), size):
+                    some = row[part[at : at + size]]
+                    yield pd.DataFrame({"list": [int(listed[part[0]])], "ids": [ids[some].tobytes()], "m": [m[some].tobytes()], "dim": [m.shape[1]]})
+
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"))
+    return rows.mapInPandas(run, "list int, ids binary, m binary, dim int")
+
+
+def ann_top_k(queries: DataFrame, keys: DataFrame, k: int, q_id: str, k_id: str, vector: str, lists: int = 128, probes: int | None = 10, pieces: int = 8, exclude_self: bool = False, recall: float = 0.95) -> DataFrame:
+    """Approximate cosine top-k by an inverted file: q_id, k_id, sim, rank.
+
+    Every key is in its nearest list; a query looks into its ``probes`` nearest ones, or, if
+    that is None, into as many as a sample needs for ``recall``. With as many probes as
+    lists the result is exact. Key blocks of a list are dealt to
+    ``pieces`` cells, so a list that holds much of the keys is no single task. Null vectors
+    are left out; an empty table on either side gives an empty result.
+    """
+    sample = unit_sample(keys, vector)
+    centres = fit_centroids(sample, lists)
+    if not len(centres):
+        return _ranked(block_pairs(to_blocks(queries, q_id, vector), to_blocks(keys, k_id, vector)), k, exclude_self)
+    if probes is None:
+        probes = fit_probes(sample, centres, k, recall)
+    piece = F.explode(F.sequence(F.lit(0), F.lit(pieces - 1)))
+    q = _listed(queries, q_id, vector, centres, probes).select("list", piece.alias("piece"), F.col("ids").alias("q_ids"), F.col("m").alias("q_m"), "dim")
+    own = F.pmod(F.xxhash64("ids"), F.lit(pieces)).cast("int")
+    kb = _listed(keys, k_id, vector, centres, 1).select("list", own.alias("piece"), F.col("ids").alias("k_ids"), F.col("m").alias("k_m"))
+    return _ranked(q.join(kb, ["list", "piece"]), k, exclude_self)
+
+
+def score_of_distance(distance: Column) -> Column:
+    """1 / (1 + distance): falls with the distance; null at -1, where it has no value."""
+    return F.lit(1.0) / F.nullif(distance + 1, F.lit(0.0))
+
+
+def most_similar(queries: DataFrame, candidates: DataFrame, q_id: str, c_id: str, text: str, vector: str, k: int = 5) -> DataFrame:
+    """q_id, rank, text and score of the k candidates closest to each query."""
+    found = top_k(queries, candidates, k, q_id, c_id, vector)
+    texts = candidates.select(F.col(c_id).cast("long").alias("k_id"), F.col(text).alias("text"))
+    return found.join(texts, "k_id").select("q_id", "rank", "text", F.col("sim").alias("score"))
+
+
 def target_ranks(queries: DataFrame, keys: DataFrame, pairs: DataFrame, q_id: str, k_id: str, vector: str) -> DataFrame:
     """1-based rank of each query's true key among all keys: q_id, rank (ties: smaller key id first).
 

@@ -423,7 +423,7 @@ SELECT item_id, md5(a || 'assembly' || b || 'asm' || chr(10) || text || z) AS as
  md5(item_id || chr(10) || text) AS named_md5 FROM t""",
     "rag_context": """SELECT conv_id, md5(string_agg('[SOURCE:' || CASE WHEN turn % 2 = 0 THEN conv_id || '-' || turn ELSE 'doc_' || nth END || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY turn)) AS context_md5, count(*)::INT AS n_docs
 FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS nth FROM conversations WHERE turn < 5) GROUP BY conv_id""",
-    "rag_answers": "SELECT item_id AS question_id, 'f' AS function_code, 'e' AS explanation, 4 AS judge_score, '' AS judge_reason, true AS judge_is_grounded FROM benchmark WHERE item_id % 4 = 0",
+    "rag_answers": "SELECT item_id AS question_id, 'f' AS function_code, 'e' AS explanation, 4 AS judge_score, '' AS judge_reason, true AS judge_is_grounded FROM benchmark",
     "json_field_flatten": "SELECT event_id, (props->>'$.k')::INT AS k FROM events",
     "function_numbers": "SELECT item_id, i::INT AS function_id, length(parts[i])::INT AS n_chars FROM (SELECT item_id, string_split(text, '. ') AS parts FROM benchmark), unnest(range(1, len(parts) + 1)) AS t(i)",
     "ring_buffer_events": "SELECT * FROM (SELECT event_id, user_id, row_number() OVER (ORDER BY event_id) - 1 AS position, (row_number() OVER (ORDER BY event_id) - 1) % 256 AS slot FROM events) QUALIFY row_number() OVER (ORDER BY position DESC) <= 256",

@@ -136,7 +136,7 @@ QUERIES = {
     "loss_weighted_infonce": _loss("weighted_infonce"), "loss_cosine_embedding": _loss("cosine_embedding"),
     "loss_labeled_contrastive": _loss("labeled_contrastive"), "loss_simple_contrastive": _loss("simple_contrastive"),
     "loss_labeled_triplet": _loss("labeled_triplet"), "loss_multiple_negatives": _loss("multiple_negatives"), "loss_triplet": _loss("triplet"),
-    "loss_triplet_euclidean": _loss("triplet", distance="euclidean"), "loss_gist": _loss("gist"), "loss_momentum": _loss("momentum", batch_size=BATCH),
+    "loss_triplet_euclidean": _loss("triplet", distance="euclidean"), "loss_gist": _loss("gist"), "loss_momentum": _loss("momentum", batch_size=BATCH, queue=128),
 }
 
 _P = """

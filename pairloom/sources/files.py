@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +39,15 @@ def read_files(spark: SparkSession, path: str, extensions: tuple[str, ...] = tex
     return df.select("path", F.decode("content", "UTF-8").alias("content"))
 
 
-def read_listings(spark: SparkSession, path: str, glob: str = "*.s") -> DataFrame:
+def _lenient(contents: pd.Series) -> pd.Series:
+    return contents.map(lambda raw: bytes(raw).decode("utf-8", "ignore"), na_action="ignore")
+
+
+def read_listings(spark: SparkSession, path: str, glob: str = "*.s", errors: str = "replace") -> DataFrame:
+    """path, content; bytes that are no UTF-8 become U+FFFD, or are left out with ``errors="ignore"``."""
+    if errors == "ignore":
+        df = spark.read.format("binaryFile").options(recursiveFileLookup="true", pathGlobFilter=glob).load(path)
+        return df.select("path", F.pandas_udf(_lenient, "string")("content").alias("content"))
     df = spark.read.options(wholetext="true", recursiveFileLookup="true", pathGlobFilter=glob).text(path)
     return df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
@@ -60,6 +69,20 @@ def explode_functions(docs: DataFrame, name: str = "function_name", body: str =
     return rows.select("path", "f.*").where((F.coalesce(name, F.lit("")) != "") & (F.coalesce(body, F.lit("")) != ""))
 
 
+def listing_rows(listings: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
+    """key, function_id, name, body, error: a row per function, or one that says why there is none."""
+    parsed = listings.select(F.col(key).alias(key), F.col(content).alias("__c"), parsing.listing_functions(F.col(content)).alias("__f"))
+    error = F.when(F.col("__c").isNull(), "unreadable").when(F.size("__f") == 0, "no functions found")
+    rows = parsed.select(key, error.alias("error"), F.explode_outer("__f").alias("f"))
+    return rows.select(key, "f.function_id", "f.name", "f.body", "error")
+
+
+def read_project_documents(spark: SparkSession, root: str, schema: str = schemas.SRC_DOC) -> DataFrame:
+    """JSON documents exactly two levels below the root (project/file.json), with project and path."""
+    df = spark.read.option("multiLine", "true").schema(schema).json(f"{root.rstrip('/')}/*/*.json")
+    return df.withColumn("path", F.col("_metadata.file_path")).withColumn("project", F.element_at(F.split("path", "/"), -2))
+
+
 def function_counts(docs: DataFrame) -> DataFrame:
     return docs.select("path", F.coalesce(F.size("functions"), F.lit(0)).alias("n_functions"))
 
@@ -95,11 +118,18 @@ class VectorStore:
     def __init__(self, spark: SparkSession, path: str, dim: int):
         self.spark, self.path, self.dim = spark, path, dim
 
-    def insert(self, df: DataFrame) -> None:
-        limits = (F.length("project_name") <= 256) & (F.length("file_name") <= 256) & (F.length("function_name") <= 256) & (F.length("function_code") <= 65535)
-        rows = df.where(limits & (F.size("embedding") == self.dim))
-        rows = rows.withColumn("id", F.xxhash64("project_name", "file_name", "function_name", "function_code"))
+    def insert(self, df: DataFrame) -> DataFrame:
+        """Adds the functions that are not there yet. Returns the rows refused: those without a vector of ``dim`` numbers."""
+        fits = F.coalesce(F.size("embedding") == self.dim, F.lit(False))
+        rows = df.where(fits).withColumn("id", F.xxhash64("project_name", "file_name", "function_name", "function_code")).dropDuplicates(["id"])
+        if self._exists():
+            rows = rows.join(self.table().select("id"), "id", "left_anti")
         rows.select("id", "project_name", "file_name", "function_name", "function_code", F.col("embedding").cast("array<float>")).write.mode("append").parquet(self.path)
+        return df.where(~fits)
+
+    def _exists(self) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
     def table(self) -> DataFrame:
         return self.spark.read.schema(schemas.FUNCTION_CODES).parquet(self.path)
@@ -107,12 +137,12 @@ class VectorStore:
     def count(self) -> int:
         return self.table().count()
 
-    def search(self, queries: DataFrame, k: int = 5, q_id: str = "q_id", vector: str = "embedding") -> DataFrame:
-        """Exact cosine top-k with the stored columns; similarity falls with rank."""
-        from ..operators.vectors import top_k
+    def search(self, queries: DataFrame, k: int = 5, q_id: str = "q_id", vector: str = "embedding", lists: int | None = None, probes: int = 10) -> DataFrame:
+        """Cosine top-k with the stored columns; exact, or by an inverted file of ``lists`` lists."""
+        from ..operators.vectors import ann_top_k, top_k
 
         table = self.table()
-        found = top_k(queries, table, k, q_id, "id", vector)
+        found = ann_top_k(queries, table, k, q_id, "id", vector, lists, probes) if lists else top_k(queries, table, k, q_id, "id", vector)
         stored = table.drop("embedding").withColumnRenamed("id", "k_id")
         return found.join(stored, "k_id").select("q_id", "rank", "sim", "project_name", "file_name", "function_name", "function_code")
 

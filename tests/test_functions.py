@@ -119,3 +119,20 @@ def test_unsigned_and_maps(spark):
         text.unsigned(F.col("a")).cast("string"), text.hamming(F.col("a"), F.col("b")), text.right_wins(F.col("m"), F.col("n")), text.duration(F.lit(3725))
     ).first()
     assert row[0] == "18446744073709551615" and row[1] == 62 and row[2] == {"x": 1, "y": 3} and tuple(row[3]) == (1, 2, 5)
+
+
+@pytest.mark.parametrize(("name", "expected"), [
+    ("_ZNSt6vectorIiSaIiEE9push_backERKi", "std::vector<int, std::allocator<int> >::push_back(int const&)"), ("_Z3maxIiET_S0_S0_", "int max<int>(int, int)"),
+    ("_ZN1AplERKS_", "A::operator+(A const&)"), ("_Z1fPFivE", "f(int (*)())"), ("_Z1fRA3_i", "f(int (&) [3])"), ("_ZN1aILi3EE1gEv", "a<3>::g()"), ("_ZN1AcvbEv", "A::operator bool()"),
+    ("_ZN1AIT", "_ZN1AIT"), ("_Z1fIT_E", "_Z1fIT_E"),
+])
+def test_demangle_templates_operators_and_functions(name, expected):
+    assert parsing.demangle(name) == expected
+
+
+def test_simhash_column(spark):
+    texts = ["", "a", "Hello, world! hello", "语言 abc", None, "x" * 5000, "a b c d e"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.h for r in df.select("i", parsing.simhash64(F.col("t")).alias("h")).collect()}
+    for i, t in enumerate(texts):
+        assert (None if got[i] is None else got[i] % (1 << 64)) == (None if t is None else brute_simhash(t))
