@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import Scratch
 
-__all__ = ["Scratch", "ascii_lower", "documents", "pick_rows", "row_key", "settings", "split_count", "trimmed"]
+__all__ = ["Scratch", "ascii_lower", "documents", "pick_rows", "row_key", "settings", "settle", "split_count", "trimmed"]
 
 T = TypeVar("T")
 
@@ -51,6 +51,16 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
             spark.conf.set(k, v) if v else spark.conf.unset(k)
 
 
+def settle(fs, temp: str, name: str) -> None:
+    """Gives a whole file its final name, also where a first attempt of the task has done so before.
+
+    Both attempts wrote the same bytes; some file systems refuse to move onto a file.
+    """
+    if fs.get_file_info(name).is_file:
+        fs.delete_file(name)
+    fs.move(temp, name)
+
+
 @cache
 def _libc() -> ctypes.CDLL | None:
     try:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, split_count
+from .common import Scratch, documents, settle, split_count
 from .tokens import encoder
 
 SEEK_FRAME, INDEX_FRAME, SEEK_MAGIC = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
@@ -133,7 +133,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_i
     if writer is not None:
         writer.close()
         sink.close()
-        fs.move(temp, name)
+        settle(fs, temp, name)
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([f"tokens-{part:06d}.zst"]), pa.array([n], pa.int64()), pa.array([tokens], pa.int64())], names=["file_no", "name", "n_docs", "n_tokens"])
 
 

@@ -5,7 +5,9 @@ parameter count, dashes, host labels, suffix statistics). Trees are fitted on la
 urls: their features, cut into quantile bins, go to the driver for at most
 about ``sample_rows`` rows (a documented bound, twice that at most; rows are taken by hash
 of their position), suffix statistics are
-counted over all labelled rows in ``SUFFIX_BUCKETS`` buckets. The model comes back as one
+counted over all labelled rows in ``SUFFIX_BUCKETS`` buckets. A row that is fitted on sees
+the statistics of the other ``FOLDS`` - 1 parts of the hosts only, so that no label is an
+input of its own prediction; urls to be judged see all. The model comes back as one
 CASE expression per tree, so scoring is a projection inside whole-stage codegen.
 
 Defined results: a null url, or one without ``://``, has empty host and path, matches no
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, UPPER
 
 SUFFIX_BUCKETS = 256
+FOLDS = 5
 FEATURES = (
     "url_len", "host_len", "path_len", "depth", "digit_ratio", "entropy", "n_params",
     "n_dashes", "n_labels", "host_digits", "longest_label", "suffix_rate", "domain_rate",
@@ -73,16 +76,23 @@ def bucket(host: Column, labels: int) -> Column:
     return F.pmod(F.xxhash64(F.substring_index(host, ".", -labels)), F.lit(SUFFIX_BUCKETS)).cast("int")
 
 
-def rates(labelled: DataFrame, labels: int) -> tuple[list[float], int]:
-    """Smoothed share of blocked urls by suffix bucket (SUFFIX_BUCKETS numbers), and the number of urls."""
-    got = labelled.groupBy(bucket(F.col("__host"), labels).alias("b")).agg(F.sum("y").alias("s"), F.count(F.lit(1)).alias("n")).collect()
-    out = [0.5] * SUFFIX_BUCKETS
-    for b, s, n in got:
-        out[b] = (s + 1.0) / (n + 2.0)
-    return out, sum(n for _, _, n in got)
+def fold(host: Column) -> Column:
+    """All urls of a host are of one fold."""
+    return F.pmod(F.xxhash64(host, F.lit("fold")), F.lit(FOLDS)).cast("int")
 
 
-def features(url: Column, host: Column, path: Column, suffix: list[float], domain: list[float]) -> list[Column]:
+def rates(labelled: DataFrame, labels: int) -> tuple[list[float], list[float], int]:
+    """Smoothed share of blocked urls by suffix bucket, the same without each fold (fold by fold), and the number of urls."""
+    per = labelled.groupBy(bucket(F.col("__host"), labels).alias("b"), fold(F.col("__host")).alias("f")).agg(F.sum("y").alias("s"), F.count(F.lit(1)).alias("n"))
+    sums = np.zeros((2, FOLDS, SUFFIX_BUCKETS))
+    for b, f, s, n in per.collect():
+        sums[:, f, b] = s, n
+    total = sums.sum(1)
+    share = lambda x: ((x[0] + 1.0) / (x[1] + 2.0)).ravel().tolist()
+    return share(total), share(total[:, None] - sums), int(total[1].sum())
+
+
+def features(url: Column, host: Column, path: Column, suffix: list[float], domain: list[float], out_of_fold: bool = False) -> list[Column]:
     length = F.greatest(F.char_length(url), F.lit(1)).cast("double")
     chars = F.split(url, "")
     counts = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) / length)
@@ -90,6 +100,7 @@ def features(url: Column, host: Column, path: Column, suffix: list[float], domai
     occurrences = lambda text, c: (F.char_length(text) - F.char_length(F.replace(text, F.lit(c), F.lit("")))).cast("double")
     digits = lambda text: F.char_length(F.regexp_replace(text, "[^0-9]", "")).cast("double")
     table = lambda rate: F.array(*map(F.lit, rate))
+    at = fold(host) * SUFFIX_BUCKETS if out_of_fold else F.lit(0)
     query = F.when(F.instr(url, "?") > 0, F.expr("substring(__u, instr(__u, '?') + 1)")).otherwise("")
     values = (
         F.char_length(url).cast("double"), F.char_length(host).cast("double"), F.char_length(path).cast("double"),
@@ -97,7 +108,7 @@ def features(url: Column, host: Column, path: Column, suffix: list[float], domai
         F.when(query == "", 0.0).otherwise(occurrences(query, "&") + 1), occurrences(url, "-"),
         F.when(host == "", 0.0).otherwise(occurrences(host, ".") + 1), digits(host),
         F.array_max(F.transform(F.split(host, r"\."), lambda x: F.char_length(x))).cast("double"),
-        F.element_at(table(suffix), bucket(host, 1) + 1), F.element_at(table(domain), bucket(host, 2) + 1),
+        F.element_at(table(suffix), at + bucket(host, 1) + 1), F.element_at(table(domain), at + bucket(host, 2) + 1),
     )
     return [v.alias(f"f_{n}") for n, v in zip(FEATURES, values, strict=True)]
 
@@ -156,10 +167,11 @@ def classify(pages: DataFrame, labelled: DataFrame, id_col: str = "page_id", url
         return df.withColumns({"__host": host, "__path": path})
 
     known = prepared(labelled.select(F.col("url").alias("__u"), F.col("y").cast("double").alias("y")).where("y is not null"))
-    (suffix, total), (domain, _) = rates(known, 1), rates(known, 2)
+    (suffix, suffix_folds, total), (domain, domain_folds, _) = rates(known, 1), rates(known, 2)
     columns = features(F.col("__u"), F.col("__host"), F.col("__path"), suffix, domain)
+    fitted = features(F.col("__u"), F.col("__host"), F.col("__path"), suffix_folds, domain_folds, out_of_fold=True)
     draw = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit("url sample")), F.lit(1 << 30)).cast("double") / (1 << 30)
-    sample = known.where(draw < sample_rows / max(1, total)).limit(2 * sample_rows).select("y", *columns).collect()
+    sample = known.where(draw < sample_rows / max(1, total)).limit(2 * sample_rows).select("y", *fitted).collect()
     table = np.array(sorted(tuple(r) for r in sample), dtype=float).reshape(len(sample), len(FEATURES) + 1)
     y = table[:, 0]
     rows = prepared(pages.select(F.col(id_col).alias("__id"), F.col(url_col).alias("__u"))).select("__id", "__host", "__path", *columns)

@@ -11,8 +11,10 @@ bytes, a node ``fanout`` children. Shards are about ``shard_bytes`` of text each
 their number follows the input, and a shard is written and read as a stream.
 
 Defined results: null urls and pages count as empty; null ids are carried as null and come
-first in their shard; repeated rows are records of their own; a missing or shortened
-replica file makes its records ``missing``; an empty table writes nothing and audits to
+first in their shard; repeated rows are records of their own, dealt over all shards; a
+missing or shortened replica file makes its records ``missing``; bytes added after the last
+record of a shard are a leaf of their own (null id, a sequence number past the last);
+files that no index names are not part of an archive; an empty table writes nothing and audits to
 an empty result; columns other than id, url and page are neither read nor returned.
 """
 
@@ -28,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, split_count
+from .common import Scratch, settle, split_count
 
 INDEX = "shard int, seq long, id long, offset long, length long"
 LEAVES = "shard int, seq long, id long, offset long, length long, sha256 string"
@@ -65,7 +67,7 @@ class _Sink:
 
     def close(self) -> None:
         self.out.close()
-        self.fs.move(self.temp, self.name)
+        settle(self.fs, self.temp, self.name)
 
 
 def _batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:
@@ -97,8 +99,9 @@ def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
     source = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(page_col).alias("page"))
     total = source.agg(F.sum(F.coalesce(F.octet_length("page"), F.lit(0)) + 300)).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
-    dealt = source.withColumn("shard", F.pmod(F.xxhash64("id", "url"), F.lit(shards)).cast("int"))
-    dealt = dealt.repartition(split_count(pages.sparkSession), "shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "url", "page")
+    # by position too, as a row may be repeated any number of times; one task writes one shard
+    dealt = source.withColumn("shard", F.pmod(F.xxhash64("id", "url", F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
+    dealt = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "url", "page")
     return dealt.mapInArrow(lambda it: _write(it, folder), INDEX)
 
 
@@ -129,13 +132,36 @@ def _ranges(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[tuple[pa
         f.close()
 
 
+def _tail(folder: str, shard: int, seq: int, offset: int, end: int) -> pa.RecordBatch:
+    """A leaf for the bytes that follow a shard's last record; it has that record's offset, so it joins its range."""
+    fs, root = pafs.FileSystem.from_uri(folder)
+    path = f"{root}/{shard_name(shard)}"
+    info = fs.get_file_info(path)
+    rows = []
+    if info.type == pafs.FileType.File and info.size > end:
+        digest = hashlib.sha256()
+        with fs.open_input_file(path) as f:
+            f.seek(end)
+            while part := f.read(1 << 20):
+                digest.update(part)
+        rows = [(shard, seq + 1, None, offset, info.size - end, digest.hexdigest())]
+    return _batch(rows, LEAVES)
+
+
 def leaves(index: DataFrame, folder: str) -> DataFrame:
-    """The index with the SHA-256 of each record's stored bytes (null: missing)."""
+    """The index with the SHA-256 of each record's stored bytes (null: missing), and of what stands after the last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for b, data in _ranges(batches, folder):
+            for row in zip(*(b.column(c).to_pylist() for c in ("shard", "seq", "offset", "length")), strict=True):
+                if last and last[0] != row[0]:
+                    yield _tail(folder, last[0], last[1], last[2], last[2] + last[3])
+                last = row
             digests = [None if x is None else hashlib.sha256(x).hexdigest() for x in data]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("shard", "seq", "id", "offset", "length")), pa.array(digests, pa.string())], names=[x.split()[0] for x in LEAVES.split(", ")])
+        if last:
+            yield _tail(folder, last[0], last[1], last[2], last[2] + last[3])
 
     return _in_shards(index, split_count(index.sparkSession)).select("shard", "seq", "id", "offset", "length").mapInArrow(run, LEAVES)
 

@@ -68,3 +68,27 @@ def test_held_out_accuracy(spark):
     got = language_id.op6_language_id(spark, "/root/testdata/sf0.01").where("held_out")
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
     assert got.join(docs, "doc_id").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.98
+
+
+def test_a_language_of_long_texts_only_is_learned(spark):
+    long = "der und das nicht ist ein schoen " * 400
+    rows = [(i, "the and of that is not a fine one " * 4, "en") for i in range(40)] + [(100 + i, f"{i} " + long, "de") for i in range(40)]
+    model = language_id.train(spark.createDataFrame(rows, "id long, text string, lang string"))
+    assert model.langs == ("de", "en")
+
+
+def test_grams_are_counted_once_at_chunk_borders():
+    text = "ab" * (1 << 20)
+    raw = b" " + text.encode() + b" "
+    expected = np.zeros(language_id.BUCKETS)
+    for size, code in ((1, lambda g: g[0]), (2, lambda g: g[0] * 257 + g[1] + (1 << 17)), (3, lambda g: (g[0] * 65599 + g[1]) * 65599 + g[2])):
+        seen = {}
+        for i in range(len(raw) - size + 1):
+            g = raw[i : i + size]
+            seen[g] = seen.get(g, 0) + 1
+        for g, n in seen.items():
+            if size == 1 and g == b" " or size > 1 and g[:2] == b"  ":
+                continue
+            factor = 2246822519 if size == 3 else 2654435769
+            expected[((code(g) * factor) & 0xFFFFFFFF) >> 20] += n
+    assert np.allclose(language_id.ngram_counts(text), np.sqrt(expected / expected.sum()))

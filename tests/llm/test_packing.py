@@ -75,3 +75,36 @@ def test_query(spark, sf_dir):
     assert got.groupby("doc_id").length.sum().equals(got.groupby("doc_id").doc_tokens.first().rename("length"))
     filled = got.groupby("sequence_id").length.sum()
     assert (filled <= 2048).all() and filled.sum() > 0.98 * 2048 * len(filled)
+
+
+def by_the_rule(lengths, capacity):
+    """The stated rule by plain search: (document, start, length, sequence)."""
+    rest, full, out = [], 0, []
+    for d, n in enumerate(lengths):
+        whole = n // capacity if n > capacity else 0
+        out += [(d, k * capacity, capacity, full + k) for k in range(whole)]
+        full += whole
+        if n - whole * capacity:
+            rest.append((-(n - whole * capacity), d, whole * capacity))
+    count = -(-sum(-r[0] for r in rest) // capacity)
+    room, cost = [capacity] * count, [0.0] * count
+    while rest:
+        rest.sort()
+        n, d, start = rest.pop(0)
+        n = -n
+        fits = [s for s in range(count) if room[s] >= n] or [s for s in range(count) if room[s]]
+        s = min(fits, key=lambda s: (cost[s], s))
+        part = min(n, room[s])
+        out.append((d, start, part, full + s))
+        room[s] -= part
+        cost[s] += 1.0 * part + 1e-3 * part * part
+        if part < n:
+            rest.append((part - n, d, start + part))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_the_cheapest_sequence_with_room_is_chosen(seed):
+    rng = random.Random(seed)
+    lengths = [rng.choice([rng.randrange(1, 10), rng.randrange(1, 60), rng.randrange(1, 150)]) for _ in range(250)]
+    assert sorted(p[:4] for p in packing.pack_cell(lengths, 100)) == by_the_rule(lengths, 100)

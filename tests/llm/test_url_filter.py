@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -57,3 +59,42 @@ def test_query(spark, sf_dir):
     got = url_filter.op8_url_filter(spark, sf_dir)
     assert got.count() == spark.read.parquet(f"{sf_dir}/pages.parquet").count()
     assert got.where("rule IN ('net/', 'example.com/de/') AND verdict <> 'block'").count() == 0
+
+
+def test_quality_on_hosts_not_seen(spark):
+    """Labels follow the urls' form; hosts of the judged urls are not among the labelled ones."""
+    rng = random.Random(2)
+
+    def url(bad, seen):
+        host = f"{rng.choice(['a', 'b', 'c'])}{rng.randrange(500)}{'s' if seen else 'u'}.example.{rng.choice(['com', 'org', 'net'])}"
+        if bad:
+            return f"http://{host}/" + "/".join(str(rng.randrange(10**6)) for _ in range(rng.randrange(2, 5))) + "?" + "&".join(f"p{i}={rng.randrange(999)}" for i in range(rng.randrange(2, 6)))
+        return f"http://{host}/" + "-".join(rng.choice(["news", "garden", "recipe", "travel"]) for _ in range(rng.randrange(1, 4))) + ".html"
+
+    known = spark.createDataFrame([(url(i % 2, True), i % 2) for i in range(2000)], "url string, y int")
+    truth = {i: i % 2 for i in range(500)}
+    pages = spark.createDataFrame([(i, url(y, False)) for i, y in truth.items()], "page_id long, url string")
+    got = {r.page_id: r.verdict == "block" for r in url_filter.classify(pages, known, rules=()).collect()}
+    assert sum(got[i] == bool(y) for i, y in truth.items()) >= 0.97 * len(truth)
+
+
+def test_own_labels_are_no_input(spark):
+    """Labels by host at random: the trees cannot learn them, as a fitted row does not see its own host's labels."""
+    rng = random.Random(4)
+    rows = [(f"http://h{h}.example/{rng.choice('abc')}", h % 2) for h in range(300) for _ in range(5)]
+    known = spark.createDataFrame(rows, "url string, y int").selectExpr("url as __u", "cast(y as double) as y")
+    host, path = url_filter.host_and_path(F.col("__u"))
+    known = known.withColumns({"__host": host, "__path": path})
+    _, folds, total = url_filter.rates(known, 2)
+    assert total == len(rows) and len(folds) == url_filter.FOLDS * url_filter.SUFFIX_BUCKETS
+    b, f = known.where("__host = 'h7.example'").select(url_filter.bucket(F.col("__host"), 2), url_filter.fold(F.col("__host"))).first()
+    others = known.where((url_filter.bucket(F.col("__host"), 2) == b) & (url_filter.fold(F.col("__host")) != f))
+    s, n = others.agg(F.coalesce(F.sum("y"), F.lit(0.0)), F.count(F.lit(1))).first()
+    assert folds[f * url_filter.SUFFIX_BUCKETS + b] == (s + 1) / (n + 2)
+
+
+def test_a_very_long_url(spark):
+    pages = spark.createDataFrame([(1, "http://a.example/" + "x1/" * 100_000 + "?" + "a=1&" * 50_000), (2, None), (3, "http://a.example/x")], "page_id long, url string")
+    known = spark.createDataFrame([("http://b.example/1", 1), ("http://c.example/y", 0)] * 20, "url string, y int")
+    got = {r.page_id: r for r in url_filter.classify(pages, known).collect()}
+    assert got[1].path == "/" + "x1/" * 100_000 and got[2].host == "" and len(got) == 3

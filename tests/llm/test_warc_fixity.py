@@ -96,3 +96,26 @@ def test_query(spark, sf_dir):
     ids = [r.page_id for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
     assert sorted(r.page_id for r in got) == sorted(ids)
     assert {r.page_id for r in got if r.status != "ok"} == {i for i in ids if zlib.crc32(str(i).encode()) % 211 == 5}
+
+
+def test_added_bytes_are_found(spark, tmp_path):
+    tmp = Scratch(spark, "t")
+    rows = [(i, f"http://x/{i}", "page " * (i + 1)) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    a, b = f"file://{tmp_path}/a", f"file://{tmp_path}/b"
+    index = tmp.save(w.write_archive(pages, a, shard_bytes=8000), "index")
+    tmp.save(w.copy_archive(index.withColumn("flip", F.lit(False)), a, b), "copied")
+    shard = index.selectExpr("max(shard) as s").first().s
+    with open(f"{tmp_path}/b/{w.shard_name(shard)}", "ab") as f:
+        f.write(w.record("http://added", "a record more"))
+    la, lb = (tmp.save(w.leaves(index, r), f"l{r[-1]}") for r in (a, b))
+    found = w.audit(w.Tree(la, tmp, "ta"), w.Tree(lb, tmp, "tb"), tmp).collect()
+    assert [(r.sha256_a, r.sha256_b is None) for r in found] == [(None, False)] and la.count() == 60
+
+
+def test_repeated_rows_are_dealt_over_shards(spark, tmp_path):
+    tmp = Scratch(spark, "t")
+    pages = spark.range(200).selectExpr("1L as page_id", "'u' as url", "repeat('x', 500) as html")
+    index = tmp.save(w.write_archive(pages, f"file://{tmp_path}/a", shard_bytes=16_000), "index")
+    sizes = [r["count"] for r in index.groupBy("shard").count().collect()]
+    assert sum(sizes) == 200 and len(sizes) >= 8 and max(sizes) <= 60
