@@ -4,8 +4,10 @@ Any window of ``window`` = 2 b - 1 words holds exactly one whole block of b word
 grid that cuts its document into non-overlapping blocks. So the reference index holds
 only these blocks, every document probes it with all its rolling b-word windows, and a
 repeat of ``window`` words or more always has a hit. Hits are extended: the windows that
-hold a hit are compared in full (64-bit hash of all their words), which joins up into
-the maximal exact repeats of each document.
+hold a hit are compared in full, which joins up into the maximal exact repeats of each
+document. What is compared are 96 bits: two rolling hashes, of independent word hashes of
+64 bits each, over all words of a window. Among 10^13 windows (100 TB of text) less than
+0.001 false pairs are to be expected.
 
 Entries travel in columns packed by target partition (6 bytes a probe, the lowest bit of
 the hash tells blocks from other windows) rather than as rows, and so do the answers,
@@ -42,23 +44,23 @@ U = np.uint64
 
 
 class Words:
-    """64-bit word hashes, remembered for at most ``keep`` words of this task."""
+    """Two 64-bit hashes of each word (rows of 2), remembered for at most ``keep`` words of this task."""
 
     def __init__(self, keep: int = 150_000):
-        self.seen: dict[bytes, int] = {}
+        self.seen: dict[bytes, bytes] = {}
         self.keep = keep
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         if len(self.seen) > self.keep:
             self.seen.clear()
-        seen, h = self.seen, xxhash.xxh64_intdigest
+        seen, h = self.seen, xxhash.xxh3_128_digest
         for w in set(words).difference(seen):
             seen[w] = h(w)
-        return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
+        return np.frombuffer(b"".join(map(seen.__getitem__, words)), np.uint64).reshape(-1, 2)
 
 
 def rolling(words: np.ndarray, width: int) -> np.ndarray:
-    """Hash of each run of ``width`` words; the runs of a batch may cross documents."""
+    """Hash of each run of ``width`` words (one hash each); the runs of a batch may cross documents."""
     n = len(words) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
@@ -91,14 +93,15 @@ class Batch:
         self.extra.append(extra)
         self.n += len(words)
 
-    def runs(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, position, hash) of all runs of ``width`` words within a document."""
+    def runs(self, width: int, lanes: int = 1) -> tuple[np.ndarray, ...]:
+        """(document, position, hash, ...) of all runs of ``width`` words within a document; one hash for each lane."""
         lengths = np.array([len(w) for w in self.words])
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         counts = np.maximum(lengths - width + 1, 0)
         doc = np.repeat(np.arange(len(lengths)), counts)
         pos = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        return doc, pos, rolling(np.concatenate(self.words), width)[starts[doc] + pos]
+        words, at = np.concatenate(self.words), starts[doc] + pos
+        return doc, pos, *(rolling(np.ascontiguousarray(words[:, k]), width)[at] for k in range(lanes))
 
 
 def _filled(batches: Iterator[pa.RecordBatch], least: int, hits: dict[int, np.ndarray] | None = None) -> Iterator[Batch]:
@@ -119,9 +122,11 @@ def _filled(batches: Iterator[pa.RecordBatch], least: int, hits: dict[int, np.nd
         yield held
 
 
-def _firsts(values: np.ndarray) -> np.ndarray:
-    """Start of each run of equal values in a sorted array."""
-    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+def _firsts(*values: np.ndarray) -> np.ndarray:
+    """Start of each run of equal values in a sorted array, or in several that are sorted together."""
+    if not len(values[0]):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.append(True, np.logical_or.reduce([v[1:] != v[:-1] for v in values])))
 
 
 MESSAGE = pa.schema([("part", pa.int32()), ("kb", pa.int32()), ("blob", pa.binary())])
@@ -164,15 +169,16 @@ def _answers_of(blobs: pa.ChunkedArray) -> dict[int, np.ndarray]:
     return {int(keys[a]): np.unique(hashes[a:z]) for a, z in zip(at[:-1], at[1:], strict=True)}
 
 
-def _dealt(hashes: np.ndarray, keys: np.ndarray, ids: np.ndarray, parts: int, wide: bool) -> Iterator[pa.RecordBatch]:
+def _dealt(hashes: np.ndarray, keys: np.ndarray, ids: np.ndarray, parts: int, wide: bool, more: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """Entries (sorted by key within a part) as one blob for each part.
 
     The part comes from the upper bits of the hash. Blob: n, then keys, ids and counts of
-    the n documents, then the hashes, 6 bytes each (8 if wide).
+    the n documents, then the hashes, 6 bytes each (8 if wide), then 4 bytes ``more`` each, if given.
     """
     part = ((hashes >> U(16)) % U(parts)).astype(np.int64)
     order = np.lexsort((keys, part))
     hashes, keys, ids, part = hashes[order], keys[order], ids[order], part[order]
+    more = None if more is None else more[order]
     at = np.append(_firsts(part), len(part))
     out_part, out_blob = [], []
     for a, z in zip(at[:-1], at[1:], strict=True):
@@ -180,6 +186,8 @@ def _dealt(hashes: np.ndarray, keys: np.ndarray, ids: np.ndarray, parts: int, wi
         counts = np.diff(np.append(k, z - a)).astype(np.uint32)
         h = hashes[a:z]
         body = [h.tobytes()] if wide else [h.astype(np.uint32).tobytes(), (h >> U(32)).astype(np.uint16).tobytes()]
+        if more is not None:
+            body.append(more[a:z].tobytes())
         out_part.append(int(part[a]))
         out_blob.append(b"".join([np.uint32(len(k)).tobytes(), keys[a:z][k].tobytes(), ids[a:z][k].tobytes(), counts.tobytes(), *body]))
     if out_part:
@@ -199,6 +207,10 @@ def _read_blob(blob: bytes, wide: bool) -> tuple[np.ndarray, np.ndarray, np.ndar
     return h, np.repeat(keys, counts), np.repeat(ids, counts)
 
 
+def _read_more(blob: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(blob, np.uint32, n, len(blob) - 4 * n)
+
+
 def probe(batches: Iterator[pa.RecordBatch], block: int, window: int, parts: int, groups: int) -> Iterator[pa.RecordBatch]:
     """Index blocks and probes of each document, dealt by hash."""
     for batch in _filled(batches, window):
@@ -254,36 +266,42 @@ def _extend(docs: pa.Table, answers: pa.Table, block: int, window: int, parts: i
         cut = np.searchsorted(doc, np.arange(len(keys) + 1))
         hit = np.concatenate([np.isin(h[a:z], e) for a, z, e in zip(cut[:-1], cut[1:], batch.extra, strict=True)])
         total = np.concatenate([[0], np.cumsum(hit)])
-        wdoc, wpos, full = batch.runs(window)
+        wdoc, wpos, full, more = batch.runs(window, 2)
         start = cut[wdoc] + wpos
         near = total[start + reach] > total[start]
-        full, d = full[near], wdoc[near]
-        order = np.lexsort((ids[d], full))
-        full, d = full[order], d[order]
-        at = _firsts(full)
+        full, more, d = full[near], (more[near] >> U(32)).astype(np.uint32), wdoc[near]
+        order = np.lexsort((ids[d], more, full))
+        full, more, d = full[order], more[order], d[order]
+        at = _firsts(full, more)
         size = np.diff(np.append(at, len(full)))
         later = ids[d] > np.repeat(ids[d[at]], size)
         yield from _settled(keys[d[later]], full[later], groups)
         # equal smallest ids (repeated rows) each need their own answer
-        least = ~later & np.append(True, (full[1:] != full[:-1]) | (d[1:] != d[:-1]))[: len(d)]
-        yield from _dealt(full[least], keys[d[least]], ids[d[least]], parts, wide=True)
+        least = ~later & np.append(True, (full[1:] != full[:-1]) | (more[1:] != more[:-1]) | (d[1:] != d[:-1]))[: len(d)]
+        yield from _dealt(full[least], keys[d[least]], ids[d[least]], parts, True, more[least])
 
 
 def repeated_windows(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBatch]:
-    """Entries whose window also stands in a document with a smaller id: (key, hashes)."""
-    h, keys, ids = [], [], []
+    """Entries whose window also stands in a document with a smaller id: (key, hashes).
+
+    Windows are told apart by all their 96 bits; a document's own windows, which the
+    answers are looked up among, by the first 64.
+    """
+    h, keys, ids, more = [], [], [], []
     for b in batches:
         done = np.array(b.column("part")) < 0
         yield b.filter(pa.array(done))
         for blob in b.column("blob").filter(pa.array(~done)):
-            for held, x in zip((h, keys, ids), _read_blob(blob.as_py(), True), strict=True):
-                held.append(x)
+            raw = blob.as_py()
+            x = _read_blob(raw, True)
+            for held, new in zip((h, keys, ids, more), (*x, _read_more(raw, len(x[0]))), strict=True):
+                held.append(new)
     if not h:
         return
-    h, keys, ids = np.concatenate(h), np.concatenate(keys), np.concatenate(ids)
-    order = np.lexsort((ids, h))
-    h, keys, ids = h[order], keys[order], ids[order]
-    at = _firsts(h)
+    h, keys, ids, more = np.concatenate(h), np.concatenate(keys), np.concatenate(ids), np.concatenate(more)
+    order = np.lexsort((ids, more, h))
+    h, keys, ids, more = h[order], keys[order], ids[order], more[order]
+    at = _firsts(h, more)
     later = ids > np.repeat(ids[at], np.diff(np.append(at, len(h))))
     yield from _settled(keys[later], h[later], groups)
 
@@ -300,7 +318,7 @@ def cut_out(docs: pa.Table, answers: pa.Table, window: int) -> pa.Table:
         n_words.append(len(words))
         n_removed.append(0)
         if key in gone:
-            starts = np.flatnonzero(np.isin(rolling(hasher(words), window), gone[key]))
+            starts = np.flatnonzero(np.isin(rolling(np.ascontiguousarray(hasher(words)[:, 0]), window), gone[key]))
             edge = np.zeros(len(words) + 1, np.int64)
             np.add.at(edge, starts, 1)
             np.add.at(edge, starts + window, -1)

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from oracle import assert_same
@@ -81,6 +82,37 @@ def test_blobs_round_trip():
         assert got == set(zip(h.tolist(), keys.tolist(), ids.tolist(), strict=True))
 
 
+def test_windows_of_equal_first_hash_are_told_apart():
+    u = np.uint64
+    h, keys, ids = np.array([5, 5, 5], u), np.array([1, 2, 3]), np.array([1, 2, 3])
+    sent = list(substring_dedup._dealt(h, keys, ids, 1, True, np.array([7, 8, 7], np.uint32)))
+    answers = [m for m in substring_dedup.repeated_windows(iter(sent), 4) if m.num_rows]
+    got = substring_dedup._answers_of(pa.chunked_array([m.column("blob") for m in answers]))
+    assert {k: v.tolist() for k, v in got.items()} == {3: [5]}
+
+
+def test_false_first_hashes_remove_nothing(monkeypatch):
+    """With a first hash that is the same for all windows, the second still keeps different windows apart."""
+    true_rolling = substring_dedup.rolling
+    calls = []
+
+    def weak(words, width):
+        out = true_rolling(words, width)
+        calls.append(width)
+        return out * np.uint64(0) if width == 13 and calls.count(13) % 2 else out
+
+    monkeypatch.setattr(substring_dedup, "rolling", weak)
+    texts = [" ".join(f"{c}{i}" for i in range(13)) for c in "aba"]
+    z = substring_dedup.zstandard.ZstdCompressor()
+    docs = pa.table({"key": pa.array([1, 2, 3]), "id": pa.array([1, 2, 3]), "packed": pa.array([z.compress(t.encode()) for t in texts], pa.binary())})
+    words = substring_dedup.Words()
+    hits = {k: (true_rolling(words(t.encode().split())[:, 0].copy(), 7) & np.uint64((1 << 48) - 1)) >> np.uint64(1) for k, t in zip((1, 2, 3), texts, strict=True)}
+    blobs = [m.column("blob") for m in substring_dedup._settled(np.repeat([1, 2, 3], 7), np.concatenate(list(hits.values())), 1)]
+    found = substring_dedup._extend(docs, pa.table({"blob": pa.chunked_array(blobs)}), 7, 13, 1, 1)
+    settled = [m.column("blob") for m in found if m.num_rows and m.column("part")[0].as_py() < 0]
+    assert set(substring_dedup._answers_of(pa.chunked_array(settled))) == {3}
+
+
 def test_empty(spark):
     assert substring_dedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     with pytest.raises(ValueError):
