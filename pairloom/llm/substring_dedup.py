@@ -169,15 +169,16 @@ def _answers_of(blobs: pa.ChunkedArray) -> dict[int, np.ndarray]:
     return {int(keys[a]): np.unique(hashes[a:z]) for a, z in zip(at[:-1], at[1:], strict=True)}
 
 
-def _dealt(hashes: np.ndarray, keys: np.ndarray, ids: np.ndarray, parts: int, wide: bool, more: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+def _dealt(hashes: np.ndarray, keys: np.ndarray, ids: np.ndarray | None, parts: int, wide: bool, more: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """Entries (sorted by key within a part) as one blob for each part.
 
-    The part comes from the upper bits of the hash. Blob: n, then keys, ids and counts of
+    The part comes from the upper bits of the hash. Blob: n, then keys, ids (if given) and counts of
     the n documents, then the hashes, 6 bytes each (8 if wide), then 4 bytes ``more`` each, if given.
     """
     part = ((hashes >> U(16)) % U(parts)).astype(np.int64)
     order = np.lexsort((keys, part))
-    hashes, keys, ids, part = hashes[order], keys[order], ids[order], part[order]
+    hashes, keys, part = hashes[order], keys[order], part[order]
+    ids = None if ids is None else ids[order]
     more = None if more is None else more[order]
     at = np.append(_firsts(part), len(part))
     out_part, out_blob = [], []
@@ -189,22 +190,23 @@ def _dealt(hashes: np.ndarray, keys: np.ndarray, ids: np.ndarray, parts: int, wi
         if more is not None:
             body.append(more[a:z].tobytes())
         out_part.append(int(part[a]))
-        out_blob.append(b"".join([np.uint32(len(k)).tobytes(), keys[a:z][k].tobytes(), ids[a:z][k].tobytes(), counts.tobytes(), *body]))
+        out_blob.append(b"".join([np.uint32(len(k)).tobytes(), keys[a:z][k].tobytes(), b"" if ids is None else ids[a:z][k].tobytes(), counts.tobytes(), *body]))
     if out_part:
         yield _messages(out_part, [None] * len(out_part), out_blob)
 
 
-def _read_blob(blob: bytes, wide: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _read_blob(blob: bytes, wide: bool, named: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """(hashes, keys, ids); ids are there if the blob is ``named``."""
     n = int(np.frombuffer(blob, np.uint32, 1)[0])
+    at = 4 + (16 if named else 8) * n
     keys = np.frombuffer(blob, np.int64, n, 4)
-    ids = np.frombuffer(blob, np.int64, n, 4 + 8 * n)
-    counts = np.frombuffer(blob, np.uint32, n, 4 + 16 * n)
-    total, at = int(counts.sum()), 4 + 20 * n
+    counts = np.frombuffer(blob, np.uint32, n, at)
+    total, at = int(counts.sum()), at + 4 * n
     if wide:
         h = np.frombuffer(blob, np.uint64, total, at)
     else:
         h = np.frombuffer(blob, np.uint32, total, at).astype(np.uint64) | (np.frombuffer(blob, np.uint16, total, at + 4 * total).astype(np.uint64) << U(32))
-    return h, np.repeat(keys, counts), np.repeat(ids, counts)
+    return h, np.repeat(keys, counts), np.repeat(np.frombuffer(blob, np.int64, n, 4 + 8 * n), counts) if named else None
 
 
 def _read_more(blob: bytes, n: int) -> np.ndarray:
@@ -214,7 +216,7 @@ def _read_more(blob: bytes, n: int) -> np.ndarray:
 def probe(batches: Iterator[pa.RecordBatch], block: int, window: int, parts: int, groups: int) -> Iterator[pa.RecordBatch]:
     """Index blocks and probes of each document, dealt by hash."""
     for batch in _filled(batches, window):
-        keys, ids = np.array(batch.keys), np.array(batch.ids)
+        keys = np.array(batch.keys)
         doc, pos, h = batch.runs(block)
         h = (h & U((1 << 48) - 2)) | (pos % block == 0).astype(np.uint64)
         order = np.lexsort((h & U(1), doc, h >> U(1)))
@@ -228,7 +230,7 @@ def probe(batches: Iterator[pa.RecordBatch], block: int, window: int, parts: int
         yield from _settled(keys[doc[several]], h[several] >> U(1), groups)
         is_block = np.maximum.reduceat(h & U(1), at)
         d = doc[at]
-        yield from _dealt((h[at] & ~U(1)) | is_block, keys[d], ids[d], parts, wide=False)
+        yield from _dealt((h[at] & ~U(1)) | is_block, keys[d], None, parts, wide=False)
 
 
 def matched_blocks(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBatch]:
@@ -238,7 +240,7 @@ def matched_blocks(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[p
         done = np.array(b.column("part")) < 0
         yield b.filter(pa.array(done))
         for blob in b.column("blob").filter(pa.array(~done)):
-            x = _read_blob(blob.as_py(), False)
+            x = _read_blob(blob.as_py(), False, named=False)
             h.append(x[0])
             keys.append(x[1])
     if not h:
