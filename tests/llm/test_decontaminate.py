@@ -168,3 +168,10 @@ def test_near_copies_of_a_long_item_are_found():
         text = [f"y{i}" for i in range(50)] + copy + [f"z{i}" for i in range(50)]
         found += any(d <= 160 for _, d, _, _ in m.matches([m.numbered(" ".join(text))])[0])
     assert found == 12, found
+
+
+def test_words_of_a_text_are_those_of_its_words():
+    """Dropping characters from the whole text gives the same words, for every character."""
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    for text in ("", " . ", "A-b c_d\x1cE\x00f g", "ΟΔΟΣ ΑΣ. İx “q”", every, *("Ab" + c + "ΑΣ " + c + " ΟΣ" + c for c in every[::97])):
+        assert decontaminate.bare_words(text) == decontaminate.item_words(text)
