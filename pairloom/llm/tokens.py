@@ -6,8 +6,9 @@ stands between two characters that are not white space (the space belongs to the
 that follows), for vocabularies that drop white space and case at each space. Words of plain
 letters, apart from the stops and line ends that may follow, go to the library's model
 without its costly normalizing and splitting, which leave them as they are; other pieces
-go through the whole pipeline. Whole texts get the ids that
-the library gives them in one call.
+go through the whole pipeline. Texts are cut and their different pieces found by Arrow, a
+group at a time, so that each different piece is looked up once, and its ids are copied by
+numpy to all its places. Whole texts get the ids that the library gives them in one call.
 """
 
 from __future__ import annotations
@@ -15,17 +16,23 @@ from __future__ import annotations
 import gc
 import os
 import re
+from collections.abc import Callable
 from functools import lru_cache
-from itertools import accumulate, chain, compress, repeat
+from itertools import accumulate, chain, compress, pairwise, repeat
 from operator import is_
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 CUT = re.compile(r"(?<=\S) (?=\S)")
 #: marks that end a word and form one part of their own with both vocabularies
 STOPS = ".,;:!?"
 #: stands for a line end between two characters that are not white space: a cut before and after
 LINE = "\0"
+#: a word of Latin-1 letters and the stops that may follow
+PLAIN = f"[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[{STOPS}]*$"
+AFTER_LINE = r"^\x00?"
 #: how byte-level vocabularies write a space
 SPACE = "\u0120"
 SAMPLE = "Ab cd, ef.\nGh aéüñ XyZ: qu? Thathe!\nof theß. Éa ü, antandi"
@@ -43,6 +50,35 @@ def byte_letters() -> dict[int, str]:
 LONG = 64
 
 
+class Table:
+    """Ids of entries one after the other, and how many each has."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray):
+        self.ids, self.sizes = ids, sizes
+
+    @classmethod
+    def of(cls, entries: list[bytes]) -> Table:
+        return cls(np.frombuffer(b"".join(entries), "<u4"), np.fromiter(map(len, entries), np.int64, len(entries)) // 4)
+
+    def __add__(self, other: Table) -> Table:
+        return Table(np.concatenate([self.ids, other.ids]), np.concatenate([self.sizes, other.sizes]))
+
+    def joined(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the entries named, in that order, and where each ends."""
+        sizes = self.sizes[codes]
+        ends = np.cumsum(sizes)
+        at = np.repeat((np.cumsum(self.sizes) - self.sizes)[codes] - ends + sizes, sizes)
+        at += np.arange(len(at))
+        return self.ids[at], ends
+
+    def texts(self, codes: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+        """Ids of each run of entries; ``bounds`` says where runs begin, and where the last ends."""
+        ids, ends = self.joined(codes)
+        cuts = (4 * np.concatenate([[0], ends])[bounds]).tolist()
+        raw = ids.tobytes()
+        return [raw[a:z] for a, z in pairwise(cuts)]
+
+
 class Memory:
     """A dict ``now`` of about ``keep`` entries and the ones that came before it; ``recall``
     brings entries still in use over, so that only unused ones are forgotten. Keys of more
@@ -115,50 +151,34 @@ class Encoder:
             self.tails[tail] = self._encode([tail])[0]
         return self.tails[tail]
 
-    def _plain(self, pieces: list[str]) -> list[str]:
-        """Learns the pieces of one word and stops; the others are returned."""
-        if not self.simple:
-            return pieces
-        words = [p for p in pieces if p.isalpha()]
-        others = [p for p in pieces if not p.isalpha()]
-        cores = [p.rstrip(STOPS) for p in others]
-        fits = [c.isalpha() for c in cores]
-        rest = [p for p, f in zip(others, fits, strict=True) if not f]
-        stopped, cores = list(compress(others, fits)), list(compress(cores, fits))
-        try:
-            "".join(words).encode("latin-1")
-            "".join(cores).encode("latin-1")
-        except UnicodeEncodeError:
-            wide = {w for w in (*words, *cores) if not w.isascii() and max(w) > "\u00ff"}
-            rest += [w for w in words if w in wide] + [p for p, c in zip(stopped, cores, strict=True) if c in wide]
-            words = [w for w in words if w not in wide]
-            stopped, cores = [p for p, c in zip(stopped, cores, strict=True) if c not in wide], [c for c in cores if c not in wide]
-        roots = cores if self.spaces else [c.lower() for c in cores]
-        if not self.spaces:
-            # only texts that could not be lower-cased as a whole still hold capitals
-            capital = [w for w in words if w != w.lower()]
-            if capital:
-                words = [w for w in words if w == w.lower()]
-                stopped, roots, cores = stopped + capital, roots + [w.lower() for w in capital], cores + capital
-        self._learn_words(list({*words, *self.inner.recall(set(roots))}))
-        known, tail = self.inner.now, self._tail
-        ends = {t: tail(t) for t in {p[len(c) :] for p, c in zip(stopped, cores, strict=True)}}
-        known.update([(p, known[r] + ends[p[len(c) :]]) for p, c, r in zip(stopped, cores, roots, strict=True)])
-        return rest
-
-    def _after_lines(self, pieces: list[str]) -> list[str]:
-        """Learns the pieces LINE + word + stops; the others are returned."""
-        if not self.simple:
-            return pieces
-        fits = [p[0] == LINE and p[1:].rstrip(STOPS).isalpha() and (p.isascii() or max(p) < "\u0100") for p in pieces]
+    def _learn_after_lines(self, words: list[str]) -> None:
+        """Ids of LINE + word of letters."""
         model, letters, end = self.tokenizer.model, self.letters, self._tail("\n")
-        for p in compress(pieces, fits):
-            core = p[1:].rstrip(STOPS)
+        for w in words:
+            core = w[1:]
             if core not in self.bare:
                 got = model.tokenize(core if core.isascii() else core.encode().decode("latin-1").translate(letters))
                 self.bare[core] = np.array([t.id for t in got], "<u4").tobytes()
-            self.inner.now[p] = end + self.bare[core] + self._tail(p[1 + len(core) :])
-        return [p for p, f in zip(pieces, fits, strict=True) if not f]
+            self.inner.now[w] = end + self.bare[core]
+
+    def _learn_plain(self, words: list[str]) -> None:
+        after = [w for w in words if w[0] == LINE]
+        if after:
+            words = [w for w in words if w[0] != LINE]
+            self._learn_after_lines(after)
+        self._learn_words(words)
+
+    def _learn_others(self, pieces: list[str]) -> None:
+        """Ids by the whole pipeline; None for pieces that can't stand alone."""
+        lead = ""
+        if self.spaces:
+            lead = " "
+            alone = [p for p in pieces if p and p != LINE and not p[0].isspace() and not p[-1].isspace()]
+            self.inner.now.update(dict.fromkeys(pieces))
+            after = [p for p in alone if p[0] == LINE]
+            pieces = [p for p in alone if p[0] != LINE]
+            self.inner.now.update(zip(after, self._encode(["\n" + p[1:] for p in after]), strict=True))
+        self.inner.now.update(zip(pieces, self._encode([lead + p for p in pieces]), strict=True))
 
     @staticmethod
     def _plainer(text: str) -> str:
@@ -172,33 +192,56 @@ class Encoder:
             pass
         return text.replace("\n", " ").replace("\t", " ")
 
-    def _ids(self, split: list[list[str]]) -> list[list[bytes | None]]:
-        """Ids of all pieces, each looked up once; the missing ones are learned together."""
-        flat = list(chain.from_iterable(split))
-        found = list(map(self.inner.now.get, flat, repeat(0)))
-        gaps = list(compress(range(len(flat)), map(is_, found, repeat(0))))
+    def _known(self, pieces: list[str], learn: Callable[[list[str]], None]) -> list[bytes | None]:
+        """Ids of different pieces, each looked up once; the missing ones are learned together."""
+        found = list(map(self.inner.now.get, pieces, repeat(0)))
+        gaps = list(compress(range(len(pieces)), map(is_, found, repeat(0))))
         if gaps:
-            missing = [flat[i] for i in gaps]
-            self._learn(set(missing))
+            missing = [pieces[i] for i in gaps]
+            self.long = self.long or max(map(len, missing)) > LONG
+            learn(self.inner.recall(set(missing)))
             for i, ids in zip(gaps, map(self.inner.now.__getitem__, missing), strict=True):
                 found[i] = ids
-        ends = list(accumulate(map(len, split)))
-        return [found[a:z] for a, z in zip([0, *ends], ends, strict=False)]
+        return found
 
-    def _learn(self, missing: set[str]) -> None:
-        self.long = self.long or max(map(len, missing)) > LONG
-        rest = self._plain(self.inner.recall(missing))
-        lead = ""
-        if self.spaces:
-            lead = " "
-            alone = [p for p in rest if p and p != LINE and not p[0].isspace() and not p[-1].isspace()]
-            self.inner.now.update(dict.fromkeys(rest))
-            rest = self._after_lines(alone)
-            after = [p for p in rest if p[0] == LINE]
-            if after:
-                rest = [p for p in rest if p[0] != LINE]
-                self.inner.now.update(zip(after, self._encode(["\n" + p[1:] for p in after]), strict=True))
-        self.inner.now.update(zip(rest, self._encode([lead + p for p in rest]), strict=True))
+    def _pieces(self, words: pa.Array, used: np.ndarray) -> tuple[Table, np.ndarray]:
+        """Ids of the different pieces in use, and which of them can't stand alone.
+
+        Words of letters are looked up without the stops that follow them.
+        """
+        plain = np.zeros(len(words), bool)
+        if self.simple:
+            plain = pc.match_substring_regex(words, AFTER_LINE + PLAIN if self.spaces else "^" + PLAIN).to_numpy(zero_copy_only=False) & used
+        stopped = words.filter(pa.array(plain))
+        roots = pc.utf8_rtrim(stopped, STOPS)
+        # stops are of one byte each
+        ends = pc.subtract(pc.binary_length(stopped), pc.binary_length(roots)).to_numpy().astype(np.int64)
+        roots = (roots if self.spaces else pc.utf8_lower(roots)).dictionary_encode()
+        cores = self._known(roots.dictionary.to_pylist(), self._learn_plain)
+        tails, tail_of = [b""], np.zeros(len(stopped), np.int64)
+        for n in np.unique(ends[ends > 0]).tolist():
+            at = np.flatnonzero(ends == n)
+            marks = pc.utf8_slice_codeunits(stopped.take(pa.array(at)), start=-n).dictionary_encode()
+            tail_of[at] = len(tails) + marks.indices.to_numpy()
+            tails += map(self._tail, marks.dictionary.to_pylist())
+        others_at = np.flatnonzero(used & ~plain)
+        others = self._known(words.take(pa.array(others_at)).to_pylist(), self._learn_others)
+        # a piece is two parts: a core or another piece, and stops or nothing
+        parts = Table.of([*tails, *cores, *(ids or b"" for ids in others)])
+        codes = np.zeros((len(words), 2), np.int64)
+        codes[plain, 0] = len(tails) + roots.indices.to_numpy()
+        codes[plain, 1] = tail_of
+        codes[others_at, 0] = len(tails) + len(cores) + np.arange(len(others))
+        unfit = np.zeros(len(words), bool)
+        unfit[others_at] = [ids is None for ids in others]
+        ids, ends = parts.joined(codes.ravel())
+        return Table(ids, np.diff(ends[1::2], prepend=0)), unfit
+
+    def _ids(self, split: list[list[str]]) -> list[bytes]:
+        """Ids of the pieces of each list, which can stand alone, one after the other."""
+        coded = pa.array(list(chain.from_iterable(split)), pa.large_string()).dictionary_encode()
+        table, _ = self._pieces(coded.dictionary, np.ones(len(coded.dictionary), bool))
+        return table.texts(coded.indices.to_numpy(), np.cumsum([0, *map(len, split)]))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out, group, size = [], [], 0
@@ -232,22 +275,27 @@ class Encoder:
                     del held[k]
             self.long = False
         self.inner.rotate()
-        split = [t.replace("\n", " " + LINE).split(" ") for t in texts] if self.spaces else [self._plainer(t).split(" ") for t in texts]
+        if not texts:
+            return []
+        lists = pc.split_pattern(pa.array([t.replace("\n", " " + LINE) if self.spaces else self._plainer(t) for t in texts], pa.large_string()), " ")
+        coded = lists.values.dictionary_encode()
+        words, codes, bounds = coded.dictionary, coded.indices.to_numpy().astype(np.int64), lists.offsets.to_numpy()
+        inner, starts = np.ones(len(codes), bool), bounds[:-1]
+        inner[starts] = not self.spaces
+        used = np.zeros(len(words), bool)
+        used[codes[inner]] = True
+        table, unfit = self._pieces(words, used)
         if not self.spaces:
-            return [b"".join(p) for p in self._ids(split)]
-        heads = [p.pop(0) for p in split]
-        split = self._ids(split)
+            return table.texts(codes, bounds)
+        heads = words.take(pa.array(codes[starts])).to_pylist()
         self._learn_heads(heads)
-        out, again = [], []
-        for i, (head, p) in enumerate(zip(heads, split, strict=True)):
-            try:
-                # a null piece, or a head that ends in white space, is no place to cut
-                if p and not head[-1:].strip() or LINE in texts[i]:
-                    raise TypeError
-                out.append(self.first[head] + b"".join(p))
-            except TypeError:
-                out.append(b"")
-                again.append(i)
+        first = Table.of([self.first[h] for h in heads])
+        codes[starts] = len(words) + np.arange(len(heads))
+        unfit = np.logical_or.reduceat(np.concatenate([unfit, np.zeros(len(heads), bool)])[codes], starts)
+        out = (table + first).texts(codes, bounds)
+        # a null piece, or a head that ends in white space, is no place to cut
+        cut = np.diff(bounds) > 1
+        again = [i for i, (t, h) in enumerate(zip(texts, heads, strict=True)) if unfit[i] or cut[i] and not h[-1:].strip() or LINE in t]
         whole = [i for i in again if LINE in texts[i]]
         rest = [i for i in again if LINE not in texts[i]]
         for some, encode in ((whole, self._encode), (rest, self._carefully)):
@@ -265,9 +313,9 @@ class Encoder:
         split = [CUT.split(t) for t in texts]
         heads = [p.pop(0) for p in split]
         ends = [" " + p.pop() if p and p[-1][-1].isspace() else "" for p in split]
-        split = self._ids(split)
+        ids = self._ids(split)
         self._learn_heads(heads)
-        return [self.first[h] + b"".join(p) + e for h, p, e in zip(heads, split, self._encode(ends), strict=True)]
+        return [self.first[h] + p + e for h, p, e in zip(heads, ids, self._encode(ends), strict=True)]
 
 
 @lru_cache(maxsize=2)
