@@ -360,6 +360,8 @@ s AS (SELECT g, CASE WHEN nth < ceil(n * 0.2::DOUBLE) THEN 'test' WHEN nth < cei
 """
 _URL = "regexp_replace(url, '[?#].*$', '')"
 _WORDS = "list_filter(regexp_split_to_array(lower(text), '\\W+'), lambda w: w <> '')"
+# the sum of all bits that more than half of the shingles set
+_SIMHASH_BITS = " + ".join(f"CASE WHEN 2 * sum(n * (h >> {k} & 1)) > sum(n) THEN {1 << k}::HUGEINT ELSE 0 END" for k in range(64))
 
 ORACLE_SQL = {
     "dedup_keep_first": "SELECT doc_id, lang, source FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1",
@@ -378,7 +380,11 @@ SELECT o_orderkey, new_group_id, row_number() OVER (ORDER BY new_group_id, md5('
 SELECT doc_id, ordinal, CASE WHEN ordinal < floor(n * 0.7::DOUBLE) THEN 'train' WHEN ordinal < floor(n * 0.7::DOUBLE) + floor(n * 0.2::DOUBLE) THEN 'eval' ELSE 'test' END AS split FROM o""",
     "split_by_group": _GROUPS + "SELECT o_orderkey, split FROM orders JOIN s ON g = o_custkey",
     "split_stats": _GROUPS + "SELECT split, count(*) AS n_rows, count(DISTINCT o_custkey) AS n_groups FROM orders JOIN s ON g = o_custkey GROUP BY split",
-    "verify_split": "SELECT count(*) AS n_before, count(*) AS n_after, true AS contiguous, 0::BIGINT AS n_lost, 0::BIGINT AS n_made FROM documents",
+    "verify_split": """WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS ordinal, count(*) OVER () AS n FROM documents),
+s AS (SELECT *, CASE WHEN ordinal < floor(n * 0.7::DOUBLE) THEN 'train' WHEN ordinal < floor(n * 0.7::DOUBLE) + floor(n * 0.2::DOUBLE) THEN 'eval' ELSE 'test' END AS split FROM o),
+e AS (SELECT max(ordinal) - min(ordinal) + 1 = count(*) AS whole FROM s GROUP BY split)
+SELECT (SELECT count(*) FROM documents) AS n_before, (SELECT count(*) FROM s) AS n_after, (SELECT bool_and(whole) FROM e) AS contiguous,
+ (SELECT count(*) FROM documents d ANTI JOIN s ON s.doc_id = d.doc_id) AS n_lost, (SELECT count(*) FROM s ANTI JOIN documents d ON s.doc_id = d.doc_id) AS n_made""",
     "negative_pairs": _NEGATIVES + "SELECT id, partner, attempt::INT AS attempt FROM neg",
     "labelled_pairs": _NEGATIVES + """, p AS (SELECT doc_id AS id, 1 AS label, 0 AS way, doc_id::VARCHAR AS src FROM documents
  UNION ALL SELECT id, 0, 1, partner::VARCHAR FROM neg UNION ALL SELECT id, 0, 2, id::VARCHAR FROM neg)
@@ -398,23 +404,27 @@ c AS (SELECT count(*) FILTER (t = 1 AND p = 1) AS tp, count(*) FILTER (t = 0 AND
  count(*) FILTER (p IS NULL OR t IS NULL OR t NOT IN (0, 1)) AS skipped FROM r),
 x AS (SELECT *, tp / (tp + fp + 1e-8::DOUBLE) AS pr, tp / (tp + fn + 1e-8::DOUBLE) AS re FROM c)
 SELECT tp, fp, fn, tn, skipped, round((tp + tn) / (tp + fp + fn + tn + 1e-8::DOUBLE), 6) AS accuracy, round(pr, 6) AS precision, round(re, 6) AS recall, round(2 * pr * re / (pr + re + 1e-8::DOUBLE), 6) AS f1 FROM x""",
-    "llm_parse": "SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN NULL ELSE (conv_id * 7 % 3)::INT END AS label FROM conversations",
+    "llm_parse": """WITH a AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN 'yes' || chr(10) || text ELSE ' ' || (conv_id * 7 % 3) || ' ' || chr(10) || text END AS answer FROM conversations)
+SELECT conv_id, turn, TRY_CAST(trim(split_part(answer, chr(10), 1)) AS INT) AS label FROM a""",
     "llm_rank_mrr": """WITH r AS (SELECT conv_id // 8 AS batch, CASE WHEN conv_id % 5 = 0 THEN CASE turn WHEN 7 THEN 1.0 WHEN 8 THEN 0.5 END
  WHEN conv_id % 2 = 0 THEN 1.0 WHEN turn = 9 THEN 0.5 ELSE 0.5 END AS rr FROM conversations), b AS (SELECT batch, coalesce(avg(rr), 0) AS m, avg(coalesce(rr, 0)) AS a FROM r GROUP BY batch)
 SELECT round(avg(m), 6) AS mrr, round(avg(a), 6) AS mrr_all, count(*) AS n_batches FROM b""",
-    "judge_answers": """SELECT event_id, CASE WHEN event_id % 3 = 2 THEN 'f()' ELSE '' END AS function_code, CASE WHEN event_id % 3 = 0 THEN (event_id % 6)::INT ELSE 0 END AS score,
- CASE WHEN event_id % 3 = 0 THEN 'r' ELSE '' END AS reason, event_id % 3 = 0 AS is_grounded, 0 AS n_citations FROM events""",
+    "judge_answers": """WITH a AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN '{"score": ' || event_id % 6 || ', "reason": "r", "is_grounded": true}' WHEN 1 THEN '{}' ELSE '{"function_code": "f()"}' END::JSON AS j FROM events)
+SELECT event_id, coalesce(j->>'$.function_code', '') AS function_code, coalesce((j->>'$.score')::INT, 0) AS score, coalesce(j->>'$.reason', '') AS reason,
+ coalesce((j->>'$.is_grounded')::BOOL, false) AS is_grounded, coalesce(json_array_length(j, '$.citations'), 0)::INT AS n_citations FROM a""",
     "best_epoch": "SELECT p_partkey AS best_epoch, m AS best_metric FROM (SELECT p_partkey, trunc(p_retailprice)::INT % 97 AS m FROM part) ORDER BY m DESC, p_partkey LIMIT 1",
     "compose_key": "SELECT doc_id, source || '$' || lang || '$' || doc_id AS key, doc_id::VARCHAR AS func_name FROM documents",
     "path_parts": f"""WITH p AS (SELECT page_id, {_URL} AS path, string_split({_URL}, '/') AS parts FROM pages)
 SELECT page_id, split_part(parts[-1], '.', 1) AS stem, regexp_extract(parts[-1], '^.+(\\.[^.]*)$', 1) AS ext,
  CASE WHEN lower(regexp_extract(parts[-1], '^.+(\\.[^.]*)$', 1)) IN ('.c', '.h') THEN 'c' ELSE 'cpp' END AS lang,
  CASE WHEN regexp_matches(path, '-(O[\\dsfastgz]+)') THEN parts[-3] ELSE parts[-2] END AS project, parts[-3] AS third FROM p""",
-    "opt_level": """WITH l AS (SELECT page_id, (['-O0', '-O1', '-O2', '-O3', '-Ofast', '-Os', 'src'])[page_id % 7 + 1] AS d FROM pages)
-SELECT page_id, CASE WHEN d = 'src' THEN 'O0' ELSE substr(d, 2) END AS level, 'Os' AS level_anywhere, 'x-Os' AS project, page_id::VARCHAR AS stem FROM l""",
-    "mangled_flag": "SELECT doc_id, doc_id % 6 < 3 AS mangled FROM documents",
+    "opt_level": """WITH l AS (SELECT page_id, 'out/x-Os/' || (['-O0', '-O1', '-O2', '-O3', '-Ofast', '-Os', 'src'])[page_id % 7 + 1] || '/' || page_id || '.a.csv' AS path FROM pages)
+SELECT page_id, coalesce(nullif(regexp_extract(path, '/-(O(fast|[0-3sgz]))/', 1), ''), 'O0') AS level, coalesce(nullif(regexp_extract(path, '-(O(fast|[0-3sgz]))', 1), ''), 'O0') AS level_anywhere,
+ string_split(path, '/')[CASE WHEN regexp_matches(path, '-O(fast|[0-3sgz])') THEN -3 ELSE -2 END] AS project, split_part(string_split(path, '/')[-1], '.', 1) AS stem FROM l""",
+    "mangled_flag": """SELECT doc_id, regexp_matches((['_Z', '__Z', '?', '_z', 'a_Z', ''])[doc_id % 6 + 1] || source, '^(_Z|__Z|\\?)') AS mangled FROM documents""",
     "path_keywords": f"SELECT page_id, array_to_string(list_sort(list_distinct(string_split({_URL}, '/')[4:])), ',') AS key_words FROM pages",
-    "path_exclusion": """SELECT page_id, page_id % 6 IN (0, 3) AS inside, page_id % 5 IN (0, 2, 4) AS is_source FROM pages""",
+    "path_exclusion": f"""WITH p AS (SELECT page_id, (['src/', 'test/', 'src/.git/', 'testing/', 'a/examples/b/', 'build/'])[page_id % 6 + 1] AS d, (['x.c', 'test_x.c', 'y.HPP', 'z.txt', 'main.cc'])[page_id % 5 + 1] AS f FROM pages)
+SELECT page_id, NOT list_has_any(string_split(d, '/'), {list(text.EXCLUDED_DIRS)}) AS inside, NOT starts_with(f, 'test_') AND list_contains({list(text.SOURCE_EXTENSIONS)}, lower(regexp_extract(f, '^.+(\\.[^.]*)$', 1))) AS is_source FROM p""",
     "output_names": """SELECT doc_id, 'out/' || source || '/' || lang || '/f' || doc_id || '.oo.json' AS out, source || '/' || lang || '/f' || doc_id || '.oo.csv' AS csv,
  source || '_' || lang || '_f' || doc_id || '.oo.o.json' AS json, 'arm/' || source || '/' || lang || '/f' || doc_id || '.oo.s' AS asm FROM documents""",
     "short_body_filter": """SELECT doc_id, doc_id % 10 <> 0 AND len(string_split(text, chr(10))) >= 5 AS kept, length(text) >= 200 AS long_enough, len(string_split(replace(text, ' ', '|'), '|')) >= 100 AS enough FROM documents""",
@@ -444,6 +454,11 @@ SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, count(*
 SELECT vec_id, round(v[(k - 1) * 8 + 1], 6) AS last, round(v[57], 6) AS "end", round(list_sum(list_transform(range(0, k), lambda i: v[i * 8 + 1])) / k, 6) AS mean,
  round(list_sum(list_transform(range(0, k), lambda i: v[i * 8 + 1] * (i + 1))) / (k * (k + 1) / 2), 6) AS weighted FROM e""",
     "hashed_embeddings": f"""SELECT item_id, 1.0::DOUBLE AS norm, len(list_distinct(list_transform({_WORDS}, lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT % 16)))::INT AS n_filled FROM benchmark""",
+    "simhash_documents": f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}_]', '', 'g') AS c FROM documents),
+g AS (SELECT r, substr(c, i, 4) AS gram FROM d, unnest(range(1, greatest(length(c) - 3, 1) + 1)) AS t(i)), n AS (SELECT r, gram, count(*) AS n FROM g GROUP BY r, gram),
+h AS (SELECT r, n, ('0x' || right(md5(gram), 16))::UBIGINT AS h FROM n),
+s AS (SELECT r, {_SIMHASH_BITS} AS simhash FROM h GROUP BY r)
+SELECT doc_id, CASE WHEN c IS NOT NULL THEN simhash::VARCHAR END AS simhash FROM d LEFT JOIN s USING (r)""",
     "objdump_parse": """WITH p AS (SELECT item_id, string_split(text, '. ') AS parts FROM benchmark)
 SELECT item_id, i::INT AS function_id, 'f' || (i - 1) AS name, printf('%016x', i - 1) AS start_addr, md5(rtrim(replace(parts[i], ' ', chr(10)), ' ' || chr(10))) AS body_md5 FROM p, unnest(range(1, len(parts) + 1)) AS t(i)""",
     "c_function_scan": """WITH p AS (SELECT item_id, list_filter(string_split(regexp_replace(text, '[^a-zA-Z ]', '', 'g'), ' '), lambda w: w <> '') AS ws FROM benchmark)
