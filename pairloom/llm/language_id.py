@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, trimmed
 
 BUCKETS = 4096
 SHIFT = np.uint32(20)
@@ -156,7 +156,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     """One row per input row: id, row, lang_pred, score, margin, ambiguous (margin below ``close``)."""
     source = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    out = source.mapInArrow(lambda it: _predict(it, model, close), f"id {kind}, row long, lang_pred string, score double, margin double, ambiguous boolean")
+    out = source.mapInArrow(lambda it: trimmed(_predict(it, model, close)), f"id {kind}, row long, lang_pred string, score double, margin double, ambiguous boolean")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -182,7 +182,7 @@ def _identified(batches: Iterator[pa.RecordBatch], model: Model | None, close: f
 def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text", close: float = 0.02) -> DataFrame:
     """The rows whose language is known and not ambiguous, with all their columns; one pass, no shuffle."""
     at = docs.columns.index(text_col)
-    return docs.mapInArrow(lambda it: _identified(it, model, close, at), docs.schema)
+    return docs.mapInArrow(lambda it: trimmed(_identified(it, model, close, at)), docs.schema)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

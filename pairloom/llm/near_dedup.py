@@ -162,7 +162,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, with_sets: bool = False
     a = texts.select(F.col("row").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("row").alias("b"), F.col("text").alias("text_b"))
     both = pairs.select("a", "b").join(a, "a").join(b, "b").sortWithinPartitions("b")
-    return both.mapInPandas(lambda it: _verify(it, k, with_sets), "a long, b long, inter long, uni long, added array<long>, missing array<long>")
+    return both.mapInPandas(lambda it: trimmed(_verify(it, k, with_sets)), "a long, b long, inter long, uni long, added array<long>, missing array<long>")
 
 
 def components(links: DataFrame, tmp: Scratch, name: str) -> DataFrame:
