@@ -37,8 +37,8 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens; a smaller cache, as the workers serve other stages too."""
-    return packing.pack(docs, keep=200_000)
+    """Sequences of at most 2048 tokens; a smaller cache and groups of texts, as the executors hold what other stages left."""
+    return packing.pack(docs, keep=60_000)
 
 
 STAGES = [
