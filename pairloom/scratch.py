@@ -4,10 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@cache
+def _own_folder() -> str:
+    """One temporary folder for a local driver's whole life; the session's settings stay as they are."""
+    return "file://" + tempfile.mkdtemp(prefix="pairloom-")
+
+
 class Scratch:
     """Tables written under the folder that driver and executors share.
 
@@ -22,8 +29,7 @@ class Scratch:
         if not base:
             if not spark.sparkContext.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            base = "file://" + tempfile.mkdtemp(prefix="pairloom-")
-            spark.conf.set("spark.checkpoint.dir", base)
+            base = _own_folder()
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
         jvm = spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.root)
