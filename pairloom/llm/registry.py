@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_id, near_dedup, packing, secret_scan, substring_dedup, token_files, url_filter, warc_fixity
+from . import decontaminate, exact_dedup, language_id, near_dedup, packing, periodic_runs, secret_scan, substring_dedup, token_files, url_filter, warc_fixity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_near_dedup": near_dedup.op10_near_dedup,
+    "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
 
 ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
     "op9_substring_dedup": substring_dedup.OP9_SQL,
     "op10_near_dedup": near_dedup.OP10_SQL,
+    "op13_periodic_runs": periodic_runs.OP13_SQL,
 }
