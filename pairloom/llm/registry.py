@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_id, near_dedup, packing, periodic_runs, secret_scan, substring_dedup, token_files, url_filter, warc_fixity
+from . import decontaminate, exact_dedup, language_id, near_dedup, packing, peak_sweep, periodic_runs, secret_scan, substring_dedup, token_files, url_filter, warc_fixity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_near_dedup": near_dedup.op10_near_dedup,
+    "op11_peak_sweep": peak_sweep.op11_peak_sweep,
     "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
 
@@ -22,5 +23,6 @@ ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
     "op9_substring_dedup": substring_dedup.OP9_SQL,
     "op10_near_dedup": near_dedup.OP10_SQL,
+    "op11_peak_sweep": peak_sweep.OP11_SQL,
     "op13_periodic_runs": periodic_runs.OP13_SQL,
 }
