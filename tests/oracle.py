@@ -26,8 +26,14 @@ def rows(df) -> list[tuple]:
     return sorted(tuple(map(cell, r)) for r in df[sorted(df.columns)].itertuples(index=False))
 
 
+def collected(df) -> pd.DataFrame:
+    """The rows with whole numbers as such, also where a column has nulls."""
+    whole = {c: "Int64" for c, kind in df.dtypes if kind in ("bigint", "int")}
+    return df.toPandas().astype(whole)
+
+
 def assert_same(spark, sf_dir: str, query, sql: str) -> None:
-    ours = query(spark, sf_dir).toPandas()
+    ours = collected(query(spark, sf_dir))
     theirs = connection(sf_dir).sql(sql).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
     assert rows(ours) == rows(theirs)
