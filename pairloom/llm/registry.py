@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_id, near_dedup, packing, peak_sweep, periodic_runs, secret_scan, substring_dedup, token_files, url_filter, warc_fixity
+from . import decontaminate, exact_dedup, hash_forest, language_id, near_dedup, packing, peak_sweep, periodic_runs, secret_scan, substring_dedup, token_files, url_filter, warc_fixity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_near_dedup": near_dedup.op10_near_dedup,
     "op11_peak_sweep": peak_sweep.op11_peak_sweep,
+    "op12_hash_forest": hash_forest.op12_hash_forest,
     "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
 
