@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .momentum import momentum
 from .ordinal import seeded_int
 from .vectors import dot, normalize
 
@@ -203,41 +204,6 @@ def gist(pairs: DataFrame, tau: float = 0.05, contrast_anchors: bool = True, con
     return _rounded(own.join(lse, ["batch", "i"]).groupBy("batch").agg(F.avg(F.col("lse") - F.col("own")).alias("l")), loss=F.col("l"))
 
 
-def _queued(pairs: DataFrame, batch_size: int, tau: float, queue: int) -> tuple[DataFrame, DataFrame]:
-    """Rows with their own logit, and with them each row of their batch's queue (j, qa, qs)."""
-    u = unit(pairs)
-    own = u.select("batch", "i", "a", "s", (dot(F.col("a"), F.col("s")) / tau).alias("own"))
-    last = F.floor((F.col("i") + queue) / batch_size)
-    held = u.select("i", "batch", "a", "s", last.alias("last")).where(F.col("last") > F.col("batch"))
-    held = held.select(F.explode(F.sequence(F.col("batch") + 1, F.col("last"))).alias("batch"), F.col("i").alias("j"), F.col("a").alias("qa"), F.col("s").alias("qs"))
-    held = held.where(F.col("j") >= F.col("batch") * batch_size - queue)
-    return own, own.join(held, "batch")
-
-
-def momentum(pairs: DataFrame, batch_size: int, tau: float = 0.07, queue: int = 65_536) -> DataFrame:
-    """Cross entropy against queues of the last ``queue`` rows before the batch, both ways.
-
-    Row numbers i are consecutive from 0. A row is dealt to the later batches whose queue
-    holds it, which turns the range condition into an equi-join.
-    """
-    own, both = _queued(pairs, batch_size, tau, queue)
-    out = own.select("batch", "i", "own")
-    for name, x, y in (("a2s", "a", "qs"), ("s2a", "s", "qa")):
-        logits = both.select("batch", "i", (dot(F.col(x), F.col(y)) / tau).alias("x")).unionByName(own.select("batch", "i", F.col("own").alias("x")))
-        out = out.join(log_sum_exp(logits, ["batch", "i"]).withColumnRenamed("lse", name), ["batch", "i"])
-    per = out.groupBy("batch").agg(F.avg(F.col("a2s") - F.col("own")).alias("x"), F.avg(F.col("s2a") - F.col("own")).alias("y"))
-    return _rounded(per, loss=(F.col("x") + F.col("y")) / 2, loss_a2s=F.col("x"), loss_s2a=F.col("y"))
-
-
-def momentum_accuracy(pairs: DataFrame, batch_size: int, tau: float = 0.07, queue: int = 65_536) -> DataFrame:
-    """Share of a batch's rows whose own logit is above all logits of the queue, both ways; an empty queue is beaten."""
-    own, both = _queued(pairs, batch_size, tau, queue)
-    best = both.groupBy("batch", "i").agg(F.max(dot(F.col("a"), F.col("qs")) / tau).alias("f"), F.max(dot(F.col("s"), F.col("qa")) / tau).alias("g"))
-    rows = own.select("batch", "i", "own").join(best, ["batch", "i"], "left")
-    share = lambda c: F.avg(F.when(F.col(c).isNull() | (F.col("own") >= F.col(c)), 1.0).otherwise(0.0))
-    return _rounded(rows.groupBy("batch").agg(share("f").alias("x"), share("g").alias("y")), acc_a2s=F.col("x"), acc_s2a=F.col("y"))
-
-
 LOSSES = {
     "infonce": infonce, "hard_infonce": hard_infonce, "labeled_infonce": labeled_infonce, "weighted_infonce": weighted_infonce,
     "cosine_embedding": cosine_embedding, "labeled_contrastive": labeled_contrastive, "simple_contrastive": simple_contrastive,

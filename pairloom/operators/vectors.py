@@ -24,8 +24,9 @@ def norm(v: Column) -> Column:
 
 def normalize(v: Column, eps: float = 1e-12) -> Column:
     """Unit length; a norm under ``eps`` counts as ``eps``, so a zero vector stays zero."""
-    length = F.greatest(norm(v), F.lit(eps))
-    return F.transform(v, lambda x: x.cast("double") / length)
+    # the length is an element of an array, so it is computed once and not for each component
+    length = F.array(F.greatest(norm(v), F.lit(eps)))
+    return F.element_at(F.transform(length, lambda n: F.transform(v, lambda x: x.cast("double") / n)), 1)
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -362,6 +362,13 @@ _URL = "regexp_replace(url, '[?#].*$', '')"
 _WORDS = "list_filter(regexp_split_to_array(lower(text), '\\W+'), lambda w: w <> '')"
 # the sum of all bits that more than half of the shingles set
 _SIMHASH_BITS = " + ".join(f"CASE WHEN 2 * sum(n * (h >> {k} & 1)) > sum(n) THEN {1 << k}::HUGEINT ELSE 0 END" for k in range(64))
+#: fingerprints: doc_id, simhash (null for a null text)
+SIMHASH_CTE = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}_]', '', 'g') AS c FROM documents),
+g AS (SELECT r, substr(c, i, 4) AS gram FROM d, unnest(range(1, greatest(length(c) - 3, 1) + 1)) AS t(i)), n AS (SELECT r, gram, count(*) AS n FROM g GROUP BY r, gram),
+h AS (SELECT r, n, ('0x' || right(md5(gram), 16))::UBIGINT AS h FROM n),
+s AS (SELECT r, ({_SIMHASH_BITS})::UBIGINT AS simhash FROM h GROUP BY r),
+fingerprints AS (SELECT doc_id, CASE WHEN c IS NOT NULL THEN simhash END AS simhash FROM d LEFT JOIN s USING (r))
+"""
 
 ORACLE_SQL = {
     "dedup_keep_first": "SELECT doc_id, lang, source FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1",
@@ -454,11 +461,7 @@ SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, count(*
 SELECT vec_id, round(v[(k - 1) * 8 + 1], 6) AS last, round(v[57], 6) AS "end", round(list_sum(list_transform(range(0, k), lambda i: v[i * 8 + 1])) / k, 6) AS mean,
  round(list_sum(list_transform(range(0, k), lambda i: v[i * 8 + 1] * (i + 1))) / (k * (k + 1) / 2), 6) AS weighted FROM e""",
     "hashed_embeddings": f"""SELECT item_id, 1.0::DOUBLE AS norm, len(list_distinct(list_transform({_WORDS}, lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT % 16)))::INT AS n_filled FROM benchmark""",
-    "simhash_documents": f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}_]', '', 'g') AS c FROM documents),
-g AS (SELECT r, substr(c, i, 4) AS gram FROM d, unnest(range(1, greatest(length(c) - 3, 1) + 1)) AS t(i)), n AS (SELECT r, gram, count(*) AS n FROM g GROUP BY r, gram),
-h AS (SELECT r, n, ('0x' || right(md5(gram), 16))::UBIGINT AS h FROM n),
-s AS (SELECT r, {_SIMHASH_BITS} AS simhash FROM h GROUP BY r)
-SELECT doc_id, CASE WHEN c IS NOT NULL THEN simhash::VARCHAR END AS simhash FROM d LEFT JOIN s USING (r)""",
+    "simhash_documents": SIMHASH_CTE + "SELECT doc_id, simhash::VARCHAR AS simhash FROM fingerprints",
     "objdump_parse": """WITH p AS (SELECT item_id, string_split(text, '. ') AS parts FROM benchmark)
 SELECT item_id, i::INT AS function_id, 'f' || (i - 1) AS name, printf('%016x', i - 1) AS start_addr, md5(rtrim(replace(parts[i], ' ', chr(10)), ' ' || chr(10))) AS body_md5 FROM p, unnest(range(1, len(parts) + 1)) AS t(i)""",
     "c_function_scan": """WITH p AS (SELECT item_id, list_filter(string_split(regexp_replace(text, '[^a-zA-Z ]', '', 'g'), ' '), lambda w: w <> '') AS ws FROM benchmark)

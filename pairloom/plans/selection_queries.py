@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import losses, selection, vectors
+from ..operators import losses, momentum, selection, vectors
 from ..session import table
 from ..sources import files
 from .embedding_queries import _P, _RANKS, BATCH, all_ranks, pairs, sides
@@ -110,7 +110,7 @@ def loss_gist_explicit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def momentum_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return losses.momentum_accuracy(pairs(spark, sf_dir), BATCH, queue=128)
+    return momentum.momentum_accuracy(pairs(spark, sf_dir), BATCH, queue=128)
 
 
 QUERIES = {
