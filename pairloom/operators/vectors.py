@@ -126,6 +126,20 @@ def _matrices(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
         yield np.frombuffer(r.q_ids, "<i8"), np.frombuffer(r.k_ids, "<i8"), np.round(q @ k.T, 6)
 
 
+def best_of_rows(sim: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k largest finite numbers of each row, best first; ties go to the smaller ``order`` of the column."""
+    if sim.shape[1] > k:
+        least = -np.partition(-sim, k - 1, axis=1)[:, k - 1 : k]
+        row, column = np.nonzero((sim >= least) & (sim > -np.inf))
+    else:
+        row, column = np.nonzero(sim > -np.inf)
+    by = np.lexsort((order[column], -sim[row, column], row))
+    row, column = row[by], column[by]
+    first = np.searchsorted(row, np.arange(len(sim)))
+    among = np.arange(len(row)) - first[row] < k
+    return row[among], column[among]
+
+
 def top_k(queries: DataFrame, keys: DataFrame, k: int, q_id: str, k_id: str, vector: str, exclude_self: bool = False) -> DataFrame:
     """Exact cosine top-k: q_id, k_id, sim, rank; ties go to the smaller key id.
 
@@ -142,11 +156,8 @@ def _ranked(paired: DataFrame, k: int, exclude_self: bool) -> DataFrame:
             for qi, ki, sim in _matrices(pdf):
                 if exclude_self:
                     sim = np.where(qi[:, None] == ki[None], -np.inf, sim)
-                n = min(k, len(ki))
-                order = np.argsort(ki, kind="stable")
-                best = order[np.argsort(-sim[:, order], axis=1, kind="stable")[:, :n]]
-                out = pd.DataFrame({"q": np.repeat(qi, n), "k": ki[best].ravel(), "sim": np.take_along_axis(sim, best, 1).ravel()})
-                yield out[np.isfinite(out["sim"])]
+                row, column = best_of_rows(sim, ki, k)
+                yield pd.DataFrame({"q": qi[row], "k": ki[column], "sim": sim[row, column]})
 
     found = paired.mapInPandas(run, "q long, k long, sim double")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "k"))

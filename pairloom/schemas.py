@@ -17,7 +17,7 @@ ASM_DOC = (
 DATASET = "key string, func_name string, asm_func string, src_func string, opti string"
 INTERLEAVED = DATASET + ", new_group_id int, original_group_rank int"
 LABELLED = "asm_func string, src_func string, opti string, label int"
-FUNCTION_CODES = "id bigint, project_name string, file_name string, function_name string, function_code string, embedding array<float>"
+FUNCTION_CODES = "id string, project_name string, file_name string, function_name string, function_code string, embedding array<float>"
 CHAT = "messages array<struct<role:string, content:string>>"
 RETRIEVED = "page_content string, metadata map<string,string>"
 PARSED_FUNCTION = "array<struct<function_id:int, name:string, start_addr:string, signature:string, body:string>>"

@@ -1,4 +1,4 @@
-"""Readers and sinks: CSV, JSON documents, sources, listings, and a Parquet vector store."""
+"""Readers and sinks: CSV, JSON documents, sources, listings."""
 
 from __future__ import annotations
 
@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import parsing, text
+from .vector_store import VectorStore
+
+__all__ = [
+    "VectorStore", "assembly_rows", "explode_functions", "function_counts", "listing_rows", "not_done", "read_csv", "read_documents", "read_files", "read_listings",
+    "read_project_documents", "source_documents", "source_rows", "write_csv", "write_documents",
+]
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, comment: str | None = None) -> DataFrame:
@@ -110,42 +116,3 @@ def source_rows(docs: DataFrame, project: Column) -> DataFrame:
         text.compose_key(F.col("__project"), stem, F.col("function_name")).alias("key"), text.path_keywords(F.col("path"), F.col("__project")).alias("key_words"),
         F.concat_ws("$", stem, "function_name").alias("signature"), "function_name", F.col("body").alias("source_code"), text.unsigned(parsing.simhash64(F.col("body"))).alias("hash"),
     )
-
-
-class VectorStore:
-    """An append-only Parquet collection of functions and their vectors."""
-
-    def __init__(self, spark: SparkSession, path: str, dim: int):
-        self.spark, self.path, self.dim = spark, path, dim
-
-    def insert(self, df: DataFrame) -> DataFrame:
-        """Adds the functions that are not there yet. Returns the rows refused: those without a vector of ``dim`` numbers."""
-        fits = F.coalesce(F.size("embedding") == self.dim, F.lit(False))
-        rows = df.where(fits).withColumn("id", F.xxhash64("project_name", "file_name", "function_name", "function_code")).dropDuplicates(["id"])
-        if self._exists():
-            rows = rows.join(self.table().select("id"), "id", "left_anti")
-        rows.select("id", "project_name", "file_name", "function_name", "function_code", F.col("embedding").cast("array<float>")).write.mode("append").parquet(self.path)
-        return df.where(~fits)
-
-    def _exists(self) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
-
-    def table(self) -> DataFrame:
-        return self.spark.read.schema(schemas.FUNCTION_CODES).parquet(self.path)
-
-    def count(self) -> int:
-        return self.table().count()
-
-    def search(self, queries: DataFrame, k: int = 5, q_id: str = "q_id", vector: str = "embedding", lists: int | None = None, probes: int = 10) -> DataFrame:
-        """Cosine top-k with the stored columns; exact, or by an inverted file of ``lists`` lists."""
-        from ..operators.vectors import ann_top_k, top_k
-
-        table = self.table()
-        found = ann_top_k(queries, table, k, q_id, "id", vector, lists, probes) if lists else top_k(queries, table, k, q_id, "id", vector)
-        stored = table.drop("embedding").withColumnRenamed("id", "k_id")
-        return found.join(stored, "k_id").select("q_id", "rank", "sim", "project_name", "file_name", "function_name", "function_code")
-
-    def drop(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
