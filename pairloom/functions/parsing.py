@@ -261,26 +261,31 @@ def plain_name(name: str | None) -> str | None:
 # --- listings and sources ----------------------------------------------------------
 
 
-def parse_listing(text: str | None) -> list[dict]:
-    """Functions of a disassembly listing: a header line ``address <name>:``, then its body."""
-    out: list[dict] = []
-    body: list[str] = []
-
-    def close() -> None:
-        if out:
-            out[-1]["body"] = "\n".join(body).rstrip()
-        body.clear()
-
-    for line in (text or "").splitlines():
-        s = line.strip()
-        if s.endswith(":") and "<" in s and ">:" in s and " " in s:
-            close()
-            name = s[s.index("<") + 1 : s.rindex(">")]
-            out.append({"function_id": len(out) + 1, "name": name, "start_addr": s.split(" ", 1)[0], "signature": name, "body": ""})
-        elif out:
-            body.append(line)
-    close()
-    return out
+#: a function's first line in a listing: its address in hex, a space, its name in angle brackets, a colon
+LISTING_HEAD = r"^\s*([0-9a-fA-F]+) <(.+)>:\s*$"
+
+
+def listing_functions(text: Column) -> Column:
+    """Functions of a disassembly listing in one text: a first line as above, then the body up to the next one.
+
+    A null text has none. Bodies end without white space. For listings too long for a row
+    there is ``sources.files.functions_of_lines``.
+    """
+    lines = F.split(F.coalesce(text, F.lit("")), r"\r?\n")
+    firsts = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: F.element_at(lines, i).rlike(LISTING_HEAD))
+    # lines and firsts are elements of an array, so they are computed once and not for each function
+    return F.element_at(F.transform(F.array(F.struct(lines.alias("l"), firsts.alias("f"))), _functions), 1)
+
+
+def _functions(x: Column) -> Column:
+    def function(at: Column, k: Column) -> Column:
+        first = F.element_at(x.l, at)
+        name = F.regexp_extract(first, LISTING_HEAD, 2)
+        end = F.coalesce(F.get(x.f, k + 1), F.size(x.l) + 1)
+        body = F.regexp_replace(F.array_join(F.slice(x.l, at + 1, end - at - 1), "\n"), r"\s+$", "")
+        return F.struct((k + 1).alias("function_id"), name.alias("name"), F.regexp_extract(first, LISTING_HEAD, 1).alias("start_addr"), name.alias("signature"), body.alias("body"))
+
+    return F.transform(x.f, function)
 
 
 _LITERALS = re.compile(r"""//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|^[ \t]*\#(?:\\\n|[^\n])*""", re.S | re.M)
@@ -361,10 +366,6 @@ def _plain_name(s: pd.Series) -> pd.Series:
     return s.map(plain_name, na_action="ignore")
 
 
-def _listing(s: pd.Series) -> pd.Series:
-    return s.map(parse_listing)
-
-
 def _source(s: pd.Series) -> pd.Series:
     return s.map(scan_functions)
 
@@ -402,10 +403,6 @@ def readable_name(name: Column) -> Column:
     return F.when(name.rlike(r"^(_Z|__Z|\?)"), function_name(demangled(name))).otherwise(name)
 
 
-def listing_functions(text: Column) -> Column:
-    return F.pandas_udf(_listing, PARSED_FUNCTION)(text)
-
-
 def source_functions(text: Column) -> Column:
     return F.pandas_udf(_source, PARSED_FUNCTION)(text)
 

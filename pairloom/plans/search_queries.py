@@ -1,4 +1,4 @@
-"""Registered queries: the queue at its real size, fingerprints, with their SQL."""
+"""Registered queries: the queue at its real size, fingerprints, the stored index, includes, with their SQL."""
 
 from __future__ import annotations
 
@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parsing
-from ..operators import hamming, momentum
+from ..operators import hamming, includes, momentum
+from ..scratch import Scratch
 from ..session import table
+from ..sources import files
+from ..sources.vector_store import VectorStore
 from .corpus_queries import SIMHASH_CTE
-from .embedding_queries import _P, BATCH, pairs
+from .embedding_queries import _P, _RANKS, BATCH, pairs, sides
 
 QUEUE = 65_536
 
@@ -44,7 +47,47 @@ def simhash_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.class_pairs(_fingerprints(spark, sf_dir), "doc_id", "h")
 
 
-QUERIES = {f.__name__: f for f in (loss_momentum_full_queue, momentum_accuracy_full_queue, simhash_near, simhash_pairs)}
+def stored_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys inserted in two parts, then one search that looks into all lists."""
+    q, k = sides(spark, sf_dir)
+    store = VectorStore(spark, Scratch(spark, "stored-index").path("collection"), 64, lists=32)
+    rows = k.select(F.col("label").cast("string").alias("project_name"), F.lit("f").alias("file_name"), F.col("vec_id").cast("string").alias("function_name"), F.concat(F.lit("code "), "vec_id").alias("function_code"), "embedding")
+    store.insert(rows.where("function_name % 4 = 1"))
+    store.insert(rows.where("function_name % 4 = 3"))
+    hits = store.search(q, 5, "vec_id", "embedding", probes=32)
+    return hits.select("q_id", "rank", "sim", "project_name", "function_name", "function_code")
+
+
+#: path segments of urls that serve as directories
+_LANGS = ("en", "de", "fr", "es")
+
+
+def include_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Urls as files of their host; their language folders as include directories."""
+    bare = F.regexp_replace("url", "[?#].*$", "")
+    p = table(spark, sf_dir, "pages").select("page_id", F.element_at(F.split(bare, "/"), 3).alias("project"), F.regexp_replace(bare, "^[^/]*//[^/]*/", "").alias("path"))
+    found = includes.include_dirs(p, _LANGS)
+    return p.join(found, ["project", "path"]).select("page_id", F.array_join("dirs", ",").alias("dirs"))
+
+
+def include_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents include an earlier one, chosen by their length; one in a hundred also a later one, which makes cycles."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    n = d.agg(F.count(F.lit(1)).alias("n"))
+    e = d.join(F.broadcast(n)).select("doc_id", F.explode(F.array(F.col("n_chars") % (F.col("doc_id") + 1), F.when(F.col("n_chars") % 100 == 0, (F.col("doc_id") + F.col("n_chars")) % F.col("n")))).alias("included"))  # one row
+    return includes.reach(e, "doc_id", "included")
+
+
+def listing_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents of a source as one listing, a row per sentence; sentences with a digit begin a function."""
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", F.posexplode(F.split("text", r"\. ")).alias("at", "sentence"))
+    head = F.concat(F.lower(F.hex("doc_id")), F.lit(" <f"), F.col("doc_id").cast("string"), F.lit("_"), F.col("at").cast("string"), F.lit(">:"))
+    lines = d.select("source", (F.col("doc_id") * 100_000 + F.col("at")).alias("n"), F.when(F.col("sentence").rlike("[0-9]"), head).otherwise(F.md5("sentence")).alias("line"))
+    found = files.functions_of_lines(lines, "source")
+    return found.select("source", "function_id", "name", "start_addr", F.md5("body").alias("body_md5"))
+
+
+QUERIES = {f.__name__: f for f in (loss_momentum_full_queue, momentum_accuracy_full_queue, simhash_near, simhash_pairs, stored_index_search, include_dirs, include_reach, listing_lines)}
 
 _QUEUE = _P + f""", k AS (SELECT i AS j, a AS ka, s AS ks FROM p UNION ALL SELECT i - {QUEUE}, s, a FROM p),
 z AS (SELECT x.batch, x.i, list_cosine_similarity(x.a, y.ks) / 0.07 AS f, list_cosine_similarity(x.s, y.ka) / 0.07 AS g FROM p x JOIN k y ON y.j < x.batch * {BATCH} AND y.j >= x.batch * {BATCH} - {QUEUE}),
@@ -61,4 +104,22 @@ ORACLE_SQL = {
     "simhash_near": _CLASSES + """, links AS (SELECT id, count(*) AS n FROM (SELECT left_id AS id FROM near UNION ALL SELECT right_id FROM near) GROUP BY id)
 SELECT d.doc_id, c.id AS class_id, coalesce(l.n, 0)::BIGINT AS n_near FROM fingerprints d LEFT JOIN classes c ON c.h = d.simhash LEFT JOIN links l ON l.id = c.id""",
     "simhash_pairs": _CLASSES + "SELECT left_id, right_id, distance FROM near",
+    "stored_index_search": _RANKS + """SELECT q_id, rank::INT AS rank, sim, k.label::VARCHAR AS project_name, k_id::VARCHAR AS function_name, 'code ' || k_id AS function_code
+ FROM r JOIN embeddings k ON k.vec_id = k_id WHERE rank <= 5""",
+    "include_dirs": f"""WITH p AS (SELECT page_id, string_split(regexp_replace(url, '[?#].*$', ''), '/') AS u FROM pages),
+f AS (SELECT page_id, u[3] AS host, u[4:] AS parts FROM p),
+a AS (SELECT page_id, host, parts[:k] AS dir, len(parts) - 1 - k AS level FROM f, unnest(range(len(parts))) AS t(k)),
+x AS (SELECT DISTINCT host, dir FROM a WHERE len(dir) > 0 AND list_contains({list(_LANGS)}, dir[-1])),
+m AS (SELECT a.page_id, array_to_string(x.dir, '/') AS dir, level, list_position({list(_LANGS)}, x.dir[-1]) AS nth FROM a JOIN x ON x.host = a.host AND x.dir[:len(x.dir) - 1] = a.dir)
+SELECT f.page_id, coalesce(string_agg(dir, ',' ORDER BY level, nth, dir), '') AS dirs FROM f LEFT JOIN m USING (page_id) GROUP BY f.page_id""",
+    "include_reach": """WITH RECURSIVE e AS (SELECT doc_id, n_chars % (doc_id + 1) AS included FROM documents
+  UNION SELECT doc_id, (doc_id + n_chars) % (SELECT count(*) FROM documents) FROM documents WHERE n_chars % 100 = 0),
+r AS (SELECT doc_id, included FROM e WHERE included IS NOT NULL UNION SELECT r.doc_id, e.included FROM r JOIN e ON e.doc_id = r.included)
+SELECT doc_id, included FROM r""",
+    "listing_lines": r"""WITH d AS (SELECT source, doc_id, string_split(text, '. ') AS parts FROM documents),
+l AS (SELECT source, doc_id, i - 1 AS nth, parts[i] AS sentence FROM d, unnest(range(1, len(parts) + 1)) AS t(i)),
+f AS (SELECT source, doc_id * 100000 + nth AS n, doc_id, nth, sentence, regexp_matches(sentence, '[0-9]') AS head FROM l),
+k AS (SELECT *, sum(head::INT) OVER (PARTITION BY source ORDER BY n) AS function_id FROM f)
+SELECT source, function_id::INT AS function_id, max(CASE WHEN head THEN 'f' || doc_id || '_' || nth END) AS name, max(CASE WHEN head THEN printf('%x', doc_id) END) AS start_addr,
+ md5(coalesce(string_agg(md5(sentence), chr(10) ORDER BY n) FILTER (NOT head), '')) AS body_md5 FROM k WHERE function_id > 0 GROUP BY source, function_id""",
 }

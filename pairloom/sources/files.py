@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import parsing, text
+from ..operators.scan import running_total
 from .vector_store import VectorStore
 
 __all__ = [
-    "VectorStore", "assembly_rows", "explode_functions", "function_counts", "listing_rows", "not_done", "read_csv", "read_documents", "read_files", "read_listings",
+    "VectorStore", "assembly_rows", "explode_functions", "function_counts", "functions_of_lines", "listing_rows", "not_done", "read_csv", "read_documents", "read_files", "read_lines", "read_listings",
     "read_project_documents", "source_documents", "source_rows", "write_csv", "write_documents",
 ]
 
@@ -54,7 +55,7 @@ def read_listings(spark: SparkSession, path: str, glob: str = "*.s", errors: str
     if errors == "ignore":
         df = spark.read.format("binaryFile").options(recursiveFileLookup="true", pathGlobFilter=glob).load(path)
         return df.select("path", F.pandas_udf(_lenient, "string")("content").alias("content"))
-    df = spark.read.options(wholetext="true", recursiveFileLookup="true", pathGlobFilter=glob).text(path)
+    df = spark.read.options(recursiveFileLookup="true", pathGlobFilter=glob).text(path, wholetext=True)
     return df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
@@ -83,6 +84,34 @@ def listing_rows(listings: DataFrame, key: str = "path", content: str = "content
     return rows.select(key, "f.function_id", "f.name", "f.body", "error")
 
 
+def read_lines(spark: SparkSession, path: str, glob: str = "*.s") -> DataFrame:
+    """path, n, line: a row per line of the listings; n grows with the lines of a file.
+
+    Files are read in splits, so one long listing is many tasks' work. n is the byte at
+    which the line's split begins plus the line's place in the task: a task reads no more
+    lines than a split has bytes, so n stays below that of the next split.
+    """
+    lines = spark.read.options(recursiveFileLookup="true", pathGlobFilter=glob).text(path)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return lines.select(F.col("_metadata.file_path").alias("path"), (F.col("_metadata.file_block_start") + place).alias("n"), F.regexp_replace("value", r"\r$", "").alias("line"))
+
+
+def functions_of_lines(lines: DataFrame, key: str = "path", position: str = "n", line: str = "line") -> DataFrame:
+    """key, function_id, name, start_addr, signature, body: listings of any length, a row per line.
+
+    A line belongs to the function whose first line is the last one before it; the number
+    of first lines so far, a running total over blocks of lines, says which. Rows are
+    gathered by function, never by listing. Lines before the first function are dropped.
+    """
+    first = F.col(line).rlike(parsing.LISTING_HEAD)
+    rows = running_total(lines.select(key, position, line), key, position, first.cast("int"), "function_id").where("function_id > 0")
+    f = rows.groupBy(key, "function_id").agg(F.array_sort(F.collect_list(F.struct(position, F.coalesce(line, F.lit("")).alias("line")))).alias("l"))
+    head = F.element_at("l", 1)["line"]
+    body = F.array_join(F.transform(F.slice("l", F.lit(2), F.greatest(F.size("l") - 1, F.lit(0))), lambda x: x.line), "\n")
+    name = F.regexp_extract(head, parsing.LISTING_HEAD, 2)
+    return f.select(key, F.col("function_id").cast("int").alias("function_id"), name.alias("name"), F.regexp_extract(head, parsing.LISTING_HEAD, 1).alias("start_addr"), name.alias("signature"), F.regexp_replace(body, r"\s+$", "").alias("body"))
+
+
 def read_project_documents(spark: SparkSession, root: str, schema: str = schemas.SRC_DOC) -> DataFrame:
     """JSON documents exactly two levels below the root (project/file.json), with project and path."""
     df = spark.read.option("multiLine", "true").schema(schema).json(f"{root.rstrip('/')}/*/*.json")

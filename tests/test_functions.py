@@ -37,11 +37,14 @@ def test_plain_name(name, expected):
     assert parsing.plain_name(name) == expected
 
 
-def test_listing():
-    listing = "x.o:     file format elf64\nDisassembly of section .text:\n\n0000000000000000 <f>:\n   0: push\n   1: ret\n\n0000000000000010 <g<int>>:\n  10: nop\n"
-    got = parsing.parse_listing(listing)
-    assert [(f["function_id"], f["name"], f["start_addr"], f["body"]) for f in got] == [(1, "f", "0" * 16, "   0: push\n   1: ret"), (2, "g<int>", "0" * 14 + "10", "  10: nop")]
-    assert parsing.parse_listing(None) == []
+def test_listing(spark):
+    listing = "x.o:     file format elf64\nDisassembly of section .text:\n\n0000000000000000 <f>:\n   0: push\n   1: ret\n\n0000000000000010 <g<int>>:\r\n  10: nop\n"
+    odd = "0 <empty>:\n1 <next>:\n\n \n2 <a b>: \n  x <y>:\nnot hex <z>:\nzz <z>:\n"
+    df = spark.createDataFrame([(1, listing), (2, None), (3, ""), (4, "no function"), (5, odd)], "k int, t string")
+    got = {r.k: [(f.function_id, f.name, f.start_addr, f.body) for f in r.f] for r in df.select("k", parsing.listing_functions(F.col("t")).alias("f")).collect()}
+    assert got[1] == [(1, "f", "0" * 16, "   0: push\n   1: ret"), (2, "g<int>", "0" * 14 + "10", "  10: nop")]
+    assert got[2] == got[3] == got[4] == []
+    assert got[5] == [(1, "empty", "0", ""), (2, "next", "1", ""), (3, "a b", "2", "  x <y>:\nnot hex <z>:\nzz <z>:")]
 
 
 SOURCE = r"""
