@@ -11,6 +11,7 @@ from ..scratch import Scratch
 from ..session import table
 from ..sources import files
 from ..sources.vector_store import VectorStore
+from ..sql import register
 from .corpus_queries import SIMHASH_CTE
 from .embedding_queries import _P, _RANKS, BATCH, pairs, sides
 
@@ -78,16 +79,27 @@ def include_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return includes.reach(e, "doc_id", "included")
 
 
-def listing_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _sentence_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents of a source as one listing, a row per sentence; sentences with a digit begin a function."""
     d = table(spark, sf_dir, "documents").select("source", "doc_id", F.posexplode(F.split("text", r"\. ")).alias("at", "sentence"))
     head = F.concat(F.lower(F.hex("doc_id")), F.lit(" <f"), F.col("doc_id").cast("string"), F.lit("_"), F.col("at").cast("string"), F.lit(">:"))
-    lines = d.select("source", (F.col("doc_id") * 100_000 + F.col("at")).alias("n"), F.when(F.col("sentence").rlike("[0-9]"), head).otherwise(F.md5("sentence")).alias("line"))
-    found = files.functions_of_lines(lines, "source")
+    return d.select("source", (F.col("doc_id") * 100_000 + F.col("at")).alias("n"), F.when(F.col("sentence").rlike("[0-9]"), head).otherwise(F.md5("sentence")).alias("line"))
+
+
+def listing_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings read line by line, spread over blocks of lines."""
+    found = files.functions_of_lines(_sentence_lines(spark, sf_dir), "source")
     return found.select("source", "function_id", "name", "start_addr", F.md5("body").alias("body_md5"))
 
 
-QUERIES = {f.__name__: f for f in (loss_momentum_full_queue, momentum_accuracy_full_queue, simhash_near, simhash_pairs, stored_index_search, include_dirs, include_reach, listing_lines)}
+def listing_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the table function."""
+    register(spark)
+    lines = _sentence_lines(spark, sf_dir)
+    return spark.sql("SELECT listing AS source, function_id, name, start_addr, md5(body) AS body_md5 FROM listing_functions(TABLE({lines}) PARTITION BY source ORDER BY n)", lines=lines)
+
+
+QUERIES = {f.__name__: f for f in (loss_momentum_full_queue, momentum_accuracy_full_queue, simhash_near, simhash_pairs, stored_index_search, include_dirs, include_reach, listing_lines, listing_sql)}
 
 _QUEUE = _P + f""", k AS (SELECT i AS j, a AS ka, s AS ks FROM p UNION ALL SELECT i - {QUEUE}, s, a FROM p),
 z AS (SELECT x.batch, x.i, list_cosine_similarity(x.a, y.ks) / 0.07 AS f, list_cosine_similarity(x.s, y.ka) / 0.07 AS g FROM p x JOIN k y ON y.j < x.batch * {BATCH} AND y.j >= x.batch * {BATCH} - {QUEUE}),
@@ -98,6 +110,13 @@ _CLASSES = SIMHASH_CTE + """, prints AS (SELECT doc_id, simhash AS h FROM finger
 near AS (SELECT least(x.id, y.id) AS left_id, greatest(x.id, y.id) AS right_id, bit_count(xor(x.h, y.h))::INT AS distance FROM classes x JOIN classes y ON x.h < y.h AND bit_count(xor(x.h, y.h)) <= 3)
 """
 
+_LISTING = r"""WITH d AS (SELECT source, doc_id, string_split(text, '. ') AS parts FROM documents),
+l AS (SELECT source, doc_id, i - 1 AS nth, parts[i] AS sentence FROM d, unnest(range(1, len(parts) + 1)) AS t(i)),
+f AS (SELECT source, doc_id * 100000 + nth AS n, doc_id, nth, sentence, regexp_matches(sentence, '[0-9]') AS head FROM l),
+k AS (SELECT *, sum(head::INT) OVER (PARTITION BY source ORDER BY n) AS function_id FROM f)
+SELECT source, function_id::INT AS function_id, max(CASE WHEN head THEN 'f' || doc_id || '_' || nth END) AS name, max(CASE WHEN head THEN printf('%x', doc_id) END) AS start_addr,
+ md5(coalesce(string_agg(md5(sentence), chr(10) ORDER BY n) FILTER (NOT head), '')) AS body_md5 FROM k WHERE function_id > 0 GROUP BY source, function_id"""
+
 ORACLE_SQL = {
     "loss_momentum_full_queue": _QUEUE + "SELECT batch, round((avg(lf - own) + avg(lg - own)) / 2, 6) AS loss, round(avg(lf - own), 6) AS loss_a2s, round(avg(lg - own), 6) AS loss_s2a FROM l GROUP BY batch",
     "momentum_accuracy_full_queue": _QUEUE + "SELECT batch, round(avg((mf IS NULL OR own >= mf)::INT), 6) AS acc_a2s, round(avg((mg IS NULL OR own >= mg)::INT), 6) AS acc_s2a FROM l GROUP BY batch",
@@ -116,10 +135,6 @@ SELECT f.page_id, coalesce(string_agg(dir, ',' ORDER BY level, nth, dir), '') AS
   UNION SELECT doc_id, (doc_id + n_chars) % (SELECT count(*) FROM documents) FROM documents WHERE n_chars % 100 = 0),
 r AS (SELECT doc_id, included FROM e WHERE included IS NOT NULL UNION SELECT r.doc_id, e.included FROM r JOIN e ON e.doc_id = r.included)
 SELECT doc_id, included FROM r""",
-    "listing_lines": r"""WITH d AS (SELECT source, doc_id, string_split(text, '. ') AS parts FROM documents),
-l AS (SELECT source, doc_id, i - 1 AS nth, parts[i] AS sentence FROM d, unnest(range(1, len(parts) + 1)) AS t(i)),
-f AS (SELECT source, doc_id * 100000 + nth AS n, doc_id, nth, sentence, regexp_matches(sentence, '[0-9]') AS head FROM l),
-k AS (SELECT *, sum(head::INT) OVER (PARTITION BY source ORDER BY n) AS function_id FROM f)
-SELECT source, function_id::INT AS function_id, max(CASE WHEN head THEN 'f' || doc_id || '_' || nth END) AS name, max(CASE WHEN head THEN printf('%x', doc_id) END) AS start_addr,
- md5(coalesce(string_agg(md5(sentence), chr(10) ORDER BY n) FILTER (NOT head), '')) AS body_md5 FROM k WHERE function_id > 0 GROUP BY source, function_id""",
+    "listing_lines": _LISTING,
+    "listing_sql": _LISTING,
 }

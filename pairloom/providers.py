@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Protocol
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +48,25 @@ class FixedAnswers:
         return F.when(prompt.isNotNull(), F.lit(self.text))
 
 
+class SymbolTables:
+    """Functions of object files by their symbol tables; stands in for a disassembler. ``objects``: path."""
+
+    def __init__(self, timeout: float = 300, code: bool = True):
+        self.timeout, self.code = timeout, code
+
+    def functions(self, objects: DataFrame) -> DataFrame:
+        from .sources import object_files as of
+
+        timeout, code = self.timeout, self.code
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for path in b.column("path").to_pylist():
+                    yield from of.batches_of([(path, None)], timeout, code)
+
+        return objects.where("path IS NOT NULL").select("path").mapInArrow(run, of.SCHEMA)
+
+
 def generate_and_judge(questions: DataFrame, docs: DataFrame, retriever: Retriever, generator: LanguageModelProvider, judge: LanguageModelProvider, most: int = 5) -> DataFrame:
     """Retrieve once, generate, judge: question_id, context, function_code, explanation, citations, judge fields."""
     from .functions.text import join_docs, judge_fields

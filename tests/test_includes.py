@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pairloom.operators import includes
 from pairloom.operators.scan import running_total
 from pairloom.sources import files
+from pairloom.sql import register
 
 
 def test_include_dirs_walk_up(spark):
@@ -78,3 +79,15 @@ def test_a_long_listing_is_many_tasks(spark, tmp_path):
     one = sorted((r.function_id, r.name, r.start_addr, r.body) for r in got if r.path.endswith("one.s"))
     assert one == want and [(r.name, r.body) for r in got if r.path.endswith("two.s")] == [("g", "  ret")]
     assert sorted((r.path, r.function_id, r.body) for r in got) == sorted((r.path, r.function_id, r.body) for r in per_row)
+
+
+def test_listings_in_sql(spark):
+    register(spark)
+    rows = [("a", 3, "  ret"), ("a", 2, "10 <f>:"), ("a", 1, "before"), ("a", 5, "20 <g>:"), ("a", 4, None), ("b", 1, "0 <f>:"), (None, 1, "0 <h>:"), (None, 2, "  x")]
+    spark.createDataFrame(rows, "path string, n int, text string").createOrReplaceTempView("asm_lines")
+    got = spark.sql("SELECT * FROM listing_functions(TABLE(asm_lines) PARTITION BY path ORDER BY n, line => 'text')").collect()
+    assert {tuple(r) for r in got} == {("a", 1, "f", "10", "  ret"), ("a", 2, "g", "20", ""), ("b", 1, "f", "0", ""), (None, 1, "h", "0", "  x")}
+    for bad in ("TABLE(asm_lines) PARTITION BY path", "'no table'"):
+        with pytest.raises(Exception, match="listing_functions|no column"):
+            spark.sql(f"SELECT * FROM listing_functions({bad})").collect()
+    spark.catalog.dropTempView("asm_lines")
