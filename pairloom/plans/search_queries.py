@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parsing
-from ..operators import hamming, includes, momentum
+from ..operators import hamming, includes, momentum, sketches
 from ..scratch import Scratch
 from ..session import table
 from ..sources import files
 from ..sources.vector_store import VectorStore
 from ..sql import register
+from ..streaming import progress
 from .corpus_queries import SIMHASH_CTE
 from .embedding_queries import _P, _RANKS, BATCH, pairs, sides
 
@@ -99,7 +100,36 @@ def listing_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT listing AS source, function_id, name, start_addr, md5(body) AS body_md5 FROM listing_functions(TABLE({lines}) PARTITION BY source ORDER BY n)", lines=lines)
 
 
-QUERIES = {f.__name__: f for f in (loss_momentum_full_queue, momentum_accuracy_full_queue, simhash_near, simhash_pairs, stored_index_search, include_dirs, include_reach, listing_lines, listing_sql)}
+def best_so_far(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as measurements of their user's run, streamed in two starts of one query; its state at the end."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("run"), F.col("event_id").alias("step"), F.col("value").alias("metric"))
+    tmp = Scratch(spark, "best-so-far")
+    half = F.lit(e.agg(F.floor((F.min("step") + F.max("step")) / 2)).first()[0])
+    for part in (F.col("step") <= half, F.col("step") > half):
+        e.where(part).write.mode("append").parquet(tmp.path("in"))
+        stream = spark.readStream.schema(e.schema).parquet(tmp.path("in"))
+        progress.follow(stream, tmp.path("state"), tmp.path("out")).awaitTermination()
+    return progress.current(spark, tmp.path("state"))
+
+
+def batch_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in twelve batches, by priority: exact sums, and whether merged sketches are within their error of exact ones."""
+    o = table(spark, sf_dir, "orders")
+    group = "o_orderpriority"
+    stats = sketches.BatchStatistics(spark, Scratch(spark, "batch-sketches").path("stats"), [group], ["o_custkey"], ["o_totalprice"])
+    for k in range(12):
+        stats.add(o.where(F.pmod("o_orderkey", F.lit(12)) == k), k)
+    merged = stats.merged((0.5,)).withColumn("median", F.col("quantiles_o_totalprice")[0])
+    exact = o.groupBy(group).agg(F.count_distinct("o_custkey").alias("exact_distinct"))
+    below = o.join(merged.select(group, "median"), group).groupBy(group).agg(F.avg((F.col("o_totalprice") <= F.col("median")).cast("int")).alias("rank"))
+    both = merged.join(exact, group).join(below, group)
+    near = F.abs(F.col("distinct_o_custkey") - F.col("exact_distinct")) <= F.greatest(F.lit(1.0), sketches.DISTINCT_ERROR * F.col("exact_distinct"))
+    # the rank of a value among few is a multiple of one over their number
+    middle = F.abs(F.col("rank") - 0.5) <= sketches.RANK_ERROR + 1 / F.col("n_rows")
+    return both.select(group, "n_batches", "n_rows", "exact_distinct", F.round("min_o_totalprice", 2).alias("least"), F.round("max_o_totalprice", 2).alias("most"), near.alias("distinct_near"), middle.alias("median_near"))
+
+
+QUERIES = {f.__name__: f for f in (loss_momentum_full_queue, momentum_accuracy_full_queue, simhash_near, simhash_pairs, stored_index_search, include_dirs, include_reach, listing_lines, listing_sql, best_so_far, batch_sketches)}
 
 _QUEUE = _P + f""", k AS (SELECT i AS j, a AS ka, s AS ks FROM p UNION ALL SELECT i - {QUEUE}, s, a FROM p),
 z AS (SELECT x.batch, x.i, list_cosine_similarity(x.a, y.ks) / 0.07 AS f, list_cosine_similarity(x.s, y.ka) / 0.07 AS g FROM p x JOIN k y ON y.j < x.batch * {BATCH} AND y.j >= x.batch * {BATCH} - {QUEUE}),
@@ -137,4 +167,9 @@ r AS (SELECT doc_id, included FROM e WHERE included IS NOT NULL UNION SELECT r.d
 SELECT doc_id, included FROM r""",
     "listing_lines": _LISTING,
     "listing_sql": _LISTING,
+    "best_so_far": """WITH e AS (SELECT user_id::VARCHAR AS run, event_id AS step, value AS metric FROM events WHERE user_id IS NOT NULL AND event_id IS NOT NULL AND value IS NOT NULL AND NOT isnan(value)),
+b AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY metric DESC, step) AS r, row_number() OVER (PARTITION BY run ORDER BY step) AS nth, count(*) OVER (PARTITION BY run) AS n FROM e)
+SELECT run, step AS best_step, metric AS best_metric, n AS n_seen, n - nth AS since_best FROM b WHERE r = 1""",
+    "batch_sketches": """SELECT o_orderpriority, count(DISTINCT o_orderkey % 12) AS n_batches, count(*) AS n_rows, count(DISTINCT o_custkey) AS exact_distinct,
+ round(min(o_totalprice), 2) AS least, round(max(o_totalprice), 2) AS most, true AS distinct_near, true AS median_near FROM orders GROUP BY o_orderpriority""",
 }
