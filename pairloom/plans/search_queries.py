@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parsing
-from ..operators import hamming, includes, momentum, sketches
+from ..operators import encoding, hamming, includes, momentum, sketches
 from ..scratch import Scratch
 from ..session import table
 from ..sources import files
@@ -129,7 +129,14 @@ def batch_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(group, "n_batches", "n_rows", "exact_distinct", F.round("min_o_totalprice", 2).alias("least"), F.round("max_o_totalprice", 2).alias("most"), near.alias("distinct_near"), middle.alias("median_near"))
 
 
-QUERIES = {f.__name__: f for f in (loss_momentum_full_queue, momentum_accuracy_full_queue, simhash_near, simhash_pairs, stored_index_search, include_dirs, include_reach, listing_lines, listing_sql, best_so_far, batch_sketches)}
+def encoded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents encoded by the stand-in model, cut to 512 tokens."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = encoding.encode(d, "text", encoding.Loader("hashed-words-64", encoding.HashedWords, 64))
+    return made.select("doc_id", "n_tokens", "truncated", "encode_error", F.size(F.filter("embedding", lambda x: x > 0)).alias("n_filled"), F.round(F.array_max("embedding").cast("double"), 4).alias("largest"))
+
+
+QUERIES = {f.__name__: f for f in (loss_momentum_full_queue, momentum_accuracy_full_queue, simhash_near, simhash_pairs, stored_index_search, include_dirs, include_reach, listing_lines, listing_sql, best_so_far, batch_sketches, encoded_documents)}
 
 _QUEUE = _P + f""", k AS (SELECT i AS j, a AS ka, s AS ks FROM p UNION ALL SELECT i - {QUEUE}, s, a FROM p),
 z AS (SELECT x.batch, x.i, list_cosine_similarity(x.a, y.ks) / 0.07 AS f, list_cosine_similarity(x.s, y.ka) / 0.07 AS g FROM p x JOIN k y ON y.j < x.batch * {BATCH} AND y.j >= x.batch * {BATCH} - {QUEUE}),
@@ -172,4 +179,8 @@ b AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY metric DESC, step)
 SELECT run, step AS best_step, metric AS best_metric, n AS n_seen, n - nth AS since_best FROM b WHERE r = 1""",
     "batch_sketches": """SELECT o_orderpriority, count(DISTINCT o_orderkey % 12) AS n_batches, count(*) AS n_rows, count(DISTINCT o_custkey) AS exact_distinct,
  round(min(o_totalprice), 2) AS least, round(max(o_totalprice), 2) AS most, true AS distinct_near, true AS median_near FROM orders GROUP BY o_orderpriority""",
+    "encoded_documents": r"""WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(text, '[^\s]+') AS ws FROM documents WHERE text IS NOT NULL),
+b AS (SELECT r, ('0x' || substr(md5(unnest(ws[:512])), 1, 8))::BIGINT % 64 AS b FROM w), c AS (SELECT r, b, count(*) AS n FROM b GROUP BY r, b),
+v AS (SELECT r, count(*)::INT AS n_filled, round((max(n) / sqrt(sum(n * n)))::FLOAT::DOUBLE, 4) AS largest FROM c GROUP BY r)
+SELECT doc_id, least(len(ws), 512)::INT AS n_tokens, len(ws) > 512 AS truncated, NULL::VARCHAR AS encode_error, coalesce(n_filled, 0) AS n_filled, coalesce(largest, 0) AS largest FROM w LEFT JOIN v USING (r)""",
 }
