@@ -95,7 +95,7 @@ def negative_pairs(df: DataFrame, id_col: str, key: str, attempts: int = 3, seed
     ``attempts`` without a miss: in key order, the row at (place in own key + hash) mod the
     number of rows of other keys, own rows left out. So only a table of one key has rows
     without a partner. Row joins are on the ordinal; bounds of keys join on the key, those
-    of 1/1000 of the rows or more as a broadcast.
+    of 1/1000 of the rows or more as a broadcast. Rows are put in key order only if some are left over.
     """
     placed = with_ordinal(df.select(F.col(id_col).alias("id"), F.col(key).alias("k")), "id")
     n = df.agg(F.count(F.lit(1)).alias("n"))
@@ -107,6 +107,8 @@ def negative_pairs(df: DataFrame, id_col: str, key: str, attempts: int = 3, seed
     found = found.groupBy("id").agg(F.min(F.struct("attempt", "partner")).alias("m")).select("id", "m.partner", "m.attempt")
     found = Scratch(df.sparkSession, "negatives").save(found, "found")
 
+    if placed.join(found, "id", "left_anti").isEmpty():
+        return found
     keyed = with_ordinal(placed.select("id", "k"), "k", "id", name="at")
     bounds = keyed.groupBy(F.col("k").alias("kb")).agg(F.min("at").alias("lo"), F.count(F.lit(1)).alias("own")).join(F.broadcast(n))  # one row
     left = keyed.join(found.select("id"), "id", "left_anti")

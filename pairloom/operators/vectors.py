@@ -190,7 +190,8 @@ def fit_centroids(x: np.ndarray, lists: int, steps: int = 10, seed: int = 42) ->
 def fit_probes(x: np.ndarray, centres: np.ndarray, k: int, recall: float, asked: int = 500) -> int:
     """Lists to look into so that ``recall`` of the k nearest of some vectors of the sample are found.
 
-    Neighbours in a sample are farther away than among all keys, so this is rather too many.
+    Neighbours in a sample are farther away than among all keys, so this is rather too many
+    for keys like the sample; it is no bound for the whole table.
     """
     q = np.arange(0, len(x), max(1, len(x) // asked))
     sim = x[q] @ x.T
@@ -223,11 +224,12 @@ def _listed(df: DataFrame, id_col: str, vector: str, centres: np.ndarray, probes
     return rows.mapInPandas(run, "list int, ids binary, m binary, dim int")
 
 
-def ann_top_k(queries: DataFrame, keys: DataFrame, k: int, q_id: str, k_id: str, vector: str, lists: int = 128, probes: int | None = 10, pieces: int = 8, exclude_self: bool = False, recall: float = 0.95) -> DataFrame:
+def ann_top_k(queries: DataFrame, keys: DataFrame, k: int, q_id: str, k_id: str, vector: str, lists: int = 128, probes: int | None = None, pieces: int = 8, exclude_self: bool = False, recall: float = 0.95) -> DataFrame:
     """Approximate cosine top-k by an inverted file: q_id, k_id, sim, rank.
 
     Every key is in its nearest list; a query looks into its ``probes`` nearest ones, or, if
-    that is None, into as many as a sample needs for ``recall``. With as many probes as
+    that is None, into as many as a sample needs for ``recall`` (an estimate: neighbours in a
+    sample are not those among all keys; ``VectorStore`` tunes on all rows). With as many probes as
     lists the result is exact. Key blocks of a list are dealt to
     ``pieces`` cells, so a list that holds much of the keys is no single task. Null vectors
     are left out; an empty table on either side gives an empty result.

@@ -351,7 +351,11 @@ _NEGATIVES = f"""
 WITH o AS (SELECT doc_id AS id, source AS k, row_number() OVER (ORDER BY doc_id) - 1 AS ord, count(*) OVER () AS n FROM documents),
 t AS (SELECT id, k, a AS attempt, (ord + {_HASH.format(id='id', t='a')} % (n - 1) + 1) % n AS j FROM o, (SELECT unnest(range(3)) AS a) WHERE n > 1),
 m AS (SELECT t.id, t.attempt, o.id AS partner FROM t JOIN o ON o.ord = t.j WHERE t.k IS DISTINCT FROM o.k),
-neg AS (SELECT id, partner, attempt FROM m QUALIFY row_number() OVER (PARTITION BY id ORDER BY attempt) = 1)
+tried AS (SELECT id, partner, attempt FROM m QUALIFY row_number() OVER (PARTITION BY id ORDER BY attempt) = 1),
+keyed AS (SELECT id, k, n, row_number() OVER (ORDER BY k NULLS FIRST, id) - 1 AS pos FROM o),
+bounds AS (SELECT k AS kb, min(pos) AS lo, count(*) AS own FROM keyed GROUP BY k),
+lost AS (SELECT id, lo, own, (pos - lo + {_HASH.format(id='id', t='3')}) % (n - own) AS place FROM keyed JOIN bounds ON k IS NOT DISTINCT FROM kb WHERE own < n AND id NOT IN (SELECT id FROM tried)),
+neg AS (SELECT id, partner, attempt FROM tried UNION ALL SELECT lost.id, keyed.id, 3 FROM lost JOIN keyed ON keyed.pos = place + CASE WHEN place >= lo THEN own ELSE 0 END)
 """
 _GROUPS = """
 WITH k AS (SELECT DISTINCT o_custkey AS g FROM orders WHERE o_custkey IS NOT NULL),

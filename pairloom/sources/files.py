@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,9 +19,21 @@ __all__ = [
 ]
 
 
-def read_csv(spark: SparkSession, path: str, schema: str, comment: str | None = None) -> DataFrame:
-    """Header, multi-line quoted fields; lines that begin with ``comment`` are left out."""
+def read_csv(spark: SparkSession, path: str, schema: str, comment: str | None = None, inline: bool = False) -> DataFrame:
+    """Header, multi-line quoted fields; lines that begin with ``comment`` are left out.
+
+    With ``inline`` a comment also ends a line within a field, unless it stands in quotes, as
+    data frame libraries read it: what is left of the line is its fields, missing ones are
+    null. Such files are read whole, a row a file, so they have to fit into one.
+    """
     options = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "recursiveFileLookup": "true"}
+    if comment and inline:
+        mark = re.escape(comment)
+        content = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.regexp_replace("value", "\r\n?", "\n").alias("text"))
+        bare = F.regexp_replace("text", f'("(?:[^"]|"")*+")|{mark}[^\n]*', "$1")
+        records = F.filter(F.regexp_extract_all(bare, F.lit('((?:[^"\n]|"(?:[^"]|"")*+")++)'), F.lit(1)), lambda r: F.trim(r) != "")
+        rows = content.select(F.explode(F.slice(records, F.lit(2), F.greatest(F.size(records) - 1, F.lit(0)))).alias("r"))
+        return rows.select(F.from_csv("r", schema, {"quote": '"', "escape": '"', "multiLine": "true"}).alias("c")).select("c.*")
     if comment:
         options["comment"] = comment
     return spark.read.options(**options).schema(schema).csv(path)
@@ -39,11 +53,25 @@ def write_documents(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite").text(path)
 
 
-def read_files(spark: SparkSession, path: str, extensions: tuple[str, ...] = text.SOURCE_EXTENSIONS, recursive: bool = True) -> DataFrame:
-    """path, content of the files whose name ends in one of the extensions."""
-    glob = "*{" + ",".join(extensions) + "}"
+def _decoded(content: Column, errors: str) -> Column:
+    """UTF-8 to text. Bytes that are none: ``strict`` fails, ``replace`` puts U+FFFD, ``ignore`` leaves them out."""
+    if errors == "strict":
+        return F.decode(content, "UTF-8")
+    replaced = F.make_valid_utf8(content.cast("string"))
+    if errors == "replace":
+        return replaced
+    if errors == "ignore":
+        # only texts with such bytes go through Python
+        return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.pandas_udf(_lenient, "string")(content))
+    raise ValueError(f"unknown treatment of errors {errors!r}")
+
+
+def read_files(spark: SparkSession, path: str, extensions: tuple[str, ...] = text.SOURCE_EXTENSIONS, recursive: bool = True, errors: str = "replace") -> DataFrame:
+    """path, content of the files whose name ends in one of the extensions, in any case."""
+    either = lambda e: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e)
+    glob = "*{" + ",".join(map(either, extensions)) + "}"
     df = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", glob).load(path)
-    return df.select("path", F.decode("content", "UTF-8").alias("content"))
+    return df.select("path", _decoded(F.col("content"), errors).alias("content"))
 
 
 def _lenient(contents: pd.Series) -> pd.Series:
@@ -51,37 +79,9 @@ def _lenient(contents: pd.Series) -> pd.Series:
 
 
 def read_listings(spark: SparkSession, path: str, glob: str = "*.s", errors: str = "replace") -> DataFrame:
-    """path, content; bytes that are no UTF-8 become U+FFFD, or are left out with ``errors="ignore"``."""
-    if errors == "ignore":
-        df = spark.read.format("binaryFile").options(recursiveFileLookup="true", pathGlobFilter=glob).load(path)
-        return df.select("path", F.pandas_udf(_lenient, "string")("content").alias("content"))
-    df = spark.read.options(recursiveFileLookup="true", pathGlobFilter=glob).text(path, wholetext=True)
-    return df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
-
-
-def source_documents(files: DataFrame, extractor: str = "scanner") -> DataFrame:
-    """Source files to documents with their functions."""
-    parsed = files.withColumn("f", parsing.source_functions(F.col("content")))
-    functions = F.transform("f", lambda x: F.struct(x["function_id"].alias("function_id"), x["name"].alias("function_name"), x["signature"].alias("signature"), x["body"].alias("body")))
-    meta = F.struct(
-        F.col("path").alias("source_file"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("extraction_timestamp"),
-        F.size("f").alias("total_functions"), F.lit(extractor).alias("extractor"),
-    )
-    return parsed.select(meta.alias("metadata"), functions.alias("functions"))
-
-
-def explode_functions(docs: DataFrame, name: str = "function_name", body: str = "body") -> DataFrame:
-    """path and one row per function that has a name and a body."""
-    rows = docs.select("path", F.explode("functions").alias("f"))
-    return rows.select("path", "f.*").where((F.coalesce(name, F.lit("")) != "") & (F.coalesce(body, F.lit("")) != ""))
-
-
-def listing_rows(listings: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
-    """key, function_id, name, body, error: a row per function, or one that says why there is none."""
-    parsed = listings.select(F.col(key).alias(key), F.col(content).alias("__c"), parsing.listing_functions(F.col(content)).alias("__f"))
-    error = F.when(F.col("__c").isNull(), "unreadable").when(F.size("__f") == 0, "no functions found")
-    rows = parsed.select(key, error.alias("error"), F.explode_outer("__f").alias("f"))
-    return rows.select(key, "f.function_id", "f.name", "f.body", "error")
+    """path, content; ``errors`` says what becomes of bytes that are no UTF-8: strict, replace, ignore."""
+    df = spark.read.format("binaryFile").options(recursiveFileLookup="true", pathGlobFilter=glob).load(path)
+    return df.select("path", _decoded(F.col("content"), errors).alias("content"))
 
 
 def read_lines(spark: SparkSession, path: str, glob: str = "*.s") -> DataFrame:
