@@ -180,6 +180,11 @@ def answer_place(response: Column, idx: Column) -> Column:
 def judge_fields(response: Column) -> Column:
     """struct<function_code, explanation, citations, score, reason, is_grounded> with defaults for what is missing."""
     x = F.from_json(response, "function_code string, explanation string, citations array<struct<source_id:string,why:string>>, score int, reason string, is_grounded boolean")
+    # taken apart inside a lambda, so the response is read once
+    return F.element_at(F.transform(F.array(x), _with_defaults), 1)
+
+
+def _with_defaults(x: Column) -> Column:
     return F.struct(
         F.coalesce(x["function_code"], F.lit("")).alias("function_code"), F.coalesce(x["explanation"], F.lit("")).alias("explanation"),
         F.coalesce(x["citations"], F.array().cast("array<struct<source_id:string,why:string>>")).alias("citations"),

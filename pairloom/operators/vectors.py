@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 BLOCK = 2048
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -24,9 +29,7 @@ def norm(v: Column) -> Column:
 
 def normalize(v: Column, eps: float = 1e-12) -> Column:
     """Unit length; a norm under ``eps`` counts as ``eps``, so a zero vector stays zero."""
-    # the length is an element of an array, so it is computed once and not for each component
-    length = F.array(F.greatest(norm(v), F.lit(eps)))
-    return F.element_at(F.transform(length, lambda n: F.transform(v, lambda x: x.cast("double") / n)), 1)
+    return let(F.greatest(norm(v), F.lit(eps)), lambda n: F.transform(v, lambda x: x.cast("double") / n))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -84,8 +87,8 @@ def hashed_embedding(text: Column, dim: int = 64) -> Column:
     """Offline stand-in for an encoder: counts of words by md5 bucket, unit length."""
     words = F.filter(F.split(F.lower(text), r"\W+"), lambda w: w != "")
     places = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dim)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("double"))
-    return normalize(counts)
+    count = lambda held: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(held, lambda p: p == i)).cast("double"))
+    return let(let(places, count), normalize)
 
 
 def to_blocks(df: DataFrame, id_col: str, vector: str, size: int = BLOCK) -> DataFrame:

@@ -13,7 +13,7 @@ from ..functions import parsing, text
 from ..operators import integrate, metrics, mining
 from ..operators.ordinal import seeded, with_ordinal
 from ..operators.vectors import hashed_embedding, norm, pool
-from ..providers import FixedAnswers, HashedEmbedding, generate_and_judge
+from ..providers import ExtractiveAnswers, HashedEmbedding, OverlapJudge, generate_and_judge
 from ..session import table
 from ..sources import files
 from ..streaming import ingest
@@ -115,11 +115,11 @@ def union_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def locate_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every seventh turn by global number, as (conversation, turn within it)."""
+    """Every turn by global number, and 20 numbers beyond, as (conversation, turn within it)."""
     turns = table(spark, sf_dir, "conversations")
     counts = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"))
     total = turns.count()
-    wanted = spark.range(0, total + 20, 7).select(F.col("id").alias("idx"))
+    wanted = spark.range(0, total + 20).select(F.col("id").alias("idx"))
     return integrate.locate(counts, wanted, "conv_id", "n_turns")
 
 
@@ -230,8 +230,9 @@ def rag_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text").withColumn("embedding", embed.embed(F.col("text")))
     questions = items.withColumnRenamed("id", "q")
     retriever = lambda q: top_k(q, items, 5, "q", "id", "embedding")
-    out = generate_and_judge(questions, items, retriever, FixedAnswers('{"function_code": "f", "explanation": "e"}'), FixedAnswers('{"score": 4, "is_grounded": true}'))
-    return out.drop("context", "citations")
+    out = generate_and_judge(questions, items, retriever, ExtractiveAnswers(), OverlapJudge())
+    cited = F.array_join(F.transform("citations", lambda c: F.concat_ws(":", c.source_id, c.why)), ",")
+    return out.withColumn("cited", cited).withColumn("context_md5", F.md5("context")).drop("context", "citations")
 
 
 def json_field_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -408,7 +409,7 @@ UNION ALL SELECT id, 'negative', id, partner, 0 FROM neg UNION ALL SELECT id, 's
  (SELECT (row_number() OVER (ORDER BY o_orderkey) - 1) // 64 AS b, o_totalprice FROM orders) GROUP BY b)""",
     "union_missing": "SELECT doc_id, quality AS label, CASE WHEN quality = 1 THEN 'O0' END AS opti FROM labels WHERE quality IN (0, 1)",
     "locate_slice": """WITH c AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1), s AS (SELECT conv_id, n, sum(n) OVER (ORDER BY conv_id) - n AS lo FROM c),
-w AS (SELECT unnest(range(0, (SELECT count(*) FROM conversations) + 20, 7)) AS idx)
+w AS (SELECT unnest(range(0, (SELECT count(*) FROM conversations) + 20)) AS idx)
 SELECT idx, conv_id AS file, (idx - lo)::BIGINT AS local_idx FROM w JOIN s ON idx >= lo AND idx < lo + n""",
     "confusion_report": """WITH r AS (SELECT quality AS t, CASE WHEN n_chars % 17 = 0 THEN NULL ELSE (n_chars > 1000)::INT END AS p FROM labels JOIN documents USING (doc_id)),
 c AS (SELECT count(*) FILTER (t = 1 AND p = 1) AS tp, count(*) FILTER (t = 0 AND p = 1) AS fp, count(*) FILTER (t = 1 AND p = 0) AS fn, count(*) FILTER (t = 0 AND p = 0) AS tn,
@@ -444,7 +445,15 @@ SELECT item_id, md5(a || 'assembly' || b || 'asm' || chr(10) || text || z) AS as
  md5(item_id || chr(10) || text) AS named_md5 FROM t""",
     "rag_context": """SELECT conv_id, md5(string_agg('[SOURCE:' || CASE WHEN turn % 2 = 0 THEN conv_id || '-' || turn ELSE 'doc_' || nth END || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY turn)) AS context_md5, count(*)::INT AS n_docs
 FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS nth FROM conversations WHERE turn < 5) GROUP BY conv_id""",
-    "rag_answers": "SELECT item_id AS question_id, 'f' AS function_code, 'e' AS explanation, 4 AS judge_score, '' AS judge_reason, true AS judge_is_grounded FROM benchmark",
+    "rag_answers": f"""WITH w AS (SELECT item_id AS id, text, {_WORDS} AS ws FROM benchmark),
+v AS (SELECT id, text, list_transform(range(32), lambda b: len(list_filter(ws, lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT % 32 = b))::DOUBLE) AS v FROM w),
+s AS (SELECT q.id AS q, k.id, k.text, round(list_cosine_similarity(q.v, k.v), 6) AS sim FROM v q, v k),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, id) AS rank FROM s QUALIFY rank <= 5),
+c AS (SELECT q, string_agg('[SOURCE:' || id || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context, string_agg(id || ':source ' || rank, ',' ORDER BY rank) AS cited,
+  count(*) AS n, string_split(max(CASE WHEN rank = 1 THEN text END), chr(10))[1] AS line FROM r GROUP BY q),
+j AS (SELECT *, len(list_filter(regexp_split_to_array(line, '\\s+'), lambda w: w <> '')) AS own, len(list_filter(regexp_split_to_array(context || chr(10) || chr(10) || line, '\\s+'), lambda w: w <> '')) AS whole FROM c)
+SELECT q AS question_id, line AS function_code, 'first of ' || n || ' sources' AS explanation, CASE WHEN line <> '' THEN least(5, 1 + floor(20 * own / whole))::INT ELSE 0 END AS judge_score,
+ own || ' words' AS judge_reason, line <> '' AS judge_is_grounded, cited, md5(context) AS context_md5 FROM j""",
     "json_field_flatten": "SELECT event_id, (props->>'$.k')::INT AS k FROM events",
     "function_numbers": "SELECT item_id, i::INT AS function_id, length(parts[i])::INT AS n_chars FROM (SELECT item_id, string_split(text, '. ') AS parts FROM benchmark), unnest(range(1, len(parts) + 1)) AS t(i)",
     "ring_buffer_events": "SELECT * FROM (SELECT event_id, user_id, row_number() OVER (ORDER BY event_id) - 1 AS position, (row_number() OVER (ORDER BY event_id) - 1) % 256 AS slot FROM events) QUALIFY row_number() OVER (ORDER BY position DESC) <= 256",

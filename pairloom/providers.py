@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .operators.vectors import hashed_embedding
+from .operators.vectors import hashed_embedding, let
 
 
 class EmbeddingProvider(Protocol):
@@ -48,6 +48,34 @@ class FixedAnswers:
         return F.when(prompt.isNotNull(), F.lit(self.text))
 
 
+class ExtractiveAnswers:
+    """Answers with the first line of the first source in the prompt, and cites every source. No source, no answer."""
+
+    def answer(self, prompt: Column) -> Column:
+        return let(prompt, self._answer)
+
+    def _answer(self, prompt: Column) -> Column:
+        sources = F.regexp_extract_all(prompt, F.lit(r"(?m)^\[SOURCE:([^\]\n]*)\]$"), F.lit(1))
+        line = F.regexp_extract(prompt, r"(?m)^\[SOURCE:[^\]\n]*\]\n([^\n]*)", 1)
+        citations = F.transform(sources, lambda x, i: F.struct(x.alias("source_id"), F.concat(F.lit("source "), (i + 1).cast("string")).alias("why")))
+        explanation = F.concat(F.lit("first of "), F.size(sources).cast("string"), F.lit(" sources"))
+        return F.when(F.size(sources) > 0, F.to_json(F.struct(line.alias("function_code"), explanation.alias("explanation"), citations.alias("citations"))))
+
+
+class OverlapJudge:
+    """Judges the last line of the prompt: grounded if it also stands earlier, with a score of its share of the prompt's words."""
+
+    def answer(self, prompt: Column) -> Column:
+        return let(prompt, lambda p: let(F.regexp_extract(p, r"([^\n]*)$", 1), lambda last: self._answer(p, last)))
+
+    def _answer(self, prompt: Column, last: Column) -> Column:
+        earlier = F.left(prompt, F.char_length(prompt) - F.char_length(last))
+        grounded = (last != "") & (F.instr(earlier, last) > 0)
+        words = lambda t: F.size(F.filter(F.split(t, r"\s+"), lambda w: w != ""))
+        score = F.when(grounded, F.least(F.lit(5), F.lit(1) + F.floor(F.lit(20) * words(last) / F.greatest(words(prompt), F.lit(1))).cast("int"))).otherwise(0)
+        return F.to_json(F.struct(score.alias("score"), F.concat(words(last).cast("string"), F.lit(" words")).alias("reason"), grounded.alias("is_grounded")))
+
+
 class SymbolTables:
     """Functions of object files by their symbol tables; stands in for a disassembler. ``objects``: path."""
 
