@@ -11,7 +11,10 @@ dealt to as many pieces as their number asks for, each with a copy of the entry'
 Given a folder of its own, the store outlives the call: a second call over further rows
 continues the state, and its rows are judged against all rows so far. Where calls bring
 rows with a larger id, the verdict on earlier rows changes; a result tells what stays of
-its own rows at its time.
+its own rows at its time. Each call has a number, from the caller or else from the rows
+themselves. Its content enters the store whole, by one rename, and only once: a call that
+is repeated, after a failure at any point or just so, counts its rows once and judges the
+content that is there.
 
 Defined results: a null text counts as empty; a null id ranks below every other id;
 of rows that share id and text exactly one stays; an empty table gives an empty result;
@@ -20,8 +23,6 @@ columns other than id and text are neither read nor returned.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,11 +52,13 @@ def keyed_state(feed: DataFrame) -> DataFrame:
     return feed.groupBy("digest").agg(F.max(F.struct("id", "batch", "at")).alias("keeper"), F.count(F.lit(1)).alias("group_size"))
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 256 << 30, digest: Column | None = None, state_partitions: int | None = None, store: str | None = None) -> DataFrame:
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 256 << 30, digest: Column | None = None, state_partitions: int | None = None, store: str | None = None, batch: int | None = None) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
     ``store`` is a folder that all executors reach, for the content and the state of
     several calls (a scratch folder if not given; calls of one store follow one another).
+    ``batch`` names a call of a store, so that it can be repeated; calls with other rows need
+    another number. Without it, equal rows are taken for a repeated call.
     ``batch_bytes`` bounds a micro-batch (bytes of content files); ``state_partitions`` is
     the number of state stores (an eighth of the shuffle partitions, 8 at least, if not
     given; a store keeps its first number).
@@ -65,19 +68,21 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     tmp = Scratch(spark, "exact-dedup")
     root = (store or tmp.path("store")).rstrip("/")
-    batch = uuid.uuid4().int >> 65
     norm = docs.select(F.col(id_col).alias("id"), ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("norm"))
+    if batch is None:
+        batch = _number(norm) if store else 0
     rows = norm.select(
-        "id", F.lit(batch).alias("batch"), F.monotonically_increasing_id().alias("at"), F.sha2("norm", 256).alias("text_sha256"),
-        (F.unhex(F.sha2("norm", 256)) if digest is None else digest).alias("digest"), "norm",
+        "id", F.monotonically_increasing_id().alias("at"), F.sha2("norm", 256).alias("text_sha256"),
+        (F.unhex(F.sha2("norm", 256)) if digest is None else digest).alias("digest"), "norm", F.lit(batch).cast("long").alias("batch"),
     )
-    rows.write.mode("append").parquet(f"{root}/content")
+    _enter(rows, root, batch)
     content = spark.read.schema(rows.schema).parquet(f"{root}/content")
     narrow = content.drop("norm")
 
     with settings(spark, state_settings(spark, state_partitions)):
         feed = narrow.select("id", "batch", "at", "digest")
-        stream = spark.readStream.schema(feed.schema).option("maxBytesPerTrigger", str(batch_bytes)).parquet(f"{root}/content")
+        # content counts however old it is when a call is repeated
+        stream = spark.readStream.schema(feed.schema).options(maxBytesPerTrigger=str(batch_bytes), maxFileAge="36500d").parquet(f"{root}/content")
         query = (
             keyed_state(stream).writeStream.outputMode("update").format("noop").trigger(availableNow=True)
             .option("checkpointLocation", f"{root}/state").start()
@@ -95,6 +100,25 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return judged.where(F.col("batch") == batch).select(F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
+def _number(norm: DataFrame) -> int:
+    """A number for the rows of a call, the same in any order and split."""
+    r = norm.agg(F.sum(F.xxhash64("id", "norm").cast("decimal(38,0)")).alias("s"), F.count(F.lit(1)).alias("n")).first()
+    return (int(r.s or 0) * 1_000_003 + r.n) % (1 << 62)
+
+
+def _enter(rows: DataFrame, root: str, batch: int) -> None:
+    """Puts a call's content into the store, unless it is there."""
+    jvm = rows.sparkSession._jvm
+    target = jvm.org.apache.hadoop.fs.Path(f"{root}/content/batch={batch}")
+    fs = target.getFileSystem(rows.sparkSession._jsc.hadoopConfiguration())
+    if fs.exists(target):
+        return
+    rows.drop("batch").write.mode("overwrite").parquet(f"{root}/entering/{batch}")
+    fs.mkdirs(target.getParent())
+    if not fs.rename(jvm.org.apache.hadoop.fs.Path(f"{root}/entering/{batch}"), target):
+        raise OSError(f"{root}/entering/{batch} could not be moved into the store")
+
+
 def _unequal(content: DataFrame, judged: DataFrame, tmp: Scratch) -> DataFrame:
     """Digests of which some hit differs from the kept row in bytes: digest.
 

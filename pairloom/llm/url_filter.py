@@ -159,7 +159,8 @@ def tree_expression(tree) -> Column:
 def classify(pages: DataFrame, labelled: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[Rule, ...] = RULES, sample_rows: int = 20_000) -> DataFrame:
     """One row per input row: id, host, path, rule, verdict, block_score.
 
-    ``labelled`` has url and y (1: block). ``sample_rows`` bounds the rows fitted on.
+    ``labelled`` has url and y (1: block). The trees are fitted on about ``sample_rows``
+    different urls (twice that at most) with the smallest hashes.
     """
     def prepared(df: DataFrame) -> DataFrame:
         df = df.withColumn("__u", F.coalesce(F.col("__u"), F.lit("")))
@@ -167,11 +168,14 @@ def classify(pages: DataFrame, labelled: DataFrame, id_col: str = "page_id", url
         return df.withColumns({"__host": host, "__path": path})
 
     known = prepared(labelled.select(F.col("url").alias("__u"), F.col("y").cast("double").alias("y")).where("y is not null"))
-    (suffix, suffix_folds, total), (domain, domain_folds, _) = rates(known, 1), rates(known, 2)
+    (suffix, suffix_folds, _), (domain, domain_folds, _) = rates(known, 1), rates(known, 2)
     columns = features(F.col("__u"), F.col("__host"), F.col("__path"), suffix, domain)
     fitted = features(F.col("__u"), F.col("__host"), F.col("__path"), suffix_folds, domain_folds, out_of_fold=True)
-    draw = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit("url sample")), F.lit(1 << 30)).cast("double") / (1 << 30)
-    sample = known.where(draw < sample_rows / max(1, total)).limit(2 * sample_rows).select("y", *fitted).collect()
+    # drawn by the url, each once, so neither the order of rows nor their splits matter
+    own = known.select("__u", "__host", "__path", "y").distinct()
+    draw = F.pmod(F.xxhash64("__u", F.lit("url sample")), F.lit(1 << 30))
+    own = own.withColumn("__draw", draw).where(F.col("__draw") < F.lit((1 << 30) * sample_rows / max(1, own.count())))
+    sample = own.orderBy("__draw", "__u", "y").limit(2 * sample_rows).select("y", *fitted).collect()
     table = np.array(sorted(tuple(r) for r in sample), dtype=float).reshape(len(sample), len(FEATURES) + 1)
     y = table[:, 0]
     rows = prepared(pages.select(F.col(id_col).alias("__id"), F.col(url_col).alias("__u"))).select("__id", "__host", "__path", *columns)

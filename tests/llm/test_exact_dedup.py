@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from oracle import assert_same
@@ -85,6 +86,38 @@ def test_bytes_are_checked_against_earlier_calls(spark, tmp_path):
         assert result(got) == [r for r in brute([x for part in rows[: c + 1] for x in part]) if r[0] in known]
 
 
+@pytest.mark.parametrize(("where", "batch"), [("state_settings", 1), ("_unequal", 1), ("_unequal", None), ("keyed_state", None)])
+def test_a_failed_call_is_repeated(spark, tmp_path, monkeypatch, where, batch):
+    store = f"file://{tmp_path}/store"
+    schema = "doc_id long, text string"
+    first, second = [(1, "a"), (2, "A"), (3, "b")], [(9, "a"), (0, "b"), (5, "c"), (5, "c"), (None, "a")]
+    call = lambda rows, n: exact_dedup.exact_duplicates(spark.createDataFrame(rows, schema), store=store, state_partitions=2, batch=None if batch is None else n)
+    assert result(call(first, 0)) == brute(first)
+
+    def fails(*args, **options):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(exact_dedup, where, fails)
+        with pytest.raises(RuntimeError, match="lost"):
+            call(second, 1)
+    want = [r for r in brute(first + second) if r[0] in (9, 0, 5, None)]
+    for _ in range(2):
+        # after the failure, and once more after a whole call
+        again = call(second, 1)
+        assert result(again) == sorted(want, key=str)
+        assert sorted(r.text_sha256 for r in again.where("kept").collect()) == sorted({r[3] for r in want if r[1] in (9, 5)})
+
+
+def test_content_half_written_does_not_count(spark, tmp_path):
+    store = f"file://{tmp_path}/store"
+    schema = "doc_id long, text string"
+    (tmp_path / "store" / "entering" / "7").mkdir(parents=True)
+    (tmp_path / "store" / "entering" / "7" / "part-0.parquet").write_bytes(b"cut")
+    got = exact_dedup.exact_duplicates(spark.createDataFrame([(1, "a"), (2, "a")], schema), store=store, batch=7)
+    assert result(got) == brute([(1, "a"), (2, "a")])
+
+
 def test_repeated_rows_stay_linear(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup, "PIECE", 500)
     sizes = []

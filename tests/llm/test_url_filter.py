@@ -55,6 +55,16 @@ def test_labels_of_one_class_or_none(spark):
     assert url_filter.classify(df.where("page_id = 5"), block).count() == 0
 
 
+def test_order_and_splits_do_not_matter(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    pages = pages.unionByName(pages.limit(30)).unionByName(pages.limit(1).crossJoin(spark.range(60)).drop("id"))
+    labelled = url_filter.ruled(pages)
+    judged = lambda p, x: {r.page_id: (r.verdict, round(r.block_score, 9)) for r in url_filter.classify(p, x, sample_rows=60).collect()}
+    one = judged(pages, labelled)
+    assert one == judged(pages.repartition(7, "url"), labelled.orderBy(F.xxhash64("url")).repartition(5))
+    assert one == judged(pages.orderBy(F.desc("page_id")).coalesce(1), labelled.coalesce(1))
+
+
 def test_query(spark, sf_dir):
     got = url_filter.op8_url_filter(spark, sf_dir)
     assert got.count() == spark.read.parquet(f"{sf_dir}/pages.parquet").count()

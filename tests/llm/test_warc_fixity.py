@@ -109,8 +109,12 @@ def test_added_bytes_are_found(spark, tmp_path):
     with open(f"{tmp_path}/b/{w.shard_name(shard)}", "ab") as f:
         f.write(w.record("http://added", "a record more"))
     la, lb = (tmp.save(w.leaves(index, r), f"l{r[-1]}") for r in (a, b))
-    found = w.audit(w.Tree(la, tmp, "ta"), w.Tree(lb, tmp, "tb"), tmp).collect()
+    audited = w.audit(w.Tree(la, tmp, "ta"), w.Tree(lb, tmp, "tb"), tmp)
+    found = audited.collect()
     assert [(r.sha256_a, r.sha256_b is None) for r in found] == [(None, False)] and la.count() == 60
+    judged = w.verdicts(la, audited).collect()
+    assert len(judged) == 61 and [(r.page_id, r.shard, r.sha256) for r in judged if r.status != "ok"] == [(None, shard, found[0].sha256_b)]
+    assert [r.status for r in judged if r.status != "ok"] == ["added"]
 
 
 def test_repeated_rows_are_dealt_over_shards(spark, tmp_path):
