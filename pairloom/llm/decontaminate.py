@@ -16,7 +16,7 @@ is found is verified with the exact edit distance between item and passage.
 
 Every window of every document is probed, but for those that cannot be close to anything:
 a window of M words within k edits of an item holds M - k words of the items of its class
-at least, which a running count tells. Items reach the tasks in blocks of at most
+at least, and M - 1 - 2 k pairs of neighbouring words of theirs, which running counts tell. Items reach the tasks in blocks of at most
 ``block_bytes`` of text, each a pass over the documents; the blocks are a broadcast of
 that bounded size.
 
@@ -155,6 +155,12 @@ def fitted_groups(m: int, k: int, recall: float, seed: int, trials: int = 1000)
     raise ValueError(f"{GIVE_UP} walks do not find passages with {k} edits in {m} words with probability {recall}")
 
 
+def pair_places(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
+    """A place in a table of 2**bits for each pair of neighbouring words."""
+    h = (a.astype(U64) * U64(0x9E3779B97F4A7C15)) ^ (b.astype(U64) * U64(0xC2B2AE3D27D4EB4F))
+    return ((h * U64(0xD6E8FEB86659FD93)) >> U64(64 - bits)).astype(np.int64)
+
+
 def edit_rows(item: np.ndarray, text: np.ndarray) -> np.ndarray:
     """Least edits from the item to a passage of the text that ends at each position."""
     n = np.arange(len(text) + 1)
@@ -203,11 +209,15 @@ class Block:
         self.groups = {m: fitted_groups(m, min(most[m], m - 1), recall, seed) for m in self.parts}
         #: which sizes a word's items have
         self.sizes = {m: np.zeros(len(vocabulary) + 1, bool) for m in self.parts}
+        #: which sizes the pairs of neighbouring words have that share a place: a bit for each size
+        self.pair_bits = max(12, int(8 * sum(map(len, self.words)) + 1).bit_length())
+        self.pairs = np.zeros(1 << self.pair_bits, U32)
         #: (size, group) to sorted keys and the part each is of
         self.tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         for m, parts in self.parts.items():
             rows = np.stack([self.words[i][o : o + m] for i, o in parts])
             self.sizes[m][rows.ravel()] = True
+            self.pairs[pair_places(rows[:, :-1], rows[:, 1:], self.pair_bits).ravel()] |= U32(1 << sizes().index(m))
             for g in range(self.groups[m]):
                 keys = np.concatenate([walks(rows[at : at + 4096], g, seed) for at in range(0, len(rows), 4096)])
                 part = np.repeat(np.arange(len(rows), dtype=np.int32), keys.shape[1])
@@ -220,18 +230,40 @@ class Block:
 class Matcher:
     def __init__(self, block: Block):
         self.block = block
+        self.seen = np.zeros(len(block.vocabulary) + 1, bool)
+        self.seen_pairs = np.zeros(1 << 16, bool)
 
     def numbered(self, text: str) -> np.ndarray:
         """Vocabulary numbers of the text's words (0: not in any item); empty words are left out."""
         words = bare_words(text)
         return np.fromiter(map(self.block.vocabulary.get, words, repeat(0)), np.int64, len(words))
 
-    def probed(self, words: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """(start, part) of all windows of one size that share a table's key with a part; ends: of each word's document."""
-        b, found = self.block, [np.zeros(0, np.int64)]
+    def pair_sizes(self, words: np.ndarray) -> np.ndarray:
+        """The sizes, as bits, of the pair of words at each position; none where a word is in no item."""
+        b = self.block
+        out = np.zeros(len(words), U32)
+        known = np.flatnonzero((words[:-1] > 0) & (words[1:] > 0))
+        out[known] = b.pairs[pair_places(words[known], words[known + 1], b.pair_bits)]
+        return out
+
+    def starts(self, words: np.ndarray, pairs: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
+        """Where windows of one size begin that may be close to an item; ends: of each word's document."""
+        b = self.block
         count = np.concatenate([[0], np.cumsum(b.sizes[size][words])])
         end = np.minimum(np.arange(len(words)) + size, ends)
         starts = np.flatnonzero(count[end] - count[:-1] >= b.least[size])
+        edits = size - b.least[size]
+        if size - 1 - 2 * edits > 0 and len(starts):
+            # a close passage has up to size + edits words; each edit breaks two pairs
+            count = np.concatenate([[0], np.cumsum((pairs >> U32(sizes().index(size))) & U32(1), dtype=np.int64)])
+            end = np.minimum(starts + size + edits, ends[starts]) - 1
+            starts = starts[count[np.maximum(end, starts)] - count[starts] >= size - 1 - 2 * edits]
+        return starts
+
+    def probed(self, words: np.ndarray, pairs: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(start, part) of all windows of one size that share a table's key with a part."""
+        b, found = self.block, [np.zeros(0, np.int64)]
+        starts = self.starts(words, pairs, ends, size)
         parts = len(b.parts[size])
         for at in range(0, len(starts), 2048):
             some = starts[at : at + 2048]
@@ -259,9 +291,10 @@ class Matcher:
         if not cuts[-1]:
             return out
         words, ends = np.concatenate(docs), np.repeat(cuts[1:], np.diff(cuts))
+        pairs = self.pair_sizes(words)
         placed: dict[tuple[int, int], set[int]] = defaultdict(set)
         for size, parts in self.block.parts.items():
-            starts, part = self.probed(words, ends, size)
+            starts, part = self.probed(words, pairs, ends, size)
             doc = np.searchsorted(cuts, starts, side="right") - 1
             for d, p, start in zip(doc.tolist(), part.tolist(), (starts - cuts[doc]).tolist(), strict=True):
                 item, offset = parts[p]
@@ -283,14 +316,29 @@ class Matcher:
                 hi = starts[at] + len(w) + 2 * k
             at += 1
             lo, hi = max(lo, 0), min(hi, len(words))
-            # a passage within k edits holds all but k of the item's words
-            if lo < hi and np.isin(w, words[lo:hi]).sum() >= len(w) - k:
+            if lo < hi and self._may_hold(w, k, words[lo:hi]):
                 d, a, z = best_passage(w, words[lo:hi])
                 if d <= k and (best is None or (d, a + lo) < best[:2]):
                     best = (d, a + lo, z + lo)
         return best
 
 
+    def _may_hold(self, item: np.ndarray, edits: int, text: np.ndarray) -> bool:
+        """A passage within the edits holds all but so many of the item's words, and all but twice as many of its pairs."""
+        self.seen[text] = True
+        shared = np.count_nonzero(self.seen[item])
+        self.seen[text] = False
+        if shared < len(item) - edits:
+            return False
+        if len(item) - 1 - 2 * edits <= 0:
+            return True
+        there = pair_places(text[:-1], text[1:], 16)
+        self.seen_pairs[there] = True
+        shared = np.count_nonzero(self.seen_pairs[pair_places(item[:-1], item[1:], 16)])
+        self.seen_pairs[there] = False
+        return bool(shared >= len(item) - 1 - 2 * edits)
+
+
 def _judged(texts: pa.Array, matcher: Matcher) -> Iterator[list[tuple[int, int, int, int]]]:
     """Matches of each text, in order; short texts are probed together."""
     held, n = [], 0

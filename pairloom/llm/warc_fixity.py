@@ -263,8 +263,9 @@ def op4_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def verdicts(leaf: DataFrame, found: DataFrame) -> DataFrame:
     """page_id, shard, offset, length, sha256, status: a row for each record of the first copy, and for each that only the replica has (added)."""
-    bad = found.select("shard", "seq", F.struct("id", "offset", "length", "sha256_a", "sha256_b").alias("__bad"))
-    rows = leaf.join(bad, ["shard", "seq"], "full")
-    status = F.when(F.col("__bad").isNull(), "ok").when(F.col("sha256").isNull(), "added").when(F.col("__bad.sha256_b").isNull(), "missing").otherwise("damaged")
-    either = lambda c: F.coalesce(F.col(c), F.col(f"__bad.{c}")).alias(c)
-    return rows.select(either("id").alias("page_id"), "shard", either("offset"), either("length"), F.coalesce("sha256", "__bad.sha256_b").alias("sha256"), status.alias("status"))
+    status = F.when(F.col("__bad").isNull(), "ok").when(F.col("sha256_b").isNull(), "missing").otherwise("damaged")
+    rows = leaf.join(found.select("shard", "seq", "sha256_b", F.lit(True).alias("__bad")), ["shard", "seq"], "left")
+    rows = rows.select(F.col("id").alias("page_id"), "shard", "offset", "length", "sha256", status.alias("status"))
+    # what only the replica has is in no index, so it has no place in the first copy
+    added = found.where("offset IS NULL").select(F.col("id").alias("page_id"), "shard", "offset", "length", F.col("sha256_b").alias("sha256"), F.lit("added").alias("status"))
+    return rows.unionByName(added)

@@ -157,6 +157,7 @@ def test_query(spark):
 
 def test_near_copies_of_a_long_item_are_found():
     rng = random.Random(11)
+    kept = 0
     item = [f"w{i}" for i in range(800)]
     m = decontaminate.Matcher(decontaminate.Block([(0, " ".join(item))], 0.2, 0.99, 7))
     found = 0
@@ -175,3 +176,36 @@ def test_words_of_a_text_are_those_of_its_words():
     every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
     for text in ("", " . ", "A-b c_d\x1cE\x00f g", "ΟΔΟΣ ΑΣ. İx “q”", every, *("Ab" + c + "ΑΣ " + c + " ΟΣ" + c for c in every[::97])):
         assert decontaminate.bare_words(text) == decontaminate.item_words(text)
+
+
+def test_pair_filter_loses_no_close_passage():
+    """Every passage within the edits passes the counts of words and pairs at its own start."""
+    rng = random.Random(11)
+    kept = 0
+    vocabulary = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([5, 9, 14, 23, 40, 90])))) for i in range(60)]
+    block = decontaminate.Block(items, 0.2, 0.99, 7)
+    matcher = decontaminate.Matcher(block)
+    sizes = [m for m in block.parts if m - 1 - 2 * (m - block.least[m]) > 0]
+    assert sizes
+    for _ in range(400):
+        size = rng.choice(sizes)
+        i, offset = rng.choice(block.parts[size])
+        x = block.words[i][offset : offset + size].tolist()
+        for _ in range(size - block.least[size]):
+            at, kind = rng.randrange(len(x) + 1), rng.randrange(3)
+            if kind == 0:
+                x.insert(at, 0)
+            elif kind == 1 and x:
+                x.pop(min(at, len(x) - 1))
+            elif x:
+                x[min(at, len(x) - 1)] = rng.choice([0, 1, 2])
+        before, after = rng.randrange(30), rng.randrange(30)
+        text = np.array([0] * before + x + [rng.randrange(60) for _ in range(after)] + [0])
+        ends = np.full(len(text), len(text))
+        found = matcher.starts(text, matcher.pair_sizes(text), ends, size)
+        assert before in found
+        kept += len(found) / len(text)
+        lo = max(0, before - 3)
+        assert matcher._may_hold(block.words[i], block.edits[i] + size, text[lo:])
+    assert kept < 200  # of 400: most other windows are passed over
