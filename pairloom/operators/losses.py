@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .momentum import momentum
+from .momentum import momentum, momentum_accuracy  # noqa: F401
 from .ordinal import seeded_int
 from .vectors import dot, normalize
 
