@@ -8,16 +8,20 @@ runs about the middle symbol, and lag-1 serial correlation. The smallest of the
 p-values, times three, is a token's p-value. Benjamini-Hochberg at level ``q`` within
 each band of encoding and length (powers of two) then tells structured tokens from
 random ones, so that a short token, for which the tests have little power, is judged
-against its own kind. What is not rejected as structured is reported.
+against its own kind. What is rejected is not reported.
 
-So the null hypothesis is "random", and the level bounds the random tokens that are called
-structured, that is, missed. The share of structured tokens among the reported ones has no
-such bound: it is what the tests cannot tell from random, and falls with length. The tests
-measure it on words run together (``test_share_of_false_reports``): README has the figures.
+That bounds the random tokens that are missed. False reports are bounded by decoys: for each
+token of a document one of the same length is cut from its words run together (in lower
+case, capitals, with ``_`` or with numbers), which is what structured tokens look like. At a
+p-value a band's share of false reports is estimated as that of the decoys that reach it,
+of the style of which most do, times the share of tokens that are structured (judged by
+those at p-values where random ones are rare), over that of tokens that reach it. A band reports no more than the
+p-values at which the estimate is ``q`` at most; a band in which structured tokens pass for
+random reports fewer tokens or none.
 
 The band's cut is found from a histogram of p-values over all rows (``BINS`` bins by
 log p, upper edges, so never more rejections than the exact procedure); per band one
-number goes to the driver. Each document is then scanned on its own: no shuffle of
+histogram goes to the driver. Each document is then scanned on its own: no shuffle of
 texts, no join.
 
 Defined results: a null or empty text has no spans (counts 0, SHA-256 of the empty
@@ -41,11 +45,17 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = r"AKIA[A-Z0-9]{12,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
 TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?:=++(?![A-Za-z0-9+/_-]))?"
+#: ways to run words together
+STYLES = 4
+#: a plain word, no part of a token
+WORD = r"(?<![A-Za-z0-9+/_=-])([A-Za-z]{2,15})(?![A-Za-z0-9+/_=-])"
 KINDS = ("assign", "access", "hex", "random")
 #: matches whose positions are added up in one array
 RUN = 128
 BINS = 400
 BINS_PER_DECADE = 20
+#: bins from here on (p under 0.01) hold one random token in a hundred
+RARE = 2 * BINS_PER_DECADE
 
 DIGITS, UPPER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -165,31 +175,92 @@ def tested(text: Column) -> Column:
     return F.when(text.rlike(TOKEN), battery(located(text, TOKEN))).otherwise(none)
 
 
-def rejection_cuts(docs: DataFrame, text_col: str = "text", q: float = 0.05) -> dict[str, int]:
-    """For each band the smallest bin that is rejected as structured, over all rows.
+def style(text: Column) -> Column:
+    """The way in which the text's words are run together."""
+    return F.pmod(F.xxhash64(text), F.lit(STYLES)).cast("int")
+
+
+def decoys(text: Column) -> Column:
+    """As ``tested``, of words run together: as many tokens, of the same lengths. A text without words has none."""
+    none = F.array().cast("array<struct<start:int,end:int,band:string,bin:int>>")
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(1))
+    way = style(text)
+    capital = lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substring(w, 2, 15)))
+    joined = (
+        F.when(way == 0, F.array_join(F.transform(words, F.lower), "")).when(way == 1, F.array_join(F.transform(words, capital), ""))
+        .when(way == 2, F.array_join(words, "_")).otherwise(F.array_join(F.transform(words, lambda w, i: F.concat(F.lower(w), (i * 37 % 100).cast("string"))), ""))
+    )
+
+    def cut(pool: Column, s: Column, i: Column) -> Column:
+        n = F.length(s["tok"])
+        long = F.when(F.length(pool) < n, F.repeat(pool, F.ceil(n / F.length(pool)).cast("int"))).otherwise(pool)
+        at = F.pmod(F.xxhash64(s["tok"], i), F.length(long) - n + 1) + 1
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substring(long, at.cast("int"), n).alias("tok"))
+
+    held = F.transform(F.array(F.struct(joined.alias("pool"), located(text, TOKEN).alias("found"))), lambda x: F.transform(x["found"], lambda s, i: cut(x["pool"], s, i)))[0]
+    return F.when(text.rlike(TOKEN) & text.rlike(WORD), battery(held)).otherwise(none)
+
+
+def histograms(docs: DataFrame, text_col: str = "text") -> list[dict[str, dict[int, int]]]:
+    """Numbers of tokens, and of the decoys of each style, by band and bin, over all rows.
 
     A band's tokens number at most those of the corpus, but only one row for each band
-    and bin (at most 4 x 32 x 401) reaches the driver.
+    and bin (at most 5 x 4 x 32 x 401) reaches the driver.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.explode(tested(text)).alias("t")).groupBy("t.band", "t.bin").count().collect()
-    bands: dict[str, dict[int, int]] = {}
-    for band, b, n in rows:
-        bands.setdefault(band, {})[b] = n
-    cuts = {}
-    for band, bins in bands.items():
-        m, seen = sum(bins.values()), 0
-        cuts[band] = BINS + 1
-        for b in sorted(bins, reverse=True):
-            seen += bins[b]
-            if 10 ** (-b / BINS_PER_DECADE) <= seen * q / m:
-                cuts[band] = b
-    return cuts
+    of = lambda kind, found: F.transform(found, lambda t: F.struct(kind.alias("kind"), t["band"].alias("band"), t["bin"].alias("bin")))
+    rows = docs.select(F.explode(F.concat(of(F.lit(0), tested(text)), of(style(text) + 1, decoys(text)))).alias("t")).groupBy("t.kind", "t.band", "t.bin").count().collect()
+    out: list[dict[str, dict[int, int]]] = [{} for _ in range(STYLES + 1)]
+    for kind, band, b, n in rows:
+        out[kind].setdefault(band, {})[b] = n
+    return out
+
+
+def _structured(bins: dict[int, int], q: float) -> int:
+    """The smallest bin that Benjamini-Hochberg rejects as structured."""
+    m, seen, cut = sum(bins.values()), 0, BINS + 1
+    for b in sorted(bins, reverse=True):
+        seen += bins[b]
+        if 10 ** (-b / BINS_PER_DECADE) <= seen * q / m:
+            cut = b
+    return cut
+
+
+def _trusted(bins: dict[int, int], false: list[dict[int, int]], q: float) -> int:
+    """The largest bin under which the estimated share of false reports is ``q`` at most; ``false``: decoys by style."""
+    false = [f for f in false if f]
+    if not false:
+        return BINS + 1
+    counts = [sum(f.values()) for f in false]
+    total = sum(bins.values())
+    low = lambda x, n: sum(c for b, c in x.items() if b >= RARE) / n
+    # the share of tokens that are structured: all, where the decoys of some style are not rare enough to tell
+    rare = min(low(f, n) for f, n in zip(false, counts, strict=True))
+    share = min(1.0, low(bins, total) / rare) if rare else 1.0
+    cut = tokens = 0
+    wrong = [0] * len(false)
+    for b in range(BINS + 1):
+        tokens += bins.get(b, 0)
+        wrong = [w + f.get(b, 0) for w, f in zip(wrong, false, strict=True)]
+        if share * max(w / n for w, n in zip(wrong, counts, strict=True)) <= q * tokens / total:
+            cut = b + 1
+    return cut
+
+
+def rejection_cuts(docs: DataFrame, text_col: str = "text", q: float = 0.05) -> dict[str, int]:
+    """For each band the smallest bin that is rejected as structured, over all rows."""
+    return {band: _structured(bins, q) for band, bins in histograms(docs, text_col)[0].items()}
+
+
+def report_cuts(docs: DataFrame, text_col: str = "text", q: float = 0.05) -> dict[str, int]:
+    """For each band the smallest bin that is not reported: rejected, or beyond what its decoys allow."""
+    tokens, *false = histograms(docs, text_col)
+    return {band: min(_structured(bins, q), _trusted(bins, [f.get(band, {}) for f in false], q)) for band, bins in tokens.items()}
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: float = 0.05) -> DataFrame:
     """One row per input row: id, array<struct<start, kind, end>> base and random."""
-    cuts = rejection_cuts(docs, text_col, q)
+    cuts = report_cuts(docs, text_col, q)
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = base_spans(text)
     limit = F.map_from_arrays(F.array(*map(F.lit, cuts)), F.array(*map(F.lit, cuts.values()))) if cuts else F.lit(None).cast("map<string,int>")

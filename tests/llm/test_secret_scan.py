@@ -181,3 +181,50 @@ def test_a_very_long_token_and_many_matches(spark):
     assert time.perf_counter() - began < 90
     assert [(s.start, s.kind, s.end) for s in got[2].base] == base(many)
     assert len(got[1].base) == len(base(f"data:{token}"))
+
+
+def structured(rng, length):
+    words = ["user", "account", "information", "service", "request", "handler", "default", "value", "config", "update", "session", "manager", "get", "by", "id", "list", "order", "item", "total", "price"]
+    style, s = rng.randrange(4), ""
+    while len(s) < length:
+        w = rng.choice(words)
+        s += [w, w.title(), w + "_", w + str(rng.randrange(100))][style]
+    return s[:length]
+
+
+@pytest.mark.parametrize("secrets", [0.1, 0.5])
+def test_decoys_bound_false_reports(spark, secrets):
+    """Identifiers among secrets: the share of identifiers among what is reported is about the level at most."""
+    rng = random.Random(8)
+    prose = "the river runs along a quick morning letter while people open windows over gardens and silver houses wait under old trees near stations".split()
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    rows, truth = [], {}
+    for i in range(1800):
+        n = rng.choice([20, 24, 28, 40, 48, 60, 90])
+        truth[i] = (rng.random() < secrets, n)
+        token = "".join(rng.choice(b64) for _ in range(n)) if truth[i][0] else structured(rng, n)
+        words = [rng.choice(prose) for _ in range(30)]
+        words.insert(rng.randrange(30), token)
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hit = {r.doc_id for r in secret_scan.scan(df).where("size(random) > 0").collect()}
+    shares = {}
+    for least, most in ((20, 31), (32, 63), (64, 127)):
+        reported = [i for i in hit if least <= truth[i][1] <= most]
+        found = sum(truth[i][0] for i in reported) / sum(t for t, n in truth.values() if least <= n <= most)
+        shares[least] = (len(reported), round(1 - sum(truth[i][0] for i in reported) / max(1, len(reported)), 3), round(found, 3))
+    print(secrets, shares)
+    assert all(share <= 0.1 for n, share, _ in shares.values() if n), shares
+    assert secrets < 0.5 or shares[20][2] >= 0.2, shares
+    assert shares[32][2] >= 0.8 and shares[64][2] >= 0.9, shares
+
+
+def test_cuts_by_decoys():
+    cut = secret_scan._trusted
+    assert cut({0: 50, 60: 50}, [], 0.05) == cut({0: 50, 60: 50}, [{}, {}], 0.05) == secret_scan.BINS + 1
+    # half are structured; a tenth of the decoys pass with the random ones
+    assert cut({0: 50, 60: 50}, [{0: 10, 60: 90}], 0.05) == 0
+    assert cut({0: 90, 60: 10}, [{0: 10, 60: 90}], 0.05) > 1
+    assert cut({0: 50, 10: 5, 60: 50}, [{10: 20, 60: 80}], 0.05) == 10
+    # the style that passes most often counts
+    assert cut({0: 90, 60: 10}, [{60: 100}, {0: 60, 60: 40}], 0.05) == 0
