@@ -8,7 +8,7 @@ for. Only half keys that two documents share can form a shared pair key; the oth
 dropped before keys are paired.
 
 A bucket is never expanded into pairs. In each of a few rounds every bucket that holds
-several components has a head (the first row, then by hash), against which its members
+several components has a head (the row in most buckets, then by hash), against which its members
 of other components are verified (full sets, exact); what links is merged. A link that
 is then still missing joins two members x, y of one bucket of which x, say, is in another
 component than the bucket's smallest set b, so J(x, b) < t. As b is no larger than x and
@@ -249,6 +249,9 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, shingle: int, threshol
     several = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     members = tmp.save(keyed.join(several, "key", "left_semi"), "members")
     tmp.drop("keyed")
+    # those in most buckets go first as heads: what a group's texts were made from is in most of the group's buckets
+    degree = members.groupBy("rep").agg((-F.count(F.lit(1))).alias("rank"))
+    members = tmp.save(members.join(degree, "rep"), "ranked")
 
     # a text of each class that shares a bucket, found by its key; copies are merged before they move
     wanted = classes.select("rep", "text_key").join(members.select("rep").distinct(), "rep", "left_semi")
@@ -260,7 +263,7 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, shingle: int, threshol
 
     found = members.select(F.col("rep").alias("row"), F.col("rep").alias("component")).distinct()
     for step in range(ROUNDS):
-        head = F.min(F.struct(F.lit(0) if not step else F.xxhash64("rep", F.lit(step)), "rep"))
+        head = F.min(F.struct(F.col("rank") if not step else F.xxhash64("rep", F.lit(step)), "rep"))
         pairs = tmp.save(_against_heads(members, found, head).where("comp <> head_comp").select("a", "b").distinct(), f"round-{step}")
         links = close(verified(pairs, texts, shingle))
         found = _merged(found, links, tmp, str(step))
