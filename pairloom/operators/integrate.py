@@ -25,14 +25,17 @@ def distinct_stats(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def first_match_join(left: DataFrame, right: DataFrame, key: str, right_order: str) -> DataFrame:
+def first_match_join(left: DataFrame, right: DataFrame, key: str, right_order: str, *ties: str) -> DataFrame:
     """Inner join N:1: each left row meets the first right row of its key.
 
-    The right side is reduced by an aggregate (partial sums before the shuffle), so a hot
-    key costs one right row; the join side is left to the optimizer.
+    Nulls of ``right_order`` come last. Rows that are equal in it are in the order of ``ties``,
+    which are not returned, or without them of the other columns. The right side is reduced
+    by an aggregate (partial sums before the shuffle), so a hot key costs one right row; the
+    join side is left to the optimizer.
     """
-    others = [c for c in right.columns if c != key]
-    first = right.groupBy(key).agg(F.min_by(F.struct(*others), F.col(right_order)).alias("__r"))
+    others = [c for c in right.columns if c not in (key, *ties)]
+    order = F.struct(F.col(right_order).isNull(), right_order, *(ties or others))
+    first = right.groupBy(key).agg(F.min_by(F.struct(*others), order).alias("__r"))
     return left.join(first.select(key, "__r.*"), key)
 
 

@@ -19,6 +19,10 @@ from ..sources import files
 from ..streaming import ingest
 
 
+#: a row's place in its table's files: of rows that an order leaves equal the first one counts
+_PLACE = ("_metadata.file_path", "_metadata.row_index")
+
+
 def dedup_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrate.keep_first(table(spark, sf_dir, "documents"), "text", "doc_id").select("doc_id", "lang", "source")
 
@@ -30,15 +34,15 @@ def distinct_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merge_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line item with the first order of its key."""
     left = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), "l_linenumber", "l_quantity")
-    right = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), "o_custkey", "o_totalprice")
-    return integrate.first_match_join(left, right, "key", "o_totalprice")
+    right = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), "o_custkey", "o_totalprice", *_PLACE)
+    return integrate.first_match_join(left, right, "key", "o_totalprice", "file_path", "row_index")
 
 
 def merge_first_match_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every part with the first of its many line items: the right side repeats keys."""
     left = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), "p_name")
-    right = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("key"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ord"), "l_suppkey")
-    return integrate.first_match_join(left, right, "key", "ord")
+    right = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("key"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ord"), "l_suppkey", *_PLACE)
+    return integrate.first_match_join(left, right, "key", "ord", "file_path", "row_index")
 
 
 def common_keys(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pairloom import schemas
 from pairloom.operators import integrate, losses, metrics, mining, vectors
 from pairloom.operators.ordinal import with_ordinal
+from pairloom.plans import corpus_queries
 from pairloom.sources import files
 from pairloom.streaming import ingest
 
@@ -20,6 +21,21 @@ def test_first_match(spark):
     assert sorted((r.opti, r.src) for r in got) == [("O0", "first"), ("O1", "first"), ("O2", "first")]
 
 
+def test_first_match_of_equal_rows(spark, tmp_path):
+    rows = [(1, 1, 1, n) for n in range(40, 0, -1)] + [(2, 1, 2, 7)]
+    lines = spark.createDataFrame(rows, "l_partkey long, l_orderkey long, l_linenumber int, l_suppkey long")
+    lines.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, "a"), (2, "b")], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    # in whatever order rows arrive, the first in the file is taken
+    assert sorted((r.key, r.l_suppkey) for r in corpus_queries.merge_first_match_many(spark, str(tmp_path)).collect()) == [(1, 40), (2, 7)]
+    left = spark.createDataFrame([("k",), ("n",)], "key string")
+    right = spark.createDataFrame([("k", 1, "b", 2), ("k", 1, "a", 3), ("k", None, "0", 0), ("n", None, "z", 1)], "key string, ord int, src string, at int")
+    for parts in (1, 3):
+        given = right.repartition(parts, "at")
+        assert sorted((r.key, r.src) for r in integrate.first_match_join(left, given, "key", "ord", "at").collect()) == [("k", "b"), ("n", "z")]
+        assert sorted((r.key, r.src) for r in integrate.first_match_join(left, given.drop("at"), "key", "ord").collect()) == [("k", "a"), ("n", "z")]
+
+
 def test_keep_first_with_nulls(spark):
     df = spark.createDataFrame([("a", 2), ("a", 1), (None, 4), (None, 3)], "k string, o int")
     assert sorted(r.o for r in integrate.keep_first(df, "k", "o").collect()) == [1, 3]
