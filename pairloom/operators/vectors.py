@@ -7,11 +7,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: rows of a block; a block of 64-d vectors is 1 MB
+from .cells import matrix, meet
+
+#: keys that are multiplied at a time
 BLOCK = 2048
+#: numbers of the queries that a task holds, and of a matrix of similarities (16 and 8 MB)
+HELD = 1 << 21
+SLICE = 1 << 20
+#: pairs of rows for which a further cell is made
+CELL = 1 << 25
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -91,42 +99,113 @@ def hashed_embedding(text: Column, dim: int = 64) -> Column:
     return let(let(places, count), normalize)
 
 
-def to_blocks(df: DataFrame, id_col: str, vector: str, size: int = BLOCK) -> DataFrame:
-    """Rows (block, ids, matrix): unit vectors as doubles, ``size`` rows at most to a block."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), size):
-                part = pdf.iloc[at : at + size]
-                m = np.stack(part["v"].to_numpy()).astype(float)
-                m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-                yield pd.DataFrame({"ids": [part["id"].to_numpy().astype("<i8").tobytes()], "m": [m.tobytes()], "dim": [m.shape[1]]})
-
-    rows = df.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"))
-    return rows.mapInPandas(run, "ids binary, m binary, dim int")
-
-
-def block_pairs(queries: DataFrame, keys: DataFrame) -> DataFrame:
-    """Each query block with each key block.
+def grid(queries: DataFrame, keys: DataFrame, counted: DataFrame | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """Queries and keys (n, v, ...) with the cells in which each query meets each key once, and the number of cells.
 
-    Query blocks are dealt to the rows of a square grid and key blocks to its columns; a
-    block is copied along its row or column. The equi-join on the cell spreads the work
-    over as many cells as there are shuffle partitions, with the square root of that many
-    copies of a block; only blocks are paired, not rows.
+    Queries are dealt to the rows of a grid and keys to its columns; each is copied along its
+    row or column. There are as many cells as the work asks for, shuffle partitions at most, but
+    always so many rows that a task holds about ``HELD`` numbers of queries. ``counted`` has the
+    same number of rows as ``queries`` at least and is cheaper to count.
     """
-    side = math.isqrt(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1) + 1
-    own = F.pmod(F.xxhash64("ids"), F.lit(side)).cast("int")
-    along = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
-    q = queries.select(own.alias("row"), along.alias("column"), F.col("ids").alias("q_ids"), F.col("m").alias("q_m"), "dim")
-    k = keys.select(own.alias("column"), along.alias("row"), F.col("ids").alias("k_ids"), F.col("m").alias("k_m"))
-    return q.join(k, ["row", "column"])
-
-
-def _matrices(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    for r in pdf.itertuples():
-        q = np.frombuffer(r.q_m).reshape(-1, r.dim)
-        k = np.frombuffer(r.k_m).reshape(-1, r.dim)
-        yield np.frombuffer(r.q_ids, "<i8"), np.frombuffer(r.k_ids, "<i8"), np.round(q @ k.T, 6)
+    asked, dim = (counted or queries).agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    side = min(math.isqrt(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1) + 1, math.ceil(math.sqrt(asked * keys.count() / CELL)))
+    rows = max(1, side, math.ceil(asked * (dim or 1) / HELD))
+    columns = max(1, math.ceil(side * side / rows))
+    own = lambda n: F.pmod(F.xxhash64("n", "v"), F.lit(n))
+    along = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.withColumn("at", along(columns)).withColumn("cell", own(rows) * columns + F.col("at")).drop("at")
+    k = keys.withColumn("at", along(rows)).withColumn("cell", F.col("at") * columns + own(columns)).drop("at")
+    return q, k, rows * columns
+
+
+def _units(column: pa.Array) -> np.ndarray:
+    m = matrix(column)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+
+
+def _slices(rows: int, columns: int) -> Iterator[slice]:
+    """Rows so many at a time that a matrix with these columns has ``SLICE`` numbers."""
+    step = max(1, SLICE // max(1, columns))
+    return (slice(at, at + step) for at in range(0, rows, step))
+
+
+class _Nearest:
+    """The k best keys of held queries, by cosine to 6 digits, then by id."""
+
+    def __init__(self, held: pa.Table, k: int, exclude_self: bool, centres: np.ndarray | None, probes: int):
+        self.k, self.exclude_self, self.centres = k, exclude_self, centres
+        self.ids, self.m = held["n"].to_numpy(), _units(held["v"].combine_chunks())
+        self.sim = np.full((len(self.ids), k), -np.inf)
+        self.key = np.full((len(self.ids), k), np.iinfo(np.int64).max)
+        if centres is not None:
+            self.looks = np.zeros((len(self.ids), len(centres)), bool)
+            for some in _slices(len(self.ids), len(centres)):
+                near = np.argsort(-np.round(self.m[some] @ centres.T, 9), axis=1, kind="stable")[:, :probes]
+                np.put_along_axis(self.looks[some], near, True, 1)
+
+    def meet(self, passing: pa.RecordBatch) -> None:
+        ids, m = passing.column("n").to_numpy(), _units(passing.column("v"))
+        if self.centres is None:
+            for at in range(0, len(ids), BLOCK):
+                self._offer(np.arange(len(self.ids)), ids[at : at + BLOCK], m[at : at + BLOCK])
+            return
+        home = np.round(m @ self.centres.T, 9).argmax(1)
+        for listed in np.unique(home):
+            of_list, rows = np.flatnonzero(home == listed), np.flatnonzero(self.looks[:, listed])
+            for at in range(0, len(of_list), BLOCK):
+                some = of_list[at : at + BLOCK]
+                self._offer(rows, ids[some], m[some])
+
+    def _offer(self, rows: np.ndarray, ids: np.ndarray, m: np.ndarray) -> None:
+        for part in _slices(len(rows), len(ids)):
+            some = rows[part]
+            sim = self.m[some] @ m.T
+            if self.exclude_self:
+                sim[self.ids[some][:, None] == ids[None]] = -np.inf
+            # no number that rounds to the least of the best, or more, is below this
+            bar = self.sim[some, -1] - 1e-6
+            if len(ids) > self.k and np.count_nonzero(sim >= bar[:, None]) > 8 * self.k * len(some):
+                sim[np.isnan(sim)] = -np.inf
+                bar = np.maximum(bar, np.partition(sim, -self.k, axis=1)[:, -self.k] - 2e-6)
+            row, column = np.nonzero(sim >= bar[:, None])
+            if not len(row):
+                continue
+            better = np.unique(row)
+            of = np.concatenate([np.repeat(better, self.k), row])
+            value = np.concatenate([self.sim[some[better]].ravel(), np.round(sim[row, column], 6)])
+            key = np.concatenate([self.key[some[better]].ravel(), ids[column]])
+            by = np.lexsort((key, -value, of))
+            best = by[np.searchsorted(of[by], better)[:, None] + np.arange(self.k)]
+            self.sim[some[better]], self.key[some[better]] = value[best], key[best]
+
+    def found(self) -> pa.RecordBatch:
+        row, column = np.nonzero(self.sim > -np.inf)
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[row]), pa.array(self.key[row, column]), pa.array(self.sim[row, column])], ["q", "k", "sim"])
+
+
+class _Ahead:
+    """How many keys are ahead of held queries' true keys (t, own: its cosine to 6 digits)."""
+
+    def __init__(self, held: pa.Table):
+        self.ids, self.t, self.own = (held[c].to_numpy() for c in ("n", "t", "own"))
+        self.m = _units(held["v"].combine_chunks())
+        self.n = np.zeros(len(self.ids), np.int64)
+
+    def meet(self, passing: pa.RecordBatch) -> None:
+        every, m = passing.column("n").to_numpy(), _units(passing.column("v"))
+        for at in range(0, len(every), BLOCK):
+            ids = every[at : at + BLOCK]
+            for some in _slices(len(self.ids), len(ids)):
+                sim, own = self.m[some] @ m[at : at + BLOCK].T, self.own[some, None]
+                # only numbers next to the own one have to be rounded
+                clear = sim > own + 1e-6
+                row, column = np.nonzero((sim >= own - 1e-6) & ~clear)
+                value = np.round(sim[row, column], 6)
+                ahead = (value > own[row, 0]) | ((value == own[row, 0]) & (ids[column] < self.t[some][row]))
+                self.n[some] += clear.sum(1) + np.bincount(row[ahead], minlength=len(sim))
+
+    def found(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.ids), pa.array(self.n)], ["q", "n"])
 
 
 def best_of_rows(sim: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,26 +222,22 @@ def best_of_rows(sim: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray
     return row[among], column[among]
 
 
+def _numbered(df: DataFrame, id_col: str, vector: str) -> DataFrame:
+    return df.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("n"), F.col(vector).alias("v"))
+
+
 def top_k(queries: DataFrame, keys: DataFrame, k: int, q_id: str, k_id: str, vector: str, exclude_self: bool = False) -> DataFrame:
     """Exact cosine top-k: q_id, k_id, sim, rank; ties go to the smaller key id.
 
-    A pair of blocks yields k candidates a query; the final window sees k rows a block.
+    A cell of the grid yields k candidates a query; the final window sees k rows a column.
     """
-    return _ranked(block_pairs(to_blocks(queries, q_id, vector), to_blocks(keys, k_id, vector)), k, exclude_self)
+    return _ranked(_numbered(queries, q_id, vector), _numbered(keys, k_id, vector), k, exclude_self)
 
 
-def _ranked(paired: DataFrame, k: int, exclude_self: bool) -> DataFrame:
-    """The best k keys of each query over pairs of blocks."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for qi, ki, sim in _matrices(pdf):
-                if exclude_self:
-                    sim = np.where(qi[:, None] == ki[None], -np.inf, sim)
-                row, column = best_of_rows(sim, ki, k)
-                yield pd.DataFrame({"q": qi[row], "k": ki[column], "sim": sim[row, column]})
-
-    found = paired.mapInPandas(run, "q long, k long, sim double")
+def _ranked(queries: DataFrame, keys: DataFrame, k: int, exclude_self: bool, centres: np.ndarray | None = None, probes: int = 0) -> DataFrame:
+    """The best k keys of each query, with ``centres`` among those in its ``probes`` nearest lists."""
+    q, keyed, cells = grid(queries, keys)
+    found = meet(q, keyed, cells, lambda held: _Nearest(held, k, exclude_self, centres, probes), "q long, k long, sim double")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "k"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias("q_id"), F.col("k").alias("k_id"), "sim", "rank")
 
@@ -206,48 +281,25 @@ def fit_probes(x: np.ndarray, centres: np.ndarray, k: int, recall: float, asked:
     return int(needed[int(np.ceil(recall * len(needed))) - 1]) + 1 if len(needed) else len(centres)
 
 
-def _listed(df: DataFrame, id_col: str, vector: str, centres: np.ndarray, probes: int, size: int = BLOCK) -> DataFrame:
-    """Blocks (list, ids, m, dim) of the rows in each row's ``probes`` nearest lists."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            m, ids = np.stack(pdf["v"].to_numpy()).astype(float), pdf["id"].to_numpy().astype("<i8")
-            m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-            near = np.argsort(-np.round(m @ centres.T, 9), axis=1, kind="stable")[:, :probes]
-            row, listed = np.repeat(np.arange(len(m)), near.shape[1]), near.ravel()
-            order = np.argsort(listed, kind="stable")
-            for part in np.split(order, np.flatnonzero(np.diff(listed[order])) + 1):
-                for at in range(0, len(part), size):
-                    some = row[part[at : at + size]]
-                    yield pd.DataFrame({"list": [int(listed[part[0]])], "ids": [ids[some].tobytes()], "m": [m[some].tobytes()], "dim": [m.shape[1]]})
-
-    rows = df.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"))
-    return rows.mapInPandas(run, "list int, ids binary, m binary, dim int")
-
-
-def ann_top_k(queries: DataFrame, keys: DataFrame, k: int, q_id: str, k_id: str, vector: str, lists: int = 128, probes: int | None = None, pieces: int = 8, exclude_self: bool = False, recall: float = 0.95) -> DataFrame:
+def ann_top_k(queries: DataFrame, keys: DataFrame, k: int, q_id: str, k_id: str, vector: str, lists: int = 128, probes: int | None = None, exclude_self: bool = False, recall: float = 0.95) -> DataFrame:
     """Approximate cosine top-k by an inverted file: q_id, k_id, sim, rank.
 
     Every key is in its nearest list; a query looks into its ``probes`` nearest ones, or, if
     that is None, into as many as a sample needs for ``recall`` (an estimate: neighbours in a
     sample are not those among all keys; ``VectorStore`` tunes on all rows). With as many probes as
-    lists the result is exact. Key blocks of a list are dealt to
-    ``pieces`` cells, so a list that holds much of the keys is no single task. Null vectors
-    are left out; an empty table on either side gives an empty result.
+    lists the result is exact. Rows are dealt as for the exact search, not by lists: a query
+    is sent to the columns of the grid, however many lists it looks into, and a list that
+    holds much of the keys is no single task; a task scores only what its queries look into.
+    Null vectors are left out; an empty table on either side gives an empty result.
     """
     sample = unit_sample(keys, vector)
     centres = fit_centroids(sample, lists)
+    q, keyed = _numbered(queries, q_id, vector), _numbered(keys, k_id, vector)
     if not len(centres):
-        return _ranked(block_pairs(to_blocks(queries, q_id, vector), to_blocks(keys, k_id, vector)), k, exclude_self)
+        return _ranked(q, keyed, k, exclude_self)
     if probes is None:
         probes = fit_probes(sample, centres, k, recall)
-    piece = F.explode(F.sequence(F.lit(0), F.lit(pieces - 1)))
-    q = _listed(queries, q_id, vector, centres, probes).select("list", piece.alias("piece"), F.col("ids").alias("q_ids"), F.col("m").alias("q_m"), "dim")
-    own = F.pmod(F.xxhash64("ids"), F.lit(pieces)).cast("int")
-    kb = _listed(keys, k_id, vector, centres, 1).select("list", own.alias("piece"), F.col("ids").alias("k_ids"), F.col("m").alias("k_m"))
-    return _ranked(q.join(kb, ["list", "piece"]), k, exclude_self)
+    return _ranked(q, keyed, k, exclude_self, centres, probes)
 
 
 def score_of_distance(distance: Column) -> Column:
@@ -265,30 +317,18 @@ def most_similar(queries: DataFrame, candidates: DataFrame, q_id: str, c_id: str
 def target_ranks(queries: DataFrame, keys: DataFrame, pairs: DataFrame, q_id: str, k_id: str, vector: str) -> DataFrame:
     """1-based rank of each query's true key among all keys: q_id, rank (ties: smaller key id first).
 
-    ``pairs``: q_id, k_id. A pair of blocks yields one count a query; no pair of rows is emitted.
+    ``pairs``: q_id, k_id. A cell of the grid yields one count a query; no pair of rows is emitted.
     """
     q = queries.select(F.col(q_id).alias("q"), F.col(vector).alias("qv")).join(pairs.select(F.col("q_id").alias("q"), F.col("k_id").alias("t")), "q")
     t = keys.select(F.col(k_id).alias("t"), F.col(vector).alias("tv"))
-    both = q.join(t, "t").select("q", "t", "qv", "tv")
-
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), BLOCK):
-                p = pdf.iloc[at : at + BLOCK]
-                m, own = (np.stack(p[c].to_numpy()).astype(float) for c in ("qv", "tv"))
-                m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-                own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
-                ids = np.concatenate([p["q"].to_numpy().astype("<i8"), p["t"].to_numpy().astype("<i8"), np.round((m * own).sum(1), 6).view("<i8")])
-                yield pd.DataFrame({"ids": [ids.tobytes()], "m": [m.tobytes()], "dim": [m.shape[1]]})
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for ids, ki, sim in _matrices(pdf):
-                qi, ti, own = ids.reshape(3, -1)
-                own = own.view(float)[:, None]
-                ahead = (sim > own) | ((sim == own) & (ki[None] < ti[:, None]))
-                yield pd.DataFrame({"q": qi, "n": ahead.sum(1)})
-
-    q_blocks = both.mapInPandas(blocks, "ids binary, m binary, dim int")
-    counts = block_pairs(q_blocks, to_blocks(keys, k_id, vector)).mapInPandas(count, "q long, n long")
+    both = q.join(t, "t").where("qv IS NOT NULL AND tv IS NOT NULL").select(F.col("q").cast("long").alias("n"), F.col("t").cast("long").alias("t"), F.col("qv").alias("v"), "tv")
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            value = np.round((_units(b.column("v")) * _units(b.column("tv"))).sum(1), 6)
+            yield pa.RecordBatch.from_arrays([b.column("n"), b.column("t"), b.column("v"), pa.array(value)], ["n", "t", "v", "own"])
+
+    asked = both.mapInArrow(own, f"n long, t long, v {both.schema['v'].dataType.simpleString()}, own double")
+    dealt, keyed, cells = grid(asked, _numbered(keys, k_id, vector), _numbered(queries, q_id, vector))
+    counts = meet(dealt, keyed, cells, _Ahead, "q long, n long")
     return counts.groupBy(F.col("q").alias("q_id")).agg((F.sum("n") + 1).alias("rank"))
