@@ -3,7 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from pairloom.operators import vectors
+from pairloom.operators import momentum, vectors
 
 
 def table(spark, rng, n):
@@ -64,3 +64,27 @@ def test_vectors_of_different_lengths_are_an_error(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0]), (3, [1.0, 0.0, 0.0])], "id long, v array<double>")
     with pytest.raises(Exception, match="vectors of 1 to 3 numbers"):
         vectors.top_k(df.coalesce(1), df.coalesce(1), 1, "id", "id", "v").collect()
+
+
+def test_keys_of_a_queue_travel_once_for_each_block_of_rows(spark):
+    n = spark.range(40_000)
+    rows, keys = n.selectExpr("id AS i", "array(1D) AS a", "array(1D) AS s"), n.selectExpr("id AS j", "array(1D) AS ka", "array(1D) AS ks")
+    x, y, cells = momentum.dealt(rows, keys, 32, 65_536, momentum.ROWS)
+    assert x.count() == 40_000 * cells // 3 and y.count() <= 3 * 40_000
+    assert x.groupBy("cell").count().toPandas()["count"].max() <= momentum.ROWS
+
+
+def test_queue_in_shares(spark, monkeypatch):
+    for name, value in (("BLOCK", 16), ("SLICE", 8), ("CELL", 1000)):
+        monkeypatch.setattr(momentum, name, value)
+    rng = np.random.default_rng(5)
+    a, s = rng.normal(size=(2, 200, 4))
+    df = spark.createDataFrame([(i + 40, x.tolist(), y.tolist()) for i, (x, y) in enumerate(zip(a, s, strict=True))], "i long, a array<double>, s array<double>")
+    keys = df.selectExpr("i AS j", "a AS ka", "s AS ks")
+    got = {r.i: r for r in momentum.queue_terms(df, keys, 8, 0.5, 50, block=32).collect()}
+    assert set(got) == set(range(48, 240))
+    for i, r in got.items():
+        end = i // 8 * 8 - 40
+        near = slice(max(0, end - 50), end)
+        for m, z, logits in ((r.m_a2s, r.z_a2s, s[near] @ a[i - 40] / 0.5), (r.m_s2a, r.z_s2a, a[near] @ s[i - 40] / 0.5)):
+            assert (m, z) == pytest.approx((logits.max(), np.exp(logits - logits.max()).sum()), rel=1e-9)
