@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: sequence lengths of the encoders in use: training, embedding of functions, whole files
 LENGTHS = (512, 2048, 4096)
+#: rows whose tokens a worker holds at a time
+ROWS = 1024
 
 
 class Model(Protocol):
@@ -72,8 +74,8 @@ def encode(rows: DataFrame, text: str, loader: Loader, max_tokens: int = LENGTHS
     """Adds embedding (null on an error), n_tokens (those that count), truncated, and encode_error (null where all went well).
 
     A null text has no embedding and no error; an empty one is encoded as no tokens. All
-    columns of ``rows`` stay, in order, and so does the order of rows in a partition. An
-    Arrow batch is what a worker sorts at a time; ``profile`` gives the stage its executors.
+    columns of ``rows`` stay, in order, and so does the order of rows in a partition. A
+    worker sorts ``ROWS`` rows at a time; ``profile`` gives the stage its executors.
     """
     added = ["embedding", "n_tokens", "truncated", "encode_error"]
     clash = [c for c in added if c in rows.columns]
@@ -83,12 +85,15 @@ def encode(rows: DataFrame, text: str, loader: Loader, max_tokens: int = LENGTHS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(loader)
-        for b in batches:
+        for b in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             texts = b.column(names.index(text)).to_pylist()
             known = [i for i, t in enumerate(texts) if t is not None]
-            cut = [model.tokens(texts[i]) for i in known]
-            whole = [len(t) for t in cut]
-            cut = [t[:max_tokens] for t in cut]
+            cut, whole = [], []
+            for i in known:
+                # what is cut off is let go before the next text
+                tokens = model.tokens(texts[i])
+                whole.append(len(tokens))
+                cut.append(tokens[:max_tokens])
             vectors: list = [None] * len(texts)
             errors: list = [None] * len(texts)
             for group in model_batches([len(t) for t in cut], batch_tokens, batch_rows):

@@ -73,3 +73,29 @@ def test_model_batches():
 def test_profile_asks_for_accelerators(spark):
     p = encoding.accelerator_profile(8, "16g", 2)
     assert p.taskResources["gpu"].amount == 1 and p.taskResources["cpus"].amount == 4 and p.executorResources["gpu"].amount == 2
+
+
+def test_tokens_are_held_for_a_bounded_number_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(encoding, "ROWS", 20)
+
+    def load():
+        class Watched(HashedWords):
+            held = 0
+
+            def tokens(self, text):
+                self.held += 1
+                return super().tokens(text)
+
+            def encode(self, batch):
+                if self.held > 20:
+                    raise ValueError("too many texts at a time")
+                self.held -= len(batch)
+                return super().encode(batch)
+
+        return Watched(8)
+
+    rows = [(i, None if i % 9 == 0 else "a b c " * (i % 5)) for i in range(130)]
+    df = spark.createDataFrame(rows, "id long, text string").coalesce(1)
+    got = encode(df, "text", Loader("watched", load, 8), max_tokens=6).collect()
+    assert [r.id for r in got] == list(range(130)) and not any(r.encode_error for r in got)
+    assert [(r.n_tokens, r.truncated) for r in got] == [(None, None) if t is None else (min(6, len(t.split())), len(t.split()) > 6) for _, t in rows]
