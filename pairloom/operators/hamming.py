@@ -115,7 +115,9 @@ def near_classes(rows: DataFrame, id_col: str, column: str, within: int = 3) ->
 def class_pairs(rows: DataFrame, id_col: str, column: str, within: int = 3) -> DataFrame:
     """left_id, right_id, distance: classes (by their smallest ids) within the distance, the smaller id first."""
     tmp = Scratch(rows.sparkSession, "class-pairs")
-    classes = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("long").alias("h")).agg(F.min(id_col).alias("id"))
+    # written first: a condition on a fingerprint would have it computed once more
+    narrow = tmp.save(rows.select(F.col(id_col).alias("id"), F.col(column).cast("long").alias("h")), "rows")
+    classes = narrow.where("h IS NOT NULL").groupBy("h").agg(F.min("id").alias("id"))
     classes = tmp.save(classes, "classes")
     pairs = close_fingerprints(classes, "h", within)
     x = classes.select(F.col("h").alias("a"), F.col("id").alias("x"))

@@ -3,9 +3,11 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from pairloom.functions import parsing
 from pairloom.operators import hamming, losses, momentum
 
 
@@ -147,3 +149,24 @@ def test_classes_and_links(spark):
     assert {tuple(r) for r in hamming.near_classes(df, "id", "h", 1).collect()} == {(5, 3, 2), (3, 3, 2), (9, 9, 1), (1, None, 0), (7, 7, 0), (8, 8, 1)}
     assert {tuple(r) for r in hamming.class_pairs(df, "id", "h", 2).collect()} == {(3, 9, 1), (3, 8, 1), (8, 9, 2)}
     assert hamming.near_classes(df.limit(0), "id", "h").count() == hamming.class_pairs(df.limit(0), "id", "h").count() == 0
+
+
+def test_fingerprints_of_groups_of_texts():
+    rng = random.Random(4)
+    texts = ["", "a", "ab c", "abcd", None, "ééé 漢字 𝒜𝒷𝒸𝒹", "the the the the", "_-_"] + ["".join(rng.choice("ab cé漢𝒜.") for _ in range(rng.randrange(60))) for _ in range(600)]
+    got = parsing._simhash(pd.Series(texts))
+    assert [None if pd.isna(h) else int(h) for h in got] == [None if t is None else signed(parsing.simhash(t)) for t in texts]
+    wide = ["".join(map(chr, range(0x4E00, 0x9FA5))) + "".join(map(chr, range(0xAC00, 0xD7A3))) + "".join(map(chr, range(0x20000, 0x2A6D6))), "abcd"]
+    assert [int(h) for h in parsing._simhash(pd.Series(wide))] == [signed(parsing.simhash(t)) for t in wide]
+
+
+def test_class_pairs_compute_a_fingerprint_once(spark, tmp_path):
+    def note(s: pd.Series) -> pd.Series:
+        with open(f"{tmp_path}/calls", "a") as f:
+            f.write("x\n" * len(s))
+        return s
+
+    df = spark.range(50).withColumn("h", F.pandas_udf(note, "long")("id"))
+    hamming.class_pairs(df, "id", "h", 1).count()
+    with open(f"{tmp_path}/calls") as f:
+        assert len(f.readlines()) == 50
