@@ -139,9 +139,9 @@ def _hashes(shingles: set) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(b" ".join(g)) - (1 << 63) for g in shingles), np.int64, len(shingles))
 
 
-def _verify(batches: Iterator[pd.DataFrame], k: int, with_sets: bool) -> Iterator[pd.DataFrame]:
-    """Exact sizes of intersection and union for rows (a, b, text_a, text_b), and hashes of
-    the shingles that only a or only b has; rows sorted by b keep its set."""
+def _verify(batches: Iterator[pd.DataFrame], k: int, with_sets: bool, carried: list[str]) -> Iterator[pd.DataFrame]:
+    """Exact sizes of intersection and union for rows (a, b, text_a, text_b), hashes of the
+    shingles that only a or only b has, and ``carried`` columns; rows sorted by b keep its set."""
     last, kept, none = None, set(), np.zeros(0, np.int64)
     for pdf in (batch.iloc[at : at + 500] for batch in batches for at in range(0, len(batch), 500)):
         inter, union, added, missing = [], [], [], []
@@ -154,15 +154,17 @@ def _verify(batches: Iterator[pd.DataFrame], k: int, with_sets: bool) -> Iterato
             union.append(len(s) + len(kept) - n)
             added.append(_hashes(s - kept) if with_sets else none)
             missing.append(_hashes(kept - s) if with_sets else none)
-        yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "inter": inter, "uni": union, "added": added, "missing": missing})
+        yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "inter": inter, "uni": union, "added": added, "missing": missing, **{c: pdf[c] for c in carried}})
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, with_sets: bool = False) -> DataFrame:
-    """pairs (a, b) with exact inter and uni; texts: (row, text) of all rows named in pairs."""
+    """pairs (a, b, and longs that are carried along) with exact inter and uni; texts: (row, text) of all rows named in pairs."""
     a = texts.select(F.col("row").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("row").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.select("a", "b").join(a, "a").join(b, "b").sortWithinPartitions("b")
-    return both.mapInPandas(lambda it: trimmed(_verify(it, k, with_sets)), "a long, b long, inter long, uni long, added array<long>, missing array<long>")
+    carried = [c for c in pairs.columns if c not in ("a", "b")]
+    both = pairs.join(a, "a").join(b, "b").sortWithinPartitions("b")
+    schema = ", ".join(["a long, b long, inter long, uni long, added array<long>, missing array<long>", *(f"{c} long" for c in carried)])
+    return both.mapInPandas(lambda it: trimmed(_verify(it, k, with_sets, carried)), schema)
 
 
 def components(links: DataFrame, tmp: Scratch, name: str) -> DataFrame:
@@ -191,12 +193,12 @@ def components(links: DataFrame, tmp: Scratch, name: str) -> DataFrame:
 
 
 def _against_heads(members: DataFrame, comp: DataFrame, head: Column) -> DataFrame:
-    """(a, b, comp, head_comp): members a of buckets of several components, with the bucket's head b."""
+    """(a, b, h, comp, head_comp): members a of buckets of several components, with the bucket's head b; h is what chose it."""
     labels = comp.withColumnRenamed("row", "rep")
     of = members.join(labels, "rep")
     per = of.groupBy("key").agg(head.alias("h"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    heads = per.select("key", F.col("h.rep").alias("b")).join(labels.select(F.col("rep").alias("b"), F.col("component").alias("head_comp")), "b")
-    return of.join(heads, "key").where("rep <> b").select(F.col("rep").alias("a"), "b", F.col("component").alias("comp"), "head_comp")
+    heads = per.select("key", "h", F.col("h.rep").alias("b")).join(labels.select(F.col("rep").alias("b"), F.col("component").alias("head_comp")), "b")
+    return of.join(heads, "key").where("rep <> b").select(F.col("rep").alias("a"), "b", "h", F.col("component").alias("comp"), "head_comp")
 
 
 def _merged(comp: DataFrame, links: DataFrame, tmp: Scratch, name: str) -> DataFrame:
@@ -264,13 +266,14 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, shingle: int, threshol
     found = members.select(F.col("rep").alias("row"), F.col("rep").alias("component")).distinct()
     for step in range(ROUNDS):
         head = F.min(F.struct(F.col("rank") if not step else F.xxhash64("rep", F.lit(step)), "rep"))
-        pairs = tmp.save(_against_heads(members, found, head).where("comp <> head_comp").select("a", "b").distinct(), f"round-{step}")
+        pairs = tmp.save(_against_heads(members, found, head).where("comp <> head_comp").groupBy("a").agg(F.min("h").alias("h")).select("a", F.col("h.rep").alias("b")), f"round-{step}")
         links = close(verified(pairs, texts, shingle))
         found = _merged(found, links, tmp, str(step))
-    groups = _against_heads(members, found, F.min(F.struct("n", "rep"))).select("a", "b").distinct()
+    # what a pair's components are travels with it
+    groups = _against_heads(members, found, F.min(F.struct("n", "rep"))).select("a", "b", F.col("comp").alias("ca"), F.col("head_comp").alias("cb")).distinct()
     stars = verified(tmp.save(groups, "open"), texts, shingle, True).withColumn("weight", F.size("added") + F.size("missing"))
     stars = tmp.save(stars, "stars")
-    more = tmp.save(close(stars).union(close(verified(_missing(stars, found, percent / 10_000, tmp), texts, shingle))), "rest")
+    more = tmp.save(close(stars).union(close(verified(_missing(stars, percent / 10_000, tmp), texts, shingle))), "rest")
     found = _merged(found, more, tmp, "last")
 
     labelled = classes.select("set_key", "rep", "min_id").join(found.withColumnRenamed("row", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -281,7 +284,7 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, shingle: int, threshol
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"), "text_key", F.col("component").alias("group"))
 
 
-def _missing(stars: DataFrame, comp: DataFrame, t: float, tmp: Scratch) -> DataFrame:
+def _missing(stars: DataFrame, t: float, tmp: Scratch) -> DataFrame:
     """Links (a, b) across components among the members of a head, by 64-bit hashes of shingles.
 
     A link joins a member outside the head's component to any other member. So outside
@@ -289,13 +292,12 @@ def _missing(stars: DataFrame, comp: DataFrame, t: float, tmp: Scratch) -> DataF
     outside slice and another one. The many copies around a head move once for each slice
     of the few outside.
     """
-    label = lambda side: comp.select(F.col("row").alias(side), F.col("component").alias(f"c{side}"))
     # who goes to which tile is settled on narrow rows; the sets then move once to meet it and once to their tiles
-    of = stars.select("a", "b", "weight").join(label("a"), "a").join(label("b"), "b").withColumn("outside", F.col("ca") != F.col("cb"))
+    of = stars.select("a", "b", "weight", "ca", "cb").withColumn("outside", F.col("ca") != F.col("cb"))
     count = lambda which: F.ceil(F.sum(F.when(F.col("outside") == which, F.col("weight"))) / TILE)
     slices = of.groupBy("b").agg(F.max("outside").alias("mixed"), F.greatest(count(True), F.lit(1)).cast("int").alias("out"), F.greatest(count(False), F.lit(1)).cast("int").alias("ins"))
     of = of.join(slices.where("mixed"), "b").withColumn("own", F.pmod(F.xxhash64("a"), F.when(F.col("outside"), F.col("out")).otherwise(F.col("ins"))).cast("int"))
-    dealt = tmp.save(of.select("a", "b", "ca", "outside", "own", "out", "ins"), "dealt")
+    dealt = tmp.save(of.select("a", "b", "outside", "own", "out", "ins"), "dealt")
     numbers = lambda n: F.sequence(F.lit(0), n - 1)
     place = lambda inner, lo, hi: F.struct(F.lit(inner).alias("inner"), lo.alias("lo"), hi.alias("hi"))
     own = F.col("own")

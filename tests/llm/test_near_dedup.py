@@ -152,3 +152,37 @@ def test_few_outside_a_large_group(spark, monkeypatch):
     rows += [(100 + i, " ".join(base[:52] + [f"y{j}" for j in range(4)] + [f"z{i}"])) for i in range(4)]
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=3, threshold=0.8)
     assert result(got) == brute(rows, 3, 80, 100)
+
+
+def test_a_member_meets_one_head_a_round(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(80):
+        words = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            words[rng.randrange(60)] = f"x{i}-{rng.random()}"
+        texts.append((i, " ".join(words)))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    met, save = {}, near_dedup.Scratch.save
+
+    def watched(self, rows, name):
+        out = save(self, rows, name)
+        if name.startswith("round-") or name == "open":
+            met[name] = [(r.a, r.b) for r in out.select("a", "b").collect()]
+        return out
+
+    monkeypatch.setattr(near_dedup.Scratch, "save", watched)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, shingle=2, threshold=0.8).collect()}
+    sets = [near_dedup.shingle_set(t, 2) for _, t in texts]
+    want = list(range(80))
+    for i in range(80):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((want[i], want[j]))
+                want = [low if c == high else c for c in want]
+    assert got == dict(enumerate(want))
+    rounds = [pairs for name, pairs in met.items() if name != "open"]
+    assert len(rounds) == near_dedup.ROUNDS and met["round-0"]
+    assert all(len({a for a, _ in pairs}) == len(pairs) for pairs in rounds)
+    assert len(set(met["open"])) == len(met["open"])
